@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,14 +105,16 @@ class BpeModel:
         return lengths, np.fromiter((i for ids in found for i in ids), "<u4", int(lengths.sum()))
 
 
-_MODELS: dict[str, BpeModel] = {}
-
-
+@cache
 def model_of(path: str) -> BpeModel:
     """Once for each worker."""
-    if path not in _MODELS:
-        _MODELS[path] = BpeModel(path)
-    return _MODELS[path]
+    return BpeModel(path)
+
+
+@cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """Once for each worker; what a task learns, later tasks find."""
+    return ChunkEncoder(model_of(path).encode_many, "<u4")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,10 +123,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkEncoder(model_of(tokenizer_path).encode_many, "<i4")
+        known = encoder_of(tokenizer_path)
         for batch in batches:
-            ids = list(cache.encode(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=fields)
+            ids = list(known.encode(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32()))], schema=fields)
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -152,10 +155,10 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(tokenizer_path)
-        cache, decimals = ChunkEncoder(model.encode_many, "<u4"), model.decimals.__getitem__
+        known, decimals = encoder_of(tokenizer_path), model.decimals.__getitem__
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for found in cache.encode(batch.column("text").to_pylist()):
+            for found in known.encode(batch.column("text").to_pylist()):
                 ids = found.tolist()
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(decimals, ids)).encode()).hexdigest())

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -134,20 +135,16 @@ class ChunkEncoder:
                 yield ids[a:b]
 
 
-_TOKENIZERS: dict[str, object] = {}
-
-
+@cache
 def load_tokenizer(path: str):
     """The tokenizers library's object for a file, once for each worker; without truncation or padding."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _TOKENIZERS[path] = tokenizer
-    return _TOKENIZERS[path]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def narrow_dtype(path: str) -> str:
@@ -183,8 +180,12 @@ def joined(path: str, dtype: str, marks: np.ndarray, simple: Callable[[str], boo
     return lengths, both[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
 
 
+@cache
 def byte_level_encoder(path: str) -> ChunkEncoder:
-    """For byte-level vocabularies: a chunk of a blank and letters starts with the blank's token."""
+    """For byte-level vocabularies: a chunk of a blank and letters starts with the blank's token.
+
+    One for each worker process, so that later tasks find what earlier ones learned.
+    """
     vocab, dtype = load_tokenizer(path).get_vocab(with_added_tokens=True), narrow_dtype(path)
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
@@ -192,6 +193,7 @@ def byte_level_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, "", xs), dtype)
 
 
+@cache
 def word_end_encoder(path: str) -> ChunkEncoder:
     """For vocabularies with word ends: a word of letters is one piece, which its last token ends."""
     vocab, dtype = load_tokenizer(path).get_vocab(with_added_tokens=True), narrow_dtype(path)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planlens.llm import bpe, packing, token_counts
+from planlens.llm import bpe, media, packing, token_counts, token_files
+from planlens.workspace import Scratch
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    token_files.write(table(spark, sf_dir, "documents"), scratch.path("files"), vocabulary("word_bpe_49k.json"), end_id=2, scratch=scratch)
+    return token_files.digest(spark, scratch.path("files"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op4")
+    media.write(table(spark, sf_dir, "documents"), scratch.path("archives"))
+    return media.describe(media.read(spark, scratch.path("archives")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -33,6 +46,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_files": op3_token_files,
+        "op4_media": op4_media,
         "op6_token_counts": op6_token_counts,
         "op8_bpe": op8_bpe,
         "op10_packing": op10_packing,
