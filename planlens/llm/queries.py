@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planlens.llm import bpe, media, packing, token_counts, token_files
+from planlens.llm import bpe, media, packing, token_counts, token_files, toxicity
 from planlens.workspace import Scratch
 
 
@@ -32,6 +33,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.read(spark, scratch.path("archives")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_test = toxicity.held_out(F.col("doc_id"))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~is_test)
+    return scored.select("doc_id", is_test.alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_files": op3_token_files,
         "op4_media": op4_media,
+        "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op8_bpe": op8_bpe,
         "op10_packing": op10_packing,
