@@ -36,8 +36,20 @@ def chunk_of_key(key: str) -> str:
 
 
 def white_space_keys(text: str) -> list[str]:
-    """For tokenizers that drop white space: the words, or the whole text where Python and Unicode differ on it."""
-    return [_BARE + text] if re.search("[\x00\x1c-\x1f]", text) else text.split()
+    """For tokenizers that drop white space and case: the words in lower case.
+
+    The whole text where Python and Unicode differ on white space; case is kept
+    where it depends on what follows or may tell special strings apart.
+    """
+    if re.search("[\x00\x1c-\x1f]", text):
+        return [_BARE + text]
+    return (text if "<|" in text or "Σ" in text else text.lower()).split()
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of several runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 #: What ``encode_many`` gives: ids of each chunk, and all ids in order.
@@ -52,7 +64,8 @@ class ChunkEncoder:
     chunks are then unknown (the texts have changed), the table starts anew.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Encoded], dtype: str, keys: Callable[[str], list[str]] = word_keys, bound: int = 1_000_000, words: int = 400_000, chunk: Callable[[str], str] = chunk_of_key):
+    def __init__(self, encode_many: Callable[[list[str]], Encoded], dtype: str, keys: Callable[[str], list[str]] = word_keys, bound: int = 1_000_000, words: int = 400_000, chunk: Callable[[str], str] = chunk_of_key, mark: str = _BARE):
+        self.mark = mark  # what the key of a mark that follows a word starts with
         self.encode_many, self.dtype, self.keys, self.bound, self.words, self.chunk = encode_many, dtype, keys, bound, words, chunk
         self._clear()
 
@@ -60,11 +73,24 @@ class ChunkEncoder:
         self.slot: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.tokens, self.used = np.zeros(1 << 14, self.dtype), 0
-        self.passing: list[str] = []
+        self.passing = 0
 
     def _learn(self, lost: list[str]) -> None:
-        lengths, ids = self.encode_many([self.chunk(k) for k in lost])
-        n, m = len(self.slot), len(lost)
+        """Add ``lost`` to the table. Letters and one mark after them are two pieces, each likely known."""
+        pairs = [(k, k[:-1], self.mark + k[-1]) for k in lost if k[-1] in ",." and k[:-1].isalpha() and k[:-1].lower().isalpha()]
+        two = {k for k, _, _ in pairs}
+        single = dict.fromkeys(k for k in lost if k not in two)
+        single.update(dict.fromkeys(x for _, *parts in pairs for x in parts if x not in self.slot))
+        if single:
+            keys = list(single)
+            self._append(keys, *self.encode_many([self.chunk(k) for k in keys]))
+        if pairs:
+            parts = np.fromiter((self.slot[x] for _, *xs in pairs for x in xs), np.int64, 2 * len(pairs))
+            lengths = self.lengths[parts]
+            self._append([k for k, _, _ in pairs], lengths.reshape(-1, 2).sum(axis=1), self.tokens[spans(self.starts[parts], lengths)])
+
+    def _append(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, m = len(self.slot), len(keys)
         while n + m > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(ids) > len(self.tokens):
@@ -73,17 +99,17 @@ class ChunkEncoder:
         self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.tokens[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.slot.update(zip(lost, range(n, n + m)))
+        self.slot.update(zip(keys, range(n, n + m)))
 
     def slots(self, flat: list[str]) -> np.ndarray:
-        for key in self.passing:
-            del self.slot[key]
+        for _ in range(self.passing):  # the last that were added
+            self.slot.popitem()
         self.used -= self.passing_ids if self.passing else 0
-        self.passing = []
+        self.passing = 0
         at = np.fromiter(map(self.slot.get, flat, repeat(-1)), np.int64, len(flat))
         gaps = np.flatnonzero(at < 0)
         if len(gaps):
-            full, used = len(self.slot) >= self.bound, self.used
+            full, used, kept = len(self.slot) >= self.bound, self.used, len(self.slot)
             if full and len(gaps) > 0.3 * len(flat):
                 self._clear()
                 return self.slots(flat)
@@ -92,7 +118,7 @@ class ChunkEncoder:
             self._learn(lost)
             at[gaps] = np.fromiter(map(self.slot.__getitem__, missed), np.int64, len(missed))
             if full:
-                self.passing, self.passing_ids = lost, self.used - used
+                self.passing, self.passing_ids = len(self.slot) - kept, self.used - used
         return at
 
     def groups(self, texts: Sequence[str | None]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -128,8 +154,7 @@ class ChunkEncoder:
         for counts, at in self.groups(texts):
             lengths = self.lengths[at]
             ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.tokens[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+            ids = self.tokens[spans(self.starts[at], lengths)]
             cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 yield ids[a:b]
@@ -175,9 +200,7 @@ def joined(path: str, dtype: str, marks: np.ndarray, simple: Callable[[str], boo
     starts = np.zeros(len(chunks), np.int64)
     starts[plain] = bounds[:-1]
     starts[rest] = len(ids) + np.cumsum(other) - other
-    ends = np.cumsum(lengths)
-    both = np.concatenate([ids, more])
-    return lengths, both[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+    return lengths, np.concatenate([ids, more])[spans(starts, lengths)]
 
 
 @cache
@@ -200,4 +223,4 @@ def word_end_encoder(path: str) -> ChunkEncoder:
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
     simple = lambda x: x.isalpha() and x.lower().isalpha()
-    return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, " ", xs), dtype, white_space_keys, chunk=lambda k: k.removeprefix(_BARE))
+    return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, " ", xs), dtype, white_space_keys, chunk=lambda k: k.removeprefix(_BARE), mark="")

@@ -87,8 +87,9 @@ class HuffmanCode:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
         self.width = max(1, int(self.lengths.max(initial=1)))
-        left = canonical_codes(lengths) << (self.width - self.lengths).astype(np.uint32)
-        self.left = (left << (32 - self.width)).astype(">u4")
+        codes = canonical_codes(lengths)
+        self.code = codes.astype(np.uint64)
+        left = codes << (self.width - self.lengths).astype(np.uint32)
         used = np.flatnonzero(lengths)
         used = used[np.argsort(left[used], kind="stable")]
         spans = 1 << (self.width - self.lengths[used])
@@ -100,9 +101,15 @@ class HuffmanCode:
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Bit offset of every STEP-th id, and the bits."""
         n = self.lengths[ids]
-        offsets = (np.cumsum(n) - n)[::STEP].astype("<u4")
-        bits = np.unpackbits(self.left[ids].view(np.uint8).reshape(-1, 4)[:, : -(-self.width // 8)], axis=1)
-        return offsets, np.packbits(bits[np.arange(bits.shape[1]) < n[:, None]]).tobytes()
+        ends = np.cumsum(n)
+        starts = ends - n
+        words = -(-int(ends[-1] if len(ends) else 0) // 32) + 1
+        # a code lies in the 32-bit word of its first bit and perhaps the next; codes don't overlap, so sums join them
+        lies = self.code[ids] << (64 - n - (starts & 31)).astype(np.uint64)
+        at = starts >> 5
+        joined = np.bincount(at, (lies >> np.uint64(32)).astype(np.float64), words)
+        joined[1:] += np.bincount(at, (lies & np.uint64(0xFFFFFFFF)).astype(np.float64), words)[:-1]
+        return starts[::STEP].astype("<u4"), joined.astype(np.uint64).astype(">u4").tobytes()
 
     def decode(self, n_ids: int, checkpoints: np.ndarray, bits: bytes) -> np.ndarray:
         raw = np.frombuffer(bits + b"\0\0\0\0", np.uint8).astype(np.uint32)
@@ -135,7 +142,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             packed = [press((x or "").encode()) for x in batch.column("text").to_pylist()]
