@@ -26,3 +26,27 @@ def binary_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     """Start of each item and the end of the last."""
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+#: Bits of a filter of ids, whatever the input: 2 MB to broadcast.
+FILTER_BITS = 24
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id") -> bytes:
+    """A bitmap of fixed size with a bit set for each id; see ``filter_place``."""
+    numbered = ids.select((filter_place(column) + 1).alias("k")).distinct()  # Spark's bitmaps number from 1
+    marks = numbered.groupBy(F.bitmap_bucket_number("k").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in marks.collect():  # 2 ** FILTER_BITS bits in all
+        at = (r["part"] - 1) * len(r["bits"])
+        bits[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits.tobytes()
+
+
+def filter_place(column: str = "doc_id"):
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def filter_hits(bits: bytes, places: np.ndarray) -> np.ndarray:
+    """Which places of a filter are set; ids that were put in always are."""
+    return (np.frombuffer(bits, np.uint8)[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlens.llm import bpe, jaccard_join, media, packing, token_counts, token_files, toxicity
+from planlens.llm import bpe, jaccard_join, media, packing, substring_dedup, token_counts, token_files, toxicity
 from planlens.workspace import Scratch
 
 
@@ -25,6 +25,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     token_files.write(table(spark, sf_dir, "documents"), scratch.path("files"), vocabulary("word_bpe_49k.json"), end_id=2, scratch=scratch)
@@ -58,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_token_files": op3_token_files,
         "op4_media": op4_media,
         "op5_toxicity": op5_toxicity,
