@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
 from planlens.llm.components import components
-from planlens.llm.frames import blobs_of
+from planlens.llm.frames import blobs_of, filter_hits, filter_place, id_filter
 from planlens.workspace import Scratch, ship_package
 
 WIDTH, PERCENT = 5, 75
@@ -44,8 +44,6 @@ WIDTH, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: Prefix extensions a document chooses from, and the cost of a candidate against a prefix shingle.
 LEVELS, CANDIDATE_COST = (1, 2, 4, 8, 16, 32), 20.0
-#: Bits of the filter of documents to verify, whatever the input.
-FILTER_BITS = 24
 
 
 def needed(size, percent: int = PERCENT):
@@ -223,26 +221,16 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     pairs = scratch.save(pairs.select("a", "b").distinct(), f"{label}-pairs")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = scratch.save(heads.join(used, "node").select("node", "doc_id"), f"{label}-wanted")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    numbered = wanted.select((place + 1).alias("k")).distinct()  # Spark's bitmaps number from 1
-    marks = numbered.groupBy(F.bitmap_bucket_number("k").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in marks.collect():  # 2 ** FILTER_BITS bits in all
-        at = (r["part"] - 1) * len(r["bits"])
-        bits[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    shared = spark.sparkContext.broadcast(id_filter(wanted))
     fields = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            hit = np.flatnonzero(mask[p >> 3] >> (p & 7).astype(np.uint8) & 1)
-            part = batch.take(pa.array(hit))
+            part = batch.take(pa.array(np.flatnonzero(filter_hits(shared.value, batch.column("place").to_numpy()))))
             out = [text_arrays.shingle_set(x, width).tobytes() for x in part.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], schema=fields)
 
-    found = blobs.filter("doc_id is not null").withColumn("p", place).mapInArrow(sets, "doc_id long, shingles binary")
+    found = blobs.filter("doc_id is not null").withColumn("place", filter_place()).mapInArrow(sets, "doc_id long, shingles binary")
     found = found.join(wanted, "doc_id").select("node", "shingles")
     ours, theirs = (found.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(theirs, "b").join(ours, "a").select("a", "b", "set_a", "set_b")

@@ -15,7 +15,8 @@ import xxhash
 #: An odd multiplier for sequences, and the constants of a 64-bit finaliser.
 _STEP = 0x9E3779B97F4A7C15
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS_KEPT = 1_000_000
+#: Words whose hash a worker keeps; others are hashed when they occur.
+_WORDS_KEPT = 250_000
 
 
 @cache
@@ -29,14 +30,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     out = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
     gaps = np.flatnonzero(out == 0).tolist()
     if gaps:
-        if len(known) > _WORDS_KEPT:
-            known.clear()
         digest = xxhash.xxh3_64_intdigest
         for k in gaps:
             word = words[k]
             h = known.get(word) or digest(word) or 1
             out[k] = h
-            if len(word) <= 64:
+            if len(word) <= 64 and len(known) < _WORDS_KEPT:
                 known[word] = h
     return out
 
