@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlens.llm import bpe, jaccard_join, media, packing, substring_dedup, token_counts, token_files, toxicity
+from planlens.llm import bpe, jaccard_join, media, packing, pii, substring_dedup, token_counts, token_files, toxicity
 from planlens.workspace import Scratch
 
 
@@ -55,6 +55,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op8_bpe": op8_bpe,
+        "op9_pii": op9_pii,
         "op10_packing": op10_packing,
     }
 
