@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlens.llm.text_arrays import mix
+
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, named ``doc_id`` and ``text``; other columns can't clash with ours."""
@@ -50,3 +54,44 @@ def filter_place(column: str = "doc_id"):
 def filter_hits(bits: bytes, places: np.ndarray) -> np.ndarray:
     """Which places of a filter are set; ids that were put in always are."""
     return (np.frombuffer(bits, np.uint8)[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def filter_of(frame: DataFrame, ids_of: Callable[[object], np.ndarray]) -> bytes:
+    """A bitmap of fixed size with a bit set for each id; ``ids_of`` gives those of one value of the only column.
+
+    A task sends its bitmap in parts, and parts are joined by place, so what is
+    moved doesn't depend on how often an id occurs.
+    """
+    part = 1 << 16
+    fields = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                seen[_places(ids_of(value))] = True
+        packed = np.packbits(seen).reshape(-1, part)
+        used = np.flatnonzero(packed.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[k].tobytes() for k in used], pa.binary())], schema=fields)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist()):
+                whole[k] = whole.get(k, 0) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], schema=fields)
+
+    out = np.zeros(((1 << FILTER_BITS) // 8 // part, part), np.uint8)
+    for r in frame.mapInArrow(mark, "part int, bits binary").repartition("part").mapInArrow(join, "part int, bits binary").collect():  # 2 ** FILTER_BITS bits in all
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.tobytes()
+
+
+def in_filter(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in a filter; those that were put in always are."""
+    at = _places(ids)
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlens.llm import bpe, jaccard_join, media, packing, pii, substring_dedup, token_counts, token_files, toxicity
+from planlens.llm import bpe, jaccard_join, media, packing, pii, quality_rules, substring_dedup, token_counts, token_files, toxicity
 from planlens.workspace import Scratch
 
 
@@ -51,6 +51,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media": op4_media,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
+        "op7_quality_rules": op7_quality_rules,
         "op8_bpe": op8_bpe,
         "op9_pii": op9_pii,
         "op10_packing": op10_packing,

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
-from planlens.llm.frames import blobs_of, filter_hits, filter_place, id_filter, offsets_of
+from planlens.llm.frames import blobs_of, filter_of, in_filter, offsets_of
 from planlens.workspace import Scratch, ship_package
 
 WIDTH = 13
 #: Words that a task compares among themselves before it sends entries.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 BLOCK_SHIFT = 16
 
 ENTRIES, DECISIONS, TEXT = 0, 1, 2
@@ -225,13 +225,7 @@ def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
 
 def concerned(decisions: DataFrame) -> bytes:
     """Filter of the documents that packed decisions name."""
-
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(unplanes(data, "<i8"))], names=["doc_id"])
-
-    return id_filter(decisions.select("docs").mapInArrow(run_, "doc_id long"))
+    return filter_of(decisions.select("docs"), lambda data: unplanes(data, "<i8"))
 
 
 def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
@@ -242,13 +236,13 @@ def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
 
         press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            part = batch.take(pa.array(np.flatnonzero(filter_hits(mask.value, batch.column("place").to_numpy()))))
+            part = batch.take(pa.array(np.flatnonzero(in_filter(mask.value, batch.column("doc_id").to_numpy()))))
             bodies = [press(x) for x in part.column("body").to_pylist()]
             n, bucket = len(part), doc_bucket(part.column("doc_id").to_numpy(), buckets)
             nothing = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TEXT, np.int32)), pa.array(bucket.astype(np.int32)), part.column("doc_id"), pa.array(bodies, pa.binary()), nothing, nothing, nothing], schema=_FIELDS)
 
-    return blobs.filter("doc_id is not null").select("doc_id", "body", filter_place().alias("place")).mapInArrow(run_, PACKED)
+    return blobs.filter("doc_id is not null").select("doc_id", "body").mapInArrow(run_, PACKED)
 
 
 def met(decisions: DataFrame, texts: DataFrame) -> DataFrame:
@@ -360,7 +354,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = filter_hits(to_change.value, batch.column("place").to_numpy()) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            named = known & in_filter(to_change.value, batch.column("doc_id").fill_null(0).to_numpy())
             part = batch.take(pa.array(np.flatnonzero(~named)))
             yield results([(doc, words := body.split(), words) for doc, body in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist())], False)
 
@@ -379,5 +374,5 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
     with_repeats = met(repeats, sent_texts(blobs, to_change, buckets)).mapInArrow(changed, RESULT)
     if texts:
         return with_repeats.select("doc_id", "n_words", "n_removed", "kept")
-    clean = blobs.select("doc_id", "body", filter_place().alias("place")).mapInArrow(untouched, RESULT)
+    clean = blobs.select("doc_id", "body").mapInArrow(untouched, RESULT)
     return clean.unionByName(with_repeats).select("doc_id", "n_words", "n_removed", "kept_sha256")
