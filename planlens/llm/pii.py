@@ -51,6 +51,9 @@ KEY_PREFIXES = "^(?:AKIA|ghp_|sk-|xox|password|passwd|secret|token|api_key)"
 CUES = r"(?i)(?:phone|tel|call|mobile|fax|contact|mail|card|visa|pay|account|user|login|key|pass|secret|token|telefon|konto|karte|kontakt|carte|compte|tarjeta|cuenta|correo|courriel)\S{0,12}\W{0,3}$"
 COUNTER_CUES = r"(?i)(?:isbn|issn|order|invoice|ticket|version|page|commit|sha|md5|no\.|nr\.)\W{0,3}$"
 
+#: A text without a match of this has no span and no candidate.
+MAY_HOLD = r"[0-9@=]|[\[({] ?at ?[\])}]"
+
 LABELERS = ("shape", "check", "gazetteer", "context", "edges")
 FEATURES = ("form", "long", "before_class", "after_class")
 
@@ -166,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, base, candidates of every row; most texts have no character that any pattern needs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    may = F.col("text").rlike(r"[0-9@=]|[\[({] ?at ?[\])}]")
+    may = F.col("text").rlike(MAY_HOLD)
     base, candidates = base_spans(F.col("text")), candidate_spans(F.col("text"))
     return chosen.select("doc_id", F.when(may, base).alias("base"), F.when(may, candidates).alias("candidates"))
 
@@ -246,3 +249,18 @@ def mask(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda x: x)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Rows of ``docs``, all columns, with every span in the text replaced.
+
+    Spans are found again where the text is, rather than joined to it, so that
+    texts aren't shuffled.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "masking")
+    weights = classifier(scratch.save(scan(docs, id_col, text_col), "spans"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    may = F.col("text").rlike(MAY_HOLD)
+    looked = whole.select("row", "text", F.when(may, base_spans(F.col("text"))).alias("base"), F.when(may, candidate_spans(F.col("text"))).alias("candidates"))
+    found = with_spans(looked, weights)
+    return found.select(*(mask(F.col("text"), F.col("spans")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -376,3 +376,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
         return with_repeats.select("doc_id", "n_words", "n_removed", "kept")
     clean = blobs.select("doc_id", "body").mapInArrow(untouched, RESULT)
     return clean.unionByName(with_repeats).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """Rows of ``docs``, all columns; a text that loses words becomes those left, joined by one blank."""
+    changed = dedup(docs, width, True, id_col, text_col, scratch).select(F.col("doc_id").alias("_changed"), F.col("kept").alias("_kept")).dropDuplicates(["_changed"])
+    both = docs.join(changed, docs[id_col].cast("long") == F.col("_changed"), "left")
+    return both.select(*(F.coalesce("_kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -311,6 +311,21 @@ def score(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, i
     return texts.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text isn't judged toxic; nothing is shuffled."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(train(texts_of(docs, id_col, text_col), labels, may_learn))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (model, scorer), known = shared.value, {}
+        for batch in batches:
+            found = document_evidence(batch.column(place).to_pylist(), scorer, model, known)
+            yield batch.filter(pa.array([scorer.of_document(*e) < 0.5 for e in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept for testing: crc32 of its id as text is a multiple of five."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
