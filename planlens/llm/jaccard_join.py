@@ -31,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
 from planlens.llm.components import components
-from planlens.llm.frames import blobs_of, filter_hits, filter_place, id_filter
+from planlens.llm.frames import blobs_of, filter_of, in_filter, planes, unplanes
 from planlens.workspace import Scratch, ship_package
 
 WIDTH, PERCENT = 5, 75
@@ -130,7 +130,7 @@ def choose_level(estimates: np.ndarray, size: int, percent: int) -> int:
 
 def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, buckets: int) -> DataFrame:
     """Packed prefix shingles by bucket: hashes, and for each of its classes key, size, extension and count."""
-    fields = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("steps", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("extras", pa.binary()), ("per", pa.binary())])
+    fields = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("places", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("extras", pa.binary()), ("per", pa.binary())])
     floor = noise + 4 * np.sqrt(noise) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +141,17 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
 
         def flush() -> Iterator[pa.RecordBatch]:
             shingles = np.concatenate([h[0] for h in held])
-            steps = np.concatenate([h[1] for h in held])
+            places = np.concatenate([h[1] for h in held])
             owner = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
             bucket = (shingles % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            shingles, steps, owner, bucket = shingles[order], steps[order], owner[order], bucket[order]
+            shingles, places, owner, bucket = shingles[order], places[order], owner[order], bucket[order]
             keys, sizes, extras = (np.array([h[k] for h in held], t) for k, t in ((2, "<i8"), (3, "<u4"), (4, "<u1")))
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 part = slice(edges[b], edges[b + 1])
                 own, per = np.unique(owner[part], return_counts=True)
-                row = (b, shingles[part].tobytes(), steps[part].tobytes(), keys[own].tobytes(), sizes[own].tobytes(), extras[own].tobytes(), per.astype("<u2").tobytes() if per.max() < 1 << 16 else per.astype("<u4").tobytes())
+                row = (b, shingles[part].tobytes(), planes(places[part]), keys[own].tobytes(), sizes[own].tobytes(), extras[own].tobytes(), per.astype("<u2").tobytes() if per.max() < 1 << 16 else per.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
             held.clear()
 
@@ -169,8 +169,7 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
                 extra = choose_level(estimate[level[order]], len(s), percent)
                 base = len(s) - needed(len(s), percent) + 1
                 prefix = s[order[: base + extra - 1]]
-                step = np.maximum(1, np.arange(len(prefix)) - base + 2).astype("<u1")
-                held.append((prefix, step, key, len(s), extra))
+                held.append((prefix, np.arange(len(prefix), dtype="<u4"), key, len(s), extra))
                 count += len(prefix)
                 if count >= 3_000_000:
                     yield from flush()
@@ -178,12 +177,12 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
         if held:
             yield from flush()
 
-    return blobs.mapInArrow(run, "bucket int, shingles binary, steps binary, keys binary, sizes binary, extras binary, per binary")
+    return blobs.mapInArrow(run, "bucket int, shingles binary, places binary, keys binary, sizes binary, extras binary, per binary")
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
-    """shingle, node, n, extra, step of the prefix shingles of two classes or more."""
-    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("step", pa.int32())])
+    """shingle, node, n, extra, place of the prefix shingles of two classes or more, and one of these as hub."""
+    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("place", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
@@ -192,9 +191,9 @@ def shared_postings(packed: DataFrame) -> DataFrame:
                 keys = np.frombuffer(r["keys"], "<i8")
                 per = np.frombuffer(r["per"], "<u2" if len(r["per"]) == 2 * len(keys) else "<u4").astype(np.int64)
                 spread = lambda x: np.repeat(x, per)  # noqa: B023, E731
-                parts.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], "<u8"), spread(keys), spread(np.frombuffer(r["sizes"], "<u4")), spread(np.frombuffer(r["extras"], "<u1")), np.frombuffer(r["steps"], "<u1")))
+                parts.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], "<u8"), spread(keys), spread(np.frombuffer(r["sizes"], "<u4")), spread(np.frombuffer(r["extras"], "<u1")), unplanes(r["places"], "<u4")))
         while parts:
-            shingle, node, n, extra, step = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
+            shingle, node, n, extra, place = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
             order = np.lexsort((node, shingle))
             shingle, node = shingle[order], node[order]
             new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])])
@@ -204,11 +203,13 @@ def shared_postings(packed: DataFrame) -> DataFrame:
             group = np.cumsum(first) - 1
             many = np.bincount(group)[group] > 1
             keep = keep[many]
-            columns = (shingle[many].view(np.int64), node[many], n[keep].astype(np.int32), extra[keep].astype(np.int32), step[keep].astype(np.int32))
+            hub = np.flatnonzero(first)[group]  # the smallest key
+            n = n[order[new]].astype(np.int32)
+            columns = (shingle[many].view(np.int64), node[many], n[many], extra[keep].astype(np.int32), place[keep].astype(np.int32), node[hub][many], n[hub][many])
             for a in range(0, len(keep), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], schema=fields)
 
-    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, step int")
+    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int, hub long, hub_n int")
 
 
 def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
@@ -221,16 +222,16 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     pairs = scratch.save(pairs.select("a", "b").distinct(), f"{label}-pairs")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = scratch.save(heads.join(used, "node").select("node", "doc_id"), f"{label}-wanted")
-    shared = spark.sparkContext.broadcast(id_filter(wanted))
+    shared = spark.sparkContext.broadcast(filter_of(wanted.select("doc_id"), lambda doc: np.array([doc], np.int64)))
     fields = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.take(pa.array(np.flatnonzero(filter_hits(shared.value, batch.column("place").to_numpy()))))
+            part = batch.take(pa.array(np.flatnonzero(in_filter(shared.value, batch.column("doc_id").to_numpy()))))
             out = [text_arrays.shingle_set(x, width).tobytes() for x in part.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], schema=fields)
 
-    found = blobs.filter("doc_id is not null").withColumn("place", filter_place()).mapInArrow(sets, "doc_id long, shingles binary")
+    found = blobs.filter("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary")
     found = found.join(wanted, "doc_id").select("node", "shingles")
     ours, theirs = (found.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(theirs, "b").join(ours, "a").select("a", "b", "set_a", "set_b")
@@ -249,29 +250,39 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
 
 
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """For each shared shingle, its classes against the one with the smallest key, where the sizes allow it."""
-    hubs = postings.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"))
-    paired = postings.join(hubs, "shingle").filter("node != hub.node").filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    return paired.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    """For each shared shingle, its classes against its hub, where the sizes allow it."""
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    return postings.filter((F.col("node") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def cross_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of classes in different components.
 
-    For each shingle, classes outside its largest component meet all others; a
-    pair must share as many prefix shingles as the smaller of its extensions.
+    For each shingle, classes outside its largest component meet all others. A
+    pair must share as many prefix shingles as the smaller of its extensions,
+    and at each the intersection must still be able to be large enough: common
+    shingles before it are shared prefix shingles of both, those after it are
+    at most what either set has left.
     """
-    placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "root"))["root"].alias("main"))
-    placed = placed.join(mixed.filter("kinds > 1"), "shingle")
-    few = placed.filter("root != main").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "extra", "step", "root")))
-    many = placed.select("shingle", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "extra", "step", "root")))
-    met = few.join(many, "shingle").filter("root_a != root_b and (root_b = main or node_a < node_b)")
-    met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
+    placed = postings.select("shingle", "node", "n", "extra", "place").join(roots, "node", "left")
+    placed = placed.select("shingle", "node", "n", "extra", "place", before.alias("before"), F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
+    placed = placed.join(mixed, "shingle")
+    main = placed.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
+    placed = placed.join(main, "shingle")
+    step = F.greatest(F.lit(1), F.col("place") - F.col("n") + F.expr(f"({percent} * n + 99) div 100") + 1).alias("step")
+    columns = ("node", "n", "extra", "step", "root", "before", "rest")
+    placed = placed.select("*", step, (F.col("n") - F.col("place") - 1).alias("rest"))
+    few = placed.filter("root != main").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
+    many = placed.select("shingle", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
     asked = F.least("extra_a", "extra_b")
-    met = met.withColumn("asked", asked).filter("step_a <= asked and step_b <= asked")
+    reachable = F.least("before_a", "before_b") + 1 + F.least("rest_a", "rest_b")
+    met = few.join(many, "shingle").filter("root_a != root_b and (root_b = main or node_a < node_b)")
+    met = met.filter((F.col("step_a") <= asked) & (F.col("step_b") <= asked))
+    met = met.filter((100 + percent) * reachable >= percent * (F.col("n_a") + F.col("n_b")))
     pair = (F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return met.groupBy(*pair).agg(F.count("*").alias("shared"), F.max("asked").alias("asked")).filter("shared >= asked").select("a", "b")
+    return met.groupBy(*pair).agg(F.count("*").alias("shared"), F.max(asked).alias("asked")).filter("shared >= asked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
-from planlens.llm.frames import blobs_of, filter_of, in_filter, offsets_of
+from planlens.llm.frames import blobs_of, filter_of, in_filter, offsets_of, planes, unplanes
 from planlens.workspace import Scratch, ship_package
 
 WIDTH = 13
@@ -46,15 +46,6 @@ PACKED = "kind int, bucket int, doc_id long, keys binary, owners binary, docs bi
 _FIELDS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("docs", pa.binary()), ("flags", pa.binary())])
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that high bytes, mostly zero, compress away."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def unplanes(data: bytes, dtype: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype)[:, 0]
-
-
 def row(kind: int, bucket: int, keys: bytes, owners: bytes, docs: bytes, flags: bytes = b"", doc_id: int | None = None) -> pa.RecordBatch:
     values = (kind, bucket, doc_id, keys, owners, docs, flags)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _FIELDS)], schema=_FIELDS)
