@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
 from planlens.llm.components import components
-from planlens.llm.frames import blobs_of, filter_of, in_filter, planes, unplanes
+from planlens.llm.frames import blobs_of, filter_of, give_back, in_filter, planes, slices, unplanes
 from planlens.workspace import Scratch, ship_package
 
 WIDTH, PERCENT = 5, 75
@@ -62,7 +62,7 @@ def signatures(blobs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, nodes = [], [], []
             sets = [text_arrays.shingle_set(x, width) for x in batch.column("body").to_pylist()]
             for s in sets:
@@ -70,8 +70,8 @@ def signatures(blobs: DataFrame, width: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 nodes.append(node_key(s) if len(s) else None)
             if sets:
-                every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-                sketch += np.bincount(every.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                sketch[at] += times.astype(np.uint32)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=fields)
         chunks = sketch.reshape(-1, 1 << CHUNK_BITS)
@@ -155,7 +155,7 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for body in batch.column("body").to_pylist():
                 s = text_arrays.shingle_set(body, width)
                 if not len(s):
@@ -171,7 +171,7 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
                 prefix = s[order[: base + extra - 1]]
                 held.append((prefix, np.arange(len(prefix), dtype="<u4"), key, len(s), extra))
                 count += len(prefix)
-                if count >= 3_000_000:
+                if count >= 1_500_000:
                     yield from flush()
                     count = 0
         if held:
@@ -208,6 +208,7 @@ def shared_postings(packed: DataFrame) -> DataFrame:
             columns = (shingle[many].view(np.int64), node[many], n[many], extra[keep].astype(np.int32), place[keep].astype(np.int32), node[hub][many], n[hub][many])
             for a in range(0, len(keep), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], schema=fields)
+        give_back()
 
     return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int, hub long, hub_n int")
 
@@ -226,7 +227,7 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     fields = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             part = batch.take(pa.array(np.flatnonzero(in_filter(shared.value, batch.column("doc_id").to_numpy()))))
             out = [text_arrays.shingle_set(x, width).tobytes() for x in part.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], schema=fields)
@@ -238,7 +239,7 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     decided = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
-from planlens.llm.frames import blobs_of, filter_of, in_filter, offsets_of, planes, unplanes
+from planlens.llm.frames import blobs_of, filter_of, give_back, in_filter, offsets_of, planes, slices, unplanes
 from planlens.workspace import Scratch, ship_package
 
 WIDTH = 13
@@ -179,7 +179,7 @@ def anchors(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
-        for batch in batches:
+        for batch in slices(batches):
             for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
                 words = body.split()
                 if len(words) >= width:
@@ -210,6 +210,7 @@ def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
             keys, docs, flags = keys[order], docs[order], flags[order]
             found = judge(keys, docs, flags)
             yield from decision_rows(docs[found], keys[found], buckets)
+        give_back()
 
     return packed.repartition("bucket").mapInArrow(run_, PACKED)
 
@@ -226,7 +227,7 @@ def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             part = batch.take(pa.array(np.flatnonzero(in_filter(mask.value, batch.column("doc_id").to_numpy()))))
             bodies = [press(x) for x in part.column("body").to_pylist()]
             n, bucket = len(part), doc_bucket(part.column("doc_id").to_numpy(), buckets)
@@ -247,7 +248,7 @@ def with_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, byt
 
     unpack = zstandard.ZstdDecompressor().decompress
     decided: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for r in batch.to_pylist():
             if r["kind"] == DECISIONS:
                 for doc, keys in read_decisions(r):
@@ -344,7 +345,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
     to_change = spark.sparkContext.broadcast(concerned(repeats))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             named = known & in_filter(to_change.value, batch.column("doc_id").fill_null(0).to_numpy())
             part = batch.take(pa.array(np.flatnonzero(~named)))
