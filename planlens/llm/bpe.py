@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from planlens.llm.bpe_chunks import ChunkEncoder, Encoded
 from planlens.llm.frames import texts_of
+from planlens.llm.worker_memory import worker_cache
 from planlens.workspace import ship_package
 
 #: Fixed value: the pattern that splits a text before merging.
@@ -111,10 +112,9 @@ def model_of(path: str) -> BpeModel:
     return BpeModel(path)
 
 
-@cache
 def encoder_of(path: str) -> ChunkEncoder:
-    """Once for each worker; what a task learns, later tasks find."""
-    return ChunkEncoder(model_of(path).encode_many, "<u4")
+    """Kept by the worker; what a task learns, later tasks find."""
+    return worker_cache(f"own {path}", lambda: ChunkEncoder(model_of(path).encode_many, "<u4"))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,8 @@ from itertools import repeat
 
 import numpy as np
 
+from planlens.llm.worker_memory import worker_cache
+
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Marks the key of a chunk that has no blank or newline before it.
 _BARE = "\x00"
@@ -203,12 +205,13 @@ def joined(path: str, dtype: str, marks: np.ndarray, simple: Callable[[str], boo
     return lengths, np.concatenate([ids, more])[spans(starts, lengths)]
 
 
-@cache
 def byte_level_encoder(path: str) -> ChunkEncoder:
-    """For byte-level vocabularies: a chunk of a blank and letters starts with the blank's token.
+    """For byte-level vocabularies; kept by the worker, so that later tasks find what earlier ones learned."""
+    return worker_cache(f"byte-level {path}", lambda: _byte_level_encoder(path))
 
-    One for each worker process, so that later tasks find what earlier ones learned.
-    """
+
+def _byte_level_encoder(path: str) -> ChunkEncoder:
+    """A chunk of a blank and letters starts with the blank's token."""
     vocab, dtype = load_tokenizer(path).get_vocab(with_added_tokens=True), narrow_dtype(path)
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
@@ -216,9 +219,13 @@ def byte_level_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, "", xs), dtype)
 
 
-@cache
 def word_end_encoder(path: str) -> ChunkEncoder:
-    """For vocabularies with word ends: a word of letters is one piece, which its last token ends."""
+    """For vocabularies with word ends; kept by the worker."""
+    return worker_cache(f"word-end {path}", lambda: _word_end_encoder(path))
+
+
+def _word_end_encoder(path: str) -> ChunkEncoder:
+    """A word of letters is one piece, which its last token ends."""
     vocab, dtype = load_tokenizer(path).get_vocab(with_added_tokens=True), narrow_dtype(path)
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for token, i in vocab.items() if token.endswith("</w>")]] = True

@@ -41,27 +41,6 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype)[:, 0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds few texts as objects; memory goes back to the system at the end."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-        del batch
-    give_back()
-
-
-def give_back() -> None:
-    """Return what the allocators keep: idle workers of other stages share the executor."""
-    import ctypes
-    import ctypes.util
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 #: Bits of a filter of ids, whatever the input: 2 MB to broadcast.
 FILTER_BITS = 24
 

@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
 from planlens.llm.components import components
-from planlens.llm.frames import blobs_of, filter_of, give_back, in_filter, planes, slices, unplanes
+from planlens.llm.frames import blobs_of, filter_of, in_filter, planes, unplanes
+from planlens.llm.worker_memory import give_back, slices
 from planlens.workspace import Scratch, ship_package
 
 WIDTH, PERCENT = 5, 75

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
-from planlens.llm.frames import blobs_of, filter_of, give_back, in_filter, offsets_of, planes, slices, unplanes
+from planlens.llm.frames import blobs_of, filter_of, in_filter, offsets_of, planes, unplanes
+from planlens.llm.worker_memory import give_back, slices
 from planlens.workspace import Scratch, ship_package
 
 WIDTH = 13

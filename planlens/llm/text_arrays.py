@@ -6,12 +6,13 @@ bytes, whose ``split`` and ``lower`` know exactly these and A-Z.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import repeat
 
 import numpy as np
 import xxhash
 
+from planlens.llm.worker_memory import worker_cache
+
 #: An odd multiplier for sequences, and the constants of a 64-bit finaliser.
 _STEP = 0x9E3779B97F4A7C15
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -19,14 +20,8 @@ _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDS_KEPT = 250_000
 
 
-@cache
-def _known() -> dict[bytes, int]:
-    """Hashes of words met by this worker."""
-    return {}
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _known()
+    known: dict[bytes, int] = worker_cache("word hashes", dict)
     out = np.fromiter(map(known.get, words, repeat(0)), np.uint64, len(words))
     gaps = np.flatnonzero(out == 0).tolist()
     if gaps:

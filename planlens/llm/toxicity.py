@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm.frames import texts_of
+from planlens.llm.worker_memory import slices
 from planlens.workspace import ship_package
 
 #: Labelled documents used for fitting, at most.
@@ -66,7 +67,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     code = np.frombuffer(f"  {text.lower()}  ".encode("utf-32-le", "replace"), np.uint32)
@@ -188,7 +189,7 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterModel, known: dict[str, float], bound: int = 600_000) -> list[tuple[float, int, int]]:
+def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterModel, known: dict[str, float], bound: int = 300_000) -> list[tuple[float, int, int]]:
     """(strongest evidence, tokens with evidence, tokens) of each text."""
     out = []
     for text in texts:
@@ -222,7 +223,7 @@ def learn_evidence(sample: DataFrame, model_value) -> dict[str, float]:
         model, known = model_value.value, {}
         toxic_in: set[tuple[str, int]] = set()
         used_by: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = restored_tokens(text or "", model, known)
                 if toxic:
@@ -278,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, t
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = document_evidence(batch.column("text").to_pylist(), learned.value, shared.value, known)
             columns = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["toxic", "strongest", "hits", "words"])
@@ -304,7 +305,7 @@ def score(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model, scorer), known = shared.value, {}
-        for batch in batches:
+        for batch in slices(batches):
             s = np.array([scorer.of_document(*e) for e in document_evidence(batch.column("text").to_pylist(), scorer, model, known)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema=fields)
 
@@ -319,7 +320,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model, scorer), known = shared.value, {}
-        for batch in batches:
+        for batch in slices(batches):
             found = document_evidence(batch.column(place).to_pylist(), scorer, model, known)
             yield batch.filter(pa.array([scorer.of_document(*e) < 0.5 for e in found], pa.bool_()))
 
