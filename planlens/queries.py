@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planlens.functions import authoring as au
 from planlens.functions import expressions as fx
 from planlens.operators import events as ev
 from planlens.operators import ledger as lg
+from planlens.operators import replay as rp
 from planlens.plans import alignment as al
 from planlens.plans import metrics as me
 from planlens.plans import policy as po
+from planlens.plans import validation as va
 from planlens.plans.bridge import Bridge, with_views
+from planlens.sources import artifacts as art
+from planlens.sources import fixtures as fxt
+from planlens.streaming import log
+from planlens.workspace import Scratch
 
 Query = Callable[[Bridge], DataFrame]
 _REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -590,6 +597,99 @@ def single_versions(b: Bridge) -> DataFrame:
     return versions.groupBy("module_id").agg(F.min("module_digest").alias("module_digest"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
+# --- replay and brokers ------------------------------------------------------------
+
+_COMPARE_SQL = """compared AS (SELECT n.plan_id, n.i, n.effectful, n.approval_required, n.cost_usd, n.module_digest <> a.module_digest AS output_changed, n.tool_calls IS DISTINCT FROM a.tool_calls AS tools_changed, n.cost_usd IS DISTINCT FROM a.cost_usd AS cost_changed, n.wall_time_ms IS DISTINCT FROM a.wall_time_ms AS latency_changed
+ FROM node n JOIN plan_after a ON n.plan_id = a.plan_id AND n.i = a.i)"""
+
+
+@query("d07_step_comparisons", f"WITH {_COMPARE_SQL} SELECT plan_id, i, output_changed, tools_changed, cost_changed, latency_changed, output_changed OR tools_changed OR cost_changed AS behavior_changed FROM compared")
+def step_comparisons(b: Bridge) -> DataFrame:
+    return rp.comparisons(b.node, b.plan_after)
+
+
+@query("n18_replay_outcomes", f"""WITH {_COMPARE_SQL} SELECT plan_id, CASE WHEN bool_or(effectful AND approval_required AND output_changed) THEN 'EFFECT_VIOLATION' WHEN sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(12,2))) > 0.3 THEN 'BUDGET_EXCEEDED' WHEN bool_or(output_changed) THEN 'CHANGED' ELSE 'PASS' END AS outcome FROM compared GROUP BY plan_id""")
+def replay_outcomes(b: Bridge) -> DataFrame:
+    facts = b.node.select("plan_id", "i", (F.col("effectful") & F.col("approval_required")).alias("risky"), F.coalesce(F.col("cost_usd").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("live_cost"))
+    steps = rp.comparisons(b.node, b.plan_after).join(facts, ["plan_id", "i"])
+    return rp.outcomes(steps.select("plan_id", (F.col("risky") & F.col("output_changed")).alias("effect_violation"), F.lit(False).alias("failed"), F.lit(False).alias("diverged"), "live_cost", "behavior_changed"), 0.3)
+
+
+@query("l15_read_decisions", f"SELECT plan_id, i, CASE WHEN module_id NOT IN ({_LIST(ALLOWED_MODULES)}) THEN 'not-declared' WHEN effectful THEN 'not-granted' WHEN cost_usd IS NULL THEN 'request-contract' WHEN p_size % 5 = 0 THEN 'policy-denied' ELSE 'used' END AS decision FROM node")
+def read_decisions(b: Bridge) -> DataFrame:
+    checks = {"not-declared": ~F.col("module_id").isin(*ALLOWED_MODULES), "not-granted": F.col("effectful"), "request-contract": F.col("cost_usd").isNull(), "policy-denied": F.col("p_size") % 5 == 0}
+    return b.node.select("plan_id", "i", rp.ladder(checks, rp.READ_LADDER).alias("decision"))
+
+
+@query("l16_effect_decisions", f"SELECT plan_id, i, CASE WHEN module_id IN ({_LIST(NO_EFFECT_MODULES)}) THEN 'not-granted' WHEN p_size % 7 = 0 THEN 'already-committed' WHEN approval_required THEN 'approval-required' WHEN p_size % 3 = 0 THEN 'unsafe-retry' ELSE 'committed' END AS decision FROM node WHERE effectful")
+def effect_decisions(b: Bridge) -> DataFrame:
+    checks = {"not-granted": F.col("module_id").isin(*NO_EFFECT_MODULES), "already-committed": F.col("p_size") % 7 == 0, "approval-required": F.col("approval_required"), "unsafe-retry": F.col("p_size") % 3 == 0}
+    return b.node.filter("effectful").select("plan_id", "i", rp.ladder(checks, rp.EFFECT_LADDER, "committed").alias("decision"))
+
+
+@query("l05_unsafe_retries", "SELECT plan_id, i FROM node WHERE effectful AND approval_required AND p_size % 2 = 1")
+def unsafe_retries(b: Bridge) -> DataFrame:
+    attempted = lg.incomplete_effects(lg.effect_records(b.node)).select("plan_id", "i")
+    return b.node.filter("p_size % 2 = 1").join(attempted, ["plan_id", "i"], "left_semi").select("plan_id", "i")
+
+
+# --- sources, sinks, streams, validation ---------------------------------------------
+
+
+@query("s12_artifact_store", "SELECT DISTINCT sha256(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, true AS intact FROM documents WHERE octet_length(encode(text)) > 16384")
+def artifact_store(b: Bridge) -> DataFrame:
+    root = Scratch(b.spark, "blobs").path("store")
+    large = b.table("documents").filter(F.octet_length("text") > fx.INLINE_LIMIT).select(F.encode("text", "UTF-8").alias("content"))
+    art.put(large, root).write.format("noop").mode("overwrite").save()
+    return art.get(b.spark, root).select("digest", "size_bytes", "intact")
+
+
+@query("s17_fixture_round_trip", "SELECT plan_id, CAST(count(*) AS INTEGER) AS nodes, true AS intact FROM node GROUP BY plan_id")
+def fixture_round_trip(b: Bridge) -> DataFrame:
+    path = Scratch(b.spark, "fixtures").path("plans")
+    fxt.save(fxt.documents(b.node, b.edge), path)
+    return fxt.load(b.spark, path).select("plan_id", F.size("nodes").alias("nodes"), "intact")
+
+
+def event_stream(b: Bridge) -> DataFrame:
+    rows = log.tail(b.spark, b.sf_dir, "events.parquet", b.table("events").schema)
+    return Bridge.event.func(type("Stream", (), {"table": staticmethod(lambda _: rows)})())
+
+
+@query("t01_tailed_events", "SELECT event_id, run_id, event_type FROM event WHERE event_id > 100 AND event_type <> 'ATTEMPT_HEARTBEAT'")
+def tailed_events(b: Bridge) -> DataFrame:
+    return log.catch_up(log.visible_after(event_stream(b), 100).select("event_id", "run_id", "event_type"), Scratch(b.spark, "tail"), "rows")
+
+
+@query("t02_commands_once", "SELECT DISTINCT run_id, event_type FROM event")
+def stream_commands_once(b: Bridge) -> DataFrame:
+    return log.catch_up(log.once(event_stream(b).select("run_id", "event_type"), ["run_id", "event_type"]), Scratch(b.spark, "once"), "rows")
+
+
+@query("t03_run_states")
+def run_states(b: Bridge) -> DataFrame:
+    return log.catch_up(log.run_states(event_stream(b)), Scratch(b.spark, "states"), "rows", "update")
+
+
+@query("v02_first_violations")
+def first_violations(b: Bridge) -> DataFrame:
+    catalog = {f"Brand-{k}": va.Entry(inputs=("any",)) for k in range(1, 26)}
+    return va.first_violations(va.fragments_of(b.node, b.edge), catalog, va.Limits(max_nodes=12, max_depth=6, max_fanout=2))
+
+
+@query("k02_mapped_items", "SELECT plan_id, string_agg(CAST(i * 10 + p_size AS VARCHAR), ',' ORDER BY i) AS outputs FROM node GROUP BY plan_id")
+def mapped_items(b: Bridge) -> DataFrame:
+    rows = b.node.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("i", "p_size"))).alias("items"))
+    done = au.map_over(rows, "plan_id", "items", lambda x: x["i"], lambda x: x["i"] * 10 + x["p_size"])
+    return done.select("plan_id", F.array_join(F.transform("mapped", lambda x: x["value"].cast("string")), ",").alias("outputs"))
+
+
+@query("p03_structures", "SELECT event_id, event_type AS event_name, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM event")
+def structures(b: Bridge) -> DataFrame:
+    built = b.event.select("event_id", au.structured(name=F.col("event_type"), inner=au.structured(k=F.get_json_object("payload", "$.k").cast("long"))).alias("v"))
+    return built.select("event_id", au.project(F.col("v"), "name").alias("event_name"), au.project(F.col("v"), "inner.k").alias("k"))
+
+
 # --- graph ---------------------------------------------------------------------
 
 
