@@ -9,8 +9,9 @@
    make many candidates, so it is lengthened and more matches are asked for; a
    pair is held to the smaller L of its two documents. Prefix shingles travel
    packed, and only those of two classes or more become rows.
-3. Each shared shingle links its classes to one of them. These pairs are
-   verified on whole sets and give components.
+3. Each class is compared with few others on whole sets: those that stand for
+   most of its shared shingles. The links among these give components, which
+   another such round, against the largest component of each shingle, merges.
 4. What could still connect different components is every pair of classes that
    share enough prefix shingles and lie in different ones; all of these are
    verified. Pairs inside a component need no look, so copies and large groups
@@ -45,6 +46,8 @@ WIDTH, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: Prefix extensions a document chooses from, and the cost of a candidate against a prefix shingle.
 LEVELS, CANDIDATE_COST = (1, 2, 4, 8, 16, 32), 20.0
+#: Hubs that a class is compared with in a round.
+HUBS = 2
 
 
 def needed(size, percent: int = PERCENT):
@@ -215,7 +218,7 @@ def shared_postings(packed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """a, b, similar for ``pairs`` (a, b) of class keys, decided on whole sets.
+    """a, b, similar, distance for ``pairs`` (a, b) of class keys, decided on whole sets.
 
     Texts are scanned again; a filter of fixed size picks those that a pair may
     need, so that others aren't shuffled.
@@ -237,44 +240,64 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     found = found.join(wanted, "doc_id").select("node", "shingles")
     ours, theirs = (found.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(theirs, "b").join(ours, "a").select("a", "b", "set_a", "set_b")
-    decided = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
+    decided = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_()), ("distance", pa.float64())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
+            out, distance = [], []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], schema=decided)
+                union = len(x) + len(y) - common
+                out.append(100 * common >= percent * union)
+                distance.append(1 - common / union)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_()), pa.array(distance, pa.float64())], schema=decided)
 
-    return scratch.save(both.mapInArrow(decide, "a long, b long, similar boolean"), f"{label}-verified")
+    return scratch.save(both.mapInArrow(decide, "a long, b long, similar boolean, distance double"), f"{label}-verified")
 
 
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """For each shared shingle, its classes against its hub, where the sizes allow it."""
+    """Each class against a few others: the hubs of most of its shared shingles, where the sizes allow it.
+
+    ``postings`` has shingle, node, n and the shingle's hub, hub_n.
+    """
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    return postings.filter((F.col("node") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    met = postings.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, HUBS).alias("best"))
+    return best.select(F.explode("best").alias("x"), F.col("node").alias("b")).select(F.col("x.hub").alias("a"), "b")
+
 
+def with_new_hubs(postings: DataFrame, roots: DataFrame, number: int) -> DataFrame:
+    """Postings outside the largest component of their shingle, with a hub from inside it, another in each round."""
+    placed = postings.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = placed.groupBy("shingle", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n")).alias("hub"))
+    main = by_root.groupBy("shingle").agg(F.max(F.struct("size", "root", "hub")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    outside = placed.join(main, "shingle").filter("root != main.root")
+    return outside.select("shingle", "node", "n", F.col("main.hub.node").alias("hub"), F.col("main.hub.n").alias("hub_n"))
 
-def cross_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+
+def cross_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of classes in different components.
 
     For each shingle, classes outside its largest component meet all others. A
     pair must share as many prefix shingles as the smaller of its extensions,
     and at each the intersection must still be able to be large enough: common
     shingles before it are shared prefix shingles of both, those after it are
-    at most what either set has left.
+    at most what either set has left. Classes that were compared with the same
+    hub need similar distances from it: Jaccard distance is a metric.
     """
+    far = 1 - percent / 100 + 1e-9
+    compared = stars.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("distance", F.col("a").alias("center"))).alias("x")).select("node", "x.center", "x.distance")
     before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
-    placed = postings.select("shingle", "node", "n", "extra", "place").join(roots, "node", "left")
-    placed = placed.select("shingle", "node", "n", "extra", "place", before.alias("before"), F.coalesce("root", "node").alias("root"))
+    placed = postings.select("shingle", "node", "n", "extra", "place").join(roots.join(compared, "node", "full_outer"), "node", "left")
+    center, distance = F.coalesce("center", "node").alias("center"), F.coalesce("distance", F.lit(0.0)).alias("distance")
+    placed = placed.select("shingle", "node", "n", "extra", "place", before.alias("before"), F.coalesce("root", "node").alias("root"), center, distance)
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
     placed = placed.join(mixed, "shingle")
     main = placed.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
     placed = placed.join(main, "shingle")
     step = F.greatest(F.lit(1), F.col("place") - F.col("n") + F.expr(f"({percent} * n + 99) div 100") + 1).alias("step")
-    columns = ("node", "n", "extra", "step", "root", "before", "rest")
+    columns = ("node", "n", "extra", "step", "root", "before", "rest", "center", "distance")
     placed = placed.select("*", step, (F.col("n") - F.col("place") - 1).alias("rest"))
     few = placed.filter("root != main").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
     many = placed.select("shingle", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
@@ -283,6 +306,7 @@ def cross_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFram
     met = few.join(many, "shingle").filter("root_a != root_b and (root_b = main or node_a < node_b)")
     met = met.filter((F.col("step_a") <= asked) & (F.col("step_b") <= asked))
     met = met.filter((100 + percent) * reachable >= percent * (F.col("n_a") + F.col("n_b")))
+    met = met.filter((F.col("center_a") != F.col("center_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= far))
     pair = (F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     return met.groupBy(*pair).agg(F.count("*").alias("shared"), F.max(asked).alias("asked")).filter("shared >= asked").select("a", "b")
 
@@ -306,7 +330,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     stars = verified(star_pairs(postings, percent), blobs, heads, width, percent, scratch, "star")
     links = stars.filter("similar").select("a", "b")
     roots = scratch.save(components(links, "a", "b", scratch, "first"), "first-roots")
-    rest = cross_pairs(postings, roots, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = star_pairs(with_new_hubs(postings, roots, 1), percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    stars = stars.unionByName(verified(more, blobs, heads, width, percent, scratch, "more"))
+    links = stars.filter("similar").select("a", "b")
+    roots = scratch.save(components(links, "a", "b", scratch, "second"), "second-roots")
+    ends = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cross_pairs(postings, roots, stars, percent).join(ends, ["a", "b"], "left_anti")
     crossed = verified(rest, blobs, heads, width, percent, scratch, "cross")
     every = links.union(crossed.filter("similar").select("a", "b"))
     ends = [classes.select(F.col("node").alias(x), F.col("head").alias(y)) for x, y in (("a", "u"), ("b", "v"))]
