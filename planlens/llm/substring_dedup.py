@@ -39,7 +39,7 @@ from planlens.workspace import Scratch, ship_package
 
 WIDTH = 13
 #: Words that a task compares among themselves before it sends entries.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 BLOCK_SHIFT = 16
 
 ENTRIES, DECISIONS, TEXT = 0, 1, 2
@@ -188,6 +188,7 @@ def anchors(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
                 if chunk.words >= CHUNK_WORDS:
                     yield from settle(chunk)
                     chunk = Chunk()
+                    give_back()
         if chunk.docs:
             yield from settle(chunk)
 
