@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlens.llm import bpe, jaccard_join, media, packing, pii, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from planlens.llm import bpe, jaccard_join, media, packing, pii, quality_rules, sql, substring_dedup, token_counts, token_files, toxicity
 from planlens.workspace import Scratch
 
 
@@ -83,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn, pack, compress or tokenize; tests compare them with brute force."""
+    return sql.oracle_sql()
