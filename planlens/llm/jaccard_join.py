@@ -9,9 +9,9 @@
    make many candidates, so it is lengthened and more matches are asked for; a
    pair is held to the smaller L of its two documents. Prefix shingles travel
    packed, and only those of two classes or more become rows.
-3. Each class is compared with few others on whole sets: those that stand for
-   most of its shared shingles. The links among these give components, which
-   another such round, against the largest component of each shingle, merges.
+3. Each class is compared with few others on whole sets: the hubs of most of its
+   shared shingles, a hub being the class with the fewest shingles of its own
+   (the original of a group of copies). These links give components.
 4. What could still connect different components is every pair of classes that
    share enough prefix shingles and lie in different ones; all of these are
    verified. Pairs inside a component need no look, so copies and large groups
@@ -185,8 +185,8 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
-    """shingle, node, n, extra, place of the prefix shingles of two classes or more, and one of these as hub."""
-    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("place", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
+    """shingle, node, n, extra, place of the prefix shingles of two classes or more."""
+    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
@@ -207,14 +207,12 @@ def shared_postings(packed: DataFrame) -> DataFrame:
             group = np.cumsum(first) - 1
             many = np.bincount(group)[group] > 1
             keep = keep[many]
-            hub = np.flatnonzero(first)[group]  # the smallest key
-            n = n[order[new]].astype(np.int32)
-            columns = (shingle[many].view(np.int64), node[many], n[many], extra[keep].astype(np.int32), place[keep].astype(np.int32), node[hub][many], n[hub][many])
+            columns = (shingle[many].view(np.int64), node[many], n[keep].astype(np.int32), extra[keep].astype(np.int32), place[keep].astype(np.int32))
             for a in range(0, len(keep), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], schema=fields)
         give_back()
 
-    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int, hub long, hub_n int")
+    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int")
 
 
 def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
@@ -256,26 +254,36 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     return scratch.save(both.mapInArrow(decide, "a long, b long, similar boolean, distance double"), f"{label}-verified")
 
 
+def ranked_postings(postings: DataFrame, percent: int) -> DataFrame:
+    """Adds ``before``, the shared shingles ahead of one in its class's prefix, and ``share``, how much of the prefix is shared (per mille)."""
+    own = Window.partitionBy("node")
+    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("extra")
+    share = F.floor(1000 * F.count("*").over(own) / prefix).cast("int")
+    return postings.select("*", (F.row_number().over(own.orderBy("place")) - 1).alias("before"), share.alias("share"))
+
+
+def with_hubs(postings: DataFrame) -> DataFrame:
+    """Postings with a hub for their shingle: the class that shares most of its prefix.
+
+    The original of a group of edited copies has fewest shingles of its own, so
+    the copies are nearer to it than to each other.
+    """
+    chosen = postings.groupBy("shingle").agg(F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n")).alias("hub"))
+    met = postings.join(chosen, "shingle").filter("node != hub.node")
+    return met.select("shingle", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each class against a few others: the hubs of most of its shared shingles, where the sizes allow it.
 
     ``postings`` has shingle, node, n and the shingle's hub, hub_n.
     """
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    met = postings.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    met = postings.filter(fits).groupBy("node", "hub").agg(F.count("*").alias("shared"))
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, HUBS).alias("best"))
     return best.select(F.explode("best").alias("x"), F.col("node").alias("b")).select(F.col("x.hub").alias("a"), "b")
 
 
-def with_new_hubs(postings: DataFrame, roots: DataFrame, number: int) -> DataFrame:
-    """Postings outside the largest component of their shingle, with a hub from inside it, another in each round."""
-    placed = postings.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = placed.groupBy("shingle", "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n")).alias("hub"))
-    main = by_root.groupBy("shingle").agg(F.max(F.struct("size", "root", "hub")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    outside = placed.join(main, "shingle").filter("root != main.root")
-    return outside.select("shingle", "node", "n", F.col("main.hub.node").alias("hub"), F.col("main.hub.n").alias("hub_n"))
-
-
 def cross_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of classes in different components.
 
@@ -288,10 +296,9 @@ def cross_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent
     """
     far = 1 - percent / 100 + 1e-9
     compared = stars.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("distance", F.col("a").alias("center"))).alias("x")).select("node", "x.center", "x.distance")
-    before = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
-    placed = postings.select("shingle", "node", "n", "extra", "place").join(roots.join(compared, "node", "full_outer"), "node", "left")
+    placed = postings.select("shingle", "node", "n", "extra", "place", "before").join(roots.join(compared, "node", "full_outer"), "node", "left")
     center, distance = F.coalesce("center", "node").alias("center"), F.coalesce("distance", F.lit(0.0)).alias("distance")
-    placed = placed.select("shingle", "node", "n", "extra", "place", before.alias("before"), F.coalesce("root", "node").alias("root"), center, distance)
+    placed = placed.select("shingle", "node", "n", "extra", "place", "before", F.coalesce("root", "node").alias("root"), center, distance)
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
     placed = placed.join(mixed, "shingle")
     main = placed.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
@@ -325,15 +332,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sketch = spark.sparkContext.broadcast(levels.tobytes())
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = prefixes(blobs.filter("doc_id is not null"), sketch, noise, width, percent, buckets)
-    postings = scratch.save(shared_postings(packed), "postings", compression="zstd")
+    postings = scratch.save(ranked_postings(shared_postings(packed), percent), "postings", compression="zstd")
 
-    stars = verified(star_pairs(postings, percent), blobs, heads, width, percent, scratch, "star")
+    stars = verified(star_pairs(with_hubs(postings), percent), blobs, heads, width, percent, scratch, "star")
     links = stars.filter("similar").select("a", "b")
     roots = scratch.save(components(links, "a", "b", scratch, "first"), "first-roots")
-    more = star_pairs(with_new_hubs(postings, roots, 1), percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    stars = stars.unionByName(verified(more, blobs, heads, width, percent, scratch, "more"))
-    links = stars.filter("similar").select("a", "b")
-    roots = scratch.save(components(links, "a", "b", scratch, "second"), "second-roots")
     ends = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cross_pairs(postings, roots, stars, percent).join(ends, ["a", "b"], "left_anti")
     crossed = verified(rest, blobs, heads, width, percent, scratch, "cross")
