@@ -703,9 +703,15 @@ def max_depth(b: Bridge) -> DataFrame:
     return me.indexed_depths(b.node, b.edge).groupBy("plan_id").agg(F.max("depth").alias("max_depth"))
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    from planlens import contract_queries  # noqa: F401  registers its own
+
+    return _REGISTRY
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Bridge(spark, sf_dir))) for name, (f, _) in _REGISTRY.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Bridge(spark, sf_dir))) for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
