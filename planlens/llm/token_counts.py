@@ -2,8 +2,8 @@
 
 First pass: every task summarises its chunks (words with the blank before them)
 by a bounded Misra-Gries summary; the summaries, not the chunks, are added up
-over all documents, and the most frequent chunks form a table of fixed size
-with the token length of each, which is broadcast. Second pass: a chunk's
+over all documents, and the chunks with a certain share of the total form a
+table of bounded size with the token length of each, which is broadcast. Second pass: a chunk's
 length comes from that table or else from a worker's cache, which asks the
 tokenizer for what it doesn't know. No chunk is shuffled, and which chunks the
 table holds changes only the speed.
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from planlens.llm import bpe_chunks
 from planlens.llm.frames import texts_of
-from planlens.workspace import ship_package
+from planlens.workspace import Scratch, ship_package
 
-#: Chunks in the broadcast table, and kept in a task's summary.
-TABLE_SIZE = 16_384
+#: Chunks kept in a task's summary.
+SUMMARY_SIZE = 16_384
+#: Chunks with at least this part of all counts are in the table: no more than its inverse can be.
+LEAST_SHARE = 1 / 200_000
 
 
 def misra_gries(counts: Counter, size: int) -> Counter:
@@ -39,8 +41,8 @@ def misra_gries(counts: Counter, size: int) -> Counter:
     return Counter({k: n - off for k, n in top[:-1] if n > off})
 
 
-def frequent_chunks(docs: DataFrame, size: int = TABLE_SIZE) -> list[str]:
-    """Keys of the most frequent chunks of all documents, at most ``size``."""
+def frequent_chunks(docs: DataFrame, scratch: Scratch, size: int = SUMMARY_SIZE, share: float = LEAST_SHARE) -> list[str]:
+    """Keys of the chunks that have at least ``share`` of the counts of all documents' summaries."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -53,8 +55,12 @@ def frequent_chunks(docs: DataFrame, size: int = TABLE_SIZE) -> list[str]:
         seen = misra_gries(Counter({k: n for k, n in seen.items() if len(k) <= 32}), size)
         yield pa.RecordBatch.from_pydict({"chunk": list(seen), "n": list(seen.values())}, schema=pa.schema([("chunk", pa.string()), ("n", pa.int64())]))
 
-    sums = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return [r["chunk"] for r in sums.orderBy(F.desc("n"), "chunk").limit(size).select("chunk").collect()]
+    counted = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    sums = scratch.save(counted, "sums")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    found = [r["chunk"] for r in sums.filter(F.col("n") >= max(2, total * share)).select("chunk").collect()]  # at most 1 / share
+    scratch.drop("sums")
+    return sorted(found)
 
 
 class LengthTable:
@@ -73,7 +79,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     spark = docs.sparkSession
     ship_package(spark)
     texts = texts_of(docs, id_col, text_col)
-    keys = [k for k in frequent_chunks(texts) if "\x01" not in k]
+    keys = [k for k in frequent_chunks(texts, Scratch(spark, "counts")) if "\x01" not in k]
     encoder = bpe_chunks.byte_level_encoder(tokenizer_path)
     table = LengthTable(keys, encoder.key_lengths(keys))
     shared = spark.sparkContext.broadcast(table)
