@@ -31,7 +31,7 @@ SLACK = 8
 #: Underfull sequences that one task of a round packs at most, on average.
 ROUND_SIZE = 50_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin string, at long, fill long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     spark = docs.sparkSession
     ship_package(spark)
     scratch = scratch or Scratch(spark, "packing")
-    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.string()), ("at", pa.int64()), ("fill", pa.int64())])
+    fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64()), ("fill", pa.int64())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                     crcs.append(zlib.crc32(ids[start : start + length].tobytes()))
         bins, offsets, fills = best_fit(np.array(lengths, np.int64), capacity)
         full = np.array(fills, np.int64)[bins] if len(bins) else np.zeros(0, np.int64)
-        names = [f"{task}-{b}" for b in bins.tolist()]
+        names = (task << 32) + bins  # unique: a task has fewer sequences than 2 ** 32
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, pieces, starts, lengths, crcs, names, offsets, full), fields)], schema=fields)
 
     placed = scratch.save(texts_of(docs, id_col, text_col).mapInArrow(local, PIECES), "pieces")
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     placed = placed.join(moves, "bin", "left")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        F.xxhash64(F.coalesce("home", "bin")).alias("sequence_id"),
+        F.coalesce("home", "bin").alias("sequence_id"),
         (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"),
     )
 
@@ -138,20 +138,17 @@ def merge_rounds(open_: DataFrame, capacity: int, scratch: Scratch, group_size:
 
 def pack_round(items: DataFrame, tasks: int, capacity: int, number: int) -> DataFrame:
     """item, into, by, total: each of ``tasks`` tasks best-fits the items it is dealt."""
-    fields = pa.schema([("item", pa.string()), ("into", pa.string()), ("by", pa.int64()), ("total", pa.int64())])
+    fields = pa.schema([("item", pa.int64()), ("into", pa.int64()), ("by", pa.int64()), ("total", pa.int64())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=pa.schema([("item", pa.string()), ("fill", pa.int64())]))
-        names, sizes = table.column("item").to_pylist(), table.column("fill").to_numpy()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        names, sizes = [names[k] for k in order], sizes[order]
+        table = pa.Table.from_batches(batches, schema=pa.schema([("item", pa.int64()), ("fill", pa.int64())]))
+        names, sizes = table.column("item").to_numpy(), table.column("fill").to_numpy()
+        order = np.argsort(names, kind="stable")
+        names, sizes = names[order], sizes[order]
         bins, offsets, fills = best_fit(sizes, capacity)
-        first = {}
-        for name, b in zip(names, bins.tolist()):
-            first.setdefault(b, name)
-        into = [first[b] for b in bins.tolist()]
-        total = np.array(fills, np.int64)[bins] if len(bins) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(into, pa.string()), pa.array(offsets), pa.array(total)], schema=fields)
+        first = np.zeros(len(fills), np.int64)
+        first[bins[::-1]] = names[::-1]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(first[bins]), pa.array(offsets), pa.array(np.array(fills, np.int64)[bins])], schema=fields)
 
     dealt = items.select("item", "fill").repartition(tasks, F.xxhash64("item", F.lit(number)))
-    return dealt.mapInArrow(fit, "item string, into string, by long, total long")
+    return dealt.mapInArrow(fit, "item long, into long, by long, total long")
