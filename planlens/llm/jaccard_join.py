@@ -255,11 +255,10 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
 
 
 def ranked_postings(postings: DataFrame, percent: int) -> DataFrame:
-    """Adds ``before``, the shared shingles ahead of one in its class's prefix, and ``share``, how much of the prefix is shared (per mille)."""
-    own = Window.partitionBy("node")
+    """Adds ``share``, how much of its class's prefix is shared (per mille)."""
     prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("extra")
-    share = F.floor(1000 * F.count("*").over(own) / prefix).cast("int")
-    return postings.select("*", (F.row_number().over(own.orderBy("place")) - 1).alias("before"), share.alias("share"))
+    share = F.floor(1000 * F.count("*").over(Window.partitionBy("node")) / prefix).cast("int")
+    return postings.select("*", share.alias("share"))
 
 
 def with_hubs(postings: DataFrame) -> DataFrame:
@@ -287,35 +286,39 @@ def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(postings: DataFrame, roots: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of classes in different components.
 
-    For each shingle, classes outside its largest component meet all others. A
-    pair must share as many prefix shingles as the smaller of its extensions,
-    and at each the intersection must still be able to be large enough: common
-    shingles before it are shared prefix shingles of both, those after it are
-    at most what either set has left. Classes that were compared with the same
-    hub need similar distances from it: Jaccard distance is a metric.
+    For each shingle, classes outside its largest component meet all others, but
+    only as if it were the first that the two share: then the intersection is at
+    most one more than what either set has left, and that must be enough. A
+    similar pair meets at least at its first common shingle. Pairs that met must
+    share as many prefix shingles as the smaller of their extensions. Classes
+    that were compared with the same hub need similar distances from it:
+    Jaccard distance is a metric.
     """
     far = 1 - percent / 100 + 1e-9
     compared = stars.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("distance", F.col("a").alias("center"))).alias("x")).select("node", "x.center", "x.distance")
-    placed = postings.select("shingle", "node", "n", "extra", "place", "before").join(roots.join(compared, "node", "full_outer"), "node", "left")
-    center, distance = F.coalesce("center", "node").alias("center"), F.coalesce("distance", F.lit(0.0)).alias("distance")
-    placed = placed.select("shingle", "node", "n", "extra", "place", "before", F.coalesce("root", "node").alias("root"), center, distance)
+    placed = postings.select("shingle", "node", "n", "extra", "place").join(roots.join(compared, "node", "full_outer"), "node", "left")
+    step = F.greatest(F.lit(1), F.col("place") - F.col("n") + F.expr(f"({percent} * n + 99) div 100") + 1).alias("step")
+    placed = placed.select(
+        "shingle", "node", "n", "extra", step, (F.col("n") - F.col("place") - 1).alias("rest"), F.coalesce("root", "node").alias("root"),
+        F.coalesce("center", "node").alias("center"), F.coalesce("distance", F.lit(0.0)).alias("distance"),
+    )
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("shingle")
     placed = placed.join(mixed, "shingle")
     main = placed.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
     placed = placed.join(main, "shingle")
-    step = F.greatest(F.lit(1), F.col("place") - F.col("n") + F.expr(f"({percent} * n + 99) div 100") + 1).alias("step")
-    columns = ("node", "n", "extra", "step", "root", "before", "rest", "center", "distance")
-    placed = placed.select("*", step, (F.col("n") - F.col("place") - 1).alias("rest"))
+    columns = ("node", "n", "extra", "step", "rest", "root", "center", "distance")
     few = placed.filter("root != main").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
     many = placed.select("shingle", "main", *(F.col(c).alias(f"{c}_b") for c in columns))
     asked = F.least("extra_a", "extra_b")
-    reachable = F.least("before_a", "before_b") + 1 + F.least("rest_a", "rest_b")
     met = few.join(many, "shingle").filter("root_a != root_b and (root_b = main or node_a < node_b)")
     met = met.filter((F.col("step_a") <= asked) & (F.col("step_b") <= asked))
-    met = met.filter((100 + percent) * reachable >= percent * (F.col("n_a") + F.col("n_b")))
+    met = met.filter((100 + percent) * (1 + F.least("rest_a", "rest_b")) >= percent * (F.col("n_a") + F.col("n_b")))
     met = met.filter((F.col("center_a") != F.col("center_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= far))
-    pair = (F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return met.groupBy(*pair).agg(F.count("*").alias("shared"), F.max(asked).alias("asked")).filter("shared >= asked").select("a", "b")
+    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.max(asked).alias("asked"))
+    prefix = placed.groupBy("node").agg(F.collect_list(F.struct("step", "shingle")).alias("prefix"))
+    of = lambda x: prefix.select(F.col("node").alias(x), F.col("prefix").alias(f"prefix_{x}"))
+    within = lambda x: F.transform(F.filter(f"prefix_{x}", lambda s: s["step"] <= F.col("asked")), lambda s: s["shingle"])
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(F.size(F.array_intersect(within("a"), within("b"))) >= F.col("asked")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
