@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import text_arrays
@@ -134,7 +134,7 @@ def choose_level(estimates: np.ndarray, size: int, percent: int) -> int:
 
 def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, buckets: int) -> DataFrame:
     """Packed prefix shingles by bucket: hashes, and for each of its classes key, size, extension and count."""
-    fields = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("places", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("extras", pa.binary()), ("per", pa.binary())])
+    fields = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("places", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("extras", pa.binary()), ("common", pa.binary()), ("per", pa.binary())])
     floor = noise + 4 * np.sqrt(noise) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +150,12 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
             bucket = (shingles % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             shingles, places, owner, bucket = shingles[order], places[order], owner[order], bucket[order]
-            keys, sizes, extras = (np.array([h[k] for h in held], t) for k, t in ((2, "<i8"), (3, "<u4"), (4, "<u1")))
+            keys, sizes, extras, common = (np.array([h[k] for h in held], t) for k, t in ((2, "<i8"), (3, "<u4"), (4, "<u1"), (5, "<u1")))
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 part = slice(edges[b], edges[b + 1])
                 own, per = np.unique(owner[part], return_counts=True)
-                row = (b, shingles[part].tobytes(), planes(places[part]), keys[own].tobytes(), sizes[own].tobytes(), extras[own].tobytes(), per.astype("<u2").tobytes() if per.max() < 1 << 16 else per.astype("<u4").tobytes())
+                row = (b, shingles[part].tobytes(), planes(places[part]), keys[own].tobytes(), sizes[own].tobytes(), extras[own].tobytes(), common[own].tobytes(), per.astype("<u2").tobytes() if per.max() < 1 << 16 else per.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields)], schema=fields)
             held.clear()
 
@@ -173,7 +173,8 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
                 extra = choose_level(estimate[level[order]], len(s), percent)
                 base = len(s) - needed(len(s), percent) + 1
                 prefix = s[order[: base + extra - 1]]
-                held.append((prefix, np.arange(len(prefix), dtype="<u4"), key, len(s), extra))
+                common = int(255 * np.mean(estimate[level[order[: len(prefix)]]] > 0))
+                held.append((prefix, np.arange(len(prefix), dtype="<u4"), key, len(s), extra, common))
                 count += len(prefix)
                 if count >= 1_500_000:
                     yield from flush()
@@ -181,12 +182,17 @@ def prefixes(blobs: DataFrame, sketch, noise: float, width: int, percent: int, b
         if held:
             yield from flush()
 
-    return blobs.mapInArrow(run, "bucket int, shingles binary, places binary, keys binary, sizes binary, extras binary, per binary")
+    return blobs.mapInArrow(run, "bucket int, shingles binary, places binary, keys binary, sizes binary, extras binary, common binary, per binary")
 
 
 def shared_postings(packed: DataFrame) -> DataFrame:
-    """shingle, node, n, extra, place of the prefix shingles of two classes or more."""
-    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("place", pa.int32())])
+    """shingle, node, n, extra, place of the prefix shingles of two classes or more, and one of these as hub.
+
+    The hub is the class whose prefix is most common by the sketch. The original
+    of a group of edited copies has fewest shingles of its own, so the copies
+    are nearer to it than to each other.
+    """
+    fields = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("extra", pa.int32()), ("place", pa.int32()), ("hub", pa.int64()), ("hub_n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
@@ -195,10 +201,10 @@ def shared_postings(packed: DataFrame) -> DataFrame:
                 keys = np.frombuffer(r["keys"], "<i8")
                 per = np.frombuffer(r["per"], "<u2" if len(r["per"]) == 2 * len(keys) else "<u4").astype(np.int64)
                 spread = lambda x: np.repeat(x, per)  # noqa: B023, E731
-                parts.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], "<u8"), spread(keys), spread(np.frombuffer(r["sizes"], "<u4")), spread(np.frombuffer(r["extras"], "<u1")), unplanes(r["places"], "<u4")))
+                parts.setdefault(r["bucket"], []).append((np.frombuffer(r["shingles"], "<u8"), spread(keys), spread(np.frombuffer(r["sizes"], "<u4")), spread(np.frombuffer(r["extras"], "<u1")), spread(np.frombuffer(r["common"], "<u1")), unplanes(r["places"], "<u4")))
         while parts:
-            shingle, node, n, extra, place = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
-            order = np.lexsort((node, shingle))
+            shingle, node, n, extra, common, place = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
+            order = np.lexsort((node, 255 - common, shingle))
             shingle, node = shingle[order], node[order]
             new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])])
             keep = order[new]
@@ -207,12 +213,13 @@ def shared_postings(packed: DataFrame) -> DataFrame:
             group = np.cumsum(first) - 1
             many = np.bincount(group)[group] > 1
             keep = keep[many]
-            columns = (shingle[many].view(np.int64), node[many], n[keep].astype(np.int32), extra[keep].astype(np.int32), place[keep].astype(np.int32))
+            hub, n = np.flatnonzero(first)[group], n[order[new]].astype(np.int32)
+            columns = (shingle[many].view(np.int64), node[many], n[many], extra[keep].astype(np.int32), place[keep].astype(np.int32), node[hub][many], n[hub][many])
             for a in range(0, len(keep), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], schema=fields)
         give_back()
 
-    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int")
+    return packed.repartition("bucket").mapInArrow(run, "shingle long, node long, n int, extra int, place int, hub long, hub_n int")
 
 
 def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
@@ -254,31 +261,13 @@ def verified(pairs: DataFrame, blobs: DataFrame, heads: DataFrame, width: int, p
     return scratch.save(both.mapInArrow(decide, "a long, b long, similar boolean, distance double"), f"{label}-verified")
 
 
-def ranked_postings(postings: DataFrame, percent: int) -> DataFrame:
-    """Adds ``share``, how much of its class's prefix is shared (per mille)."""
-    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("extra")
-    share = F.floor(1000 * F.count("*").over(Window.partitionBy("node")) / prefix).cast("int")
-    return postings.select("*", share.alias("share"))
-
-
-def with_hubs(postings: DataFrame) -> DataFrame:
-    """Postings with a hub for their shingle: the class that shares most of its prefix.
-
-    The original of a group of edited copies has fewest shingles of its own, so
-    the copies are nearer to it than to each other.
-    """
-    chosen = postings.groupBy("shingle").agg(F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n")).alias("hub"))
-    met = postings.join(chosen, "shingle").filter("node != hub.node")
-    return met.select("shingle", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-
-
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each class against a few others: the hubs of most of its shared shingles, where the sizes allow it.
 
     ``postings`` has shingle, node, n and the shingle's hub, hub_n.
     """
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    met = postings.filter(fits).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    met = postings.filter((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub").agg(F.count("*").alias("shared"))
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub")), asc=False), 1, HUBS).alias("best"))
     return best.select(F.explode("best").alias("x"), F.col("node").alias("b")).select(F.col("x.hub").alias("a"), "b")
 
@@ -335,9 +324,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sketch = spark.sparkContext.broadcast(levels.tobytes())
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = prefixes(blobs.filter("doc_id is not null"), sketch, noise, width, percent, buckets)
-    postings = scratch.save(ranked_postings(shared_postings(packed), percent), "postings", compression="zstd")
+    postings = scratch.save(shared_postings(packed), "postings", compression="zstd")
 
-    stars = verified(star_pairs(with_hubs(postings), percent), blobs, heads, width, percent, scratch, "star")
+    stars = verified(star_pairs(postings, percent), blobs, heads, width, percent, scratch, "star")
     links = stars.filter("similar").select("a", "b")
     roots = scratch.save(components(links, "a", "b", scratch, "first"), "first-roots")
     ends = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
