@@ -11,6 +11,7 @@ from dataclasses import fields, is_dataclass
 from enum import Enum
 from pathlib import PurePath
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -105,12 +106,20 @@ def _canonical_or_null(text: str | None) -> str | None:
 
 def canonical_text(text: Column) -> Column:
     """Canonical form of JSON texts, in Arrow batches; null where a text isn't JSON."""
-    return F.pandas_udf(lambda texts: texts.map(_canonical_or_null), StringType(), functionType=F.PandasUDFType.SCALAR)(text)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_canonical_or_null)
+
+    return F.pandas_udf(run, StringType())(text)
 
 
 def name_uuid(name: Column) -> Column:
     """Version-5 UUIDs of names in the URL space, in Arrow batches."""
-    return F.pandas_udf(lambda names: names.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x))), StringType(), functionType=F.PandasUDFType.SCALAR)(name)
+
+    def run(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+
+    return F.pandas_udf(run, StringType())(name)
 
 
 def matches_schema(value, schema: Mapping) -> bool:
