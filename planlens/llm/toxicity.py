@@ -4,8 +4,9 @@ A character model (trigrams counted over all documents) judges what a
 disguised token was meant to be: a token's lattice offers for each character
 itself, the letters it can stand for (leetspeak), nothing (a separator put
 inside a word), and for a run of one letter one or two of it; letters spaced
-apart are joined first. Viterbi finds the likeliest letters. The restored text
-is then scored.
+apart are joined first; a mark at an end of a token may be a letter or none.
+Viterbi finds the likeliest letters for each pair of last letters; these
+readings and the token as it stands are then scored, at any length.
 
 The scorer is learned from labelled documents, at most ``TRAIN_ROWS`` of them,
 chosen by a hash of doc_id: words and word beginnings that toxic documents use
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,7 +52,6 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SEPARATORS = ".-_*'~^"
 #: Log probabilities of the channel.
 SUBSTITUTED, SEPARATED, KEPT_ODD, REPEATED, HALVED = -1.5, -0.5, -20.0, -0.5, -3.0
-LONGEST = 48
 
 _EDGE = 0
 _CLASS = {c: k + 1 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED)}
@@ -90,34 +91,55 @@ class CharacterModel:
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 1) / (one.sum() + 64)
         p2 = (two + 4 * p1) / (two.sum(axis=1, keepdims=True) + 4)
-        self.log = np.log((three + 4 * p2) / (three.sum(axis=2, keepdims=True) + 4)).astype(np.float32)
-
-    def decode(self, token: str) -> str:
-        """The likeliest letters behind ``token``."""
-        beam: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
+        self.log = array("f", np.log((three + 4 * p2) / (three.sum(axis=2, keepdims=True) + 4)).astype(np.float32).tobytes())
+
+    def readings(self, token: str) -> list[str]:
+        """The likeliest letters behind ``token`` for each pair of last letters, likeliest first.
+
+        A state is the classes of the last two letters; texts are chains of their
+        parts, so the cost is linear in the token.
+        """
+        log = self.log
+        marked = [k for k, c in enumerate(token) if c.isalnum()]
+        first, last = (marked[0], marked[-1]) if marked else (len(token), len(token))
+        beam: dict[int, tuple[float, tuple | None]] = {_EDGE: (0.0, None)}
         k = 0
         while k < len(token):
             char, run = token[k], 1
             while k + run < len(token) and token[k + run] == char:
                 run += 1
-            options = emissions(char, run)
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beam.items():
-                for letters, cost in options:
-                    x, y, total = a, b, score + cost
-                    for c in letters:
-                        z = _CLASS.get(c, _OTHER)
-                        total += float(self.log[x, y, z]) if z != _OTHER else KEPT_ODD
-                        x, y = y, z
-                    if (x, y) not in step or total > step[x, y][0]:
-                        step[x, y] = (total, text + letters)
+            options = emissions(char, run, not first <= k <= last)
+            step: dict[int, tuple[float, tuple | None]] = {}
+            if len(beam) == len(options) == 1:  # no choice, so no need of scores
+                ((state, (score, text)),), ((letters, _),) = beam.items(), options
+                for c in letters[-2:]:
+                    state = (state << 6 | _CLASS.get(c, _OTHER)) & 0xFFF
+                step[state] = (score, (text, letters))
+            else:
+                for before, (score, text) in beam.items():
+                    for letters, cost in options:
+                        state, total = before, score + cost
+                        for c in letters:
+                            z = _CLASS.get(c, _OTHER)
+                            at = state << 6 | z
+                            total += log[at] if z != _OTHER else KEPT_ODD
+                            state = at & 0xFFF
+                        if state not in step or total > step[state][0]:
+                            step[state] = (total, (text, letters))
             beam = step
             k += run
-        return max((score + float(self.log[a, b, _EDGE]), text) for (a, b), (score, text) in beam.items())[1]
-
-
-def emissions(char: str, run: int) -> list[tuple[str, float]]:
-    """What a run of one character can stand for, with log probabilities."""
+        out = []
+        for _, text in sorted(((score + log[state << 6 | _EDGE], text) for state, (score, text) in beam.items()), key=lambda x: -x[0]):
+            parts = []
+            while text:
+                text, letters = text
+                parts.append(letters)
+            out.append("".join(reversed(parts)))
+        return out
+
+
+def emissions(char: str, run: int, outside: bool = False) -> list[tuple[str, float]]:
+    """What a run of one character can stand for, with log probabilities; a mark ``outside`` of a word can be just that."""
     if char in _CLASS:
         if run == 1:
             return [(char, 0.0)]
@@ -125,23 +147,28 @@ def emissions(char: str, run: int) -> list[tuple[str, float]]:
     out = [(char * run, 0.0)]
     for letter in LEET.get(char, ""):
         out += [(letter, SUBSTITUTED * (1 if run < 3 else 1.5))] + ([(letter * 2, SUBSTITUTED * 2)] if run == 2 else [])
-    if char in SEPARATORS:
+    if outside:
+        out.append(("", 0.0))
+    elif char in SEPARATORS:
         out.append(("", SEPARATED))
     return out
 
 
 _CORE = re.compile(r"^[\s\"#%&'()*,./:;<=>?\[\]\\^_`{}~…«»„“”‘’–—-]+|[\s\"#%&'()*,./:;<=>?\[\]\\^_`{}~…«»„“”‘’–—-]+$")
 _TAIL = re.compile(r"([$@!|+])\1+$|[!|+]$")
-_DISGUISED = re.compile(r"[^\W\d_]*(?:[\d@$!|+€£(.\-_*~^])[^\W_]*[^\W\d_]|([^\W\d_])\1\1")
+#: Marks that aren't letters in any reading; an opening bracket can be one.
+_AROUND = re.compile(_CORE.pattern.replace("()", ")"))
+_DISGUISED = re.compile(rf"[{re.escape(''.join(LEET) + SEPARATORS)}]|([^\W\d_])\1")
 
 
-def restore(token: str, model: CharacterModel) -> str:
-    """A token in lower case without marks around it, undisguised where it looks disguised."""
-    core = _TAIL.sub("", _CORE.sub("", token.lower()))
-    core = _CORE.sub("", core)
-    if not core or core.isalpha() and not re.search(r"(.)\1\1", core) or len(core) > LONGEST or not _DISGUISED.search(core):
-        return core
-    return model.decode(core)
+def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
+    """What a token may say, in lower case without marks around it: likeliest first, as it stands last."""
+    lower = token.lower()
+    plain = _CORE.sub("", _TAIL.sub("", _CORE.sub("", lower)))
+    inner = _AROUND.sub("", lower)
+    if not _DISGUISED.search(inner):
+        return (plain,)
+    return tuple(dict.fromkeys((*model.readings(inner), plain)))
 
 
 def spaced_runs(tokens: list[str], least: int = 3) -> Iterator[tuple[int, int]]:
@@ -154,16 +181,16 @@ def spaced_runs(tokens: list[str], least: int = 3) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def restored_tokens(text: str, model: CharacterModel, known: dict[str, str]) -> list[str]:
-    """Restored tokens of a whole text; letters spaced apart are also joined."""
+def restored_tokens(text: str, model: CharacterModel, known: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Readings of the tokens of a whole text; letters spaced apart are also joined."""
     tokens = text.split()
     out = []
     for t in tokens:
         r = known.get(t)
         if r is None:
-            r = known[t] = restore(t, model)
+            r = known[t] = readings_of(t, model)
         out.append(r)
-    out += [restore("".join(tokens[a:b]), model) for a, b in spaced_runs(tokens)]
+    out += [readings_of("".join(tokens[a:b]), model) for a, b in spaced_runs(tokens)]
     return out
 
 
@@ -183,6 +210,9 @@ class Scorer:
     def of_word(self, word: str) -> float:
         return max(map(self.evidence.get, beginnings(word), repeat(0.0)), default=0.0) if word else 0.0
 
+    def of_readings(self, words: tuple[str, ...]) -> float:
+        return max(map(self.of_word, words), default=0.0)
+
     def of_document(self, strongest: float, hits: int, words: int) -> float:
         x = (strongest, min(hits, 5), hits / max(words, 20))
         z = self.prior + sum(w * v for w, v in zip(self.weights, x))
@@ -206,11 +236,11 @@ def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterM
                 t = tokens[k]
                 v = known.get(t)
                 if v is None:
-                    v = scorer.of_word(restore(t, model))
+                    v = scorer.of_readings(readings_of(t, model))
                     if len(t) <= 64:
                         known[t] = v
                 found[k] = v
-        extra = [scorer.of_word(restore("".join(tokens[a:b]), model)) for a, b in spaced_runs(tokens)]
+        extra = [scorer.of_readings(readings_of("".join(tokens[a:b]), model)) for a, b in spaced_runs(tokens)]
         hits = int((found > 0).sum()) + sum(x > 0 for x in extra)
         out.append((max([float(found.max()), *extra]), hits, len(tokens)))
     return out
@@ -227,9 +257,10 @@ def learn_evidence(sample: DataFrame, model_value) -> dict[str, float]:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = restored_tokens(text or "", model, known)
                 if toxic:
-                    around = zip(words, ["", *words], [*words[1:], ""])
-                    toxic_in.update((f, hash_of(before, after)) for w, before, after in around if w for f in beginnings(w))
-                used_by[toxic].update({f for w in set(words) if w for f in beginnings(w)})
+                    best = [w[0] for w in words]
+                    around = zip(words, ["", *best], [*best[1:], ""])
+                    toxic_in.update((f, hash_of(before, after)) for said, before, after in around for w in said if w for f in beginnings(w))
+                used_by[toxic].update({f for said in set(words) for w in said if w for f in beginnings(w)})
         rows = [(f, c, 1, 0, 0) for f, c in toxic_in] + [(f, -1, 0, used_by[1][f], used_by[0][f]) for f in used_by[0].keys() | used_by[1].keys()]
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["feature", "context", "contexts", "toxic", "clean"])

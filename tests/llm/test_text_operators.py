@@ -342,3 +342,37 @@ def test_toxicity(spark, nothing):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == sum(x["predicted"] == 0 for x in toxicity.score(docs, labels, may).collect())
     assert toxicity.score(nothing, labels, may).count() == 0
     assert {x["predicted"] for x in toxicity.score(docs, labels.limit(0)).collect()} == {0}
+
+
+def toxic_rows(word, n=600):
+    """(doc_id, words, toxic): each fourth document has the word twice."""
+    r = random.Random(8)
+    syllables = ["ta", "re", "mi", "lo", "su", "ne", "ka", "po"]
+    make = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
+    rows = []
+    for k in range(n):
+        w = [make() for _ in range(40)]
+        if k % 4 == 0:
+            w[r.randrange(20)] = w[20 + r.randrange(20)] = word
+        rows.append((k, " ".join(w), int(k % 4 == 0)))
+    return rows
+
+
+def toxic_found(spark, word, more):
+    rows = toxic_rows(word)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(10_000 + k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, labels).collect()}
+    assert sum(got[k] == y for k, _, y in rows) >= 0.97 * len(rows)
+    return [got[10_000 + k] for k in range(len(more))]
+
+
+def test_toxicity_decodes_every_disguise(spark):
+    tail = "mi ta re lo"
+    hidden = ["sttuuppiidd", "stuupid", "5tup1d", "$tupid", f"s{'t' * 30}{'u' * 30}pid", "(stupid", "stupid!"]
+    assert toxic_found(spark, "stupid", [f"{tail} {w} {tail}" for w in hidden] + [f"{tail} {tail}!"]) == [1] * len(hidden) + [0]
+    ends = ["idi07", "id107", "idi0+", "1d10+!"]
+    assert toxic_found(spark, "idiot", [f"{tail} {w} {tail}" for w in ends]) == [1] * len(ends)
+    model = toxicity.CharacterModel(np.zeros(1 << 18, np.int64))
+    assert "ass" in toxicity.readings_of("a$$", model) and toxicity.readings_of("plain.", model) == ("plain",)
+    assert len(toxicity.readings_of("ab.-" * 50_000, model)[0]) >= 100_000
