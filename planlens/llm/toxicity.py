@@ -6,7 +6,9 @@ itself, the letters it can stand for (leetspeak), nothing (a separator put
 inside a word), and for a run of one letter one or two of it; letters spaced
 apart are joined first; a mark at an end of a token may be a letter or none.
 Viterbi finds the likeliest letters for each pair of last letters; these
-readings and the token as it stands are then scored, at any length.
+readings and the token as it stands are then scored, at any length. Between
+neighbouring tokens the blank may be nothing: whatever a row of tokens spells
+that is evidence is looked up, and the character model judges the blanks.
 
 The scorer is learned from labelled documents, at most ``TRAIN_ROWS`` of them,
 chosen by a hash of doc_id: words and word beginnings that toxic documents use
@@ -26,8 +28,9 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -53,6 +56,11 @@ SEPARATORS = ".-_*'~^"
 #: Log probabilities of the channel.
 SUBSTITUTED, SEPARATED, KEPT_ODD, REPEATED, HALVED = -1.5, -0.5, -20.0, -0.5, -3.0
 
+#: How much likelier blanks inside a word with evidence may be than none, as a log probability.
+JOINED = -3.0
+#: Added to the evidence of a token that begins a word with evidence; evidence is below it.
+OPEN = 1024.0
+
 _EDGE = 0
 _CLASS = {c: k + 1 for k, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED)}
 _OTHER = 63
@@ -100,14 +108,19 @@ class CharacterModel:
         parts, so the cost is linear in the token.
         """
         log = self.log
-        marked = [k for k, c in enumerate(token) if c.isalnum()]
-        first, last = (marked[0], marked[-1]) if marked else (len(token), len(token))
+        first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
+        last = next((k for k in range(len(token) - 1, -1, -1) if token[k].isalnum()), len(token))
         beam: dict[int, tuple[float, tuple | None]] = {_EDGE: (0.0, None)}
         k = 0
         while k < len(token):
             char, run = token[k], 1
             while k + run < len(token) and token[k + run] == char:
                 run += 1
+            if run == 1 and len(beam) == 1 and char in _CLASS:  # no choice, so no need of scores
+                ((state, (score, text)),) = beam.items()
+                beam = {(state << 6 | _CLASS[char]) & 0xFFF: (score, (text, char))}
+                k += 1
+                continue
             options = emissions(char, run, not first <= k <= last)
             step: dict[int, tuple[float, tuple | None]] = {}
             if len(beam) == len(options) == 1:  # no choice, so no need of scores
@@ -138,6 +151,7 @@ class CharacterModel:
         return out
 
 
+@lru_cache(4_096)
 def emissions(char: str, run: int, outside: bool = False) -> list[tuple[str, float]]:
     """What a run of one character can stand for, with log probabilities; a mark ``outside`` of a word can be just that."""
     if char in _CLASS:
@@ -154,18 +168,21 @@ def emissions(char: str, run: int, outside: bool = False) -> list[tuple[str, flo
     return out
 
 
-_CORE = re.compile(r"^[\s\"#%&'()*,./:;<=>?\[\]\\^_`{}~…«»„“”‘’–—-]+|[\s\"#%&'()*,./:;<=>?\[\]\\^_`{}~…«»„“”‘’–—-]+$")
+#: Marks around a token; an opening bracket can also be a letter.
+_MARKS = "\"#%&'()*,./:;<=>?[]\\^_`{}~…«»„“”‘’–—-"
+_SURE_MARKS = _MARKS.replace("(", "")
 _TAIL = re.compile(r"([$@!|+])\1+$|[!|+]$")
-#: Marks that aren't letters in any reading; an opening bracket can be one.
-_AROUND = re.compile(_CORE.pattern.replace("()", ")"))
 _DISGUISED = re.compile(rf"[{re.escape(''.join(LEET) + SEPARATORS)}]|([^\W\d_])\1")
 
 
 def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
     """What a token may say, in lower case without marks around it: likeliest first, as it stands last."""
     lower = token.lower()
-    plain = _CORE.sub("", _TAIL.sub("", _CORE.sub("", lower)))
-    inner = _AROUND.sub("", lower)
+    if lower.isalpha():
+        plain = inner = lower
+    else:
+        plain = _TAIL.sub("", lower.strip(_MARKS)).strip(_MARKS)
+        inner = lower.strip(_SURE_MARKS)
     if not _DISGUISED.search(inner):
         return (plain,)
     return tuple(dict.fromkeys((*model.readings(inner), plain)))
@@ -207,8 +224,18 @@ class Scorer:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     prior: float = -2.0
 
+    @cached_property
+    def heads(self) -> set[str]:
+        """First three letters of all features; a word with others has no evidence."""
+        return {f[:3] for f in self.evidence}
+
     def of_word(self, word: str) -> float:
-        return max(map(self.evidence.get, beginnings(word), repeat(0.0)), default=0.0) if word else 0.0
+        return max(map(self.evidence.get, beginnings(word), repeat(0.0)), default=0.0) if word[:3] in self.heads else 0.0
+
+    @cached_property
+    def openings(self) -> set[str]:
+        """Proper beginnings of the words and beginnings with evidence."""
+        return {f[:n] for f in self.evidence for n in range(1, len(f.removesuffix("*")))}
 
     def of_readings(self, words: tuple[str, ...]) -> float:
         return max(map(self.of_word, words), default=0.0)
@@ -219,11 +246,87 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def blanks(before: str, pieces: tuple[str, ...], after: str, model: CharacterModel) -> float:
+    """How much likelier ``pieces`` are as one word between two blanks than as they stand.
+
+    ``before`` and ``after`` are letters spaced apart around them, between which
+    nothing says where words end; empty where there are none.
+    """
+    log = model.log
+
+    def total(text: str) -> float:
+        state, out = 0, 0.0
+        for c in text:
+            at = state << 6 | (_EDGE if c == " " else _CLASS.get(c, _OTHER))
+            out, state = out + log[at], at & 0xFFF
+        return out
+
+    word = "".join(pieces)
+    if before or after:
+        return total(f"  {before} {word} {after}  ".replace("   ", "  ")) - total(f"  {before}{word}{after}  ")
+    return total(f"  {word}  ") - total(f"  {' '.join(pieces)}  ")
+
+
+def joined_evidence(tokens: list[str], start: int, scorer: Scorer, model: CharacterModel, said: Callable[[str], tuple[str, ...]]) -> float:
+    """The strongest evidence of a word whose pieces begin at a token.
+
+    A whole word with evidence counts unless the blanks are far likelier
+    (``JOINED``), a beginning with evidence only if the word is likelier.
+    """
+    best = 0.0
+    rows = [(r,) for r in said(tokens[start]) if r in scorer.openings]
+
+    def near(places: tuple[int, int]) -> str:
+        """Up to two letters spaced apart, the nearest first."""
+        letters = ""
+        for k in places:
+            if not 0 <= k < len(tokens) or len(tokens[k]) != 1:
+                break
+            letters += said(tokens[k])[0]
+        return letters
+
+    k = start + 1
+    while rows and k < len(tokens):
+        longer = []
+        for row in rows:
+            head = "".join(row)
+            for r in said(tokens[k]):
+                word = head + r
+                if not r:
+                    continue
+                if word in scorer.openings:
+                    longer.append((*row, r))
+                whole = scorer.evidence.get(word, 0.0)
+                starts = max((scorer.evidence.get(f, 0.0) for f in beginnings(word)[1:] if len(f) - 1 > len(row[0])), default=0.0)
+                if max(whole, starts) > best:
+                    apart = all(len(x) == 1 for x in (*row, r))
+                    before, after = (near((start - 1, start - 2))[::-1], near((k + 1, k + 2))) if apart else ("", "")
+                    likelier = blanks(before, (*row, r), after, model)
+                    best = max(best, whole if likelier > JOINED else 0.0, starts if likelier > 0 else 0.0)
+        rows = longer
+        k += 1
+    return best
+
+
 def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterModel, known: dict[str, float], bound: int = 300_000) -> list[tuple[float, int, int]]:
-    """(strongest evidence, tokens with evidence, tokens) of each text."""
+    """(strongest evidence, tokens with evidence, tokens) of each text.
+
+    ``known`` keeps the evidence of tokens, with ``OPEN`` more for those that
+    begin a word with evidence.
+    """
     out = []
+    readings: dict[str, tuple[str, ...]] = {}
+
+    def said(t: str) -> tuple[str, ...]:
+        r = readings.get(t)
+        if r is None:
+            r = readings[t] = readings_of(t, model)
+        return r
+
     for text in texts:
         tokens = (text or "").split()
+        if len(readings) > 20_000:
+            readings.clear()
         if not tokens:
             out.append((0.0, 0, 0))
             continue
@@ -236,11 +339,20 @@ def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterM
                 t = tokens[k]
                 v = known.get(t)
                 if v is None:
-                    v = scorer.of_readings(readings_of(t, model))
+                    words = readings_of(t, model)
+                    v = scorer.of_readings(words) + (OPEN if not scorer.openings.isdisjoint(words) else 0.0)
                     if len(t) <= 64:
                         known[t] = v
                 found[k] = v
-        extra = [scorer.of_readings(readings_of("".join(tokens[a:b]), model)) for a, b in spaced_runs(tokens)]
+        opens = np.flatnonzero(found >= OPEN)
+        found[opens] -= OPEN
+        extra = [joined_evidence(tokens, k, scorer, model, said) for k in opens.tolist() if k + 1 < len(tokens)]
+        for a, b in spaced_runs(tokens):
+            words = readings_of("".join(tokens[a:b]), model)
+            extra.append(scorer.of_readings(words))
+            letters = list(words[0])
+            if len(letters) < b - a:  # without what was put between or repeated, its pieces are others
+                extra += [joined_evidence(letters, k, scorer, model, said) for k in range(len(letters) - 1) if letters[k] in scorer.openings]
         hits = int((found > 0).sum()) + sum(x > 0 for x in extra)
         out.append((max([float(found.max()), *extra]), hits, len(tokens)))
     return out

@@ -376,3 +376,11 @@ def test_toxicity_decodes_every_disguise(spark):
     model = toxicity.CharacterModel(np.zeros(1 << 18, np.int64))
     assert "ass" in toxicity.readings_of("a$$", model) and toxicity.readings_of("plain.", model) == ("plain",)
     assert len(toxicity.readings_of("ab.-" * 50_000, model)[0]) >= 100_000
+
+
+def test_toxicity_undoes_spacing(spark):
+    tail = "mi ta re lo"
+    hidden = ["l o s t u p i d", "s t u p i d m i", "5 t u p 1 d t a", "s s t u u p p i d m i", "st up id", "stu pid", "5t up1d", " ".join("losustupidmitare" * 4)]
+    clean = ["l o s u m i", "su po", " ".join("losusumitare" * 4), "st lo up"]
+    got = toxic_found(spark, "stupid", [f"{tail} {w} {tail}" for w in hidden + clean])
+    assert got == [1] * len(hidden) + [0] * len(clean)
