@@ -20,7 +20,10 @@ STEPS = {
 
 
 def tail(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """New rows of the Parquet files called ``name`` in a folder, as they arrive."""
+    """New rows of the Parquet table ``name`` in a folder, a file or a folder of part files, as they arrive."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 

@@ -38,3 +38,11 @@ def test_run_states(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/log/events.parquet")
     got = {r["run_id"]: (r["state"], r["steps"], r["refused"]) for r in log.catch_up(log.run_states(stream), Scratch(spark, "t"), "states", "update").collect()}
     assert got == {7: ("RUNNING", 4, 1), 8: ("NEW", 0, 1)}
+
+
+def test_tail_of_a_file_and_of_part_files(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/parts/events.parquet")
+    for name, folder in (("parts", f"{tmp_path}/parts"), ("file", data)):
+        stream = log.tail(spark, folder, "events.parquet", events.schema)
+        assert log.catch_up(stream, Scratch(spark, name), "rows").count() == events.count() > 0
