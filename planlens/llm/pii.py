@@ -39,7 +39,7 @@ _BYTES = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: Candidate patterns by kind; the first that matches at a place wins.
 CANDIDATES = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|pwd|secret|token|api_key)[=:][^\s\"']{6,128}+|(?<=\")[0-9a-f]{32,64}+(?=\")",
+    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|pwd|secret|token|api_key)[=:][^\s\"']{6,}+|(?<=\")[0-9A-Fa-f]{32,}+(?=\")",
     "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}+(?![0-9])",
     "card": r"[0-9](?<![0-9][0-9])(?:[0-9]{3}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{12,18}+)(?![0-9])",
 }
@@ -52,7 +52,7 @@ CUES = r"(?i)(?:phone|tel|call|mobile|fax|contact|mail|card|visa|pay|account|use
 COUNTER_CUES = r"(?i)(?:isbn|issn|order|invoice|ticket|version|page|commit|sha|md5|no\.|nr\.)\W{0,3}$"
 
 #: A text without a match of this has no span and no candidate.
-MAY_HOLD = r"[0-9@=]|[\[({] ?at ?[\])}]"
+MAY_HOLD = r"[0-9@=]|(?:password|passwd|pwd|secret|token|api_key):|\"[A-Fa-f]{32}|AKIA[A-Z]{16}|[\[({] ?at ?[\])}]"
 
 LABELERS = ("shape", "check", "gazetteer", "context", "edges")
 FEATURES = ("form", "long", "before_class", "after_class")

@@ -384,3 +384,14 @@ def test_toxicity_undoes_spacing(spark):
     clean = ["l o s u m i", "su po", " ".join("losusumitare" * 4), "st lo up"]
     got = toxic_found(spark, "stupid", [f"{tail} {w} {tail}" for w in hidden + clean])
     assert got == [1] * len(hidden) + [0] * len(clean)
+
+
+def test_pii_long_secrets_and_texts_without_digits(spark):
+    long = "token=" + "aB3xY9_k" * 40
+    texts = [long, "password:correcthorsebattery", f'"{"0f" * 64}"', f'"{"0F" * 64}"', f'"{"abcdef" * 6}"', f"AKIA{'ABCD' * 4}", "a text of no such kind"]
+    rows = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [(c["start"], c["end"]) for c in r["candidates"] or []] for r in rows}
+    assert spans == {0: [(0, len(long))], 1: [(0, 28)], 2: [(1, 129)], 3: [(1, 129)], 4: [(1, 37)], 5: [(0, 20)], 6: []}
+    more = [(k, f"my key token=aB3xY9_k{k:04d}Qw{k:05d}zz and so on") for k in range(10, 60)]
+    masked = pii.masked(spark.createDataFrame([(0, f"my key {long} and so on"), *more], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in masked.collect()}[0] == "my key <SECRET> and so on"
