@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from planlens.workspace import Scratch
 
 
 def null_poisoned_sum(column: str) -> Column:
@@ -50,21 +53,28 @@ def approvals(nodes: DataFrame) -> DataFrame:
     return nodes.filter("effectful and approval_required").groupBy("plan_id").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("approvals"))
 
 
-def indexed_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """plan_id, i, depth for plans whose nodes are numbered in topological order, by an array fold.
+def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """plan_id, i, depth of nodes whose dependencies end in the plan's input, in rounds over all plans.
 
-    Dependencies of a plan are collected to one array; a fold keeps the depths
-    of the nodes before.
+    Round k takes the nodes all of whose dependencies earlier rounds took, so k is
+    their depth. Rows are dealt by plan and node: no plan is gathered in one task.
+    A node on or behind a cycle or a missing node has no depth and no row.
     """
-    deps = edges.groupBy("plan_id", "i").agg(F.collect_list("dep").alias("deps"))
-    plans = deps.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("i", "deps"))).alias("nodes"))
-
-    def add(depths: Column, node: Column) -> Column:
-        above = F.array_max(F.transform(node["deps"], lambda d: F.when(d == 0, F.lit(0)).otherwise(F.get(depths, d - 1))))
-        return F.array_append(depths, (above + 1).cast("int"))
-
-    folded = plans.select("plan_id", F.aggregate("nodes", F.array().cast("array<int>"), add).alias("depths"))
-    return folded.select("plan_id", F.posexplode("depths").alias("at", "depth")).select("plan_id", (F.col("at") + 1).alias("i"), "depth")
+    scratch = scratch or Scratch(edges.sparkSession, "depths")
+    links = scratch.save(edges.select("plan_id", "i", "dep"), "links")
+    waiting = scratch.save(links.groupBy("plan_id", "i").agg(F.count_if(F.col("dep") != 0).alias("waiting")), "waiting0")
+    depth = 0
+    while True:
+        depth += 1
+        taken = scratch.save(waiting.filter("waiting = 0").select("plan_id", "i"), f"taken/depth={depth}")
+        if taken.isEmpty():
+            break
+        freed = links.join(taken.withColumnRenamed("i", "dep"), ["plan_id", "dep"]).groupBy("plan_id", "i").agg(F.count("*").alias("freed"))
+        rest = waiting.filter("waiting > 0").join(freed, ["plan_id", "i"], "left")
+        waiting = scratch.save(rest.select("plan_id", "i", (F.col("waiting") - F.coalesce("freed", F.lit(0))).alias("waiting")), f"waiting{depth}")
+        scratch.drop(f"waiting{depth - 1}")
+    schema = StructType([*taken.schema.fields, StructField("depth", IntegerType())])
+    return edges.sparkSession.read.schema(schema).parquet(scratch.path("taken"))
 
 
 def analyse(keys: list[str], deps: dict[str, list[str]], wall: dict[str, float | None], outputs: list[str] | None = None) -> dict:

@@ -120,12 +120,36 @@ def first_violations(fragments: DataFrame, catalog: dict[str, Entry], limits: Li
     return fragments.select("plan_id", "nodes", "outputs").mapInPandas(run, "plan_id long, code string")
 
 
-def fragments_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Fragments of numbered plans; the nodes that nothing depends on are the outputs."""
+def numbered_violations(nodes: DataFrame, edges: DataFrame, catalog: dict[str, Entry], limits: Limits) -> DataFrame:
+    """plan_id and the first violation of numbered plans.
+
+    Nodes are counted first, and the few checks before that limit made as flags, so
+    that only plans of at most ``max_nodes`` nodes are collected to a row.
+    """
+    rows = fragment_nodes(nodes, edges)
+    named = F.coalesce(F.col("key").rlike(rf"\A{_NAME.pattern}\z") & F.col("module_alias").rlike(rf"\A{_NAME.pattern}\z"), F.lit(False))
+    keys = rows.groupBy("plan_id", "key").agg(F.count("*").alias("n"), F.bool_and(named).alias("named"))
+    plans = keys.groupBy("plan_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.bool_and("named").alias("named")).filter(F.col("n") > limits.max_nodes)
+    code = F.when(~F.col("named"), "PLAN_NAME").when(F.col("most") > 1, "PLAN_DUPLICATE_KEY").otherwise("PLAN_LIMIT_EXCEEDED")
+    small = collected(rows.join(plans.select("plan_id"), "plan_id", "left_anti"))
+    return first_violations(small, catalog, limits).unionByName(plans.select("plan_id", code.alias("code")))
+
+
+def fragment_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """plan_id, key, module_alias, dependencies of the nodes of numbered plans, and whether another depends on them."""
     key = lambda c: F.when(F.col(c) == 0, F.lit(INPUT)).otherwise(F.format_string("n%05d", c))
     deps = edges.groupBy("plan_id", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", key("dep").alias("d")))), lambda x: x["d"]).alias("dependencies"))
     used = edges.select("plan_id", F.col("dep").alias("i")).distinct().withColumn("used", F.lit(True))
     alias = F.replace("module_id", F.lit("#"), F.lit("-"))
-    rows = nodes.join(deps, ["plan_id", "i"]).join(used, ["plan_id", "i"], "left").select("plan_id", key("i").alias("key"), alias.alias("module_alias"), "dependencies", "used")
+    return nodes.join(deps, ["plan_id", "i"]).join(used, ["plan_id", "i"], "left").select("plan_id", key("i").alias("key"), alias.alias("module_alias"), "dependencies", "used")
+
+
+def fragments_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Fragments of numbered plans; the nodes that nothing depends on are the outputs."""
+    return collected(fragment_nodes(nodes, edges))
+
+
+def collected(rows: DataFrame) -> DataFrame:
+    """A fragment for each plan of ``fragment_nodes``."""
     ends = F.sort_array(F.collect_list(F.when(F.col("used").isNull(), F.col("key"))))
     return rows.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("key", "module_alias", "dependencies"))).alias("nodes"), ends.alias("outputs"))

@@ -674,7 +674,7 @@ def run_states(b: Bridge) -> DataFrame:
 @query("v02_first_violations")
 def first_violations(b: Bridge) -> DataFrame:
     catalog = {f"Brand-{k}": va.Entry(inputs=("any",)) for k in range(1, 26)}
-    return va.first_violations(va.fragments_of(b.node, b.edge), catalog, va.Limits(max_nodes=12, max_depth=6, max_fanout=2))
+    return va.numbered_violations(b.node, b.edge, catalog, va.Limits(max_nodes=12, max_depth=6, max_fanout=2))
 
 
 @query("k02_mapped_items", "SELECT plan_id, string_agg(CAST(i * 10 + p_size AS VARCHAR), ',' ORDER BY i) AS outputs FROM node GROUP BY plan_id")

@@ -138,3 +138,22 @@ def test_split_branches(spark):
     rows = spark.createDataFrame([(2,), (-2,), (None,)], "x int")
     out = au.split(rows, F.col("x") > 0, lambda d: d.select((F.col("x") + 10).alias("y")), lambda d: d.select((F.col("x") - 10).alias("y")))
     assert sorted(r["y"] for r in out.collect() if r["y"] is not None) == [-12, 12]
+
+
+def test_depths_and_limits_without_gathering_a_plan(spark, monkeypatch):
+    size = 3_000
+    nodes = spark.createDataFrame([(1, i, "a") for i in range(1, size + 1)] + [(2, 1, "a"), (2, 2, "b")], "plan_id long, i int, module_id string")
+    edges = spark.createDataFrame([(1, i, 0, i // 2) for i in range(1, size + 1)] + [(2, 1, 0, 0), (2, 2, 0, 1)], "plan_id long, i int, position int, dep int")
+    depths = me.indexed_depths(nodes, edges)
+    assert {(r["plan_id"], r["i"]): r["depth"] for r in depths.collect()} == {(1, i): i.bit_length() for i in range(1, size + 1)} | {(2, 1): 1, (2, 2): 2}
+    assert "collect_list" not in depths._jdf.queryExecution().toString()
+    catalog, limits = {k: va.Entry() for k in "ab"}, va.Limits(max_nodes=12)
+    whole = va.first_violations(va.fragments_of(nodes, edges), catalog, limits)
+    gathered = []
+    kernel = va.first_violations
+    monkeypatch.setattr(va, "first_violations", lambda rows, *more: gathered.extend(r["plan_id"] for r in rows.collect()) or kernel(rows, *more))
+    found = va.numbered_violations(nodes, edges, catalog, limits)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) == [(1, "PLAN_LIMIT_EXCEEDED"), (2, None)]
+    assert gathered == [2]
+    bad = nodes.withColumn("module_id", F.when(F.col("i") == 7, "7 7").otherwise(F.col("module_id")))
+    assert {r["plan_id"]: r["code"] for r in va.numbered_violations(bad, edges, catalog, limits).collect()} == {1: "PLAN_NAME", 2: None}
