@@ -15,10 +15,9 @@ def unpivoted(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def numeric_violations(metrics: DataFrame, rules: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """plan_id, code, rank of every rule (rank, metric, upper, lower) that a plan breaks.
 
-    The code names the metric and whether it is exceeded or below its minimum; a
-    rule table is small, so it is broadcast.
+    The code names the metric and whether it is exceeded or below its minimum.
     """
-    joined = unpivoted(metrics, names).join(F.broadcast(rules.limit(1000)), "metric")
+    joined = unpivoted(metrics, names).join(rules, "metric")
     over = F.when(F.col("value") > F.col("upper"), "EXCEEDED").when(F.col("value") < F.col("lower"), "BELOW_MINIMUM")
     found = joined.withColumn("how", over).filter("how is not null")
     return found.select("plan_id", "rank", F.concat(F.lit("PLAN_"), F.upper("metric"), F.lit("_"), F.col("how")).alias("code"))

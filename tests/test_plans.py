@@ -157,3 +157,9 @@ def test_depths_and_limits_without_gathering_a_plan(spark, monkeypatch):
     assert gathered == [2]
     bad = nodes.withColumn("module_id", F.when(F.col("i") == 7, "7 7").otherwise(F.col("module_id")))
     assert {r["plan_id"]: r["code"] for r in va.numbered_violations(bad, edges, catalog, limits).collect()} == {1: "PLAN_NAME", 2: None}
+
+
+def test_every_rule_counts(spark):
+    metrics = spark.createDataFrame([(1, 5)], "plan_id long, nodes int")
+    rules = spark.createDataFrame([(k, "nodes", 4.0, None) for k in range(1_500)], "rank int, metric string, upper double, lower double")
+    assert po.numeric_violations(metrics, rules, ("nodes",)).count() == 1_500
