@@ -101,11 +101,12 @@ class CharacterModel:
         p2 = (two + 4 * p1) / (two.sum(axis=1, keepdims=True) + 4)
         self.log = array("f", np.log((three + 4 * p2) / (three.sum(axis=2, keepdims=True) + 4)).astype(np.float32).tobytes())
 
-    def readings(self, token: str) -> list[str]:
+    def readings(self, token: str, marks: bool = True) -> list[str]:
         """The likeliest letters behind ``token`` for each pair of last letters, likeliest first.
 
         A state is the classes of the last two letters; texts are chains of their
-        parts, so the cost is linear in the token.
+        parts, so the cost is linear in the token. Without ``marks`` those at the ends
+        have to be letters.
         """
         log = self.log
         first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
@@ -121,7 +122,7 @@ class CharacterModel:
                 beam = {(state << 6 | _CLASS[char]) & 0xFFF: (score, (text, char))}
                 k += 1
                 continue
-            options = emissions(char, run, not first <= k <= last)
+            options = emissions(char, run, marks and not first <= k <= last)
             step: dict[int, tuple[float, tuple | None]] = {}
             if len(beam) == len(options) == 1:  # no choice, so no need of scores
                 ((state, (score, text)),), ((letters, _),) = beam.items(), options
@@ -185,7 +186,8 @@ def readings_of(token: str, model: CharacterModel) -> tuple[str, ...]:
         inner = lower.strip(_SURE_MARKS)
     if not _DISGUISED.search(inner):
         return (plain,)
-    return tuple(dict.fromkeys((*model.readings(inner), plain)))
+    ends = inner[0].isalnum() and inner[-1].isalnum()
+    return tuple(dict.fromkeys((*model.readings(inner), *(() if ends else model.readings(inner, marks=False)), plain)))
 
 
 def spaced_runs(tokens: list[str], least: int = 3) -> Iterator[tuple[int, int]]:

@@ -395,3 +395,10 @@ def test_pii_long_secrets_and_texts_without_digits(spark):
     more = [(k, f"my key token=aB3xY9_k{k:04d}Qw{k:05d}zz and so on") for k in range(10, 60)]
     masked = pii.masked(spark.createDataFrame([(0, f"my key {long} and so on"), *more], "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in masked.collect()}[0] == "my key <SECRET> and so on"
+
+
+def test_toxicity_reads_a_leading_mark_both_ways():
+    counts = np.zeros((64, 64, 64), np.int64)
+    counts[0, 0, 20] = 1_000  # words begin with t, so a mark before it is likelier none
+    read = toxicity.readings_of("$tupid", toxicity.CharacterModel(counts.ravel()))
+    assert "tupid" in read and "stupid" in read
