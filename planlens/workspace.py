@@ -55,9 +55,13 @@ class Scratch:
 
 _SHIPPED: dict[str, bool] = {}
 
+#: Bytes of the batches that Spark hands to a Python worker: with rows alone as the bound, long texts would fill it.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once for each application."""
+    """Send this package's modules to the executors, once for each application, and bound the session's Arrow batches in bytes."""
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if _SHIPPED.get(app):
         return
