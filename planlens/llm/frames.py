@@ -6,21 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm.text_arrays import mix
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, named ``doc_id`` and ``text``; other columns can't clash with ours."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
 
 
 def blobs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text's UTF-8 bytes, empty for null, as ``doc_id`` and ``body``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("body"))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("body"))
 
 
 def binary_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -41,6 +47,16 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype)[:, 0]
 
 
+def pressed_planes(x: np.ndarray) -> bytes:
+    return _PRESS.compress(planes(x)) if len(x) else b""
+
+
+def released_planes(data: bytes, dtype: str) -> np.ndarray:
+    return unplanes(_RELEASE.decompress(data), dtype) if data else np.zeros(0, dtype)
+
+
+_PRESS, _RELEASE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
 #: Bits of a filter of ids, whatever the input: 2 MB to broadcast.
 FILTER_BITS = 24
 

@@ -35,12 +35,25 @@ def give_back() -> None:
         pass  # another C library
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, keep: str = "word hashes") -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds few texts as objects; a cache other than ``keep`` goes."""
+#: Bytes of a slice, if it has more than one row.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, keep: str = "word hashes") -> Iterator[pa.RecordBatch]:
+    """Smaller batches by bytes, so that a worker holds few texts as objects; a cache other than ``keep`` goes."""
     if _KEPT and keep not in _KEPT:
         _KEPT.clear()
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+        yield from parts_of(batch, most)
         del batch
     give_back()
+
+
+def parts_of(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Halves of halves, until each has ``most`` bytes at most or one row."""
+    if len(batch) <= 1 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = len(batch) // 2
+        yield from parts_of(batch.slice(0, half), most)
+        yield from parts_of(batch.slice(half), most)

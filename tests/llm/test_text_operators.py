@@ -57,7 +57,7 @@ def lowered(text):
     return SPACE.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-def test_jaccard_join(docs, rows, nothing):
+def test_jaccard_join(docs, rows, nothing, **settings):
     sets = []
     for doc, text, *_ in rows:
         w = lowered(text)
@@ -75,7 +75,7 @@ def test_jaccard_join(docs, rows, nothing):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = sorted(((doc, len(s), find(doc) if doc is not None else None) for doc, s in sets), key=repr)
-    found = jaccard_join.near_duplicates(docs)
+    found = jaccard_join.near_duplicates(docs, **settings)
     assert by_id(found, "doc_id", "n_shingles", "component_id") == want
     kept = jaccard_join.near_duplicate_heads(docs, found)
     assert kept.columns == docs.columns
@@ -94,7 +94,32 @@ def test_jaccard_join_random(spark):
                 t[r.randrange(len(t))] = r.choice("xyz")
             texts.append(" ".join(t))
     rows = [(k, t, None, None, None, None) for k, t in enumerate(texts)]
-    test_jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(7), rows, spark.createDataFrame([], SCHEMA))
+    rows.append((None, texts[0], None, None, None, None))
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    for hot in (2, jaccard_join.HOT):  # with 2, every shingle that recurs is placed by the sketch
+        test_jaccard_join(docs, rows, spark.createDataFrame([], SCHEMA), hot=hot)
+
+
+def test_jaccard_prefixes_of_a_template(spark):
+    """Documents that share a template but can't be similar open no pair, however many they are."""
+    r = random.Random(7)
+    template = [f"t{k}" for k in range(19)]
+    own = lambda: " ".join(template + [f"o{r.getrandbits(60)}" for _ in range(5)])
+    rows = [(k, own(), None, None, None, None) for k in range(1_000)]
+    rows += [(1_000 + k, rows[k][1] + (" more" if k else ""), None, None, None, None) for k in range(2)]
+    scratch = Scratch(spark, "template")
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), scratch=scratch)
+    assert [r["component_id"] for r in found.orderBy("doc_id").collect()] == [*range(1_000), 0, 1]
+    assert spark.read.parquet(scratch.path("met")).count() == 0
+    postings = spark.read.parquet(scratch.path("postings"))
+    assert 0 < postings.filter("opens").groupBy("shingle").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_jaccard_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8)], "`doc.id` long, text string, _kept int, kept int")
+    found = jaccard_join.near_duplicates(docs, id_col="doc.id")
+    assert [tuple(r) for r in jaccard_join.near_duplicate_heads(docs, found, id_col="doc.id").collect()] == [(1, "a b c d e f", 5, 6)]
 
 
 def removed(rows, width=13):
