@@ -8,6 +8,7 @@ lost executor costs a retry of its running tasks and nothing else.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,9 +21,11 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder all machines share.
 
-    Only a session that names none (tests, one machine) gets a temporary one.
+    Only a session of one machine (tests) that names none gets a temporary one.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all machines of the cluster share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="planlens-shared-")
         spark.conf.set(CHECKPOINT_SETTING, root)
@@ -47,10 +50,20 @@ class Scratch:
         frame.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
+    def _folder(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
     def drop(self, name: str | None = None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        system, target = self._folder(self.path(name) if name else self.base)
+        system.delete(target, True)
+
+    def drop_others(self, *names: str) -> None:
+        """Drop all tables but these, which a result still reads."""
+        system, target = self._folder(self.base)
+        for status in system.listStatus(target) if system.exists(target) else []:
+            if status.getPath().getName() not in names:
+                system.delete(status.getPath(), True)
 
 
 _SHIPPED: dict[str, bool] = {}
