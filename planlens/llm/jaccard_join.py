@@ -357,7 +357,7 @@ def verified(pairs: DataFrame, blobs: DataFrame, width: int, percent: int, scrat
     spark = pairs.sparkSession
     pairs = scratch.save(pairs.select("a", "b").distinct(), f"{label}-pairs")
     wanted = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{label}-wanted")
-    shared = spark.sparkContext.broadcast(filter_of(wanted, lambda doc: np.array([doc], np.int64)))
+    shared = spark.sparkContext.broadcast(filter_of(wanted, lambda doc: np.array([doc], np.int64), wanted.count()))
     fields = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,6 +470,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     crossed = verified(rest, blobs, width, percent, scratch, "cross")
     every = links.union(crossed.filter("similar").select("a", "b"))
     final = scratch.save(components(every, "a", "b", scratch, "last"), "roots")
+    scratch.drop_others("signatures", "classes", "roots")
     classed = documents.join(heads, "digest", "left").withColumn("head", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")))
     return classed.join(final, classed["head"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "head").alias("component_id"))
 

@@ -12,9 +12,12 @@ Anchors and windows travel as packed, sorted hashes. A task settles what it can
 among its own documents and sends one entry for a hash that many of them share,
 so a passage of a third of all documents costs an entry for each task. A task
 answers with packed (document, hash) decisions; texts meet them by a hash of
-doc_id, and a filter of fixed size keeps away the texts that none concerns.
-Blocks are found by 48 bits of their hash (a false hit costs time only), windows
-by 64.
+doc_id, and a filter of bounded size keeps away the texts that none concerns.
+Blocks are found by 48 bits of their hash (a false hit costs time only). Windows
+of two documents are the same if a 64-bit hash and 32 bits of an independent one
+are; within a document the 64 bits decide. A task holds one range of hashes, or
+the decisions on one group of documents, at a time; their number follows the
+input's size.
 
 Windows are judged on the input, not on what is left. Null, empty and short
 texts lose nothing; a null doc_id neither loses words nor makes others lose
@@ -40,6 +43,8 @@ from planlens.workspace import Scratch, ship_package
 WIDTH = 13
 #: Words that a task compares among themselves before it sends entries.
 CHUNK_WORDS = 500_000
+#: Bytes of text for each range of hashes.
+PART_BYTES = 8 << 20
 BLOCK_SHIFT = 16
 
 ENTRIES, DECISIONS, TEXT = 0, 1, 2
@@ -56,21 +61,23 @@ def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (text_arrays.mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def entry_rows(keys: np.ndarray, owners: np.ndarray, flags: np.ndarray, docs: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted ``keys`` of ``bits`` bits by range of key; ``owners`` index ``docs``."""
+def entry_rows(keys: np.ndarray, owners: np.ndarray, marks: np.ndarray, docs: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted ``keys`` of ``bits`` bits by range of key; ``owners`` index ``docs``, ``marks`` are flags or further bits of the keys."""
     cuts = np.searchsorted(keys, np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], np.uint64))
     cuts = np.concatenate([[0], cuts, [len(keys)]])
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         part = slice(cuts[b], cuts[b + 1])
         used, own = np.unique(owners[part], return_inverse=True)
         gaps = np.diff(keys[part], prepend=np.uint64(0))
-        yield row(ENTRIES, b, planes(gaps), planes(own.astype(np.uint32)), planes(docs[used]), np.packbits(flags[part]).tobytes())
+        yield row(ENTRIES, b, planes(gaps), planes(own.astype(np.uint32)), planes(docs[used]), np.packbits(marks[part]).tobytes() if marks.dtype == bool else planes(marks[part]))
 
 
 def read_entries(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, documents and flags of an entry row."""
+    """Keys, documents and marks of an entry row."""
     keys = np.cumsum(unplanes(r["keys"], "<u8"), dtype=np.uint64)
     docs = unplanes(r["docs"], "<i8")[unplanes(r["owners"], "<u4")]
+    if len(r["flags"]) == 4 * len(keys):
+        return keys, docs, unplanes(r["flags"], "<u4")
     return keys, docs, np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(keys)).astype(bool)
 
 
@@ -111,12 +118,18 @@ def block_hits(keys: np.ndarray, docs: np.ndarray, indexed: np.ndarray) -> np.nd
     return (earliest < latest) & (indexed & (docs < latest) | (docs > earliest))
 
 
-def later_windows(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which of the sorted entries have the same key in an earlier document."""
+def later_windows(keys: np.ndarray, docs: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which of the entries, sorted by key, have the same key and check in an earlier document."""
     if not len(keys):
         return np.zeros(0, bool)
-    starts, run = runs(keys)
-    return docs > np.minimum.reduceat(docs, starts)[run]
+    order = np.arange(len(keys))
+    if ((keys[1:] == keys[:-1]) & (checks[1:] != checks[:-1])).any():
+        order = np.lexsort((checks, keys))
+    first = first_of(keys[order], checks[order])
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    out = np.empty(len(keys), bool)
+    out[order] = docs[order] > least
+    return out
 
 
 def first_of(*columns: np.ndarray) -> np.ndarray:
@@ -142,8 +155,15 @@ class Chunk:
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, owner and place in its document of every window."""
+        return self._inside(text_arrays.windows(np.concatenate(self.hashes), width), width)
+
+    def checks(self, width: int) -> np.ndarray:
+        """Further bits of the hash of every window."""
+        other = text_arrays.windows(np.concatenate(self.hashes), width, text_arrays.OTHER_STEP)
+        return self._inside((other >> np.uint64(32)).astype(np.uint32), width)[0]
+
+    def _inside(self, found: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(h) for h in self.hashes], np.int64)
-        found = text_arrays.windows(np.concatenate(self.hashes), width)
         owner = np.repeat(np.arange(len(lengths)), lengths)[: len(found)]
         place = np.arange(len(found)) - offsets_of(lengths)[owner]
         inside = place <= lengths[owner] - width
@@ -198,28 +218,35 @@ def anchors(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
 def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
     """Decisions of all tasks: ``judge`` marks the entries of a range of keys."""
 
+    def decide(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, docs, marks = (np.concatenate(x) for x in zip(*entries))
+        entries.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, docs, marks = keys[order], docs[order], marks[order]
+        found = judge(keys, docs, marks)
+        yield from decision_rows(docs[found], keys[found], buckets)
+
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
-        for batch in batches:
+        entries, at = [], None
+        for batch in slices(batches):
             for r in batch.to_pylist():
+                if entries and at != r["bucket"]:
+                    yield from decide(entries)
+                at = r["bucket"]
                 if r["kind"] == DECISIONS:
                     yield row(DECISIONS, r["bucket"], r["keys"], r["owners"], r["docs"])
                 else:
-                    parts.setdefault(r["bucket"], []).append(read_entries(r))
-        while parts:
-            keys, docs, flags = (np.concatenate(x) for x in zip(*parts.popitem()[1]))
-            order = np.argsort(keys, kind="stable")
-            keys, docs, flags = keys[order], docs[order], flags[order]
-            found = judge(keys, docs, flags)
-            yield from decision_rows(docs[found], keys[found], buckets)
-        give_back()
+                    entries.append(read_entries(r))
+        if entries:
+            yield from decide(entries)
 
-    return packed.repartition("bucket").mapInArrow(run_, PACKED)
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run_, PACKED)
 
 
 def concerned(decisions: DataFrame) -> bytes:
     """Filter of the documents that packed decisions name."""
-    return filter_of(decisions.select("docs"), lambda data: unplanes(data, "<i8"))
+    named = decisions.agg(F.sum(F.length("docs"))).first()[0] or 0
+    return filter_of(decisions.select("docs"), lambda data: unplanes(data, "<i8"), named // 8)
 
 
 def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
@@ -239,9 +266,9 @@ def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
     return blobs.filter("doc_id is not null").select("doc_id", "body").mapInArrow(run_, PACKED)
 
 
-def met(decisions: DataFrame, texts: DataFrame) -> DataFrame:
-    """Decisions and the texts they concern in the same partition, decisions first."""
-    return decisions.unionByName(texts).repartition("bucket").sortWithinPartitions("kind")
+def met(decisions: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """Decisions and the texts they concern, group after group of documents, decisions first."""
+    return decisions.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def with_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -250,8 +277,12 @@ def with_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, byt
 
     unpack = zstandard.ZstdDecompressor().decompress
     decided: dict[int, list[np.ndarray]] = {}
+    at = None
     for batch in slices(batches):
         for r in batch.to_pylist():
+            if at != r["bucket"]:
+                decided.clear()
+                at = r["bucket"]
             if r["kind"] == DECISIONS:
                 for doc, keys in read_decisions(r):
                     decided.setdefault(doc, []).append(keys)
@@ -269,14 +300,14 @@ def around_hits(together: DataFrame, width: int, buckets: int) -> DataFrame:
         keys, owner, place = chunk.windows(width)
         lengths = np.array([len(h) for h in chunk.hashes], np.int64)
         wanted = np.concatenate(near)[offsets_of(lengths - width + 1)[owner] + place]
-        keys, owner = keys[wanted], owner[wanted]
-        order = np.lexsort((docs[owner], keys))
-        keys, owner = keys[order], owner[order]
-        repeated = later_windows(keys, docs[owner])
+        keys, owner, checks = keys[wanted], owner[wanted], chunk.checks(width)[wanted]
+        order = np.lexsort((docs[owner], checks, keys))
+        keys, owner, checks = keys[order], owner[order], checks[order]
+        repeated = later_windows(keys, docs[owner], checks)
         once = repeated & first_of(keys, docs[owner])
         yield from decision_rows(docs[owner[once]], keys[once], buckets)
-        speaks = first_of(keys)
-        yield from entry_rows(keys[speaks], owner[speaks], np.zeros(int(speaks.sum()), bool), docs, 64, buckets)
+        speaks = first_of(keys, checks)
+        yield from entry_rows(keys[speaks], owner[speaks], checks[speaks], docs, 64, buckets)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, near = Chunk(), []
@@ -339,12 +370,14 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
     ship_package(spark)
     scratch = scratch or Scratch(spark, "substrings")
     blobs = blobs_of(docs, id_col, text_col)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = blobs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
     hits = scratch.save(settled(anchors(blobs, width, buckets), block_hits, buckets), "hits", compression="zstd")
     to_compare = spark.sparkContext.broadcast(concerned(hits))
-    windows = around_hits(met(hits, sent_texts(blobs, to_compare, buckets)), width, buckets)
-    repeats = scratch.save(settled(windows, lambda k, d, _: later_windows(k, d), buckets), "repeats", compression="zstd")
+    windows = around_hits(met(hits, sent_texts(blobs, to_compare, buckets), buckets), width, buckets)
+    repeats = scratch.save(settled(windows, later_windows, buckets), "repeats", compression="zstd")
     to_change = spark.sparkContext.broadcast(concerned(repeats))
+    scratch.drop_others("repeats")
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -365,7 +398,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
                 found, size = [], 0
         yield results(found, texts)
 
-    with_repeats = met(repeats, sent_texts(blobs, to_change, buckets)).mapInArrow(changed, RESULT)
+    with_repeats = met(repeats, sent_texts(blobs, to_change, buckets), buckets).mapInArrow(changed, RESULT)
     if texts:
         return with_repeats.select("doc_id", "n_words", "n_removed", "kept")
     clean = blobs.select("doc_id", "body").mapInArrow(untouched, RESULT)
@@ -374,6 +407,6 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Rows of ``docs``, all columns; a text that loses words becomes those left, joined by one blank."""
-    changed = dedup(docs, width, True, id_col, text_col, scratch).select(F.col("doc_id").alias("_changed"), F.col("kept").alias("_kept")).dropDuplicates(["_changed"])
-    both = docs.join(changed, docs[id_col].cast("long") == F.col("_changed"), "left")
-    return both.select(*(F.coalesce("_kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    changed = dedup(docs, width, True, id_col, text_col, scratch).select(F.col("doc_id").alias("changed"), "kept").dropDuplicates(["changed"])
+    both = docs.join(changed, docs[f"`{id_col}`"].cast("long") == changed["changed"], "left")
+    return both.select(*(F.coalesce(changed["kept"], docs[f"`{c}`"]).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns))

@@ -13,8 +13,8 @@ import xxhash
 
 from planlens.llm.worker_memory import worker_cache
 
-#: An odd multiplier for sequences, and the constants of a 64-bit finaliser.
-_STEP = 0x9E3779B97F4A7C15
+#: Odd multipliers for sequences, and the constants of a 64-bit finaliser.
+_STEP, OTHER_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hash a worker keeps; others are hashed when they occur.
 _WORDS_KEPT = 250_000
@@ -42,14 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of ``width`` consecutive words; none if there are fewer."""
+def windows(hashes: np.ndarray, width: int, step: int = _STEP) -> np.ndarray:
+    """A hash of every run of ``width`` consecutive words; none if there are fewer. Another ``step`` gives an independent hash."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = out * np.uint64(_STEP) + hashes[k : k + n]
+        out = out * np.uint64(step) + hashes[k : k + n]
     return mix(out)
 
 

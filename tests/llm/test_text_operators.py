@@ -108,7 +108,11 @@ def test_jaccard_prefixes_of_a_template(spark):
     own = lambda: " ".join(template + [f"o{r.getrandbits(60)}" for _ in range(5)])
     rows = [(k, own(), None, None, None, None) for k in range(1_000)]
     rows += [(1_000 + k, rows[k][1] + (" more" if k else ""), None, None, None, None) for k in range(2)]
-    scratch = Scratch(spark, "template")
+    class Kept(Scratch):
+        def drop_others(self, *names):
+            pass
+
+    scratch = Kept(spark, "template")
     found = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), scratch=scratch)
     assert [r["component_id"] for r in found.orderBy("doc_id").collect()] == [*range(1_000), 0, 1]
     assert spark.read.parquet(scratch.path("met")).count() == 0
@@ -159,6 +163,34 @@ def test_substring_dedup_random(spark):
     assert by_id(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
 
 
+def test_substring_dedup_names_and_long_texts(spark, monkeypatch):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(20))), 5, 6), (2, "x " + " ".join(map(str, range(20))), 7, 8)], "`doc.id` long, text string, _kept int, changed int")
+    got = substring_dedup.without_repeats(docs, id_col="doc.id").orderBy("_kept").collect()
+    assert [tuple(x) for x in got] == [(1, docs.first()["text"], 5, 6), (2, "x", 7, 8)]
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 1 << 20)
+    passage = r.choices("abcdefgh", k=15_000)
+    rows = [(k, " ".join(passage + r.choices("ijklmnop", k=5_000) if k % 2 else r.choices("abcdefghijklmnop", k=20_000)), None, None, None, None) for k in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert by_id(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
+
+
+def test_windows_of_equal_hash_are_told_apart():
+    keys, docs = np.array([3, 3, 3, 5], np.uint64), np.array([1, 2, 3, 4])
+    assert substring_dedup.later_windows(keys, docs, np.array([7, 8, 7, 7], np.uint32)).tolist() == [False, False, True, False]
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from planlens.llm.worker_memory import parts_of
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (1 << k) for k in range(16)]})
+    parts = list(parts_of(batch, 4096))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(len(p) == 1 or p.nbytes <= 4096 for p in parts)
+
+
 def ids_of(path, text):
     return bpe_chunks.load_tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
@@ -224,6 +256,29 @@ def test_token_counts(docs, rows, nothing):
     assert token_counts.count_tokens(nothing, BYTE).count() == 0
 
 
+def test_frequent_chunks_of_merged_summaries(spark):
+    """What a summary must keep, it keeps, through several rounds of merging."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["often", "also"], k=30) + [f"rare{r.getrandbits(40)}" for _ in range(20)]) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(23)
+    for fan_in in (2, 16):
+        found = token_counts.frequent_chunks(docs, Scratch(spark, "merge"), size=64, share=1 / 20, fan_in=fan_in)
+        assert found == ["also", "often"]
+
+
+def test_encoder_with_a_full_table():
+    """A full table passes unknown chunks through, and starts anew when most are unknown."""
+    encoder, r = bpe_chunks._byte_level_encoder(BYTE), random.Random(6)
+    encoder.bound = 50
+    texts = [" ".join(f"{x}{r.randrange(300)}" for x in r.choices(["word", "other", "more,"], k=40)) for _ in range(60)]
+    for at in range(0, 60, 7):
+        part = texts[at : at + 7]
+        assert [x.tolist() for x in encoder.encode(part)] == [ids_of(BYTE, t) for t in part]
+        assert encoder.token_counts(part).tolist() == [len(ids_of(BYTE, t)) for t in part]
+    known = texts[0]
+    assert [x.tolist() for x in encoder.encode([known] * 3 + ["quite new"])][-1] == ids_of(BYTE, "quite new")
+
+
 def test_bpe(docs, rows, nothing):
     tokenizer = bpe_chunks.load_tokenizer(BYTE)
     text_hash = lambda t: hashlib.sha256(t.encode()).hexdigest()
