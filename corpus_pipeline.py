@@ -18,6 +18,8 @@ last. Rows with the same doc_id share their fate in stages 2 and 3.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +27,16 @@ from planlens.llm import jaccard_join, packing, pii, substring_dedup, toxicity
 from planlens.llm.queries import vocabulary
 from planlens.workspace import Scratch
 
-#: Working tables of the stage that ran last; its result is written before the next begins.
-_last: list[Scratch] = []
+#: Working tables of the stage that a run is in; a stage called by itself has none, and its tables stay.
+_of_stage: ContextVar[list[Scratch] | None] = ContextVar("of_stage", default=None)
 
 
 def _scratch(spark: SparkSession, label: str) -> Scratch:
-    while _last:
-        _last.pop().drop()
-    _last.append(Scratch(spark, label))
-    return _last[0]
+    made = Scratch(spark, label)
+    held = _of_stage.get()
+    if held is not None:
+        held.append(made)
+    return made
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -80,5 +83,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = kept.save(stage(spark, docs, sf_dir), name)
+        made: list[Scratch] = []
+        token = _of_stage.set(made)
+        try:
+            docs = kept.save(stage(spark, docs, sf_dir), name)
+        finally:
+            _of_stage.reset(token)
+        for scratch in made:  # its result is written
+            scratch.drop()
+    kept.drop_others(STAGES[-2][0])
     return STAGES[-1][1](spark, docs, sf_dir)
