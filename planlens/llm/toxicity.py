@@ -77,11 +77,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    code = np.frombuffer(f"  {text.lower()}  ".encode("utf-32-le", "replace"), np.uint32)
-                    c = _TABLE[np.minimum(code, 0x2FF)].astype(np.int32)
-                    total += np.bincount(c[:-2] << 12 | c[1:-1] << 6 | c[2:], minlength=1 << 18)
+            texts = "  ".join(text.lower() for text in batch.column(0).to_pylist() if text)
+            if texts:
+                code = np.frombuffer(f"  {texts}  ".encode("utf-32-le", "replace"), np.uint32)
+                c = _TABLE[np.minimum(code, 0x2FF)].astype(np.int32)
+                total += np.bincount(c[:-2] << 12 | c[1:-1] << 6 | c[2:], minlength=1 << 18)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["gram", "n"])
 
@@ -427,10 +427,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, t
         for batch in slices(batches):
             rows = document_evidence(batch.column("text").to_pylist(), learned.value, shared.value, known)
             columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["toxic", "strongest", "hits", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["doc_id", "toxic", "strongest", "hits", "words"])
 
-    # repeated doc_ids could make more rows than labels; what is fetched stays bounded
-    rows = sample.select("text", "toxic").mapInArrow(evidence, "toxic int, strongest double, hits long, words long").limit(2 * train_rows).collect()
+    found = sample.mapInArrow(evidence, "doc_id long, toxic int, strongest double, hits long, words long")
+    # of repeated rows the strongest counts, so that at most train_rows are fetched
+    found = found.groupBy("doc_id", "toxic").agg(F.max(F.struct("strongest", "hits", "words")).alias("x"))
+    rows = found.select("toxic", "x.*").orderBy("doc_id").collect()
     y = np.array([r["toxic"] for r in rows], np.float64)
     if len(y) and 0 < y.sum() < len(y):
         x = np.array([(r["strongest"], min(r["hits"], 5), r["hits"] / max(r["words"], 20)) for r in rows])
