@@ -22,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.llm.columns import named
 from planlens.workspace import Scratch
 
 #: The base patterns, with lookbehinds so that long runs are read once.
@@ -54,6 +55,8 @@ COUNTER_CUES = r"(?i)(?:isbn|issn|order|invoice|ticket|version|page|commit|sha|m
 #: A text without a match of this has no span and no candidate.
 MAY_HOLD = r"[0-9@=]|(?:password|passwd|pwd|secret|token|api_key):|\"[A-Fa-f]{32}|AKIA[A-Z]{16}|[\[({] ?at ?[\])}]"
 
+#: Values of the feature ``form``: shapes of spans share them by hash, so the classifier has few weights on any corpus.
+FORMS = 512
 LABELERS = ("shape", "check", "gazetteer", "context", "edges")
 FEATURES = ("form", "long", "before_class", "after_class")
 
@@ -127,7 +130,7 @@ def candidate_spans(text: Column) -> Column:
         return F.struct(
             kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
             *(v.alias(name) for name, v in zip(LABELERS, (shape, check, gazetteer, context, either(clean)))),
-            F.substring(form, 1, 12).alias("form"),
+            F.pmod(F.crc32(F.encode(form, "UTF-8")), F.lit(FORMS)).cast("string").alias("form"),
             F.least(F.length(m), F.lit(63)).bitwiseAND(-4).cast("string").alias("long"),
             side(F.substring(c["before"], -1, 1)).alias("before_class"), side(F.substring(c["after"], 1, 1)).alias("after_class"),
         )
@@ -167,8 +170,8 @@ def fit_labelers(patterns: list[tuple], rounds: int = 50, start: float = 0.75, w
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, candidates of every row; most texts have no character that any pattern needs."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    chosen = docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"))
     may = F.col("text").rlike(MAY_HOLD)
     base, candidates = base_spans(F.col("text")), candidate_spans(F.col("text"))
     return chosen.select("doc_id", F.when(may, base).alias("base"), F.when(may, candidates).alias("candidates"))
@@ -184,12 +187,11 @@ def classifier(scanned: DataFrame) -> dict[tuple[str, str, str], float]:
     likely = fit_labelers([((r["kind"], *(r[v] for v in LABELERS)), r["count"]) for r in counted])
     soft = spark.createDataFrame([(*p, float(q)) for p, q in sorted(likely.items())], ["kind", *LABELERS, "likely"])
     judged = spans.join(F.broadcast(soft), ["kind", *LABELERS])  # one row for each vote pattern
-    named = F.array(F.struct(F.lit("votes").alias("name"), F.concat_ws("/", *LABELERS).alias("value")), *(F.struct(F.lit(f).alias("name"), F.col(f).alias("value")) for f in FEATURES))
-    sums = judged.select("kind", "likely", F.explode(named).alias("f")).groupBy("kind", "f.name", "f.value").agg(F.sum("likely").alias("yes"), F.sum(1 - F.col("likely")).alias("no"))
+    features = F.array(F.struct(F.lit("votes").alias("name"), F.concat_ws("/", *LABELERS).alias("value")), *(F.struct(F.lit(f).alias("name"), F.col(f).alias("value")) for f in FEATURES))
+    sums = judged.select("kind", "likely", F.explode(features).alias("f")).groupBy("kind", "f.name", "f.value").agg(F.sum("likely").alias("yes"), F.sum(1 - F.col("likely")).alias("no"))
     totals = {r["kind"]: (r["yes"], r["no"]) for r in judged.groupBy("kind").agg(F.sum("likely").alias("yes"), F.sum(1 - F.col("likely")).alias("no")).collect()}
-    common = sums.orderBy(F.desc(F.col("yes") + F.col("no")), "kind", "name", "value").limit(2_000)
     out = {(k, "prior", ""): math.log((y + 1) / (n + 1)) for k, (y, n) in totals.items()}
-    for r in common.collect():
+    for r in sums.collect():  # at most FORMS, the vote patterns and a few classes for each kind
         y, n = totals[r["kind"]]
         p = (y + 1) / (y + n + 2)
         out[r["kind"], r["name"], r["value"]] = math.log((r["yes"] + 2 * p) / (r["no"] + 2 * (1 - p))) - math.log(p / (1 - p))
@@ -259,7 +261,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scra
     """
     scratch = scratch or Scratch(docs.sparkSession, "masking")
     weights = classifier(scratch.save(scan(docs, id_col, text_col), "spans"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), named(text_col).cast("string").alias("text"))
     may = F.col("text").rlike(MAY_HOLD)
     looked = whole.select("row", "text", F.when(may, base_spans(F.col("text"))).alias("base"), F.when(may, candidate_spans(F.col("text"))).alias("candidates"))
     found = with_spans(looked, weights)

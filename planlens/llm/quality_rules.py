@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.llm.columns import named
 from planlens.workspace import Scratch
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -85,8 +86,8 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, and the statistics that rules may use."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    chosen = docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"))
     text = F.col("text")
 
     def of_words(w: Column) -> Column:
