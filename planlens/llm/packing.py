@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from planlens.llm import bpe_chunks
 from planlens.llm.frames import texts_of
+from planlens.llm.worker_memory import slices
 from planlens.workspace import Scratch, ship_package
 
 #: A sequence with at most this many free places is emitted.
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         encoder = bpe_chunks.byte_level_encoder(tokenizer_path)
         end = np.array([end_id], "<u4")
         docs_, pieces, starts, lengths, crcs = [], [], [], [], []
-        for batch in batches:
+        for batch in slices(batches, keep=f"byte-level {tokenizer_path}"):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 for n, (start, length) in enumerate(cut(len(ids), capacity)):
