@@ -1,12 +1,14 @@
 """Token counts by a map-side, two-tier lookup.
 
 First pass: every task summarises its chunks (words with the blank before them)
-by a bounded Misra-Gries summary; the summaries, not the chunks, are added up
-over all documents, and the chunks with a certain share of the total form a
-table of bounded size with the token length of each, which is broadcast. Second pass: a chunk's
-length comes from that table or else from a worker's cache, which asks the
-tokenizer for what it doesn't know. No chunk is shuffled, and which chunks the
-table holds changes only the speed.
+by a bounded Misra-Gries summary, one packed row. Summaries are merged
+``FAN_IN`` at a time, round after round, each merged one as bounded as the
+others, so neither a task nor the driver gets more as the input grows. The
+chunks with a certain share of all counts form a table of bounded size with the
+token length of each, which is broadcast. Second pass: a chunk's length comes
+from that table or else from a worker's cache, which asks the tokenizer for what
+it doesn't know. No chunk is shuffled by its text or as a row, and which chunks
+the table holds changes only the speed.
 
 Null text counts as empty (0 tokens). Repeated rows and repeated ids give a row
 each; other columns are ignored; an empty table gives an empty result.
@@ -14,22 +16,26 @@ each; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm import bpe_chunks
 from planlens.llm.frames import texts_of
+from planlens.llm.worker_memory import slices
 from planlens.workspace import Scratch, ship_package
 
-#: Chunks kept in a task's summary.
-SUMMARY_SIZE = 16_384
-#: Chunks with at least this part of all counts are in the table: no more than its inverse can be.
+#: Chunks kept in a summary, and summaries merged by one task.
+SUMMARY_SIZE, FAN_IN = 65_536, 16
+#: Chunks with at least this part of all counts are in the table: no more than a summary holds.
 LEAST_SHARE = 1 / 200_000
+SUMMARY = "part int, total long, summary binary"
 
 
 def misra_gries(counts: Counter, size: int) -> Counter:
@@ -41,26 +47,62 @@ def misra_gries(counts: Counter, size: int) -> Counter:
     return Counter({k: n - off for k, n in top[:-1] if n > off})
 
 
-def frequent_chunks(docs: DataFrame, scratch: Scratch, size: int = SUMMARY_SIZE, share: float = LEAST_SHARE) -> list[str]:
-    """Keys of the chunks that have at least ``share`` of the counts of all documents' summaries."""
+def packed_summary(part: int, total: int, counts: Counter) -> pa.RecordBatch:
+    keys = [k for k in counts if "\x01" not in k]
+    body = np.array([counts[k] for k in keys], "<u8").tobytes() + "\x01".join(keys).encode("utf-8", "surrogatepass")
+    data = zlib.compress(len(keys).to_bytes(4, "little") + body, 1)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["part", "total", "summary"])
+
+
+def read_summary(data: bytes) -> Counter:
+    data = zlib.decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    keys = data[4 + 8 * n :].decode("utf-8", "surrogatepass").split("\x01") if n else []
+    return Counter(dict(zip(keys, np.frombuffer(data[4 : 4 + 8 * n], "<u8").tolist())))
+
+
+def merged_summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """One summary for each ``part``; the rows come sorted by it."""
+    at, total, seen = None, 0, Counter()
+    for batch in batches:
+        for part, more, data in zip(*(batch.column(c).to_pylist() for c in ("part", "total", "summary"))):
+            if at is not None and at != part:
+                yield packed_summary(at, total, seen)
+                total, seen = 0, Counter()
+            at, total = part, total + more
+            seen.update(read_summary(data))
+            seen = misra_gries(seen, size)
+    if at is not None:
+        yield packed_summary(at, total, seen)
+
+
+def frequent_chunks(docs: DataFrame, scratch: Scratch, size: int = SUMMARY_SIZE, share: float = LEAST_SHARE, fan_in: int = FAN_IN) -> list[str]:
+    """Keys of the chunks that have at least ``share`` of the counts of all documents, by their merged summary."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
+        seen, total = Counter(), 0
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(bpe_chunks.word_keys(text))
-                if len(seen) > 16 * size:
-                    seen = misra_gries(seen, 4 * size)
-        seen = misra_gries(Counter({k: n for k, n in seen.items() if len(k) <= 32}), size)
-        yield pa.RecordBatch.from_pydict({"chunk": list(seen), "n": list(seen.values())}, schema=pa.schema([("chunk", pa.string()), ("n", pa.int64())]))
-
-    counted = docs.select("text").mapInArrow(summarise, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    sums = scratch.save(counted, "sums")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    found = [r["chunk"] for r in sums.filter(F.col("n") >= max(2, total * share)).select("chunk").collect()]  # at most 1 / share
-    scratch.drop("sums")
-    return sorted(found)
+                    keys = bpe_chunks.word_keys(text)
+                    total += len(keys)
+                    seen.update(keys)
+            if len(seen) > 4 * size:
+                seen = misra_gries(seen, 2 * size)
+        seen = misra_gries(Counter({k: n for k, n in seen.items() if n > 1 and len(k) <= 32}), size // 4)
+        yield packed_summary(TaskContext.get().partitionId(), total, seen)
+
+    rows = scratch.save(docs.select("text").mapInArrow(summarise, SUMMARY), "round0")
+    k = 0
+    while rows.count() > 1:
+        k += 1
+        grouped = rows.withColumn("part", F.expr(f"cast(part div {fan_in} as int)")).repartition("part").sortWithinPartitions("part")
+        rows = scratch.save(grouped.mapInArrow(lambda batches: merged_summaries(batches, size), SUMMARY), f"round{k}")
+    only = rows.first()
+    scratch.drop()
+    if only is None:
+        return []
+    return sorted(key for key, n in read_summary(bytes(only["summary"])).items() if n >= max(2, only["total"] * share))
 
 
 class LengthTable:
@@ -79,7 +121,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     spark = docs.sparkSession
     ship_package(spark)
     texts = texts_of(docs, id_col, text_col)
-    keys = [k for k in frequent_chunks(texts, Scratch(spark, "counts")) if "\x01" not in k]
+    keys = frequent_chunks(texts, Scratch(spark, "counts"))
     encoder = bpe_chunks.byte_level_encoder(tokenizer_path)
     table = LengthTable(keys, encoder.key_lengths(keys))
     shared = spark.sparkContext.broadcast(table)
