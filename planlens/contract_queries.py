@@ -46,7 +46,9 @@ def exact_fields(b: Bridge) -> DataFrame:
 @query("p21_secret_keys", "SELECT event_id, event_id % 4 IN (0, 1) AS secret FROM event")
 def secret_keys(b: Bridge) -> DataFrame:
     names = F.array(*map(F.lit, ("API-Key", "password", "model", "Tokens")))
-    return b.event.select("event_id", fx.is_secret_key(F.get(names, (F.col("event_id") % 4).cast("int"))).alias("secret"))
+    name = F.get(names, (F.col("event_id") % 4).cast("int"))
+    nested = F.concat(F.lit('{"endpoint":[{"note":"token","options":{"'), name, F.lit('": 1}}],"payload":'), F.col("payload"), F.lit("}"))
+    return b.event.select("event_id", fx.has_secret_key(nested).alias("secret"))
 
 
 @query("p23_selectors", "SELECT plan_id, count(*) FILTER (effectful) = 1 AS resolved, count(*) FILTER (effectful) AS found FROM node GROUP BY plan_id")
@@ -90,11 +92,11 @@ def records_without_boundary(b: Bridge) -> DataFrame:
     return b.node.join(b.plan_after.select("plan_id", "i"), ["plan_id", "i"], "left_anti").select("plan_id", "i")
 
 
-@query("j20_event_task_boundary", "SELECT e.event_id, n.plan_id, n.i FROM event e JOIN node n ON n.plan_id = e.run_id JOIN plan_after a ON a.plan_id = n.plan_id AND a.i = n.i WHERE e.event_type = 'TASK_COMPLETED' AND n.i <= 2")
+@query("j20_event_task_boundary", "SELECT e.event_id, n.plan_id, n.i FROM event e JOIN node n ON n.plan_id = e.run_id JOIN plan_after a ON a.plan_id = n.plan_id AND a.i = n.i WHERE e.event_type = 'TASK_COMPLETED'")
 def event_task_boundary(b: Bridge) -> DataFrame:
     done = b.event.filter("event_type = 'TASK_COMPLETED'").select("event_id", "run_id")
-    early = b.node.filter("i <= 2").select("plan_id", "i").join(b.plan_after.select("plan_id", "i"), ["plan_id", "i"], "left_semi")
-    return done.join(early, done["run_id"] == early["plan_id"]).select("event_id", "plan_id", "i")
+    kept = b.node.select("plan_id", "i").join(b.plan_after.select("plan_id", "i"), ["plan_id", "i"], "left_semi")
+    return done.join(kept, done["run_id"] == kept["plan_id"]).select("event_id", "plan_id", "i")
 
 
 @query("j21_recorded_reads", "SELECT d.doc_id, d.lang || ':' || coalesce(CAST(l.quality AS VARCHAR), 'none') AS read FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Log types whose public name isn't their own in lower case.
-PUBLIC_NAMES = {"TASK_COMPLETED": "task.succeeded", "RUN_SUCCEEDED": "run.completed"}
+#: Log types whose public name isn't their own in lower case with dots.
+PUBLIC_NAMES = {"ATTEMPT_STARTED": "task.started", "TASK_SUCCEEDED": "task.completed"}
 #: Types that users don't see.
-INTERNAL_TYPES = ("ATTEMPT_HEARTBEAT", "LEASE_EXTENDED")
+INTERNAL_TYPES = ("ATTEMPT_CLAIMED", "ATTEMPT_HEARTBEAT", "CHECKPOINT_WRITTEN")
 #: Payload fields of operations.
-OPERATIONAL_FIELDS = ("lease_token", "worker_id", "lease_owner", "execution_id")
+OPERATIONAL_FIELDS = ("checkpoint_digest", "lease_expires_at", "lease_token", "worker_id")
 PAGE_LIMIT, STORE_LIMIT = 1000, 1001
 
 
@@ -49,6 +49,23 @@ def first_pages(events: DataFrame, limit: int) -> DataFrame:
     return ranked.withColumn("has_more", more).filter(F.col("place") <= limit)
 
 
+def public_pages(events: DataFrame, limit: int) -> DataFrame:
+    """The first public page of every run: how many events it shows, the cursor to go on from, and whether to go on.
+
+    A page is filled with visible events. A full one ends at its last event, and
+    there is more if anything follows, visible or not; a page that isn't full ends
+    at the run's last event of any type.
+    """
+    if not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"limit must be 1 to {PAGE_LIMIT}")
+    order = Window.partitionBy("run_id").orderBy("event_id")
+    shown = visible(events).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    pages = shown.groupBy("run_id").agg(F.count("*").alias("shown"), F.max("event_id").alias("end"))
+    whole = events.groupBy("run_id").agg(F.max("event_id").alias("last")).join(pages, "run_id", "left")
+    full = F.coalesce(F.col("shown") == limit, F.lit(False))
+    return whole.select("run_id", F.coalesce("shown", F.lit(0)).cast("long").alias("shown"), F.when(full, F.col("end")).otherwise(F.col("last")).alias("cursor"), (full & (F.col("last") > F.col("end"))).alias("has_more"))
+
+
 def allowed_only(events: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Audit sink's rows: types on the allowlist."""
     return events.filter(F.col("event_type").isin(*types))

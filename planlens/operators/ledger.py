@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Budget dimensions in the order in which an overrun is reported.
-DIMENSIONS = ("wall_time_ms", "tool_calls", "cost_usd")
+DIMENSIONS = ("wall_time_ms", "model_tokens", "tool_calls", "cost_usd")
 #: States a run may go to.
 RUN_TRANSITIONS = {"RUNNING": ("PAUSED", "SUCCEEDED", "FAILED", "CANCELLED"), "PAUSED": ("RUNNING", "CANCELLED")}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Outcomes of a replay.
+PASS, CHANGED, DIVERGENCE, LIVE_FAILURE, EFFECT_VIOLATION, BUDGET_EXCEEDED = "PASS", "CHANGED", "REPLAY_DIVERGENCE", "REPLAY_LIVE_FAILURE", "REPLAY_EFFECT_VIOLATION", "REPLAY_BUDGET_EXCEEDED"
 #: Why a read is refused, in order of the checks.
 READ_LADDER = ("not-declared", "not-granted", "request-contract", "request-not-canonical", "policy-error", "invalid-decision", "policy-denied", "adapter-not-registered", "adapter-error", "response-contract", "response-not-canonical")
 #: Why an effect is refused or how it ends, in order of the checks.
@@ -32,5 +34,5 @@ def ladder(checks: dict[str, Column], order: tuple[str, ...], otherwise: str = "
 def outcomes(steps: DataFrame, budget: float) -> DataFrame:
     """Outcome of each replayed plan: effect violation, failure, divergence, budget, changed or pass, the first that holds."""
     per = steps.groupBy("plan_id").agg(F.bool_or("effect_violation").alias("effect"), F.bool_or("failed").alias("failed"), F.bool_or("diverged").alias("diverged"), F.sum("live_cost").alias("cost"), F.bool_or("behavior_changed").alias("changed"))
-    result = F.when(F.col("effect"), "EFFECT_VIOLATION").when(F.col("failed"), "LIVE_FAILURE").when(F.col("diverged"), "DIVERGED").when(F.col("cost") > budget, "BUDGET_EXCEEDED").when(F.col("changed"), "CHANGED").otherwise("PASS")
+    result = F.when(F.col("effect"), EFFECT_VIOLATION).when(F.col("failed"), LIVE_FAILURE).when(F.col("diverged"), DIVERGENCE).when(F.col("cost") > budget, BUDGET_EXCEEDED).when(F.col("changed"), CHANGED).otherwise(PASS)
     return per.select("plan_id", result.alias("outcome"))

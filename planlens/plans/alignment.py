@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds of change in order; those below the line end a comparison.
@@ -10,6 +10,49 @@ ORDER = {"DELETION": 0, "INSERTION": 1, "MODULE_DIGEST_CHANGED": 4, "BUDGET_CHAN
 UNRESOLVABLE = ("DELETION", "INSERTION")
 
 
+#: Kinds that end an alignment, and those of a step that don't, in order, with the column that each compares.
+ENDING = ("DELETION", "INSERTION", "REORDER", "CONTROL_FLOW_CHANGED", "TOPOLOGY_CHANGED")
+COMPATIBLE = {
+    "MODULE_DIGEST_CHANGED": "module_digest", "BUDGET_CHANGED": "budget", "CAPABILITY_CHANGED": "capabilities", "EFFECT_CHANGED": "effects",
+    "CONNECTOR_CHANGED": "connectors", "POLICY_CHANGED": "policies", "SCHEMA_CHANGED": "schemas",
+}
+STEP_COLUMNS = ("control", "dependencies", *COMPATIBLE.values())
+
+
+def align(before: DataFrame, after: DataFrame, controls_before: DataFrame, controls_after: DataFrame) -> DataFrame:
+    """plan_id, phase, place, rank, kind, key of every change up to the first that ends a plan's alignment.
+
+    Steps are (plan_id, key, place, and STEP_COLUMNS); controls are (plan_id,
+    controls), a signature of the plan's control steps. Steps meet by key. Checked
+    in this order: a step gone, a new step, another order, other controls, then step
+    by step its control, its dependencies and what replay can cope with. A change
+    of the first six kinds is the last one of its plan. Only changes are
+    aggregated by plan, not steps.
+    """
+    sides = [f.select("plan_id", "key", *(F.col(c).alias(f"{c}_{n}") for c in ("place", *STEP_COLUMNS))) for f, n in ((before, "old"), (after, "new"))]
+    both = F.col("place_old").isNotNull() & F.col("place_new").isNotNull()
+    differs = lambda c: both & ~F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new"))
+
+    def change(test: Column, phase: int, place: str, rank: int, kind: str) -> Column:
+        return F.when(test, F.struct(F.lit(phase).alias("phase"), F.col(place).alias("place"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
+
+    found = F.array_compact(F.array(
+        change(F.col("place_new").isNull(), 0, "place_old", 0, "DELETION"),
+        change(F.col("place_old").isNull(), 1, "place_new", 0, "INSERTION"),
+        change(differs("place"), 2, "place_old", 0, "REORDER"),
+        change(differs("control"), 4, "place_old", 0, "CONTROL_FLOW_CHANGED"),
+        change(differs("dependencies"), 4, "place_old", 1, "TOPOLOGY_CHANGED"),
+        *(change(differs(c), 4, "place_old", k + 2, kind) for k, (kind, c) in enumerate(COMPATIBLE.items())),
+    ))
+    steps = sides[0].join(sides[1], ["plan_id", "key"], "full_outer").select("plan_id", "key", F.explode(found).alias("c")).select("plan_id", "c.*", "key")
+    old, new = controls_before.withColumnRenamed("controls", "old"), controls_after.withColumnRenamed("controls", "new")
+    whole = old.join(new, "plan_id").filter("not (old <=> new)").select("plan_id", F.lit(3).alias("phase"), F.lit(0).alias("place"), F.lit(0).alias("rank"), F.lit("CONTROL_FLOW_CHANGED").alias("kind"), F.lit(None).cast(before.schema["key"].dataType).alias("key"))
+    every = steps.unionByName(whole)
+    at = F.struct("phase", "place", "rank")
+    last = every.groupBy("plan_id").agg(F.min(F.when(F.col("kind").isin(*ENDING), at)).alias("last"))
+    return every.join(last, "plan_id").filter(F.col("last").isNull() | (at <= F.col("last"))).drop("last")
+
+
 def matched_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Full outer join on identity (plan_id, i)."""
     names = ("module_digest", "tool_calls")

@@ -15,6 +15,9 @@ from planlens.plans.metrics import analyse
 
 #: What a fragment and a node consist of, and the version.
 FRAGMENT_FIELDS, NODE_FIELDS, VERSION = ("fragment_id", "nodes", "outputs", "version"), ("dependencies", "key", "module_alias"), "0.2.0"
+#: Codes of refusals.
+FORM, VERSION_UNSUPPORTED, TOPOLOGY, LIMIT, SCHEMA = "PLAN_FRAGMENT_INVALID", "PLAN_FRAGMENT_VERSION_UNSUPPORTED", "PLAN_TOPOLOGY_INVALID", "PLAN_LIMIT_EXCEEDED", "PLAN_SCHEMA_INVALID"
+NOT_ALLOWED, ESCALATION, OVER_BUDGET = "PLAN_MODULE_NOT_ALLOWED", "PLAN_CAPABILITY_ESCALATION", "PLAN_BUDGET_EXCEEDED"
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.-]{0,127}")
 INPUT = "$input"
 
@@ -40,19 +43,23 @@ class Entry:
 def decode(fragment: dict) -> str | None:
     """The first defect of a fragment's form, or none."""
     if tuple(sorted(fragment)) != FRAGMENT_FIELDS:
-        return "PLAN_FIELDS"
+        return FORM
     if fragment["version"] != VERSION:
-        return "PLAN_VERSION"
+        return VERSION_UNSUPPORTED
     keys = []
     for node in fragment["nodes"]:
         if tuple(sorted(node)) != NODE_FIELDS:
-            return "PLAN_NODE_FIELDS"
+            return FORM
         if not _NAME.fullmatch(node["key"]) or not _NAME.fullmatch(node["module_alias"]):
-            return "PLAN_NAME"
+            return FORM
+        if not all(d == INPUT or _NAME.fullmatch(d) for d in node["dependencies"]):
+            return FORM
         keys.append(node["key"])
     if keys != sorted(keys):
-        return "PLAN_KEY_ORDER"
-    return "PLAN_DUPLICATE_KEY" if len(set(keys)) < len(keys) else None
+        return FORM
+    if len(set(keys)) < len(keys):
+        return TOPOLOGY
+    return None if all(map(_NAME.fullmatch, fragment["outputs"])) else FORM
 
 
 def resolve(fragment: dict, catalog: dict[str, Entry], limits: Limits, grant: tuple[str, ...] | None = None) -> str | None:
@@ -62,47 +69,47 @@ def resolve(fragment: dict, catalog: dict[str, Entry], limits: Limits, grant: tu
     nodes = {n["key"]: n for n in fragment["nodes"]}
     outputs = fragment["outputs"]
     if not nodes:
-        return "PLAN_EMPTY"
+        return TOPOLOGY
     if len(nodes) > limits.max_nodes:
-        return "PLAN_LIMIT_EXCEEDED"
+        return LIMIT
     if not outputs:
-        return "PLAN_NO_OUTPUT"
+        return TOPOLOGY
     if len(set(outputs)) < len(outputs):
-        return "PLAN_DUPLICATE_OUTPUT"
+        return TOPOLOGY
     if any(o not in nodes for o in outputs):
-        return "PLAN_MISSING_OUTPUT"
+        return TOPOLOGY
     keys = list(nodes)
     found = analyse(keys, {k: nodes[k]["dependencies"] for k in keys}, {}, outputs)
     if found["missing"]:
-        return "PLAN_MISSING_DEPENDENCY"
+        return TOPOLOGY
     if found["unreachable"]:
-        return "PLAN_UNREACHABLE"
+        return TOPOLOGY
     for k in keys:
         if nodes[k]["module_alias"] not in catalog:
-            return "PLAN_MODULE_NOT_ALLOWED"
+            return NOT_ALLOWED
         deps = nodes[k]["dependencies"]
         if len(set(deps)) < len(deps):
-            return "PLAN_DUPLICATE_DEPENDENCY"
+            return TOPOLOGY
         if len(deps) != len(catalog[nodes[k]["module_alias"]].inputs):
-            return "PLAN_ARITY"
+            return SCHEMA
     if found["cyclic"]:
-        return "PLAN_CYCLE"
+        return TOPOLOGY
     if found["max_depth"] > limits.max_depth:
-        return "PLAN_LIMIT_EXCEEDED"
+        return LIMIT
     users = Counter(d for k in keys for d in nodes[k]["dependencies"])
     if max(users.values(), default=0) > limits.max_fanout:
-        return "PLAN_FANOUT_EXCEEDED"
+        return LIMIT
     entries = {k: catalog[nodes[k]["module_alias"]] for k in keys}
     for k in keys:
         for want, dep in zip(entries[k].inputs, nodes[k]["dependencies"]):
             if dep != INPUT and want != "any" and entries[dep].output not in ("any", want):
-                return "PLAN_SCHEMA"
+                return SCHEMA
     if grant is not None and any(e not in grant for k in keys for e in entries[k].effects):
-        return "PLAN_GRANT_FORBIDDEN"
+        return ESCALATION
     for dimension, limit in limits.budget.items():
         values = [entries[k].budget.get(dimension) for k in keys]
         if None in values or sum(values) > limit:
-            return "PLAN_BUDGET_EXCEEDED"
+            return OVER_BUDGET
     return None
 
 
@@ -130,7 +137,7 @@ def numbered_violations(nodes: DataFrame, edges: DataFrame, catalog: dict[str, E
     named = F.coalesce(F.col("key").rlike(rf"\A{_NAME.pattern}\z") & F.col("module_alias").rlike(rf"\A{_NAME.pattern}\z"), F.lit(False))
     keys = rows.groupBy("plan_id", "key").agg(F.count("*").alias("n"), F.bool_and(named).alias("named"))
     plans = keys.groupBy("plan_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.bool_and("named").alias("named")).filter(F.col("n") > limits.max_nodes)
-    code = F.when(~F.col("named"), "PLAN_NAME").when(F.col("most") > 1, "PLAN_DUPLICATE_KEY").otherwise("PLAN_LIMIT_EXCEEDED")
+    code = F.when(~F.col("named"), FORM).when(F.col("most") > 1, TOPOLOGY).otherwise(LIMIT)
     small = collected(rows.join(plans.select("plan_id"), "plan_id", "left_anti"))
     return first_violations(small, catalog, limits).unionByName(plans.select("plan_id", code.alias("code")))
 

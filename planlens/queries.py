@@ -108,10 +108,11 @@ def first_pages(b: Bridge) -> DataFrame:
 
 # --- projections, filters, predicates ----------------------------------------
 
-_NAME_SQL = "CASE event_type WHEN 'TASK_COMPLETED' THEN 'task.succeeded' ELSE lower(replace(event_type, '_', '.')) END"
+_NAME_SQL = "CASE event_type WHEN 'ATTEMPT_STARTED' THEN 'task.started' WHEN 'TASK_SUCCEEDED' THEN 'task.completed' ELSE lower(replace(event_type, '_', '.')) END"
+_INTERNAL_SQL = "('ATTEMPT_CLAIMED', 'ATTEMPT_HEARTBEAT', 'CHECKPOINT_WRITTEN')"
 
 
-@query("p09_public_events", f"SELECT event_id, run_id, {_NAME_SQL} AS name, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS payload_k FROM event WHERE event_type <> 'ATTEMPT_HEARTBEAT'")
+@query("p09_public_events", f"SELECT event_id, run_id, {_NAME_SQL} AS name, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS payload_k FROM event WHERE event_type NOT IN {_INTERNAL_SQL}")
 def public_events(b: Bridge) -> DataFrame:
     return ev.public_events(b.event)
 
@@ -121,17 +122,32 @@ def conditional(b: Bridge) -> DataFrame:
     return b.event.select("event_id", F.when(F.col("value") > 10, F.col("value") + 10).otherwise(F.col("value") - 10).alias("chosen"), (F.col("value") > 10).alias("taken"))
 
 
-@query("p10_hidden_counts", "SELECT run_id, count(*) AS hidden FROM event WHERE event_type = 'ATTEMPT_HEARTBEAT' GROUP BY run_id")
+@query("p10_hidden_counts", f"SELECT run_id, count(*) AS hidden FROM event WHERE event_type IN {_INTERNAL_SQL} GROUP BY run_id")
 def hidden_counts(b: Bridge) -> DataFrame:
     return b.event.filter(F.col("event_type").isin(*ev.INTERNAL_TYPES)).groupBy("run_id").agg(F.count("*").alias("hidden"))
 
 
-@query("p11_redacted_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k' ELSE 'k,task' END AS kept FROM event")
+@query("p11_redacted_keys", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'k,task' ELSE 'k' END AS kept FROM event")
 def redacted_keys(b: Bridge) -> DataFrame:
-    payload = F.create_map(F.lit("k"), F.get_json_object("payload", "$.k"), F.when(F.col("event_id") % 2 == 0, "worker_id").otherwise("task"), F.lit("x"))
+    payload = F.create_map(F.lit("k"), F.get_json_object("payload", "$.k"), F.get(F.array(*map(F.lit, (*sorted(ev.OPERATIONAL_FIELDS), "task"))), (F.col("event_id") % 5).cast("int")), F.lit("x"))
     return b.event.select("event_id", F.array_join(F.sort_array(F.map_keys(ev.redacted(payload))), ",").alias("kept"))
 
 
+@query("o03_public_pages", f"""SELECT r.run_id, coalesce(shown, 0) AS shown, CASE WHEN shown = 20 THEN page_end ELSE last_event END AS cursor, coalesce(shown = 20 AND last_event > page_end, false) AS has_more
+ FROM (SELECT run_id, max(event_id) AS last_event FROM event GROUP BY run_id) r LEFT JOIN (SELECT run_id, count(*) AS shown, max(event_id) AS page_end FROM (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS place FROM event WHERE event_type NOT IN {_INTERNAL_SQL}) WHERE place <= 20 GROUP BY run_id) p ON r.run_id = p.run_id""")
+def public_pages(b: Bridge) -> DataFrame:
+    return ev.public_pages(b.event, 20)
+
+
+@query("p15_schema_matches", "SELECT event_id, CAST(json_extract_string(payload, '$.k') AS BIGINT) >= 0 AND event_id % 3 <> 1 AS fits FROM event")
+def schema_matches(b: Bridge) -> DataFrame:
+    more = F.get(F.array(F.lit(""), F.lit(',"other":1'), F.lit(',"items":[1,null]')), (F.col("event_id") % 3).cast("int"))
+    text = F.concat(F.regexp_replace("payload", r"\}\s*$", ""), more, F.lit("}"))
+    number = {"anyOf": [{"type": "integer"}, {"type": "null"}]}
+    schema = {"type": "object", "properties": {"k": {"type": "integer"}, "items": {"type": "array", "items": number}}, "required": ["k"], "additionalProperties": False}
+    return b.event.select("event_id", fx.fits_schema(text, schema).alias("fits"))
+
+
 @query("p12_claimable", "SELECT plan_id, i FROM node JOIN run ON plan_id = run_id WHERE status = 'RUNNING' AND p_size <= 25 AND (NOT effectful OR module_id IN ('Brand#1', 'Brand#2'))")
 def claimable(b: Bridge) -> DataFrame:
     able = F.array(F.lit("Brand#1"), F.lit("Brand#2"))
@@ -139,9 +155,10 @@ def claimable(b: Bridge) -> DataFrame:
     return lg.startable(b.node, b.run).filter((F.col("p_size") <= 25) & fx.is_subset(needs, able)).select("plan_id", "i")
 
 
-@query("p19_stable_names", r"SELECT p_partkey, regexp_full_match(replace(p_name, ' ', '_'), '[a-z][a-z0-9_.-]{0,127}') AS stable, regexp_full_match(p_brand, '[a-z][a-z0-9_.-]{0,127}') AS brand_stable FROM part")
+@query("p19_stable_names", r"SELECT p_partkey, regexp_full_match(replace(p_name, ' ', '_'), '[A-Za-z][A-Za-z0-9_.-]{0,127}') AS stable, regexp_full_match(p_brand, '[A-Za-z][A-Za-z0-9_.-]{0,127}') AS brand_stable, regexp_full_match(repeat(p_brand[1:5], 26), '[A-Za-z][A-Za-z0-9_.-]{0,127}') AS long_stable, regexp_full_match(repeat(p_brand[1:5], 26), '[A-Za-z][A-Za-z0-9_.-]*') AS long_access FROM part")
 def stable_names(b: Bridge) -> DataFrame:
-    return b.table("part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).rlike(fx.STABLE_NAME).alias("stable"), F.col("p_brand").rlike(fx.STABLE_NAME).alias("brand_stable"))
+    long = F.repeat(F.substring("p_brand", 1, 5), 26)
+    return b.table("part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).rlike(fx.STABLE_NAME).alias("stable"), F.col("p_brand").rlike(fx.STABLE_NAME).alias("brand_stable"), long.rlike(fx.STABLE_NAME).alias("long_stable"), long.rlike(fx.ACCESS_NAME).alias("long_access"))
 
 
 @query("p20_digest_shapes", "SELECT plan_id, i, regexp_full_match(module_digest, '[0-9a-f]{64}') AS full_digest, regexp_full_match(substr(module_digest, 1, 24), '[0-9a-f]{64}') AS short_digest FROM node")
@@ -284,9 +301,11 @@ def outstanding_usage(b: Bridge) -> DataFrame:
     return lg.outstanding(usage(b))
 
 
-@query("l07_overruns", f"WITH {_USE_SQL} SELECT plan_id, CASE WHEN wall_time_ms > 120 THEN 'wall_time_ms' WHEN tool_calls > 15 THEN 'tool_calls' END AS exceeded FROM use WHERE wall_time_ms > 120 OR tool_calls > 15")
+@query("l07_overruns", f"""WITH {_USE_SQL}, more AS (SELECT plan_id, CAST(sum(p_size * 20) AS BIGINT) AS model_tokens, CAST(sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(12,2))) AS DOUBLE) AS cost_usd FROM node GROUP BY plan_id)
+ SELECT * FROM (SELECT use.plan_id, CASE WHEN wall_time_ms > 120 THEN 'wall_time_ms' WHEN model_tokens > 2400 THEN 'model_tokens' WHEN tool_calls > 15 THEN 'tool_calls' WHEN cost_usd > 0.15 THEN 'cost_usd' END AS exceeded FROM use JOIN more ON use.plan_id = more.plan_id) WHERE exceeded IS NOT NULL""")
 def overruns(b: Bridge) -> DataFrame:
-    return lg.overrun(outstanding_usage(b), {"wall_time_ms": 120, "tool_calls": 15})
+    more = b.node.groupBy("plan_id").agg(F.sum(F.col("p_size") * 20).alias("model_tokens"), F.sum(F.coalesce(F.col("cost_usd").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))).cast("double").alias("cost_usd"))
+    return lg.overrun(outstanding_usage(b).join(more, "plan_id"), {"wall_time_ms": 120, "model_tokens": 2400, "tool_calls": 15, "cost_usd": 0.15})
 
 
 @query("a05_metered_usage", "SELECT task_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls, bool_or(status = 'SUCCEEDED') AS used_model FROM attempt GROUP BY task_id")
@@ -450,7 +469,7 @@ def digests(b: Bridge) -> DataFrame:
 
 @query("f07_memory", "SELECT p_partkey, CASE WHEN p_size % 5 = 4 THEN NULL ELSE p_size * CASE p_size % 5 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 WHEN 2 THEN 1073741824 ELSE 1099511627776 END END AS bytes FROM part")
 def memory(b: Bridge) -> DataFrame:
-    units = F.array(*map(F.lit, ("Ki", "Mi", "Gi", "Ti", "XB")))
+    units = F.array(*map(F.lit, ("KiB", "MiB", "GiB", "TiB", "Mi")))
     text = F.concat(F.col("p_size").cast("string"), F.get(units, F.col("p_size") % 5))
     return b.table("part").select("p_partkey", fx.memory_bytes(text).alias("bytes"))
 
@@ -471,12 +490,13 @@ def event_stream_text(b: Bridge) -> DataFrame:
     return b.event.select("event_id", ev.sse(F.col("event_id"), ev.public_name(F.col("event_type")), F.col("payload")).alias("sse"))
 
 
-@query("f02_canonical_payloads")
+@query("f02_canonical_payloads", """SELECT event_id, canonical, sha256(canonical) AS digest FROM (SELECT event_id, '{"k":' || json_extract_string(payload, '$.k') || '}' AS canonical FROM event)""")
 def canonical_payloads(b: Bridge) -> DataFrame:
     return b.event.select("event_id", fx.canonical_text(F.col("payload")).alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
 
 
-@query("f10_task_uuids")
+@query("f10_task_uuids", """SELECT plan_id, i, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS task_id
+ FROM (SELECT plan_id, i, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(plan_id || ':' || module_id || ':' || i)) AS h FROM node)""")
 def task_uuids(b: Bridge) -> DataFrame:
     return b.node.select("plan_id", "i", fx.name_uuid(F.concat_ws(":", F.col("plan_id").cast("string"), "module_id", F.col("i").cast("string"))).alias("task_id"))
 
@@ -506,10 +526,11 @@ def set_rules(b: Bridge) -> DataFrame:
     return po.set_violations(b.node, ALLOWED_MODULES, NO_EFFECT_MODULES)
 
 
-@query("v10_unseen_shapes", f"WITH {_SHAPE_SQL}, seen AS (SELECT DISTINCT topology_digest FROM shape WHERE plan_id % 2 = 0) SELECT plan_id, topology_digest FROM shape WHERE topology_digest NOT IN (SELECT topology_digest FROM seen)")
+@query("v10_unseen_shapes", f"WITH {_SHAPE_SQL}, seen AS (SELECT DISTINCT topology_digest FROM shape JOIN run ON run_id = plan_id WHERE status = 'SUCCEEDED') SELECT plan_id, topology_digest FROM shape WHERE topology_digest NOT IN (SELECT topology_digest FROM seen)")
 def unseen_shapes(b: Bridge) -> DataFrame:
     shapes = topology_digests(b)
-    return po.unseen_shapes(shapes, shapes.filter("plan_id % 2 = 0")).select("plan_id", "topology_digest")
+    accepted = shapes.join(b.run.filter("status = 'SUCCEEDED'"), F.col("plan_id") == F.col("run_id"), "left_semi")
+    return po.unseen_shapes(shapes, accepted).select("plan_id", "topology_digest")
 
 
 @query("v12_first_refusal", f"{_NUMERIC_SQL}, {_SETS_SQL}, every AS (SELECT * FROM broken UNION ALL SELECT * FROM forbidden) SELECT plan_id, arg_min(code, rank) AS refusal, count(*) AS issues FROM every GROUP BY plan_id")
@@ -531,6 +552,46 @@ _CHANGES_SQL = """changed AS (SELECT coalesce(n.plan_id, a.plan_id) AS plan_id,
  change AS (SELECT plan_id, i, 0 AS rank, 'DELETION' AS kind FROM changed WHERE w IS NULL UNION ALL SELECT plan_id, i, 1, 'INSERTION' FROM changed WHERE o IS NULL UNION ALL SELECT plan_id, i, 4, 'MODULE_DIGEST_CHANGED' FROM changed WHERE o IS NOT NULL AND w IS NOT NULL AND od <> wd)"""
 
 
+#: What the aligned versions differ in, by plan_id % 16, on steps whose p_size is a multiple of five: the n-th kind of change; 14 two kinds, 15 none.
+_EDITS = {"control": (4,), "dependencies": (5, 14), "module_digest": (6, 14), "budget": (7,), "capabilities": (8,), "effects": (9,), "connectors": (10,), "policies": (11,), "schemas": (12, 13)}
+
+
+def versions_of(b: Bridge) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps and controls of every plan in two versions, between which all kinds of changes occur."""
+    deps = b.edge.groupBy("plan_id", "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "dep"))), lambda x: x["dep"].cast("string")), "+").alias("dependencies"))
+    text = lambda c: F.col(c).cast("string")
+    steps = b.node.join(deps, ["plan_id", "i"]).select(
+        "plan_id", F.col("i").alias("key"), (F.col("plan_id") % 16).alias("e"), (F.col("p_size") % 5 == 0).alias("hit"), F.when(F.col("approval_required"), "approval").alias("control"),
+        "dependencies", "module_digest", text("tool_calls").alias("budget"), F.when(F.col("effectful"), F.col("module_id")).alias("capabilities"), text("effectful").alias("effects"),
+        (F.col("p_size") % 4).cast("string").alias("connectors"), text("approval_required").alias("policies"), (F.col("p_size") % 3).cast("string").alias("schemas"),
+    )
+    edited = lambda c: F.when(F.col("e").isin(*_EDITS[c]) & F.col("hit"), F.concat(F.coalesce(c, F.lit("")), F.lit("*"))).otherwise(F.col(c)).alias(c)
+    placed = lambda f, order: f.withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy(order)))
+    before = placed(steps.filter(~((F.col("e") == 1) & F.col("hit"))), F.col("key"))
+    after = placed(steps.filter(~((F.col("e") == 0) & F.col("hit"))), F.when(F.col("e") == 2, -F.col("key")).otherwise(F.col("key")))
+    after = after.select("plan_id", "key", "place", *(edited(c) for c in _EDITS))
+    controls = b.run.select(F.col("run_id").alias("plan_id"), F.col("status").alias("controls"))
+    return before, after, controls, controls.withColumn("controls", F.when(F.col("plan_id") % 16 == 3, F.lit("other")).otherwise(F.col("controls")))
+
+
+_STEP_SQL = ", ".join(f"CASE WHEN e IN ({', '.join(map(str, edits))}) AND hit THEN coalesce({c}, '') || '*' ELSE {c} END AS {c}" for c, edits in _EDITS.items())
+_KINDS_SQL = " UNION ALL ".join(f"SELECT plan_id, 4, old_place, {k}, '{kind}', key FROM met WHERE old_place IS NOT NULL AND new_place IS NOT NULL AND o.{c} IS DISTINCT FROM w.{c}" for k, (kind, c) in enumerate((("CONTROL_FLOW_CHANGED", "control"), ("TOPOLOGY_CHANGED", "dependencies"), *al.COMPATIBLE.items())))
+
+
+@query("d01_alignment", f"""WITH steps AS (SELECT n.plan_id, n.i AS key, n.plan_id % 16 AS e, p_size % 5 = 0 AS hit, CASE WHEN approval_required THEN 'approval' END AS control, dependencies, module_digest, CAST(tool_calls AS VARCHAR) AS budget,
+ CASE WHEN effectful THEN module_id END AS capabilities, CAST(effectful AS VARCHAR) AS effects, CAST(p_size % 4 AS VARCHAR) AS connectors, CAST(approval_required AS VARCHAR) AS policies, CAST(p_size % 3 AS VARCHAR) AS schemas
+ FROM node n JOIN (SELECT plan_id, i, string_agg(CAST(dep AS VARCHAR), '+' ORDER BY position) AS dependencies FROM edge GROUP BY plan_id, i) d ON d.plan_id = n.plan_id AND d.i = n.i),
+ old AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY key) AS place FROM steps WHERE NOT (e = 1 AND hit)),
+ new AS (SELECT plan_id, key, {_STEP_SQL}, row_number() OVER (PARTITION BY plan_id ORDER BY CASE WHEN e = 2 THEN -key ELSE key END) AS place FROM steps WHERE NOT (e = 0 AND hit)),
+ met AS (SELECT coalesce(old.plan_id, new.plan_id) AS plan_id, coalesce(old.key, new.key) AS key, old.place AS old_place, new.place AS new_place, old AS o, new AS w FROM old FULL JOIN new ON old.plan_id = new.plan_id AND old.key = new.key),
+ every(plan_id, phase, place, rank, kind, key) AS (SELECT plan_id, 0, old_place, 0, 'DELETION', key FROM met WHERE new_place IS NULL UNION ALL SELECT plan_id, 1, new_place, 0, 'INSERTION', key FROM met WHERE old_place IS NULL
+ UNION ALL SELECT plan_id, 2, old_place, 0, 'REORDER', key FROM met WHERE old_place <> new_place UNION ALL SELECT run_id, 3, 0, 0, 'CONTROL_FLOW_CHANGED', NULL FROM run WHERE run_id % 16 = 3 UNION ALL {_KINDS_SQL}),
+ ends AS (SELECT plan_id, min((phase, place, rank)) FILTER (kind IN ('DELETION', 'INSERTION', 'REORDER', 'CONTROL_FLOW_CHANGED', 'TOPOLOGY_CHANGED')) AS last FROM every GROUP BY plan_id)
+ SELECT every.plan_id, phase, place, rank, kind, key FROM every JOIN ends ON ends.plan_id = every.plan_id WHERE last IS NULL OR (phase, place, rank) <= last""")
+def alignment(b: Bridge) -> DataFrame:
+    return al.align(*versions_of(b))
+
+
 @query("d01_changes", f"WITH {_CHANGES_SQL} SELECT * FROM change")
 def changes(b: Bridge) -> DataFrame:
     return al.changes(b.node, b.plan_after)
@@ -608,11 +669,19 @@ def step_comparisons(b: Bridge) -> DataFrame:
     return rp.comparisons(b.node, b.plan_after)
 
 
-@query("n18_replay_outcomes", f"""WITH {_COMPARE_SQL} SELECT plan_id, CASE WHEN bool_or(effectful AND approval_required AND output_changed) THEN 'EFFECT_VIOLATION' WHEN sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(12,2))) > 0.3 THEN 'BUDGET_EXCEEDED' WHEN bool_or(output_changed) THEN 'CHANGED' ELSE 'PASS' END AS outcome FROM compared GROUP BY plan_id""")
+@query("n18_replay_outcomes", """WITH step AS (SELECT n.plan_id, n.effectful AND n.approval_required AND coalesce(n.module_digest <> a.module_digest, false) AS violation, n.effectful AND n.tool_calls IS NULL AS failed,
+ a.plan_id IS NULL AS diverged, coalesce(n.cost_usd, 0) AS cost, coalesce(n.module_digest <> a.module_digest, false) AS changed FROM node n LEFT JOIN plan_after a ON n.plan_id = a.plan_id AND n.i = a.i)
+ SELECT plan_id, CASE WHEN bool_or(violation) THEN 'REPLAY_EFFECT_VIOLATION' WHEN bool_or(failed) THEN 'REPLAY_LIVE_FAILURE' WHEN bool_or(diverged) THEN 'REPLAY_DIVERGENCE'
+ WHEN sum(CAST(cost AS DECIMAL(12,2))) > 0.3 THEN 'REPLAY_BUDGET_EXCEEDED' WHEN bool_or(changed) THEN 'CHANGED' ELSE 'PASS' END AS outcome FROM step GROUP BY plan_id""")
 def replay_outcomes(b: Bridge) -> DataFrame:
-    facts = b.node.select("plan_id", "i", (F.col("effectful") & F.col("approval_required")).alias("risky"), F.coalesce(F.col("cost_usd").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("live_cost"))
-    steps = rp.comparisons(b.node, b.plan_after).join(facts, ["plan_id", "i"])
-    return rp.outcomes(steps.select("plan_id", (F.col("risky") & F.col("output_changed")).alias("effect_violation"), F.lit(False).alias("failed"), F.lit(False).alias("diverged"), "live_cost", "behavior_changed"), 0.3)
+    """A step that the later version lacks diverges; one with effects that was never metered can't be repeated live."""
+    now = b.plan_after.select("plan_id", "i", F.col("module_digest").alias("now"))
+    changed = F.coalesce(F.col("module_digest") != F.col("now"), F.lit(False))
+    steps = b.node.join(now, ["plan_id", "i"], "left").select(
+        "plan_id", (F.col("effectful") & F.col("approval_required") & changed).alias("effect_violation"), (F.col("effectful") & F.col("tool_calls").isNull()).alias("failed"),
+        F.col("now").isNull().alias("diverged"), F.coalesce(F.col("cost_usd").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("live_cost"), changed.alias("behavior_changed"),
+    )
+    return rp.outcomes(steps, 0.3)
 
 
 @query("l15_read_decisions", f"SELECT plan_id, i, CASE WHEN module_id NOT IN ({_LIST(ALLOWED_MODULES)}) THEN 'not-declared' WHEN effectful THEN 'not-granted' WHEN cost_usd IS NULL THEN 'request-contract' WHEN p_size % 5 = 0 THEN 'policy-denied' ELSE 'used' END AS decision FROM node")
@@ -671,9 +740,12 @@ def run_states(b: Bridge) -> DataFrame:
     return log.catch_up(log.run_states(event_stream(b)), Scratch(b.spark, "states"), "rows", "update")
 
 
-@query("v02_first_violations")
+@query("v02_first_violations", f"""WITH {_DEPTH_SQL}, deep AS (SELECT plan_id, max(depth) AS depth FROM walk GROUP BY plan_id), wide AS (SELECT plan_id, max(n) AS fanout FROM (SELECT plan_id, dep, count(*) AS n FROM edge GROUP BY plan_id, dep) GROUP BY plan_id),
+ judged AS (SELECT n.plan_id, n.i, CASE WHEN module_id = 'Brand#13' THEN 'PLAN_MODULE_NOT_ALLOWED' WHEN deps <> 1 THEN 'PLAN_SCHEMA_INVALID' END AS code FROM node n JOIN (SELECT plan_id, i, count(*) AS deps FROM edge GROUP BY plan_id, i) d ON d.plan_id = n.plan_id AND d.i = n.i),
+ each AS (SELECT plan_id, count(*) AS nodes, arg_min(code, i) FILTER (code IS NOT NULL) AS code FROM judged GROUP BY plan_id)
+ SELECT each.plan_id, CASE WHEN nodes > 12 THEN 'PLAN_LIMIT_EXCEEDED' WHEN code IS NOT NULL THEN code WHEN depth > 6 OR fanout > 2 THEN 'PLAN_LIMIT_EXCEEDED' END AS code FROM each JOIN deep ON deep.plan_id = each.plan_id JOIN wide ON wide.plan_id = each.plan_id""")
 def first_violations(b: Bridge) -> DataFrame:
-    catalog = {f"Brand-{k}": va.Entry(inputs=("any",)) for k in range(1, 26)}
+    catalog = {f"Brand-{k}": va.Entry(inputs=("any",)) for k in range(1, 56) if k != 13}
     return va.numbered_violations(b.node, b.edge, catalog, va.Limits(max_nodes=12, max_depth=6, max_fanout=2))
 
 

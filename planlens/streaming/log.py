@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from planlens.operators.events import INTERNAL_TYPES
 from planlens.workspace import Scratch
 
 #: The state that an event leads to, by state and type.
@@ -41,7 +42,7 @@ def catch_up(stream: DataFrame, scratch: Scratch, name: str, mode: str = "append
 
 def visible_after(events: DataFrame, cursor: int) -> DataFrame:
     """The tail that a user sees from an exclusive cursor on."""
-    return events.filter((F.col("event_id") > cursor) & (F.col("event_type") != "ATTEMPT_HEARTBEAT"))
+    return events.filter((F.col("event_id") > cursor) & ~F.col("event_type").isin(*INTERNAL_TYPES))
 
 
 def once(commands: DataFrame, keys: list[str], within: str | None = None, time: str = "created_at") -> DataFrame:

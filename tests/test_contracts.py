@@ -32,8 +32,8 @@ def test_budget_values(spark):
 
 
 def test_units_and_names(spark):
-    got = values(spark, fx.memory_bytes(F.lit("512Mi")), fx.memory_bytes(F.lit("5XB")), fx.is_secret_key(F.lit("API-Key")), co.whole_milliseconds(F.lit(1500)), co.whole_milliseconds(F.lit(2000)), ev.public_name(F.lit("TASK_READY")))
-    assert got == [(512 << 20, None, True, None, 2, "task.ready")]
+    got = values(spark, fx.memory_bytes(F.lit("512MiB")), fx.memory_bytes(F.lit("512Mi")), fx.memory_bytes(F.lit("0MiB")), fx.is_secret_key(F.lit("API-Key")), co.whole_milliseconds(F.lit(1500)), co.whole_milliseconds(F.lit(2000)), *(ev.public_name(F.lit(x)) for x in ("TASK_READY", "ATTEMPT_STARTED", "TASK_COMPLETED", "TASK_SUCCEEDED")))
+    assert got == [(512 << 20, None, None, True, None, 2, "task.ready", "task.started", "task.completed", "task.completed")]
 
 
 def test_executors(spark):
@@ -50,6 +50,25 @@ def test_event_pages(spark):
     assert ev.visible(events).count() == 3
 
 
+def test_public_pages(spark):
+    kinds = ["TASK_READY", "CHECKPOINT_WRITTEN", "TASK_READY", "ATTEMPT_CLAIMED"]
+    rows = [(k, 1, kinds[k % 4], 1.0) for k in range(1, 9)] + [(20, 2, "TASK_READY", 2.0), (21, 2, "TASK_READY", 2.0), (30, 3, "ATTEMPT_HEARTBEAT", 2.0)]
+    events = spark.createDataFrame(rows, "event_id long, run_id long, event_type string, value double")
+    got = {tuple(r) for r in ev.public_pages(events, 2).collect()}
+    assert got == {(1, 2, 4, True), (2, 2, 21, False), (3, 0, 30, False)}
+    assert ev.redacted is not None and set(ev.OPERATIONAL_FIELDS) == {"checkpoint_digest", "lease_expires_at", "lease_token", "worker_id"}
+
+
+def test_secrets_and_uuids(spark):
+    import uuid
+
+    texts = ['{"a":[{"Api-Key":1}]}', '{"a":"\\"token\\":"}', '{"a":["token"]}', '{"tokens":1}', '{"x":{"PASSWORD" :2}}']
+    got = values(spark, *(fx.has_secret_key(F.lit(t)) for t in texts))
+    assert got == [(True, False, False, False, True)]
+    names = ["", "a", "é:1"]
+    assert values(spark, *(fx.name_uuid(F.lit(n)) for n in names)) == [tuple(str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names)]
+
+
 def test_resolution_after_latest_request(spark):
     rows = [(1, 1, "ASK", 0.0), (2, 1, "ANSWER", 1.0), (3, 1, "ASK", 0.0), (4, 1, "ANSWER", 2.0), (5, 2, "ASK", 0.0)]
     events = spark.createDataFrame(rows, "event_id long, run_id long, event_type string, value double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from planlens.functions import authoring as au
 from planlens.functions import expressions as fx
+from planlens.plans import alignment as al
 from planlens.plans import metrics as me
 from planlens.plans import policy as po
 from planlens.plans import validation as va
@@ -48,15 +49,15 @@ def test_deep_chain():
         (DIAMOND, ["join"], va.Limits(), None),
         (DIAMOND, ["join"], va.Limits(3, 5, 3), "PLAN_LIMIT_EXCEEDED"),
         (DIAMOND, ["join"], va.Limits(8, 2, 3), "PLAN_LIMIT_EXCEEDED"),
-        (DIAMOND, ["join"], va.Limits(8, 5, 1), "PLAN_FANOUT_EXCEEDED"),
-        ({}, ["join"], va.Limits(), "PLAN_EMPTY"),
-        (DIAMOND, [], va.Limits(), "PLAN_NO_OUTPUT"),
-        (DIAMOND, ["join", "join"], va.Limits(), "PLAN_DUPLICATE_OUTPUT"),
-        (DIAMOND, ["other"], va.Limits(), "PLAN_MISSING_OUTPUT"),
-        (DIAMOND, ["left"], va.Limits(), "PLAN_UNREACHABLE"),
-        (DIAMOND | {"left": ["nowhere"]}, ["join"], va.Limits(), "PLAN_MISSING_DEPENDENCY"),
-        (DIAMOND | {"join": ["left", "left"]}, ["join", "right"], va.Limits(), "PLAN_DUPLICATE_DEPENDENCY"),
-        ({"a": ["b"], "b": ["a"]}, ["a"], va.Limits(), "PLAN_CYCLE"),
+        (DIAMOND, ["join"], va.Limits(8, 5, 1), "PLAN_LIMIT_EXCEEDED"),
+        ({}, ["join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, [], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["join", "join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["other"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["left"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND | {"left": ["nowhere"]}, ["join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND | {"join": ["left", "left"]}, ["join", "right"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        ({"a": ["b"], "b": ["a"]}, ["a"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
     ],
 )
 def test_first_violation(deps, outputs, limits, code):
@@ -65,10 +66,10 @@ def test_first_violation(deps, outputs, limits, code):
 
 def test_violations_of_form():
     good = fragment(DIAMOND, ["join"])
-    assert va.decode(good | {"more": 1}) == "PLAN_FIELDS"
-    assert va.decode(good | {"version": "9"}) == "PLAN_VERSION"
-    assert va.decode(good | {"nodes": good["nodes"][::-1]}) == "PLAN_KEY_ORDER"
-    assert va.decode(good | {"nodes": [good["nodes"][0]] * 2}) == "PLAN_DUPLICATE_KEY"
+    assert va.decode(good | {"more": 1}) == "PLAN_FRAGMENT_INVALID"
+    assert va.decode(good | {"version": "9"}) == "PLAN_FRAGMENT_VERSION_UNSUPPORTED"
+    assert va.decode(good | {"nodes": good["nodes"][::-1]}) == "PLAN_FRAGMENT_INVALID"
+    assert va.decode(good | {"nodes": [good["nodes"][0]] * 2}) == "PLAN_TOPOLOGY_INVALID"
     assert va.resolve(fragment(DIAMOND, ["join"], {"left": "unknown"}), CATALOG, va.Limits()) == "PLAN_MODULE_NOT_ALLOWED"
 
 
@@ -81,6 +82,27 @@ def test_depth_by_relaxation(choices):
     assert me.analyse(sorted(deps), deps, {})["max_depth"] == max(depth.values())
 
 
+def test_alignment_ends_at_the_first_incompatible_change(spark):
+    """Each pair of versions by hand: what is found, in order."""
+    names = ("plan_id", "key", "place", *al.STEP_COLUMNS)
+    step = lambda plan, key, place, **x: (plan, key, place, *(x.get(c, "same") for c in al.STEP_COLUMNS))
+    pairs = {
+        1: ([step(1, "a", 1), step(1, "b", 2)], [step(1, "b", 1), step(1, "c", 2)], ["DELETION"]),
+        2: ([step(2, "a", 1)], [step(2, "x", 1), step(2, "a", 2), step(2, "y", 3)], ["INSERTION"]),
+        3: ([step(3, "a", 1), step(3, "b", 2), step(3, "c", 3)], [step(3, "a", 1), step(3, "c", 2), step(3, "b", 3)], ["REORDER"]),
+        4: ([step(4, "a", 1)], [step(4, "a", 1, budget="more")], ["CONTROL_FLOW_CHANGED"]),
+        5: ([step(5, k, n) for n, k in enumerate("abc", 1)], [step(5, "a", 1, effects="x", budget="x"), step(5, "b", 2, module_digest="x", dependencies="x", schemas="x"), step(5, "c", 3, schemas="x")], ["BUDGET_CHANGED", "EFFECT_CHANGED", "TOPOLOGY_CHANGED"]),
+        6: ([step(6, "a", 1)], [step(6, "a", 1, control=None, policies="x")], ["CONTROL_FLOW_CHANGED"]),
+        7: ([step(7, "a", 1)], [step(7, "a", 1, capabilities="x", connectors="x", policies="x", schemas="x", module_digest="x")], ["MODULE_DIGEST_CHANGED", "CAPABILITY_CHANGED", "CONNECTOR_CHANGED", "POLICY_CHANGED", "SCHEMA_CHANGED"]),
+        8: ([step(8, "a", 1)], [step(8, "a", 1)], []),
+    }
+    schema = ", ".join(f"{c} {'int' if c in ('plan_id', 'place') else 'string'}" for c in names)
+    before, after = (spark.createDataFrame([s for p in pairs.values() for s in p[k]], schema) for k in (0, 1))
+    controls = [spark.createDataFrame([(k, "x" if k == 4 and n else "") for k in pairs], "plan_id int, controls string") for n in (0, 1)]
+    got = al.align(before, after, *controls).orderBy("plan_id", "phase", "place", "rank").collect()
+    assert {k: [r["kind"] for r in got if r["plan_id"] == k] for k in pairs} == {k: p[2] for k, p in pairs.items()}
+
+
 def test_budgets(spark):
     rows = [(1, 1, 10, 0.1), (1, 2, 20, 0.2), (1, 3, 30, 0.0), (2, 1, None, 0.5)]
     nodes = spark.createDataFrame(rows, "plan_id long, i int, tool_calls long, cost_usd double")
@@ -121,6 +143,9 @@ def test_schemas():
     assert fx.matches_schema([1, "a"], {"type": "array", "prefixItems": [{"type": "integer"}, {"type": "string"}]})
     assert not fx.matches_schema({"a": 1}, {"type": "object", "properties": {"a": {"type": "string"}}})
     assert not fx.matches_schema({"b": 1}, {"type": "object", "required": ["a"]})
+    whole = {"type": "object", "properties": {"a": True}, "additionalProperties": False}
+    assert fx.matches_schema({"a": object()}, whole) and not fx.matches_schema({"b": 1}, whole)
+    assert fx.matches_schema(1, {"type": "unknown"}) and not fx.matches_schema(1, {"pythonType": "x"})
     assert fx.matches_schema(None, {"anyOf": [{"type": "null"}, number]}) and fx.matches_schema(object, {})
 
 
@@ -156,7 +181,7 @@ def test_depths_and_limits_without_gathering_a_plan(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) == [(1, "PLAN_LIMIT_EXCEEDED"), (2, None)]
     assert gathered == [2]
     bad = nodes.withColumn("module_id", F.when(F.col("i") == 7, "7 7").otherwise(F.col("module_id")))
-    assert {r["plan_id"]: r["code"] for r in va.numbered_violations(bad, edges, catalog, limits).collect()} == {1: "PLAN_NAME", 2: None}
+    assert {r["plan_id"]: r["code"] for r in va.numbered_violations(bad, edges, catalog, limits).collect()} == {1: "PLAN_FRAGMENT_INVALID", 2: None}
 
 
 def test_every_rule_counts(spark):
