@@ -17,7 +17,7 @@ from planlens.llm.worker_memory import worker_cache
 _STEP, OTHER_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hash a worker keeps; others are hashed when they occur.
-_WORDS_KEPT = 250_000
+_WORDS_KEPT = 150_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
