@@ -15,7 +15,7 @@ from planlens.plans import metrics as me
 from planlens.plans import policy as po
 from planlens.plans import validation as va
 
-DIAMOND = {"join": ["left", "right"], "left": ["source"], "right": ["source"], "source": ["$input"]}
+DIAMOND = {"finish": ["north", "south"], "north": ["begin"], "south": ["begin"], "begin": ["$input"]}
 CATALOG = {k: va.Entry(inputs=("any",) * n) for k, n in (("one", 1), ("two", 2))}
 
 
@@ -25,10 +25,10 @@ def fragment(deps, outputs, alias=None):
 
 
 def test_diamond():
-    found = me.analyse(sorted(DIAMOND), DIAMOND, {"source": 1, "left": 2, "right": 4, "join": 8})
+    found = me.analyse(sorted(DIAMOND), DIAMOND, {"begin": 1, "north": 2, "south": 4, "finish": 8})
     assert found["max_depth"] == 3 and found["critical_path_ms"] == 13 and not found["cyclic"]
-    assert found["order"] == ["source", "left", "right", "join"]
-    assert me.analyse(sorted(DIAMOND), DIAMOND, {"source": 1, "left": None, "right": 4, "join": 8})["critical_path_ms"] is None
+    assert found["order"] == ["begin", "north", "south", "finish"]
+    assert me.analyse(sorted(DIAMOND), DIAMOND, {"begin": 1, "north": None, "south": 4, "finish": 8})["critical_path_ms"] is None
 
 
 def test_order_is_depth_first():
@@ -46,17 +46,17 @@ def test_deep_chain():
 @pytest.mark.parametrize(
     ("deps", "outputs", "limits", "code"),
     [
-        (DIAMOND, ["join"], va.Limits(), None),
-        (DIAMOND, ["join"], va.Limits(3, 5, 3), "PLAN_LIMIT_EXCEEDED"),
-        (DIAMOND, ["join"], va.Limits(8, 2, 3), "PLAN_LIMIT_EXCEEDED"),
-        (DIAMOND, ["join"], va.Limits(8, 5, 1), "PLAN_LIMIT_EXCEEDED"),
-        ({}, ["join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["finish"], va.Limits(), None),
+        (DIAMOND, ["finish"], va.Limits(3, 5, 3), "PLAN_LIMIT_EXCEEDED"),
+        (DIAMOND, ["finish"], va.Limits(8, 2, 3), "PLAN_LIMIT_EXCEEDED"),
+        (DIAMOND, ["finish"], va.Limits(8, 5, 1), "PLAN_LIMIT_EXCEEDED"),
+        ({}, ["finish"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
         (DIAMOND, [], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
-        (DIAMOND, ["join", "join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["finish", "finish"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
         (DIAMOND, ["other"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
-        (DIAMOND, ["left"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
-        (DIAMOND | {"left": ["nowhere"]}, ["join"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
-        (DIAMOND | {"join": ["left", "left"]}, ["join", "right"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND, ["north"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND | {"north": ["nowhere"]}, ["finish"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
+        (DIAMOND | {"finish": ["north", "north"]}, ["finish", "south"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
         ({"a": ["b"], "b": ["a"]}, ["a"], va.Limits(), "PLAN_TOPOLOGY_INVALID"),
     ],
 )
@@ -65,12 +65,12 @@ def test_first_violation(deps, outputs, limits, code):
 
 
 def test_violations_of_form():
-    good = fragment(DIAMOND, ["join"])
+    good = fragment(DIAMOND, ["finish"])
     assert va.decode(good | {"more": 1}) == "PLAN_FRAGMENT_INVALID"
     assert va.decode(good | {"version": "9"}) == "PLAN_FRAGMENT_VERSION_UNSUPPORTED"
     assert va.decode(good | {"nodes": good["nodes"][::-1]}) == "PLAN_FRAGMENT_INVALID"
     assert va.decode(good | {"nodes": [good["nodes"][0]] * 2}) == "PLAN_TOPOLOGY_INVALID"
-    assert va.resolve(fragment(DIAMOND, ["join"], {"left": "unknown"}), CATALOG, va.Limits()) == "PLAN_MODULE_NOT_ALLOWED"
+    assert va.resolve(fragment(DIAMOND, ["finish"], {"north": "unknown"}), CATALOG, va.Limits()) == "PLAN_MODULE_NOT_ALLOWED"
 
 
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=12))
@@ -150,13 +150,13 @@ def test_schemas():
 
 
 def test_map_over(spark):
-    rows = spark.createDataFrame([(1, [("a", 1), ("b", 2)]), (2, [("b", 2), ("a", 1)])], "id long, items array<struct<item_id:string,value:bigint>>")
-    done = au.map_over(rows, "id", "items", lambda x: x["item_id"], lambda x: x["value"])
+    rows = spark.createDataFrame([(1, [("a", 1), ("b", 2)]), (2, [("b", 2), ("a", 1)])], "id long, items array<struct<part_no:string,value:bigint>>")
+    done = au.map_over(rows, "id", "items", lambda x: x["part_no"], lambda x: x["value"])
     got = {r["id"]: [(m["instance"], m["value"]) for m in r["mapped"]] for r in done.collect()}
     assert [v for _, v in got[1]] == [1, 2] and [v for _, v in got[2]] == [2, 1] and dict(got[1]) == dict(got[2])
     twice = spark.createDataFrame([(1, [("a", 1), ("a", 2)])], rows.schema)
     with pytest.raises(Exception, match="repeated map key"):
-        au.map_over(twice, "id", "items", lambda x: x["item_id"], lambda x: x["value"]).collect()
+        au.map_over(twice, "id", "items", lambda x: x["part_no"], lambda x: x["value"]).collect()
 
 
 def test_split_branches(spark):
