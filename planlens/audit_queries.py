@@ -200,19 +200,20 @@ def number_texts(b: Bridge) -> DataFrame:
 
 _PLAN_RULES = [(1, "plan_fanout", 1.0, 0.0), (2, "plan_budget_cost_usd", 0.25, 0.015), (3, "plan_budget_tool_calls", 20.0, 2.0)]
 _SAYS = " UNION ALL ".join(
-    f"SELECT plan_id, {rank} AS rank, CASE WHEN v > {upper} THEN '{au.METRIC_LABELS[metric]} is ' || {_NUMBER_SQL.format('v')} || '; policy allows at most {upper:g} ({metric}).' WHEN v < {lower} THEN '{au.METRIC_LABELS[metric]} is ' || {_NUMBER_SQL.format('v')} || '; policy requires at least {lower:g} ({metric}).' END AS message, '{metric}' AS metric FROM (SELECT plan_id, CAST({column} AS DOUBLE) AS v FROM metric)"
+    f"SELECT plan_id, {rank} AS rank, CASE WHEN v > {upper} THEN '{au.METRICS[metric][1]} is ' || {_NUMBER_SQL.format('v')} || '; policy allows at most {upper:g} ({metric}).' WHEN v < {lower} THEN '{au.METRICS[metric][1]} is ' || {_NUMBER_SQL.format('v')} || '; policy requires at least {lower:g} ({metric}).' END AS message, CASE WHEN v > {upper} THEN '{au.METRICS[metric][0]}' ELSE '{au.METRICS[metric][0].replace('EXCEEDED', 'BELOW_MINIMUM')}' END AS code FROM (SELECT plan_id, CAST({column} AS DOUBLE) AS v FROM metric)"
     for (rank, metric, upper, lower), column in zip(_PLAN_RULES, ("max_fanout", "cost_usd", "tool_calls"))
 )
 
 
 @query("v15_evidence_texts", f"""WITH metric AS (SELECT plan_id, max_fanout, tool_calls, cost_usd FROM (SELECT plan_id, CASE WHEN count(*) = count(tool_calls) THEN CAST(sum(tool_calls) AS BIGINT) END AS tool_calls,
  CASE WHEN count(*) = count(cost_usd) THEN CAST(sum(CAST(cost_usd AS DECIMAL(28,10))) AS DOUBLE) END AS cost_usd FROM node GROUP BY plan_id) JOIN (SELECT plan_id, max(n) AS max_fanout FROM (SELECT plan_id, dep, count(*) AS n FROM edge GROUP BY plan_id, dep) GROUP BY plan_id) USING (plan_id)),
- said AS (SELECT * FROM ({_SAYS}) WHERE message IS NOT NULL), listed AS (SELECT plan_id, arg_min(metric, rank) AS code, string_agg(message, chr(10) ORDER BY rank) AS messages FROM said GROUP BY plan_id)
+ said AS (SELECT * FROM ({_SAYS}) WHERE message IS NOT NULL), listed AS (SELECT plan_id, arg_min(code, rank) AS code, string_agg(message, chr(10) ORDER BY rank) AS messages FROM said GROUP BY plan_id)
  SELECT m.plan_id, coalesce('PLAN REFUSED: ' || code || chr(10) || messages, 'PLAN APPROVED: plan-' || m.plan_id) AS evidence FROM metric m LEFT JOIN listed l ON l.plan_id = m.plan_id""")
 def evidence_texts(b: Bridge) -> DataFrame:
     metrics = me.fan_out(b.edge).join(me.aggregate_budget(b.node), "plan_id").selectExpr("plan_id", "max_fanout as plan_fanout", "cost_usd as plan_budget_cost_usd", "tool_calls as plan_budget_tool_calls")
     names = [r[1] for r in _PLAN_RULES]
     long = metrics.selectExpr("plan_id", f"stack({len(names)}, " + ", ".join(f"'{n}', cast({n} as double)" for n in names) + ") as (metric, value)")
     rules = b.spark.createDataFrame(_PLAN_RULES, "rank int, metric string, upper double, lower double")
-    said = long.join(rules, "metric").select("plan_id", "rank", F.col("metric").alias("code"), au.rule_message(F.col("metric"), F.col("value"), F.col("upper"), F.col("lower")).alias("message")).filter("message is not null")
+    broken = [F.col(c) for c in ("metric", "value", "upper", "lower")]
+    said = long.join(rules, "metric").filter("value > upper or value < lower").select("plan_id", "rank", au.rule_code(*broken).alias("code"), au.rule_message(*broken).alias("message"))
     return au.evidence_text(said, metrics.select("plan_id", F.concat(F.lit("plan-"), F.col("plan_id").cast("string")).alias("artifact_id")))

@@ -8,11 +8,15 @@ from pyspark.sql.types import StringType
 
 #: Environments in which a task may be isolated.
 ISOLATIONS = ("process", "container", "vm", "microvm")
-#: A policy's numeric metrics with their label in messages.
-METRIC_LABELS = {
-    "plan_depth": "Plan depth", "plan_fanout": "Plan fan-out", "plan_budget_cost_usd": "Plan cost budget (USD)",
-    "plan_budget_model_tokens": "Plan model-token budget", "plan_budget_tool_calls": "Plan tool-call budget", "plan_budget_wall_time_ms": "Plan wall-time budget (ms)",
-}
+#: A policy's numeric metrics, each with the code of a plan beyond its upper limit and the label in messages.
+METRICS = {
+    "plan_depth": ("PLAN_DEPTH_EXCEEDED", "Plan depth"),
+    "plan_fanout": ("PLAN_FANOUT_EXCEEDED", "Plan fan-out"),
+    "plan_budget_cost_usd": ("PLAN_BUDGET_COST_EXCEEDED", "Plan cost budget (USD)"),
+    "plan_budget_model_tokens": ("PLAN_BUDGET_MODEL_TOKENS_EXCEEDED", "Plan model-token budget"),
+    "plan_budget_tool_calls": ("PLAN_BUDGET_TOOL_CALLS_EXCEEDED", "Plan tool-call budget"),
+    "plan_budget_wall_time_ms": ("PLAN_BUDGET_WALL_TIME_EXCEEDED", "Plan wall-time budget (ms)"),
+}
 
 
 def first_difference(left: str, right: str, fields: tuple[str, ...], where_recorded: bool = False) -> Column:
@@ -118,10 +122,19 @@ def number_text(value: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).when(value.isNotNull(), short(value))
 
 
+def _named(metric: Column, place: int) -> Column:
+    return F.coalesce(*(F.when(metric == name, F.lit(texts[place])) for name, texts in METRICS.items()))
+
+
+def rule_code(metric: Column, observed: Column, upper: Column, lower: Column) -> Column:
+    """The code of a plan beyond a limit of a numeric rule, or null."""
+    code = _named(metric, 0)
+    return F.when(observed > upper, code).when(observed < lower, F.regexp_replace(code, "EXCEEDED$", "BELOW_MINIMUM"))
+
+
 def rule_message(metric: Column, observed: Column, upper: Column, lower: Column) -> Column:
     """The sentence that tells how a plan breaks a numeric rule, or null if it doesn't."""
-    label = F.coalesce(*(F.when(metric == name, F.lit(text)) for name, text in METRIC_LABELS.items()))
-    says = lambda how, bound: F.concat(label, F.lit(" is "), number_text(observed), F.lit(f"; policy {how} "), number_text(bound), F.lit(" ("), metric, F.lit(")."))
+    says = lambda how, bound: F.concat(_named(metric, 1), F.lit(" is "), number_text(observed), F.lit(f"; policy {how} "), number_text(bound), F.lit(" ("), metric, F.lit(")."))
     return F.when(observed > upper, says("allows at most", upper)).when(observed < lower, says("requires at least", lower))
 
 

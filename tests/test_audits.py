@@ -125,3 +125,14 @@ def test_numbers_and_evidence(spark):
     refusals = spark.createDataFrame([(1, 2, "B", "b."), (1, 1, "A", "a.")], "plan_id long, rank int, code string, message string")
     plans = spark.createDataFrame([(1, "p1"), (2, "p2")], "plan_id long, artifact_id string")
     assert rows(au.evidence_text(refusals, plans)) == [(1, "PLAN REFUSED: A\na.\nb."), (2, "PLAN APPROVED: p2")]
+
+
+def test_rules(spark):
+    cases = [("plan_depth", 7.0, 6.0, 1.0), ("plan_budget_cost_usd", 0.125, 2.0, 0.5), ("plan_fanout", 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, metric string, value double, upper double, lower double")
+    columns = [F.col(c) for c in ("metric", "value", "upper", "lower")]
+    assert rows(frame.select("k", au.rule_code(*columns), au.rule_message(*columns))) == [
+        (0, "PLAN_DEPTH_EXCEEDED", "Plan depth is 7; policy allows at most 6 (plan_depth)."),
+        (1, "PLAN_BUDGET_COST_BELOW_MINIMUM", "Plan cost budget (USD) is 0.125; policy requires at least 0.5 (plan_budget_cost_usd)."),
+        (2, None, None),
+    ]
