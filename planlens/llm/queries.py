@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planlens.llm import bpe, jaccard_join, media, packing, pii, quality_rules, sql, substring_dedup, token_counts, token_files, toxicity
+from planlens.llm import bpe, jaccard_join, media, packing, pii, quality_rules, sql, subword_quality, substring_dedup, token_alignment, token_counts, token_files, toxicity, vector_codes
 from planlens.workspace import Scratch
 
 
@@ -67,6 +67,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_test = subword_quality.held_out(F.col("doc_id"))
+    scored = subword_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~is_test)
+    return scored.select("doc_id", is_test.alias("held_out"), "score", "predicted")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -79,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_pii": op9_pii,
         "op10_packing": op10_packing,
+        "op11_subword_quality": op11_subword_quality,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 

@@ -29,5 +29,31 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 """
 
 
+def _vector_codes(rounds: int = 6) -> str:
+    """Lloyd rounds one after the other; a distance and an entry are one number, so the least has the lowest index."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT rid, p, min(d * 16 + k) AS m FROM (
+   SELECT rid, parts.p, k, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) AS d FROM parts JOIN book{k} USING (p)) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""sums{k} AS (SELECT p, k, j, sum(v) AS s, count(*) AS n FROM (
+   SELECT p, CAST(m % 16 AS BIGINT) AS k, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM near{k} JOIN parts USING (rid, p)) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.c, o.c) AS c FROM book{k} o LEFT JOIN (
+   SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM sums{k} GROUP BY p, k) n USING (p, k))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) AS rid
+   FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT rid, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS x FROM kept, range(8) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS k, x AS c FROM parts WHERE rid <= 16),
+{", ".join(steps)},
+coded AS (SELECT rid, string_agg(printf('%02x', CAST(m % 16 AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM near{rounds} GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), digest
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": NEAR_DUPLICATES, "op2_substring_dedup": REPEATED_PASSAGES}
+    return {"op1_jaccard_join": NEAR_DUPLICATES, "op2_substring_dedup": REPEATED_PASSAGES, "op13_vector_codes": VECTOR_CODES}
