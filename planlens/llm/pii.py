@@ -10,6 +10,11 @@ candidate is personal data; with these likelihoods as soft labels a final
 classifier over features of the span is trained, as sums in Spark. A candidate
 that it accepts and that no base span of its kind overlaps is added.
 
+An address may be written out with brackets (``[at]``, ``(dot)``) or as words
+(``name at host dot com``); a secret is a known kind of key or what stands behind
+a name such as ``Password:``, with a blank around the sign if it holds a digit.
+No pattern bounds the length of what it takes; each reads a long run once.
+
 Texts are scanned once, for base spans and candidates; only spans are kept.
 Null and empty texts have no spans. Repeated rows get a row each, other columns
 are ignored, an empty table gives no rows. Positions count code points.
@@ -39,8 +44,9 @@ _BYTES = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 #: Candidate patterns by kind; the first that matches at a place wins.
 CANDIDATES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "secret": r"AKIA[0-9A-Z]{16}|(?:password|passwd|pwd|secret|token|api_key)[=:][^\s\"']{6,}+|(?<=\")[0-9A-Fa-f]{32,}+(?=\")",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?: ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
+    "secret": r"AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abeprs]-[A-Za-z0-9-]{8,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)"
+    r"|(?i:password|passwd|pwd|secret|token|api_?key)(?:[=:][^\s\"']{6,}+| ?[=:] ?(?=[^\s\"'0-9]*+[0-9])[^\s\"']{6,}+)|(?<=\")[0-9A-Fa-f]{32,}+(?=\")",
     "phone": r"\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}+(?![0-9])",
     "card": r"[0-9](?<![0-9][0-9])(?:[0-9]{3}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{12,18}+)(?![0-9])",
 }
@@ -48,12 +54,15 @@ CANDIDATES = {
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at")
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420")
 CARD_ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
-KEY_PREFIXES = "^(?:AKIA|ghp_|sk-|xox|password|passwd|secret|token|api_key)"
+KEY_PREFIXES = "^(?:AKIA|gh[pousr]_|sk-|xox|eyJ|(?i:password|passwd|pwd|secret|token|api_?key))"
 CUES = r"(?i)(?:phone|tel|call|mobile|fax|contact|mail|card|visa|pay|account|user|login|key|pass|secret|token|telefon|konto|karte|kontakt|carte|compte|tarjeta|cuenta|correo|courriel)\S{0,12}\W{0,3}$"
 COUNTER_CUES = r"(?i)(?:isbn|issn|order|invoice|ticket|version|page|commit|sha|md5|no\.|nr\.)\W{0,3}$"
 
+#: How a candidate begins that is an address written out.
+_WRITTEN_OUT = r"^[A-Za-z0-9._%+-]+(?: ?[\[({] ?at ?[\])}]| at )"
+
 #: A text without a match of this has no span and no candidate.
-MAY_HOLD = r"[0-9@=]|(?:password|passwd|pwd|secret|token|api_key):|\"[A-Fa-f]{32}|AKIA[A-Z]{16}|[\[({] ?at ?[\])}]"
+MAY_HOLD = r"[0-9@=]|(?i:password|passwd|pwd|secret|token|api_?key):|\"[A-Fa-f]{32}|AKIA[A-Z]{16}|gh[pousr]_|sk-[A-Za-z_-]{16}|xox[abeprs]-|eyJ|[\[({] ?at ?[\])}]| dot [A-Za-z-]"
 
 #: Values of the feature ``form``: shapes of spans share them by hash, so the classifier has few weights on any corpus.
 FORMS = 512
@@ -107,7 +116,7 @@ def candidate_spans(text: Column) -> Column:
 
     def describe(s: Column) -> Column:
         m = s["m"]
-        kind = F.when(m.rlike("at ?[\\])}]"), "email").when(m.startswith("+"), "phone").when(m.rlike("^[0-9][0-9 -]*$"), "card").otherwise("secret")
+        kind = F.when(m.rlike(_WRITTEN_OUT), "email").when(m.startswith("+"), "phone").when(m.rlike("^[0-9][0-9 -]*$"), "card").otherwise("secret")
         before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
         after = F.substring(text, s["end"] + 1, F.lit(2))
         return F.struct(
