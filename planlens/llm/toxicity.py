@@ -14,7 +14,8 @@ The scorer is learned from labelled documents, at most ``TRAIN_ROWS`` of them,
 chosen by a hash of doc_id: words and word beginnings that toxic documents use
 in many different contexts and clean ones don't (contexts, so that copies of
 one document don't count as evidence), with a logistic calibration of a
-document's strongest evidence. Everything else covers all documents.
+document's strongest evidence, fitted on documents judged by evidence from
+the other half of them. Everything else covers all documents.
 
 A null or empty text has no evidence and gets the score of that. Null labels and
 null ids aren't learned from; a doc_id labelled both ways counts as toxic.
@@ -44,8 +45,8 @@ from planlens.workspace import ship_package
 
 #: Labelled documents used for fitting, at most.
 TRAIN_ROWS = 20_000
-#: Features of the model, at most, and contexts a feature needs in toxic documents.
-MODEL_SIZE, LEAST_CONTEXTS = 4_096, 12
+#: Contexts a feature needs in toxic documents.
+LEAST_CONTEXTS = 12
 
 #: Letters of the character model besides a-z.
 ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõœùúûüýÿß"
@@ -360,7 +361,7 @@ def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterM
     return out
 
 
-def learn_evidence(sample: DataFrame, model_value) -> dict[str, float]:
+def learn_evidence(sample: DataFrame, model_value, least: int = LEAST_CONTEXTS) -> dict[str, float]:
     """Log odds of the features that toxic documents of ``sample`` (text, toxic) use in many contexts."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,8 +385,8 @@ def learn_evidence(sample: DataFrame, model_value) -> dict[str, float]:
     total = each.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("contexts", "toxic", "clean")))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     odds = F.log((F.col("toxic") + 0.5) / n.get(1, 1)) - F.log((F.col("clean") + 0.5) / n.get(0, 1))
-    best = total.filter(F.col("contexts") >= LEAST_CONTEXTS).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc("odds"), F.desc("contexts"), "feature").limit(MODEL_SIZE)
-    return {r["feature"]: float(r["odds"]) for r in best.collect()}
+    best = total.filter(F.col("contexts") >= least).withColumn("odds", odds).filter("odds > 2")
+    return {r["feature"]: float(r["odds"]) for r in best.orderBy("feature").collect()}  # no more than the words of TRAIN_ROWS documents give
 
 
 def hash_of(*words: str) -> int:
@@ -420,19 +421,25 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, t
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "doc_id long, toxic int")  # at most train_rows
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     scorer = Scorer(learn_evidence(sample, shared))
-    learned = spark.sparkContext.broadcast(scorer)
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for batch in slices(batches):
-            rows = document_evidence(batch.column("text").to_pylist(), learned.value, shared.value, known)
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["doc_id", "toxic", "strongest", "hits", "words"])
-
-    found = sample.mapInArrow(evidence, "doc_id long, toxic int, strongest double, hits long, words long")
-    # of repeated rows the strongest counts, so that at most train_rows are fetched
-    found = found.groupBy("doc_id", "toxic").agg(F.max(F.struct("strongest", "hits", "words")).alias("x"))
-    rows = found.select("toxic", "x.*").orderBy("doc_id").collect()
+    def judged(rows: DataFrame, by: Scorer) -> list:
+        learned = spark.sparkContext.broadcast(by)
+
+        def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, float] = {}
+            for batch in slices(batches):
+                found = document_evidence(batch.column("text").to_pylist(), learned.value, shared.value, known)
+                columns = list(zip(*found)) if found else [[]] * 3
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["doc_id", "toxic", "strongest", "hits", "words"])
+
+        found = rows.mapInArrow(evidence, "doc_id long, toxic int, strongest double, hits long, words long")
+        # of repeated rows the strongest counts, so that at most train_rows are fetched
+        found = found.groupBy("doc_id", "toxic").agg(F.max(F.struct("strongest", "hits", "words")).alias("x"))
+        return found.select("toxic", "x.*").orderBy("doc_id").collect()
+
+    # a half is judged by what the other half taught, so that the calibration isn't surer than it may be
+    halves = [sample.filter(F.xxhash64(F.lit("half"), "doc_id") % 2 == 0), sample.filter(F.xxhash64(F.lit("half"), "doc_id") % 2 != 0)]
+    rows = [r for k in (0, 1) for r in judged(halves[k], Scorer(learn_evidence(halves[1 - k], shared, LEAST_CONTEXTS // 2)))]
     y = np.array([r["toxic"] for r in rows], np.float64)
     if len(y) and 0 < y.sum() < len(y):
         x = np.array([(r["strongest"], min(r["hits"], 5), r["hits"] / max(r["words"], 20)) for r in rows])
