@@ -776,7 +776,7 @@ def max_depth(b: Bridge) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from planlens import audit_queries, contract_queries  # noqa: F401  register their own
+    from planlens import audit_queries, contract_queries, document_queries  # noqa: F401  register their own
 
     return _REGISTRY
 
