@@ -92,11 +92,14 @@ def records_without_boundary(b: Bridge) -> DataFrame:
     return b.node.join(b.plan_after.select("plan_id", "i"), ["plan_id", "i"], "left_anti").select("plan_id", "i")
 
 
-@query("j20_event_task_boundary", "SELECT e.event_id, n.plan_id, n.i FROM event e JOIN node n ON n.plan_id = e.run_id JOIN plan_after a ON a.plan_id = n.plan_id AND a.i = n.i WHERE e.event_type = 'TASK_COMPLETED'")
+@query("j20_event_task_boundary", """WITH done AS (SELECT event_id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS k FROM event WHERE event_type = 'TASK_COMPLETED')
+ SELECT e.event_id, n.plan_id, n.i, a.i IS NOT NULL AS at_boundary FROM done e JOIN node n ON n.plan_id = e.run_id AND n.i = e.k LEFT JOIN plan_after a ON a.plan_id = n.plan_id AND a.i = n.i""")
 def event_task_boundary(b: Bridge) -> DataFrame:
-    done = b.event.filter("event_type = 'TASK_COMPLETED'").select("event_id", "run_id")
-    kept = b.node.select("plan_id", "i").join(b.plan_after.select("plan_id", "i"), ["plan_id", "i"], "left_semi")
-    return done.join(kept, done["run_id"] == kept["plan_id"]).select("event_id", "plan_id", "i")
+    """A run's completions in order, each with its task and whether the task is in the accepted plan; one task for an event."""
+    done = b.event.filter("event_type = 'TASK_COMPLETED'").select("event_id", F.col("run_id").alias("plan_id"), F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")).alias("i"))
+    tasks = done.join(b.node.select("plan_id", "i"), ["plan_id", "i"])
+    boundary = b.plan_after.select("plan_id", "i", F.lit(True).alias("kept"))
+    return tasks.join(boundary, ["plan_id", "i"], "left").select("event_id", "plan_id", "i", F.coalesce("kept", F.lit(False)).alias("at_boundary"))
 
 
 @query("j21_recorded_reads", "SELECT d.doc_id, d.lang || ':' || coalesce(CAST(l.quality AS VARCHAR), 'none') AS read FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -271,12 +274,24 @@ def inherited_decisions(b: Bridge) -> DataFrame:
     return co.inherited(decisions, contexts).select("plan_id", "i", "decided_at")
 
 
-@query("n24_command_defects", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'unknown-type' WHEN 2 THEN 'no-id' WHEN 3 THEN 'fields' END AS defect FROM event")
+@query("n24_command_defects", """WITH sent AS (SELECT event_id, CASE event_type WHEN 'RUN_STARTED' THEN 'approve' WHEN 'TASK_READY' THEN 'pause' WHEN 'ATTEMPT_HEARTBEAT' THEN 'signal' WHEN 'TASK_COMPLETED' THEN 'reject' ELSE 'restart' END AS kind,
+ CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM event)
+ SELECT event_id, kind, CASE WHEN kind = 'restart' THEN 'unknown-type' WHEN k % 7 = 0 THEN 'no-id' WHEN kind = 'signal' AND k % 3 = 1 THEN 'fields' WHEN kind = 'pause' AND k % 3 = 2 THEN 'fields'
+  WHEN kind IN ('approve', 'reject') AND k % 5 = 4 THEN 'fields' WHEN kind IN ('approve', 'reject') AND k % 5 = 3 THEN 'blank' END AS defect FROM sent""")
 def command_defects(b: Bridge) -> DataFrame:
-    turn = F.col("event_id") % 4
-    kind = F.when(turn == 1, "explode").otherwise("approve")
-    fields = F.when(turn == 3, F.array(F.lit("type"), F.lit("command_id"))).otherwise(F.array(F.lit("type"), F.lit("command_id"), F.lit("request_id")))
-    return b.event.select("event_id", co.command_defect(kind, F.when(turn != 2, "c1"), fields).alias("defect"))
+    """The log's events as commands: with optional fields or none, without an id, with a field too few or too many, with a blank request."""
+    sent = b.event.withColumn("k", F.get_json_object("payload", "$.k").cast("long"))
+    kind = F.when(F.col("event_type") == "RUN_STARTED", "approve").when(F.col("event_type") == "TASK_READY", "pause").when(F.col("event_type") == "ATTEMPT_HEARTBEAT", "signal").when(F.col("event_type") == "TASK_COMPLETED", "reject").otherwise("restart")
+    k = F.col("k")
+    value = lambda test: F.when(test, F.lit("x"))
+    request = F.when(k % 5 == 4, F.lit(None).cast("string")).when(k % 5 == 3, " ").otherwise(F.concat(F.lit("r"), k.cast("string")))
+    made = sent.select("event_id", kind.alias("kind"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("c"), "event_id")).alias("command_id"), F.struct(
+        F.when(F.col("event_type").isin("RUN_STARTED", "TASK_COMPLETED"), request).alias("request_id"), value((F.col("event_type") == "RUN_STARTED") & (k % 2 == 0)).alias("comment"),
+        value(F.col("event_type").isin("TASK_READY", "TASK_COMPLETED") & (k % 2 == 0)).alias("reason"), value(F.col("event_type") == "ATTEMPT_HEARTBEAT").alias("name"),
+        value((F.col("event_type") == "ATTEMPT_HEARTBEAT") & (k % 3 != 1)).alias("value"), value((F.col("event_type") == "TASK_READY") & (k % 3 == 2)).alias("task_id"),
+    ).alias("f"))
+    listed = lambda test: F.array_compact(F.array(*(F.when(test(F.col(f"f.{c}")), F.lit(c)) for c in ("request_id", "comment", "reason", "name", "value", "task_id"))))
+    return made.select("event_id", "kind", co.command_defect(F.col("kind"), F.col("command_id"), listed(lambda c: c.isNotNull()), listed(lambda c: F.trim(c) == "")).alias("defect"))
 
 
 @query("n25_run_snapshots", "SELECT run_id, tenant_id, status, max(event_id) AS cursor FROM run LEFT JOIN event USING (run_id) GROUP BY ALL")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.plans import documents as do
+from planlens.plans import metrics as me
+from planlens.plans import schemas as sc
 from planlens.plans.bridge import Bridge
 from planlens.queries import query
 
@@ -78,6 +80,18 @@ def topological_positions(b: Bridge) -> DataFrame:
     return do.topological_labels(choices_of(b).select("plan_id", "key", "dependencies"))
 
 
+@query("g01_graph_metrics", f"""WITH RECURSIVE {_ORDER_SQL.replace("'n' || lpad(CAST(g.i AS VARCHAR), 4, '0')", "'n' || lpad(CAST(g.i AS VARCHAR), 5, '0')").replace("n0001", "n00001")},
+ walk AS (SELECT e.plan_id, e.i, 1 AS depth, n.wall_time_ms AS ms FROM edge e JOIN node n ON n.plan_id = e.plan_id AND n.i = e.i WHERE e.dep = 0
+ UNION ALL SELECT e.plan_id, e.i, w.depth + 1, w.ms + n.wall_time_ms FROM walk w JOIN edge e ON e.plan_id = w.plan_id AND e.dep = w.i JOIN node n ON n.plan_id = e.plan_id AND n.i = e.i),
+ path AS (SELECT plan_id, i, max(depth) AS depth, CASE WHEN count(*) = count(ms) THEN max(ms) END AS ms FROM walk GROUP BY plan_id, i),
+ most AS (SELECT plan_id, CAST(count(*) AS INTEGER) AS nodes, CAST(max(depth) AS INTEGER) AS max_depth FROM path GROUP BY plan_id),
+ last AS (SELECT p.plan_id, CASE WHEN count(*) = count(p.ms) THEN CAST(max(p.ms) AS DOUBLE) END AS critical_path_ms FROM path p WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.plan_id = p.plan_id AND e.dep = p.i) GROUP BY p.plan_id)
+ SELECT m.plan_id, nodes, max_depth, false AS cyclic, '' AS missing, '' AS unreachable, string_agg(key, ',' ORDER BY position) AS topological, any_value(critical_path_ms) AS critical_path_ms
+ FROM most m JOIN last l ON l.plan_id = m.plan_id JOIN placed p ON p.plan_id = m.plan_id GROUP BY m.plan_id, nodes, max_depth""")
+def graph_metrics(b: Bridge) -> DataFrame:
+    return me.graph_metrics(me.keyed_nodes(b.node, b.edge))
+
+
 @query("g05_plan_documents", f"WITH RECURSIVE {_ORDER_SQL}, {_CHOICE_SQL} SELECT plan_id, sha256(plan) AS plan_digest, CAST(length(plan) AS INTEGER) AS n_chars FROM plan")
 def plan_documents(b: Bridge) -> DataFrame:
     return do.build(choices_of(b), regions_of(b)).select("plan_id", "plan_digest", F.length("plan").alias("n_chars"))
@@ -112,3 +126,24 @@ def revalidated_plans(b: Bridge) -> DataFrame:
     stored = do.build(choices_of(b), regions_of(b)).select("plan_id", "plan")
     now = b.node.withColumn("module_digest", F.when(F.col("p_size") % 7 == 0, F.sha2(F.concat("module_digest", F.lit("+")), 256)).otherwise(F.col("module_digest")))
     return do.revalidated(stored, choices_of(b, now), regions_of(b))
+
+
+#: Schemas by p_size % 8, as producers declare them and as consumers expect them.
+_SCHEMAS = (
+    '{"type":"integer"}', '{"type":"number"}', '{"anyOf":[{"type":"null"},{"type":"number"}]}', "{}", '{"type":"string"}', '{"anyOf":[{"anyOf":[{"type":"string"},{"type":"integer"}]},{"type":"null"}]}',
+    '{"pythonType":"builtins.object"}', '{"items":{"type":"integer"},"type":"array"}',
+)
+#: Places of the sources that each target takes, besides equal ones and the one without demands (3).
+_TAKES = {1: (0,), 2: (0, 1), 3: (0, 1, 2, 4, 5, 6, 7), 5: (0, 4), 6: (0, 1, 2, 4, 5, 7)}
+_TAKES_SQL = " OR ".join(f"(t = {t} AND s IN ({', '.join(map(str, ss))}))" for t, ss in _TAKES.items())
+
+
+@query("p17_schema_contracts", f"SELECT plan_id, i, dep, s = t OR s = 3 OR {_TAKES_SQL} AS compatible FROM (SELECT e.plan_id, e.i, e.dep, p.p_size % 8 AS s, n.p_size // 2 % 8 AS t FROM edge e JOIN node n ON n.plan_id = e.plan_id AND n.i = e.i JOIN node p ON p.plan_id = e.plan_id AND p.i = e.dep)")
+def schema_contracts(b: Bridge) -> DataFrame:
+    """Of every edge between nodes, whether what its producer makes is what its consumer expects."""
+    texts = F.array(*map(F.lit, _SCHEMAS))
+    of = lambda c: F.get(texts, (c % len(_SCHEMAS)).cast("int"))
+    made = b.node.select("plan_id", F.col("i").alias("dep"), of(F.col("p_size")).alias("source"))
+    wanted = b.node.select("plan_id", "i", of(F.floor(F.col("p_size") / 2)).alias("target"))
+    edges = b.edge.join(wanted, ["plan_id", "i"]).join(made, ["plan_id", "dep"])
+    return edges.join(F.broadcast(sc.compatible(edges)), ["source", "target"]).select("plan_id", "i", "dep", "compatible")  # at most one row for each pair of the eight

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from planlens.functions import expressions as fx
 
-#: Fields that a command of each type has besides type and command_id.
-COMMAND_FIELDS = {"approve": ("request_id",), "reject": ("request_id", "reason"), "input": ("request_id", "value"), "signal": ("name", "value"), "pause": (), "resume": (), "cancel": (), "retry": ("task_id",)}
+#: What a command of each type has besides type and command_id: what it must have, and what it may.
+COMMAND_FIELDS = {
+    "signal": (("name", "value"), ("request_id",)), "approve": (("request_id",), ("comment",)), "reject": (("request_id",), ("reason",)), "input": (("request_id", "value"), ()),
+    "pause": ((), ("reason",)), "resume": ((), ()), "cancel": ((), ("reason",)), "retry": (("task_id",), ()),
+}
 
 
 def has_exactly(fields: Column, expected: tuple[str, ...]) -> Column:
@@ -21,14 +24,20 @@ def in_order(items: Column) -> Column:
     return items == F.array_sort(F.array_distinct(items))
 
 
-def command_defect(kind: Column, command_id: Column, fields: Column) -> Column:
-    """Why a command is refused, or null."""
-    known = F.lit(False)
-    exact = F.lit(False)
-    for name, more in COMMAND_FIELDS.items():
+def command_defect(kind: Column, command_id: Column, fields: Column, blank: Column | None = None) -> Column:
+    """Why a command is refused, or null: unknown type, no id, a field that it lacks or doesn't know, a blank name.
+
+    ``fields`` are those that hold a value; ``blank`` those whose text is blank, which
+    no field that says whom a command is for may be.
+    """
+    names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    known, lacking, more = F.lit(False), F.lit(False), F.lit(False)
+    for name, (must, may) in COMMAND_FIELDS.items():
         known = known | (kind == name)
-        exact = exact | ((kind == name) & has_exactly(fields, ("type", "command_id", *more)))
-    return F.when(~known, "unknown-type").when(command_id.isNull() | (command_id == ""), "no-id").when(~exact, "fields")
+        lacking = lacking | ((kind == name) & (F.size(F.array_except(names(must), fields)) > 0))
+        more = more | ((kind == name) & (F.size(F.array_except(fields, names(("type", "command_id", *must, *may)))) > 0))
+    out = F.when(kind.isNull() | ~known, "unknown-type").when(command_id.isNull() | (F.trim(command_id) == ""), "no-id").when(lacking | more, "fields")
+    return out if blank is None else out.when(F.arrays_overlap(blank, names(("name", "request_id", "task_id"))), "blank")
 
 
 def budget_defect(dimension: Column, value: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Budget dimensions in the order in which an overrun is reported.
+#: Budget dimensions in the order in which an overrun is reported.
 DIMENSIONS = ("wall_time_ms", "model_tokens", "tool_calls", "cost_usd")
+#: Fixed value: an overrun's name where it isn't that of the column.
+DIMENSION_NAMES = {"wall_time_ms": "wall_time"}
 #: States a run may go to.
 RUN_TRANSITIONS = {"RUNNING": ("PAUSED", "SUCCEEDED", "FAILED", "CANCELLED"), "PAUSED": ("RUNNING", "CANCELLED")}
 
@@ -101,7 +103,8 @@ def overrun(use: DataFrame, limits: dict[str, float]) -> DataFrame:
     for dimension in DIMENSIONS:
         if dimension in limits:
             over = F.col(dimension) > limits[dimension]
-            ladder = ladder.when(over, dimension) if ladder is not None else F.when(over, dimension)
+            name = DIMENSION_NAMES.get(dimension, dimension)
+            ladder = ladder.when(over, name) if ladder is not None else F.when(over, name)
     return use.select("plan_id", ladder.alias("exceeded")).filter("exceeded is not null")
 
 

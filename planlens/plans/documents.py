@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from planlens.functions.canonical import canonical, digest_of, list_text, object_text, string_text
+from planlens.plans.doubling import ancestry
+from planlens.plans.metrics import labelled
+from planlens.workspace import Scratch
 
 #: Version of the documents, prefixes of addresses, and the codes of refusals.
 VERSION, INPUT, ADDRESS, WORKFLOW = "0.6.0", "$input", "nodes/", "dynamic:"
@@ -29,28 +32,14 @@ CHOICE = ("key", "dependencies", "input_schemas", "output_schema", "module_id",
 _TEXTS = ArrayType(StringType())
 
 
-def topological_labels(nodes: DataFrame) -> DataFrame:
+def topological_labels(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """plan_id, key, position (from 0) of nodes (plan_id, key, dependencies) in the order of a depth-first walk.
 
-    A node's label is the greatest label of its dependencies (the last of them in
-    the order) and its own key; labels sort as the walk goes. Nodes on or behind
-    a cycle or a missing node have no position and no row.
+    Nodes on or behind a cycle or a missing node have no position and no row.
     """
-    graph = F.collect_list(F.struct("key", F.filter(F.array_distinct("dependencies"), lambda d: d != INPUT).alias("inside")))
-    label = "array<string>"
-    none = F.create_map().cast(f"map<string,{label}>")
-
-    def sweep(known: Column, waiting: Column) -> Column:
-        """Adds the labels of all nodes whose dependencies have one."""
-        ready = F.filter(waiting, lambda n: ~F.map_contains_key(known, n["key"]) & F.forall(n["inside"], lambda d: F.map_contains_key(known, d)))
-        new = F.map_from_entries(F.transform(ready, lambda n: F.struct(n["key"], F.concat(F.coalesce(F.array_max(F.transform(n["inside"], lambda d: F.element_at(known, d))), F.array().cast(label)), F.array(n["key"])))))
-        return F.map_concat(known, new)
-
-    plans = nodes.groupBy("plan_id").agg(graph.alias("graph"))
-    # as many sweeps as there are nodes are enough; one that adds nothing costs little
-    known = F.aggregate(F.sequence(F.lit(1), F.size("graph")), none, lambda acc, k: F.when((k > 1) & (F.size(acc) == F.size("graph")), acc).otherwise(sweep(acc, F.col("graph"))))
-    ordered = F.sort_array(F.transform(F.map_entries("known"), lambda e: F.struct(e["value"].alias("label"), e["key"].alias("key"))))
-    return plans.select("plan_id", known.alias("known")).select("plan_id", F.posexplode(ordered).alias("position", "x")).select("plan_id", F.col("x.key").alias("key"), "position")
+    links = nodes.select("plan_id", F.col("key").alias("i"), F.explode("dependencies").alias("dep")).filter(F.col("dep") != INPUT)
+    depths = ancestry(nodes.select("plan_id", F.col("key").alias("i"), F.lit(0).alias("wall_time_ms")), links, scratch)
+    return labelled(nodes.select("plan_id", "key", "dependencies").join(depths.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))
 
 
 def _type(frame: DataFrame, name: str) -> DataType:
@@ -125,8 +114,10 @@ def _output_step() -> Column:
     )
 
 
-def build(choices: DataFrame, regions: DataFrame) -> DataFrame:
+def build(choices: DataFrame, regions: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """plan_id, plan (canonical text), plan_digest. A plan with a cycle or a missing dependency has a null text."""
+    scratch = scratch or Scratch(choices.sparkSession, "documents")
+    choices = scratch.save(choices.select("plan_id", *CHOICE), "choices")
     steps = step_texts(choices.join(regions.select("plan_id", "region_id"), "plan_id"))
     placed = steps.join(topological_labels(choices.select("plan_id", "key", "dependencies")), ["plan_id", "key"], "left")
     gathered = placed.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("position", "step"))).alias("steps"), F.bool_and(F.col("position").isNotNull() & F.col("step").isNotNull()).alias("whole"))
@@ -183,6 +174,7 @@ def inconsistent(plans: DataFrame, choices: StructType) -> DataFrame:
     changed definition digest, address, binding, output node or any byte that no
     choice explains makes the texts differ, and so does a text that isn't a plan.
     """
+    plans = Scratch(plans.sparkSession, "stored").save(plans.select("plan_id", "plan"), "plans")
     nodes, regions = derived_choices(plans, choices)
     again = build(nodes, regions).select("plan_id", F.col("plan").alias("again"))
     good = plans.join(again, "plan_id", "left")

@@ -1,16 +1,17 @@
-"""Plan metrics: composition, fan-out, grants, budgets, and the graph kernel."""
+"""Plan metrics: composition, fan-out, grants, budgets, depths, order and reachability."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from planlens.plans.doubling import ancestry
 from planlens.workspace import Scratch
 
+#: Rounds before deep plans go on by doubling.
+SHALLOW = 12
+
 
 def null_poisoned_sum(column: str) -> Column:
     """The sum, or null if any value is null."""
@@ -53,18 +54,20 @@ def approvals(nodes: DataFrame) -> DataFrame:
     return nodes.filter("effectful and approval_required").groupBy("plan_id").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("approvals"))
 
 
-def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """plan_id, i, depth of nodes whose dependencies end in the plan's input, in rounds over all plans.
+def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None, rounds: int = SHALLOW) -> DataFrame:
+    """plan_id, i, depth of nodes whose dependencies end in the plan's input (dep 0).
 
     Round k takes the nodes all of whose dependencies earlier rounds took, so k is
-    their depth. Rows are dealt by plan and node: no plan is gathered in one task.
-    A node on or behind a cycle or a missing node has no depth and no row.
+    their depth; plans with nodes left after ``rounds`` rounds go on by doubling,
+    as most plans are shallow and a round costs less. Rows are dealt by plan and
+    node: no plan is gathered in one task. A node on or behind a cycle or a missing
+    node has no depth and no row.
     """
     scratch = scratch or Scratch(edges.sparkSession, "depths")
     links = scratch.save(edges.select("plan_id", "i", "dep"), "links")
     waiting = scratch.save(links.groupBy("plan_id", "i").agg(F.count_if(F.col("dep") != 0).alias("waiting")), "waiting0")
     depth = 0
-    while True:
+    while depth < rounds:
         depth += 1
         taken = scratch.save(waiting.filter("waiting = 0").select("plan_id", "i"), f"taken/depth={depth}")
         if taken.isEmpty():
@@ -74,11 +77,19 @@ def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None =
         waiting = scratch.save(rest.select("plan_id", "i", (F.col("waiting") - F.coalesce("freed", F.lit(0))).alias("waiting")), f"waiting{depth}")
         scratch.drop(f"waiting{depth - 1}")
     schema = StructType([*taken.schema.fields, StructField("depth", IntegerType())])
-    return edges.sparkSession.read.schema(schema).parquet(scratch.path("taken"))
+    done = edges.sparkSession.read.schema(schema).parquet(scratch.path("taken"))
+    deep = waiting.select("plan_id").distinct()  # what is left there was never taken
+    if depth < rounds or deep.isEmpty():
+        return done
+    deep = scratch.save(deep, "deep")
+    left = links.join(deep, "plan_id", "left_semi")
+    every = left.select("plan_id", "i").distinct().withColumn("wall_time_ms", F.lit(0))
+    found = ancestry(every, left.filter("dep <> 0"), scratch).filter("depth is not null")
+    return done.join(deep, "plan_id", "left_anti").unionByName(found.select("plan_id", "i", "depth"))
 
 
 def analyse(keys: list[str], deps: dict[str, list[str]], wall: dict[str, float | None], outputs: list[str] | None = None) -> dict:
-    """Order, depth, reachability and critical path of one plan graph; ``$input`` is no node.
+    """Order, depth, reachability and critical path of one small graph in the driver's or a task's memory; ``$input`` is no node.
 
     Ready nodes are taken depth first: of those that become ready together the
     smallest key comes first. A cycle leaves ``cyclic`` true and no order. A node
@@ -124,27 +135,48 @@ def analyse(keys: list[str], deps: dict[str, list[str]], wall: dict[str, float |
     }
 
 
-METRICS = "plan_id long, nodes int, max_depth int, cyclic boolean, missing string, unreachable string, topological string, critical_path_ms double"
-
+def graph_metrics(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Metrics of every plan of ``nodes`` (plan_id, key, dependencies, wall_time_ms): nodes, max_depth, cyclic, missing, unreachable, topological, critical_path_ms.
 
-def graph_metrics(nodes: DataFrame) -> DataFrame:
-    """Metrics of every plan of ``nodes`` (plan_id, key, dependencies, wall_time_ms), in batches.
-
-    A plan's nodes are collected to one row, so its graph must fit a task;
-    plans are spread over all tasks.
+    Outputs are the nodes without users. ``topological`` lists the keys as a
+    depth-first walk frees them; nodes on or behind a cycle or a missing node
+    aren't in it, and a plan with one has no critical path.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for plan, graph in zip(frame["plan_id"], frame["graph"]):
-                keys = [g["key"] for g in graph]
-                found = analyse(keys, {g["key"]: list(g["dependencies"]) for g in graph}, {g["key"]: g["wall"] for g in graph})
-                rows.append((plan, len(keys), found["max_depth"], found["cyclic"], ",".join(found["missing"]), ",".join(found["unreachable"]), ",".join(found["order"]), found["critical_path_ms"]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in METRICS.split(", ")])
-
-    graph = F.sort_array(F.collect_list(F.struct("key", "dependencies", F.col("wall_time_ms").cast("double").alias("wall"))))
-    return nodes.groupBy("plan_id").agg(graph.alias("graph")).mapInPandas(run, METRICS)
+    scratch = scratch or Scratch(nodes.sparkSession, "graph")
+    links = nodes.select("plan_id", "key", F.explode(F.array_distinct("dependencies")).alias("dep")).filter("dep <> '$input'")
+    found = scratch.save(ancestry(nodes.select("plan_id", F.col("key").alias("i"), "wall_time_ms"), links.withColumnRenamed("key", "i"), scratch), "ancestry")
+    order = labelled(nodes.select("plan_id", "key", "dependencies").join(found.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))
+    order = order.groupBy("plan_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "key"))), lambda x: x["key"]), ",").alias("topological"))
+    lacking = links.join(nodes.select("plan_id", F.col("key").alias("dep")), ["plan_id", "dep"], "left_anti")
+    lacking = lacking.groupBy("plan_id").agg(F.array_join(F.sort_array(F.collect_set("dep")), ",").alias("missing"))
+    ends = found.join(links.select("plan_id", F.col("dep").alias("i")).distinct(), ["plan_id", "i"], "left_anti")
+    longest = ends.groupBy("plan_id").agg(F.when(F.count("*") == F.count("path_ms"), F.max("path_ms")).alias("critical_path_ms"))
+    summary = found.groupBy("plan_id").agg(
+        F.count("*").cast("int").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.bool_or("cyclic").alias("endless"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~F.col("used"), F.col("i")))), ",").alias("unreachable"),
+    )
+    whole = summary.join(order, "plan_id", "left").join(lacking, "plan_id", "left").join(longest, "plan_id", "left")
+    return whole.select(
+        "plan_id", "nodes", "max_depth", (F.col("endless") & F.col("missing").isNull()).alias("cyclic"), F.coalesce("missing", F.lit("")).alias("missing"), "unreachable", F.coalesce("topological", F.lit("")).alias("topological"), "critical_path_ms",
+    )
+
+
+def labelled(nodes: DataFrame) -> DataFrame:
+    """plan_id, key, position (from 0) in the order of a depth-first walk of nodes (plan_id, key, dependencies, depth).
+
+    A node's label is the greatest label of its dependencies, the last of them in
+    the order, and its own key; labels sort as the walk goes. They are made in one
+    pass over a plan's nodes by depth. Nodes without a depth are left out.
+    """
+    placed = nodes.filter("depth is not null").withColumn("r", F.row_number().over(Window.partitionBy("plan_id").orderBy("depth", "key")))
+    links = placed.select("plan_id", "r", F.explode("dependencies").alias("key")).join(placed.select("plan_id", "key", F.col("r").alias("before")), ["plan_id", "key"])
+    links = links.groupBy("plan_id", "r").agg(F.collect_set("before").alias("before"))
+    rows = placed.join(links, ["plan_id", "r"], "left").groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("r", "key", F.coalesce("before", F.array().cast("array<int>")).alias("before")))).alias("graph"))
+    label = "array<string>"
+    last = lambda made, n: F.coalesce(F.array_max(F.transform(n["before"], lambda d: F.get(made, d - 1))), F.array().cast(label))
+    made = F.aggregate("graph", F.array().cast(f"array<{label}>"), lambda made, n: F.array_append(made, F.concat(last(made, n), F.array(n["key"]))))
+    ordered = F.sort_array(made)
+    return rows.select("plan_id", F.posexplode(ordered).alias("position", "label")).select("plan_id", F.element_at("label", -1).alias("key"), "position")
 
 
 def keyed_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Paths through plan graphs in rounds over all plans: critical paths, dependencies behind control steps, executed branches.
+"""Paths through plan graphs over all plans: critical paths, dependencies behind control steps, executed branches.
 
-Rows are dealt by plan and node, so no plan is gathered in one task. There are as
-many rounds as the longest path has nodes.
+Rows are dealt by plan and node, so no plan is gathered in one task. Critical
+paths double; the others take as many rounds as the longest path has nodes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from planlens.plans.metrics import indexed_depths
+from planlens.plans.doubling import ancestry
 from planlens.workspace import Scratch
 
 
@@ -31,21 +31,11 @@ def critical_paths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None =
     """plan_id, i, path_ms: the longest time up to the end of each node.
 
     Unknown (null) if the node or any before it states no wall time; a node on or
-    behind a cycle has no row.
+    behind a cycle or a missing node has no row.
     """
-    scratch = scratch or Scratch(edges.sparkSession, "paths")
-    own = nodes.select("plan_id", "i", F.col("wall_time_ms").alias("own"))
-    steps = scratch.save(edges.select("plan_id", "i", "dep").join(indexed_depths(nodes, edges, scratch), ["plan_id", "i"]).join(own, ["plan_id", "i"]), "steps")
-    schema = "plan_id long, dep int, before long"
-    done = edges.sparkSession.createDataFrame([], schema)
-    for depth in range(1, (steps.agg(F.max("depth")).head()[0] or 0) + 1):
-        before = steps.filter(F.col("depth") == depth).join(done, ["plan_id", "dep"], "left").groupBy("plan_id", "i").agg(
-            F.first("own").alias("own"), F.bool_and((F.col("dep") == 0) | F.col("before").isNotNull()).alias("known"), F.max("before").alias("most")
-        )
-        path = before.select("plan_id", F.col("i").alias("dep"), F.when(F.col("known"), F.col("own") + F.coalesce("most", F.lit(0))).alias("before"))
-        scratch.save(path, f"path/depth={depth}")
-        done = edges.sparkSession.read.schema(f"{schema}, depth int").parquet(scratch.path("path")).drop("depth")
-    return done.select("plan_id", F.col("dep").alias("i"), F.col("before").alias("path_ms"))
+    listed = nodes.select("plan_id", "i", "wall_time_ms").join(edges.select("plan_id", "i").distinct(), ["plan_id", "i"], "left_semi")
+    found = ancestry(listed, edges.filter("dep <> 0"), scratch)
+    return found.filter("depth is not null").select("plan_id", "i", F.col("path_ms").cast("long").alias("path_ms"))
 
 
 def wall_budget(nodes: DataFrame, edges: DataFrame) -> DataFrame:

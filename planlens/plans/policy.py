@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from planlens.operators.audits import rule_code
+
 
 def unpivoted(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """plan_id, metric, value."""
@@ -13,14 +15,10 @@ def unpivoted(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def numeric_violations(metrics: DataFrame, rules: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """plan_id, code, rank of every rule (rank, metric, upper, lower) that a plan breaks.
-
-    The code names the metric and whether it is exceeded or below its minimum.
-    """
+    """plan_id, rank, code of every rule (rank, metric, upper, lower) that a plan breaks, by the codes of ``METRICS``."""
     joined = unpivoted(metrics, names).join(rules, "metric")
-    over = F.when(F.col("value") > F.col("upper"), "EXCEEDED").when(F.col("value") < F.col("lower"), "BELOW_MINIMUM")
-    found = joined.withColumn("how", over).filter("how is not null")
-    return found.select("plan_id", "rank", F.concat(F.lit("PLAN_"), F.upper("metric"), F.lit("_"), F.col("how")).alias("code"))
+    code = rule_code(F.col("metric"), F.col("value"), F.col("upper"), F.col("lower"))
+    return joined.select("plan_id", "rank", code.alias("code")).filter("code is not null")
 
 
 def set_violations(nodes: DataFrame, allowed: tuple[str, ...], none_of: tuple[str, ...]) -> DataFrame:

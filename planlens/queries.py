@@ -14,6 +14,7 @@ from planlens.operators import ledger as lg
 from planlens.operators import replay as rp
 from planlens.plans import alignment as al
 from planlens.plans import metrics as me
+from planlens.plans import paths as pa
 from planlens.plans import policy as po
 from planlens.plans import validation as va
 from planlens.plans.bridge import Bridge, with_views
@@ -302,7 +303,7 @@ def outstanding_usage(b: Bridge) -> DataFrame:
 
 
 @query("l07_overruns", f"""WITH {_USE_SQL}, more AS (SELECT plan_id, CAST(sum(p_size * 20) AS BIGINT) AS model_tokens, CAST(sum(CAST(coalesce(cost_usd, 0) AS DECIMAL(12,2))) AS DOUBLE) AS cost_usd FROM node GROUP BY plan_id)
- SELECT * FROM (SELECT use.plan_id, CASE WHEN wall_time_ms > 120 THEN 'wall_time_ms' WHEN model_tokens > 2400 THEN 'model_tokens' WHEN tool_calls > 15 THEN 'tool_calls' WHEN cost_usd > 0.15 THEN 'cost_usd' END AS exceeded FROM use JOIN more ON use.plan_id = more.plan_id) WHERE exceeded IS NOT NULL""")
+ SELECT * FROM (SELECT use.plan_id, CASE WHEN wall_time_ms > 120 THEN 'wall_time' WHEN model_tokens > 2400 THEN 'model_tokens' WHEN tool_calls > 15 THEN 'tool_calls' WHEN cost_usd > 0.15 THEN 'cost_usd' END AS exceeded FROM use JOIN more ON use.plan_id = more.plan_id) WHERE exceeded IS NOT NULL""")
 def overruns(b: Bridge) -> DataFrame:
     more = b.node.groupBy("plan_id").agg(F.sum(F.col("p_size") * 20).alias("model_tokens"), F.sum(F.coalesce(F.col("cost_usd").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))).cast("double").alias("cost_usd"))
     return lg.overrun(outstanding_usage(b).join(more, "plan_id"), {"wall_time_ms": 120, "model_tokens": 2400, "tool_calls": 15, "cost_usd": 0.15})
@@ -503,22 +504,46 @@ def task_uuids(b: Bridge) -> DataFrame:
 
 # --- policy gate and diff ----------------------------------------------------------
 
-_RULES = [(1, "nodes", 8.0, 2.0), (2, "max_fanout", 1.0, 0.0), (3, "tool_calls", float(TOOL_LIMIT), 3.0)]
-_RULES_SQL = "rule(rank, metric, upper_, lower_) AS (VALUES " + ", ".join(f"({r}, '{m}', {u}, {lo})" for r, m, u, lo in _RULES) + ")"
-_NUMERIC_SQL = f"""WITH {_METRICS_SQL}, {_RULES_SQL}, long AS (SELECT plan_id, 'nodes' AS metric, CAST(nodes AS DOUBLE) AS v FROM metric UNION ALL SELECT plan_id, 'max_fanout', max_fanout FROM metric UNION ALL SELECT plan_id, 'tool_calls', tool_calls FROM metric),
- broken AS (SELECT plan_id, rank, 'PLAN_' || upper(metric) || '_' || CASE WHEN v > upper_ THEN 'EXCEEDED' ELSE 'BELOW_MINIMUM' END AS code FROM long JOIN rule USING (metric) WHERE v > upper_ OR v < lower_)"""
+_RULES = [
+    (1, "plan_depth", 4.0, 2.0), (2, "plan_fanout", 1.0, 0.0), (3, "plan_budget_cost_usd", 0.25, 0.015), (4, "plan_budget_model_tokens", 4000.0, 100.0),
+    (5, "plan_budget_tool_calls", float(TOOL_LIMIT), 3.0), (6, "plan_budget_wall_time_ms", 150.0, 10.0),
+]
+#: The codes of a plan beyond an upper limit, as they are published; below a lower one the ending differs.
+_RULE_CODES = {
+    "plan_depth": "PLAN_DEPTH_EXCEEDED", "plan_fanout": "PLAN_FANOUT_EXCEEDED", "plan_budget_cost_usd": "PLAN_BUDGET_COST_EXCEEDED", "plan_budget_model_tokens": "PLAN_BUDGET_MODEL_TOKENS_EXCEEDED",
+    "plan_budget_tool_calls": "PLAN_BUDGET_TOOL_CALLS_EXCEEDED", "plan_budget_wall_time_ms": "PLAN_BUDGET_WALL_TIME_EXCEEDED",
+}
+_RULES_SQL = "rule(rank, metric, upper_, lower_, code) AS (VALUES " + ", ".join(f"({r}, '{m}', {u}, {lo}, '{_RULE_CODES[m]}')" for r, m, u, lo in _RULES) + ")"
+_NUMERIC_SQL = f"""WITH RECURSIVE {_METRICS_SQL}, {_RULES_SQL}, walk AS (SELECT e.plan_id, e.i, 1 AS depth, n.wall_time_ms AS ms FROM edge e JOIN node n ON n.plan_id = e.plan_id AND n.i = e.i WHERE e.dep = 0
+ UNION ALL SELECT e.plan_id, e.i, w.depth + 1, w.ms + n.wall_time_ms FROM walk w JOIN edge e ON e.plan_id = w.plan_id AND e.dep = w.i JOIN node n ON n.plan_id = e.plan_id AND n.i = e.i),
+ ended AS (SELECT plan_id, i, max(depth) AS depth, CASE WHEN count(*) = count(ms) THEN max(ms) END AS ms FROM walk GROUP BY plan_id, i),
+ deep AS (SELECT plan_id, max(depth) AS depth FROM ended GROUP BY plan_id),
+ timed AS (SELECT p.plan_id, CASE WHEN count(*) = count(p.ms) THEN max(p.ms) END AS ms FROM ended p WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.plan_id = p.plan_id AND e.dep = p.i) GROUP BY p.plan_id),
+ spent AS (SELECT plan_id, sum(p_size * 20) AS tokens FROM node GROUP BY plan_id),
+ long AS (SELECT plan_id, 'plan_depth' AS metric, CAST(depth AS DOUBLE) AS v FROM deep UNION ALL SELECT plan_id, 'plan_fanout', max_fanout FROM metric UNION ALL SELECT plan_id, 'plan_budget_cost_usd', cost_usd FROM metric
+  UNION ALL SELECT plan_id, 'plan_budget_model_tokens', tokens FROM spent UNION ALL SELECT plan_id, 'plan_budget_tool_calls', tool_calls FROM metric UNION ALL SELECT plan_id, 'plan_budget_wall_time_ms', ms FROM timed),
+ broken AS (SELECT plan_id, rank, CASE WHEN v > upper_ THEN code ELSE replace(code, 'EXCEEDED', 'BELOW_MINIMUM') END AS code FROM long JOIN rule USING (metric) WHERE v > upper_ OR v < lower_)"""
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _SETS_SQL = f"""forbidden AS (SELECT DISTINCT plan_id, 10 AS rank, 'PLAN_MODULE_FORBIDDEN' AS code FROM node WHERE module_id NOT IN ({_LIST(ALLOWED_MODULES)})
  UNION ALL SELECT DISTINCT plan_id, 11, 'PLAN_EFFECTFUL_MODULE_FORBIDDEN' FROM node WHERE effectful AND module_id IN ({_LIST(NO_EFFECT_MODULES)}))"""
 
 
+def policy_metrics(b: Bridge) -> DataFrame:
+    """plan_id and the six metrics that a policy may limit."""
+    depth = max_depth(b).withColumnRenamed("max_depth", "plan_depth")
+    tokens = b.node.groupBy("plan_id").agg(F.sum(F.col("p_size") * 20).alias("plan_budget_model_tokens"))
+    wall = pa.wall_budget(b.node, b.edge).withColumnRenamed("wall_time_ms", "plan_budget_wall_time_ms")
+    told = plan_metrics(b).selectExpr("plan_id", "max_fanout as plan_fanout", "cost_usd as plan_budget_cost_usd", "tool_calls as plan_budget_tool_calls")
+    return told.join(depth, "plan_id", "left").join(tokens, "plan_id", "left").join(wall, "plan_id", "left")
+
+
 def rules_of(b: Bridge) -> DataFrame:
     return b.spark.createDataFrame(_RULES, "rank int, metric string, upper double, lower double")
 
 
 @query("v08_numeric_rules", f"{_NUMERIC_SQL} SELECT plan_id, rank, code FROM broken")
 def numeric_rules(b: Bridge) -> DataFrame:
-    return po.numeric_violations(plan_metrics(b), rules_of(b), METRICS).select("plan_id", "rank", "code")
+    return po.numeric_violations(policy_metrics(b), rules_of(b), tuple(_RULE_CODES))
 
 
 @query("v09_set_rules", f"WITH {_SETS_SQL} SELECT plan_id, rank, code FROM forbidden")
@@ -735,9 +760,20 @@ def stream_commands_once(b: Bridge) -> DataFrame:
     return log.catch_up(log.once(event_stream(b).select("run_id", "event_type"), ["run_id", "event_type"]), Scratch(b.spark, "once"), "rows")
 
 
-@query("t03_run_states")
+#: The log's types as steps of runs, for the state machine.
+_RUN_STEPS = {"RUN_STARTED": "RUN_STARTED", "TASK_READY": "RUN_PAUSED", "ATTEMPT_HEARTBEAT": "RUN_RESUMED", "TASK_COMPLETED": "RUN_COMPLETED", "TASK_FAILED": "RUN_CANCELLED"}
+
+
+@query("t03_run_states", f"""WITH RECURSIVE step AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS k, CASE event_type {" ".join(f"WHEN '{a}' THEN '{z}'" for a, z in _RUN_STEPS.items())} END AS kind FROM event),
+ walk AS (SELECT run_id, CAST(0 AS BIGINT) AS k, 'NEW' AS state, CAST(0 AS BIGINT) AS steps FROM (SELECT DISTINCT run_id FROM step)
+ UNION ALL SELECT run_id, k, coalesce(next, state), steps + CASE WHEN next IS NULL THEN 0 ELSE 1 END FROM (SELECT w.run_id, s.k, state, steps, CASE WHEN state = 'NEW' AND kind = 'RUN_STARTED' THEN 'RUNNING'
+  WHEN state = 'RUNNING' AND kind = 'RUN_PAUSED' THEN 'PAUSED' WHEN state = 'PAUSED' AND kind = 'RUN_RESUMED' THEN 'RUNNING' WHEN state IN ('RUNNING', 'PAUSED') AND kind = 'RUN_CANCELLED' THEN 'CANCELLED'
+  WHEN state = 'RUNNING' AND kind = 'RUN_COMPLETED' THEN 'SUCCEEDED' WHEN state = 'RUNNING' AND kind = 'RUN_FAILED' THEN 'FAILED' END AS next FROM walk w JOIN step s ON s.run_id = w.run_id AND s.k = w.k + 1))
+ SELECT run_id, arg_max(state, k) AS state, max(steps) AS steps, max(k) - max(steps) AS refused FROM walk GROUP BY run_id""")
 def run_states(b: Bridge) -> DataFrame:
-    return log.catch_up(log.run_states(event_stream(b)), Scratch(b.spark, "states"), "rows", "update")
+    names = F.create_map(*(F.lit(x) for pair in _RUN_STEPS.items() for x in pair))
+    steps = event_stream(b).withColumn("event_type", F.try_element_at(names, F.col("event_type")))
+    return log.catch_up(log.run_states(steps), Scratch(b.spark, "states"), "rows", "update")
 
 
 @query("v02_first_violations", f"""WITH {_DEPTH_SQL}, deep AS (SELECT plan_id, max(depth) AS depth FROM walk GROUP BY plan_id), wide AS (SELECT plan_id, max(n) AS fanout FROM (SELECT plan_id, dep, count(*) AS n FROM edge GROUP BY plan_id, dep) GROUP BY plan_id),
@@ -765,11 +801,6 @@ def structures(b: Bridge) -> DataFrame:
 # --- graph ---------------------------------------------------------------------
 
 
-@query("g01_graph_metrics")
-def graph_metrics(b: Bridge) -> DataFrame:
-    return me.graph_metrics(me.keyed_nodes(b.node, b.edge))
-
-
 @query("g04_max_depth", f"WITH {_DEPTH_SQL} SELECT plan_id, max(depth) AS max_depth FROM walk GROUP BY plan_id")
 def max_depth(b: Bridge) -> DataFrame:
     return me.indexed_depths(b.node, b.edge).groupBy("plan_id").agg(F.max("depth").alias("max_depth"))

@@ -13,10 +13,10 @@ from pyspark.sql.types import StructType
 from planlens.operators.events import INTERNAL_TYPES
 from planlens.workspace import Scratch
 
-#: The state that an event leads to, by state and type.
+#: The state that an event leads a run to, by state and type; a run that ended stays as it is.
 STEPS = {
-    ("NEW", "RUN_STARTED"): "RUNNING", ("RUNNING", "TASK_READY"): "READY", ("READY", "TASK_COMPLETED"): "RUNNING",
-    ("READY", "TASK_FAILED"): "FAILED", ("FAILED", "RUN_STARTED"): "RUNNING",
+    ("NEW", "RUN_STARTED"): "RUNNING", ("RUNNING", "RUN_PAUSED"): "PAUSED", ("PAUSED", "RUN_RESUMED"): "RUNNING", ("RUNNING", "RUN_CANCELLED"): "CANCELLED", ("PAUSED", "RUN_CANCELLED"): "CANCELLED",
+    ("RUNNING", "RUN_COMPLETED"): "SUCCEEDED", ("RUNNING", "RUN_FAILED"): "FAILED",
 }
 
 
@@ -37,7 +37,7 @@ def catch_up(stream: DataFrame, scratch: Scratch, name: str, mode: str = "append
     else:  # a batch replaces what an earlier one wrote for it, so retries don't repeat rows
         writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(scratch.path(f"{name}/batch={n}")))
     writer.start().awaitTermination()
-    return stream.sparkSession.read.schema(schema).parquet(scratch.path(name))
+    return stream.sparkSession.read.schema(schema).parquet(scratch.path(name)).select(*schema.names)
 
 
 def visible_after(events: DataFrame, cursor: int) -> DataFrame:
@@ -51,7 +51,7 @@ def once(commands: DataFrame, keys: list[str], within: str | None = None, time:
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """run_id, state, steps, refused after each batch: legal steps move a run, others are counted."""
+    """run_id, state, steps, refused after each batch: legal steps move a run, others are counted. Events of tasks aren't a run's steps."""
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, steps, refused = state.get if state.exists else ("NEW", 0, 0)
@@ -61,4 +61,4 @@ def run_states(events: DataFrame) -> DataFrame:
         state.update((now, steps, refused))
         yield pd.DataFrame({"run_id": [key[0]], "state": [now], "steps": [steps], "refused": [refused]})
 
-    return events.select("run_id", "event_id", "event_type").groupBy("run_id").applyInPandasWithState(advance, "run_id long, state string, steps long, refused long", "state string, steps long, refused long", "update", GroupStateTimeout.NoTimeout)
+    return events.filter(F.col("event_type").isin(*{kind for _, kind in STEPS})).select("run_id", "event_id", "event_type").groupBy("run_id").applyInPandasWithState(advance, "run_id long, state string, steps long, refused long", "state string, steps long, refused long", "update", GroupStateTimeout.NoTimeout)

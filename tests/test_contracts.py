@@ -23,6 +23,13 @@ def test_commands(spark):
         co.command_defect(F.lit("pause"), F.lit(""), names("type", "command_id")),
     )
     assert got == [(None, "fields", "unknown-type", "no-id")]
+    base = ("type", "command_id")
+    legal = [("approve", "request_id", "comment"), ("approve", "request_id"), ("reject", "request_id"), ("reject", "request_id", "reason"), ("pause", "reason"), ("cancel", "reason"), ("signal", "name", "value", "request_id"), ("input", "request_id", "value"), ("retry", "task_id"), ("resume",)]
+    refused = [("resume", "reason"), ("approve", "comment"), ("approve", "request_id", "reason"), ("signal", "name"), ("retry",), ("input", "request_id")]
+    of = lambda kind, *fields: co.command_defect(F.lit(kind), F.lit("c"), names(*base, *fields), F.array().cast("array<string>"))
+    assert values(spark, *(of(*x) for x in legal)) == [(None,) * len(legal)]
+    assert values(spark, *(of(*x) for x in refused)) == [("fields",) * len(refused)]
+    assert values(spark, co.command_defect(F.lit("retry"), F.lit("c"), names(*base, "task_id"), names("task_id"))) == [("blank",)]
 
 
 def test_budget_values(spark):
@@ -86,7 +93,7 @@ def test_frontier(spark):
 def test_overruns_in_order(spark):
     use = spark.createDataFrame([(1, 200, 99), (2, 10, 99), (3, 10, 1)], "plan_id long, wall_time_ms long, tool_calls long")
     got = {r["plan_id"]: r["exceeded"] for r in lg.overrun(use, {"wall_time_ms": 100, "tool_calls": 10}).collect()}
-    assert got == {1: "wall_time_ms", 2: "tool_calls"}
+    assert got == {1: "wall_time", 2: "tool_calls"}
 
 
 def test_decision_ladders(spark):

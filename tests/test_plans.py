@@ -185,6 +185,6 @@ def test_depths_and_limits_without_gathering_a_plan(spark, monkeypatch):
 
 
 def test_every_rule_counts(spark):
-    metrics = spark.createDataFrame([(1, 5)], "plan_id long, nodes int")
-    rules = spark.createDataFrame([(k, "nodes", 4.0, None) for k in range(1_500)], "rank int, metric string, upper double, lower double")
-    assert po.numeric_violations(metrics, rules, ("nodes",)).count() == 1_500
+    metrics = spark.createDataFrame([(1, 5)], "plan_id long, plan_depth int")
+    rules = spark.createDataFrame([(k, "plan_depth", 4.0, None) for k in range(1_500)], "rank int, metric string, upper double, lower double")
+    assert po.numeric_violations(metrics, rules, ("plan_depth",)).count() == 1_500

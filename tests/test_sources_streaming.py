@@ -31,13 +31,13 @@ def test_fixtures(spark, tmp_path):
 
 
 def test_run_states(spark, tmp_path):
-    steps = ["RUN_STARTED", "TASK_READY", "TASK_FAILED", "RUN_STARTED", "RUN_STARTED"]
-    rows = [(k, 7, t) for k, t in enumerate(steps)] + [(99, 8, "TASK_READY")]
+    steps = ["RUN_STARTED", "TASK_READY", "RUN_PAUSED", "RUN_COMPLETED", "RUN_RESUMED", "RUN_FAILED", "RUN_STARTED"]
+    rows = [(k, 7, t) for k, t in enumerate(steps)] + [(99, 8, "RUN_RESUMED")]
     events = spark.createDataFrame(rows, "event_id long, run_id long, event_type string")
     events.coalesce(1).write.parquet(f"{tmp_path}/log/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/log/events.parquet")
     got = {r["run_id"]: (r["state"], r["steps"], r["refused"]) for r in log.catch_up(log.run_states(stream), Scratch(spark, "t"), "states", "update").collect()}
-    assert got == {7: ("RUNNING", 4, 1), 8: ("NEW", 0, 1)}
+    assert got == {7: ("FAILED", 4, 2), 8: ("NEW", 0, 1)}
 
 
 def test_tail_of_a_file_and_of_part_files(spark, data, tmp_path):
