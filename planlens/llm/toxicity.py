@@ -14,8 +14,8 @@ The scorer is learned from labelled documents, at most ``TRAIN_ROWS`` of them,
 chosen by a hash of doc_id: words and word beginnings that toxic documents use
 in many different contexts and clean ones don't (contexts, so that copies of
 one document don't count as evidence), with a logistic calibration of a
-document's strongest evidence, fitted on documents judged by evidence from
-the other half of them. Everything else covers all documents.
+document's strongest evidence, fitted on at most ``CALIBRATION_ROWS`` of them,
+each half judged by evidence from the other. Everything else covers all documents.
 
 A null or empty text has no evidence and gets the score of that. Null labels and
 null ids aren't learned from; a doc_id labelled both ways counts as toxic.
@@ -43,8 +43,8 @@ from planlens.llm.frames import texts_of
 from planlens.llm.worker_memory import slices
 from planlens.workspace import ship_package
 
-#: Labelled documents used for fitting, at most.
-TRAIN_ROWS = 20_000
+#: Labelled documents used for fitting, at most, and those of them that calibrate.
+TRAIN_ROWS, CALIBRATION_ROWS = 20_000, 4_000
 #: Contexts a feature needs in toxic documents.
 LEAST_CONTEXTS = 12
 
@@ -418,8 +418,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, t
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     chosen = chosen.filter(may_learn) if may_learn is not None else chosen
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "doc_id long, toxic int")  # at most train_rows
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = [(r["doc_id"], r["toxic"], k < CALIBRATION_ROWS) for k, r in enumerate(chosen.collect())]  # at most train_rows
+    chosen = spark.createDataFrame(rows, "doc_id long, toxic int, calibrates boolean")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "calibrates")
     scorer = Scorer(learn_evidence(sample, shared))
 
     def judged(rows: DataFrame, by: Scorer) -> list:
@@ -438,7 +439,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, t
         return found.select("toxic", "x.*").orderBy("doc_id").collect()
 
     # a half is judged by what the other half taught, so that the calibration isn't surer than it may be
-    halves = [sample.filter(F.xxhash64(F.lit("half"), "doc_id") % 2 == 0), sample.filter(F.xxhash64(F.lit("half"), "doc_id") % 2 != 0)]
+    halves = [sample.filter(F.col("calibrates") & test) for test in (F.xxhash64(F.lit("half"), "doc_id") % 2 == 0, F.xxhash64(F.lit("half"), "doc_id") % 2 != 0)]
     rows = [r for k in (0, 1) for r in judged(halves[k], Scorer(learn_evidence(halves[1 - k], shared, LEAST_CONTEXTS // 2)))]
     y = np.array([r["toxic"] for r in rows], np.float64)
     if len(y) and 0 < y.sum() < len(y):
