@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planlens.functions import json_keys as jk
 from planlens.functions import planner as pl
 from planlens.functions import typed as ty
+from planlens.operators import declarations as de
 from planlens.operators import interactions as it
 from planlens.plans import bindings as bi
 from planlens.plans import precreation as pr
@@ -188,3 +189,46 @@ def ready_stream(b: Bridge) -> DataFrame:
     """Events of the log complete a node of their run, by their payload; tasks that all of it makes ready."""
     done = event_stream(b).select(F.col("run_id").alias("plan_id"), (F.get_json_object("payload", "$.k").cast("long") % 8).alias("i"))
     return log.catch_up(ready_tasks(done, b.edge), Scratch(b.spark, "ready"), "rows")
+
+
+# --- stored contracts --------------------------------------------------------------
+
+
+@query("n01_declaration_defects", """SELECT plan_id, i, CASE p_size % 8 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 6 THEN 0 END AS place,
+ CASE p_size % 8 WHEN 1 THEN 'KIND' WHEN 2 THEN 'NOT_CANONICAL' WHEN 3 THEN 'DUPLICATE_NAME' WHEN 4 THEN 'policy_tags' WHEN 5 THEN 'NOT_AN_ARRAY' WHEN 6 THEN 'input_schema_digest' END AS defect FROM node WHERE p_size % 8 BETWEEN 1 AND 6""")
+def declaration_defects(b: Bridge) -> DataFrame:
+    """Two effects for each step, of which six of eight are broken in one way each."""
+    turn, name = F.col("p_size") % 8, F.translate("module_id", "#", "-")
+
+    def effect(suffix: Column, tags: Column, kind: Column, digest: Column) -> Column:
+        return F.to_json(F.struct(
+            F.col("approval_required"), F.lit("db").alias("connector"), F.lit("1").alias("connector_version"), F.lit("required").alias("idempotency"), digest.alias("input_schema_digest"), kind.alias("kind"),
+            F.concat(name, suffix).alias("name"), F.lit("write").alias("operation"), F.col("module_digest").alias("output_schema_digest"), tags.alias("policy_tags")))
+
+    whole, tags = F.col("module_digest"), F.array(F.lit("a"), F.lit("b"))
+    first = effect(F.lit(".a"), tags, F.when(turn == 1, "capability").otherwise("effect"), F.when(turn == 6, F.upper(F.concat(F.lit("f"), F.substring(whole, 2, 63)))).otherwise(whole))
+    second = effect(F.when(turn == 3, ".a").otherwise(".b"), F.when(turn == 4, F.array(F.lit("b"), F.lit("a"))).otherwise(tags), F.lit("effect"), whole)
+    pair = F.when(turn == 2, F.concat(second, F.lit(","), first)).otherwise(F.concat(first, F.lit(","), second))
+    steps = b.node.select("plan_id", "i", F.when(turn == 5, first).otherwise(F.concat(F.lit("["), pair, F.lit("]"))).alias("effects"))
+    return de.declaration_defects(steps, ["plan_id", "i"], "effects", "effect")
+
+
+@query("p25_request_defects", "SELECT run_id, CASE run_id % 4 WHEN 1 THEN 'FIELDS' WHEN 2 THEN 'NOT_TEXT' WHEN 3 THEN CASE WHEN status IS NULL THEN 'FIELDS' END END AS defect FROM run")
+def request_defects(b: Bridge) -> DataFrame:
+    """Requests for each run: whole ones, ones with a field too many, with a number for a text, and with a workflow only where the status is known."""
+    run, turn = F.col("run_id").cast("string"), F.col("run_id") % 4
+    text = F.to_json(F.struct(
+        F.sha2(run, 256).alias("definition_digest"), run.alias("run_id"), F.concat(F.lit("t"), run).alias("task_id"), F.col("tenant_id").cast("string").alias("tenant_id"),
+        F.when(turn == 3, F.col("status")).otherwise("w").alias("workflow_id"), F.when(turn == 1, 1).alias("attempt")))
+    text = F.when(turn == 2, F.regexp_replace(text, '"tenant_id":"([0-9]+)"', '"tenant_id":$1')).otherwise(text)
+    return b.run.select("run_id", de.request_defect(F.try_parse_json(text)).alias("defect"))
+
+
+@query("n39_decision_defects", """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'allowed' WHEN 2 THEN 'approval' WHEN 3 THEN 'policy_id' WHEN 4 THEN CASE WHEN event_type IS NULL THEN 'reason_code' END END AS defect FROM event""")
+def decision_defects(b: Bridge) -> DataFrame:
+    """A decision for each event: one of its answer, approval and policy is wrong, or its reason is the event's type."""
+    turn = F.col("event_id") % 5
+    text = F.to_json(F.struct(
+        F.when(turn != 1, F.col("run_id") % 2 == 0).alias("allowed"), F.when(turn == 3, "7 days").otherwise("default").alias("policy_id"), F.when(turn == 4, F.col("event_type")).otherwise("allowed").alias("reason_code"),
+        F.when(turn == 2, F.struct(F.lit("r").alias("request_id"), F.lit(" ").alias("command_id"))).when(turn == 0, F.struct(F.lit("r").alias("request_id"), F.lit("c").alias("command_id"))).alias("approval")))
+    return b.event.select("event_id", de.decision_defect(F.try_parse_json(text)).alias("defect"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planlens.functions import json_keys as jk
 from planlens.functions import planner as pl
 from planlens.functions import typed as ty
+from planlens.operators import declarations as de
 from planlens.operators import interactions as it
 from planlens.plans import bindings as bi
 from planlens.plans.precreation import precreated
@@ -208,3 +209,36 @@ def test_ready_tasks_whatever_the_batches(spark, tmp_path, files):
     have = set(done)
     tasks = {(p, i) for p, i, _ in edges}
     assert got == sorted(t for t in tasks if all((p, d) in have for p, i, d in edges if (p, i) == t))
+
+
+def _declaration(**changes):
+    base = {"name": "a", "kind": "capability", "connector": "db", "operation": "read", "connector_version": None, "input_schema_digest": "0" * 64, "output_schema_digest": "f" * 64, "policy_tags": ["x", "y"]}
+    return {k: v for k, v in (base | changes).items() if v != "DROP"}
+
+
+def test_declaration_defects(spark):
+    b = _declaration(name="b")
+    cases = [
+        ("[]", None), ("{}", (None, "NOT_AN_ARRAY")), (None, (None, "NOT_AN_ARRAY")), ([_declaration(), b], None), ([b, _declaration()], (None, "NOT_CANONICAL")), ([_declaration(), _declaration()], (1, "DUPLICATE_NAME")), ([1], (0, "NOT_AN_OBJECT")),
+        ([_declaration(kind="effect")], (0, "KIND")), ([_declaration(kind="DROP")], (0, "KIND")), ([_declaration(connector="DROP")], (0, "FIELDS")), ([_declaration(more=1)], (0, "FIELDS")), ([_declaration(name="7")], (0, "name")),
+        ([_declaration(), _declaration(name="b", operation="a b")], (1, "operation")), ([_declaration(connector_version=" ")], (0, "connector_version")), ([_declaration(output_schema_digest="F" * 64)], (0, "output_schema_digest")),
+        ([_declaration(policy_tags=["y", "x"])], (0, "policy_tags")), ([_declaration(policy_tags=["x", None])], (0, "policy_tags")), ([_declaration(policy_tags="x")], (0, "policy_tags")), ([_declaration(policy_tags=[])], None),
+    ]
+    rows = [(k, x if x is None or isinstance(x, str) else json.dumps(x)) for k, (x, _) in enumerate(cases)]
+    got = de.declaration_defects(spark.createDataFrame(rows, "k int, t string"), ["k"], "t", "capability").collect()
+    assert {r["k"]: (r["place"], r["defect"]) for r in got} == {k: want for k, (_, want) in enumerate(cases) if want}
+    effect = _declaration(kind="effect", idempotency="none", approval_required=True)
+    rows = [(0, json.dumps([effect])), (1, json.dumps([effect | {"idempotency": "maybe"}])), (2, json.dumps([effect | {"approval_required": 1}]))]
+    got = de.declaration_defects(spark.createDataFrame(rows, "k int, t string"), ["k"], "t", "effect").collect()
+    assert {r["k"]: r["defect"] for r in got} == {1: "idempotency", 2: "approval_required"}
+
+
+def test_requests_and_decisions(spark):
+    whole = {c: "x" for c in de.REQUEST}
+    requests = {json.dumps(whole): None, json.dumps(whole | {"run_id": 1}): "NOT_TEXT", json.dumps(whole | {"more": "x"}): "FIELDS", "[]": "FIELDS", "no": "FIELDS"}
+    rows = spark.createDataFrame([(t,) for t in requests], "t string").select("t", de.request_defect(F.try_parse_json("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == requests
+    good = {"allowed": True, "policy_id": "p", "reason_code": "ok"}
+    decisions = [(good, None), (good | {"approval": None}, None), (good | {"allowed": 1}, "allowed"), (good | {"policy_id": ""}, "policy_id"), (good | {"reason_code": "a\n"}, "reason_code"), (good | {"approval": {"request_id": "r", "command_id": "c"}}, None), (good | {"approval": {"request_id": "r"}}, "approval"), (good | {"approval": 1, "allowed": 1}, "approval"), ([], "NOT_AN_OBJECT")]
+    table = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _) in enumerate(decisions)], "k int, t string").select("k", de.decision_defect(F.try_parse_json("t")).alias("d"))
+    assert {r["k"]: r["d"] for r in table.collect()} == {k: d for k, (_, d) in enumerate(decisions)}
