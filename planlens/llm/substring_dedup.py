@@ -17,7 +17,9 @@ Blocks are found by 48 bits of their hash (a false hit costs time only). Windows
 of two documents are the same if a 64-bit hash and 32 bits of an independent one
 are; within a document the 64 bits decide. A task holds one range of hashes, or
 the decisions on one group of documents, at a time; their number follows the
-input's size.
+input's size. With more than ``FAN`` of them rows go to wider ranges first, which
+tasks split step by step (``refined``), so that neither the rows that a chunk
+writes nor the entries of a hot hash in one range grow with the input.
 
 Windows are judged on the input, not on what is left. Null, empty and short
 texts lose nothing; a null doc_id neither loses words nor makes others lose
@@ -28,7 +30,8 @@ are ignored and an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,8 @@ CHUNK_WORDS = 500_000
 #: Bytes of text for each range of hashes.
 PART_BYTES = 8 << 20
 BLOCK_SHIFT = 16
+#: Ranges that a chunk's rows are divided into at most, and the tasks of a shuffle; a task takes its ranges one after another.
+FAN, MOST_TASKS = 2_048, 20_000
 
 ENTRIES, DECISIONS, TEXT = 0, 1, 2
 PACKED = "kind int, bucket int, doc_id long, keys binary, owners binary, docs binary, flags binary"
@@ -61,15 +66,30 @@ def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (text_arrays.mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def entry_rows(keys: np.ndarray, owners: np.ndarray, marks: np.ndarray, docs: np.ndarray, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def spans_of(buckets: int) -> list[int]:
+    """Ranges in a row's range, step by step down to 1; no step divides by more than ``FAN``."""
+    steps = 1
+    while FAN**steps < buckets:
+        steps += 1
+    fan = next(f for f in range(max(1, int(buckets ** (1 / steps)) - 1), buckets + 1) if f**steps >= buckets)
+    return [fan**k for k in reversed(range(steps))]
+
+
+@lru_cache(maxsize=4)
+def cuts_of(bits: int, buckets: int, span: int, first: int, end: int) -> np.ndarray:
+    """Keys at which the ranges of ``span`` begin after the first one, between ``first`` and ``end``."""
+    return np.array([-(-(b << bits) // buckets) for b in range(first + span, min(end, buckets), span)], np.uint64)
+
+
+def entry_rows(keys: np.ndarray, owners: np.ndarray, marks: np.ndarray, docs: np.ndarray, bits: int, buckets: int, span: int, first: int = 0, end: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of sorted ``keys`` of ``bits`` bits by range of key; ``owners`` index ``docs``, ``marks`` are flags or further bits of the keys."""
-    cuts = np.searchsorted(keys, np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], np.uint64))
+    cuts = np.searchsorted(keys, cuts_of(bits, buckets, span, first, buckets if end is None else end))
     cuts = np.concatenate([[0], cuts, [len(keys)]])
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         part = slice(cuts[b], cuts[b + 1])
         used, own = np.unique(owners[part], return_inverse=True)
         gaps = np.diff(keys[part], prepend=np.uint64(0))
-        yield row(ENTRIES, b, planes(gaps), planes(own.astype(np.uint32)), planes(docs[used]), np.packbits(marks[part]).tobytes() if marks.dtype == bool else planes(marks[part]))
+        yield row(ENTRIES, first + b * span, planes(gaps), planes(own.astype(np.uint32)), planes(docs[used]), np.packbits(marks[part]).tobytes() if marks.dtype == bool else planes(marks[part]))
 
 
 def read_entries(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,18 +101,17 @@ def read_entries(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, docs, np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(keys)).astype(bool)
 
 
-def decision_rows(docs: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def decision_rows(docs: np.ndarray, keys: np.ndarray, buckets: int, span: int) -> Iterator[pa.RecordBatch]:
     """Rows of (document, key) decisions by hash of the document."""
     if not len(docs):
         return
-    bucket = doc_bucket(docs, buckets)
+    bucket = doc_bucket(docs, buckets) // span
     order = np.lexsort((keys, docs, bucket))
     docs, keys, bucket = docs[order], keys[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        part = slice(cuts[b], cuts[b + 1])
-        own, counts = np.unique(docs[part], return_counts=True)
-        yield row(DECISIONS, b, planes(keys[part]), planes(counts.astype(np.uint32)), planes(own))
+    cuts = np.append(np.flatnonzero(first_of(bucket)), len(bucket))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own, counts = np.unique(docs[a:b], return_counts=True)
+        yield row(DECISIONS, int(bucket[a]) * span, planes(keys[a:b]), planes(counts.astype(np.uint32)), planes(own))
 
 
 def read_decisions(r: dict) -> Iterator[tuple[int, np.ndarray]]:
@@ -140,6 +159,38 @@ def first_of(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], differs])[: len(columns[0])]
 
 
+def block_rows(keys, owner, indexed, docs, bits: int, buckets: int, doc_span: int, span: int, first: int = 0, end: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Decisions on the hits among these blocks, and the entries that stand for them."""
+    order = np.argsort(keys, kind="stable")
+    keys, owner, indexed = keys[order], owner[order], indexed[order]
+    hit = block_hits(keys, docs[owner], indexed)
+    found = np.flatnonzero(hit)
+    found = found[first_of(keys[found], owner[found])]
+    yield from decision_rows(docs[owner[found]], keys[found], buckets, doc_span)
+    # of a settled run, its earliest indexed and its latest document stand for the rest
+    _, run = runs(keys)
+    speaks = ~hit & first_of(keys, owner, indexed)
+    settled = np.flatnonzero(hit)
+    if len(settled):
+        by_doc = settled[np.lexsort((docs[owner[settled]], run[settled]))]
+        speaks[by_doc[np.append(run[by_doc][1:] != run[by_doc][:-1], True)]] = True
+        by_index = settled[indexed[settled]]
+        by_index = by_index[np.lexsort((docs[owner[by_index]], run[by_index]))]
+        speaks[by_index[first_of(run[by_index])]] = True
+    yield from entry_rows(keys[speaks], owner[speaks], indexed[speaks], docs, bits, buckets, span, first, end)
+
+
+def window_rows(keys, owner, checks, docs, bits: int, buckets: int, doc_span: int, span: int, first: int = 0, end: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Decisions on the repeats among these windows, and the earliest of each."""
+    order = np.lexsort((docs[owner], checks, keys))
+    keys, owner, checks = keys[order], owner[order], checks[order]
+    repeated = later_windows(keys, docs[owner], checks)
+    once = repeated & first_of(keys, docs[owner])
+    yield from decision_rows(docs[owner[once]], keys[once], buckets, doc_span)
+    speaks = first_of(keys, checks)
+    yield from entry_rows(keys[speaks], owner[speaks], checks[speaks], docs, bits, buckets, span, first, end)
+
+
 class Chunk:
     """Documents that a task compares among themselves."""
 
@@ -175,28 +226,12 @@ def anchors(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
     block = (width + 1) // 2
     bits = 64 - BLOCK_SHIFT
 
+    span = spans_of(buckets)[0]
+
     def settle(chunk: Chunk) -> Iterator[pa.RecordBatch]:
         docs = np.array(chunk.docs, np.int64)
         keys, owner, place = chunk.windows(block)
-        keys = keys >> np.uint64(BLOCK_SHIFT)
-        indexed = place % block == 0
-        order = np.argsort(keys, kind="stable")
-        keys, owner, indexed = keys[order], owner[order], indexed[order]
-        hit = block_hits(keys, docs[owner], indexed)
-        found = np.flatnonzero(hit)
-        found = found[first_of(keys[found], owner[found])]
-        yield from decision_rows(docs[owner[found]], keys[found], buckets)
-        # of a settled run, its earliest indexed and its latest document stand for the rest
-        _, run = runs(keys)
-        speaks = ~hit & first_of(keys, owner, indexed)
-        settled = np.flatnonzero(hit)
-        if len(settled):
-            by_doc = settled[np.lexsort((docs[owner[settled]], run[settled]))]
-            speaks[by_doc[np.append(run[by_doc][1:] != run[by_doc][:-1], True)]] = True
-            by_index = settled[indexed[settled]]
-            by_index = by_index[np.lexsort((docs[owner[by_index]], run[by_index]))]
-            speaks[by_index[first_of(run[by_index])]] = True
-        yield from entry_rows(keys[speaks], owner[speaks], indexed[speaks], docs, bits, buckets)
+        yield from block_rows(keys >> np.uint64(BLOCK_SHIFT), owner, place % block == 0, docs, bits, buckets, span, span)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
@@ -215,8 +250,65 @@ def anchors(blobs: DataFrame, width: int, buckets: int) -> DataFrame:
     return blobs.filter("doc_id is not null").select("doc_id", "body").mapInArrow(run_, PACKED)
 
 
+def ordered(packed: DataFrame, buckets: int, *then: str) -> DataFrame:
+    """Range after range; a task has several where there are more than ``MOST_TASKS``."""
+    return packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", *then)
+
+
+def refined(packed: DataFrame, kind: int, buckets: int, rows: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of ``kind`` by single ranges. ``rows(held, wide, span, first)`` divides the rows of a range of ``wide`` ranges.
+
+    A task holds as much as a chunk, whatever a range has; what it holds meets
+    once more, so equal entries become fewer with each step.
+    """
+    spans = spans_of(buckets)
+    for wide, span in zip(spans, spans[1:]):
+
+        def run_(batches: Iterator[pa.RecordBatch], wide: int = wide, span: int = span) -> Iterator[pa.RecordBatch]:
+            held, at, size = [], None, 0
+            for batch in slices(batches):
+                for r in batch.to_pylist():
+                    if r["kind"] != kind:
+                        yield row(r["kind"], r["bucket"], r["keys"], r["owners"], r["docs"], r["flags"])
+                        continue
+                    if held and (at != r["bucket"] or size >= CHUNK_WORDS):
+                        yield from rows(held, wide, span, at)
+                        held, size = [], 0
+                    at = r["bucket"]
+                    held.append(r)
+                    size += len(r["keys"]) // 8
+            if held:
+                yield from rows(held, wide, span, at)
+
+        packed = ordered(packed, buckets).mapInArrow(run_, PACKED)
+    return packed
+
+
+def refined_entries(packed: DataFrame, again: Callable[..., Iterator[pa.RecordBatch]], bits: int, buckets: int) -> DataFrame:
+    """Entries by single ranges; ``again`` settles those that a task holds at once."""
+    doc_span = spans_of(buckets)[0]
+
+    def rows(held: list[dict], wide: int, span: int, first: int) -> Iterator[pa.RecordBatch]:
+        keys, docs, marks = (np.concatenate(x) for x in zip(*map(read_entries, held)))
+        used, owner = np.unique(docs, return_inverse=True)
+        yield from again(keys, owner, marks, used, bits, buckets, doc_span, span, first, first + wide)
+
+    return refined(packed, ENTRIES, buckets, rows)
+
+
+def refined_decisions(packed: DataFrame, buckets: int) -> DataFrame:
+    """Decisions by single groups of documents."""
+
+    def rows(held: list[dict], wide: int, span: int, first: int) -> Iterator[pa.RecordBatch]:
+        docs = np.concatenate([np.repeat(unplanes(r["docs"], "<i8"), unplanes(r["owners"], "<u4")) for r in held])
+        yield from decision_rows(docs, np.concatenate([unplanes(r["keys"], "<u8") for r in held]), buckets, span)
+
+    return refined(packed, DECISIONS, buckets, rows)
+
+
 def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
     """Decisions of all tasks: ``judge`` marks the entries of a range of keys."""
+    span = spans_of(buckets)[0]
 
     def decide(entries: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, docs, marks = (np.concatenate(x) for x in zip(*entries))
@@ -224,7 +316,7 @@ def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys, docs, marks = keys[order], docs[order], marks[order]
         found = judge(keys, docs, marks)
-        yield from decision_rows(docs[found], keys[found], buckets)
+        yield from decision_rows(docs[found], keys[found], buckets, span)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, at = [], None
@@ -240,7 +332,7 @@ def settled(packed: DataFrame, judge, buckets: int) -> DataFrame:
         if entries:
             yield from decide(entries)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run_, PACKED)
+    return refined_decisions(ordered(packed, buckets).mapInArrow(run_, PACKED), buckets)
 
 
 def concerned(decisions: DataFrame) -> bytes:
@@ -268,7 +360,7 @@ def sent_texts(blobs: DataFrame, mask, buckets: int) -> DataFrame:
 
 def met(decisions: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     """Decisions and the texts they concern, group after group of documents, decisions first."""
-    return decisions.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return ordered(decisions.unionByName(texts), buckets, "kind")
 
 
 def with_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -294,20 +386,14 @@ def with_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, byt
 def around_hits(together: DataFrame, width: int, buckets: int) -> DataFrame:
     """Entries of the windows around hits, and the decisions on repeats within a task."""
     block = (width + 1) // 2
+    span = spans_of(buckets)[0]
 
     def settle(chunk: Chunk, near: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         docs = np.array(chunk.docs, np.int64)
         keys, owner, place = chunk.windows(width)
         lengths = np.array([len(h) for h in chunk.hashes], np.int64)
         wanted = np.concatenate(near)[offsets_of(lengths - width + 1)[owner] + place]
-        keys, owner, checks = keys[wanted], owner[wanted], chunk.checks(width)[wanted]
-        order = np.lexsort((docs[owner], checks, keys))
-        keys, owner, checks = keys[order], owner[order], checks[order]
-        repeated = later_windows(keys, docs[owner], checks)
-        once = repeated & first_of(keys, docs[owner])
-        yield from decision_rows(docs[owner[once]], keys[once], buckets)
-        speaks = first_of(keys, checks)
-        yield from entry_rows(keys[speaks], owner[speaks], checks[speaks], docs, 64, buckets)
+        yield from window_rows(keys[wanted], owner[wanted], chunk.checks(width)[wanted], docs, 64, buckets, span, span)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, near = Chunk(), []
@@ -372,9 +458,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, texts: bool = False, id_col: str
     blobs = blobs_of(docs, id_col, text_col)
     size = blobs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
-    hits = scratch.save(settled(anchors(blobs, width, buckets), block_hits, buckets), "hits", compression="zstd")
+    blocks = refined_entries(anchors(blobs, width, buckets), block_rows, 64 - BLOCK_SHIFT, buckets)
+    hits = scratch.save(settled(blocks, block_hits, buckets), "hits", compression="zstd")
     to_compare = spark.sparkContext.broadcast(concerned(hits))
-    windows = around_hits(met(hits, sent_texts(blobs, to_compare, buckets), buckets), width, buckets)
+    windows = refined_entries(around_hits(met(hits, sent_texts(blobs, to_compare, buckets), buckets), width, buckets), window_rows, 64, buckets)
     repeats = scratch.save(settled(windows, later_windows, buckets), "repeats", compression="zstd")
     to_change = spark.sparkContext.broadcast(concerned(repeats))
     scratch.drop_others("repeats")

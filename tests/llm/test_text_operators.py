@@ -175,6 +175,31 @@ def test_substring_dedup_names_and_long_texts(spark, monkeypatch):
     assert by_id(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
 
 
+def test_substring_dedup_in_steps(spark, monkeypatch):
+    """Ranges that are reached in several steps give the same rows."""
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 256)
+    monkeypatch.setattr(substring_dedup, "FAN", 4)
+    r = random.Random(5)
+    rows = [(k // 2 if k % 5 == 0 else k, " ".join(r.choices("abc", k=r.randint(0, 90))), None, None, None, None) for k in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert by_id(substring_dedup.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
+
+
+def test_rows_of_a_chunk_dont_follow_the_number_of_ranges():
+    r = np.random.default_rng(1)
+    keys, owners, docs = np.sort(r.integers(0, 1 << 48, 50_000).astype(np.uint64)), r.integers(0, 90, 50_000), np.arange(90)
+    for buckets in (1, 7, 2_048, 2_049, 100_000, 12_500_000):
+        spans = substring_dedup.spans_of(buckets)
+        assert spans[-1] == 1 and all(-(-a // b) <= substring_dedup.FAN for a, b in zip([buckets, *spans], spans))
+        made = [b.to_pylist()[0] for b in substring_dedup.entry_rows(keys, owners, keys % np.uint64(3) == 0, docs, 48, buckets, spans[0])]
+        made += [b.to_pylist()[0] for b in substring_dedup.decision_rows(docs[owners], keys, buckets, spans[0])]
+        assert len(made) <= 2 * substring_dedup.FAN
+        entries = [substring_dedup.read_entries(x) for x in made if x["kind"] == substring_dedup.ENTRIES]
+        assert all(np.array_equal(np.concatenate(got), want) for got, want in zip(zip(*entries), (keys, owners, keys % np.uint64(3) == 0)))
+        for x in (x for x in made[:50] if x["kind"] == substring_dedup.ENTRIES):
+            assert all(int(k) * buckets >> 48 in range(x["bucket"], x["bucket"] + spans[0]) for k in substring_dedup.read_entries(x)[0][:5])
+
+
 def test_windows_of_equal_hash_are_told_apart():
     keys, docs = np.array([3, 3, 3, 5], np.uint64), np.array([1, 2, 3, 4])
     assert substring_dedup.later_windows(keys, docs, np.array([7, 8, 7, 7], np.uint32)).tolist() == [False, False, True, False]
