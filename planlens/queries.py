@@ -807,7 +807,7 @@ def max_depth(b: Bridge) -> DataFrame:
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from planlens import audit_queries, bundle_queries, contract_queries, document_queries, import_queries  # noqa: F401  register their own
+    from planlens import audit_queries, bundle_queries, contract_queries, document_queries, import_queries, registry_queries  # noqa: F401  register their own
 
     return _REGISTRY
 
