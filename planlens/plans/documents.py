@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from planlens.functions.canonical import canonical, digest_of, list_text, object_text, string_text
+from planlens.functions.canonical import canonical, digest_of, let, list_text, object_text, string_text
 from planlens.plans.doubling import ancestry
+from planlens.plans.gathered import inside, sizes_above, walk
 from planlens.plans.metrics import labelled
 from planlens.workspace import Scratch
 
@@ -29,25 +30,34 @@ INVALID, UNTRUSTED = "PLAN_SIGNATURE_INVALID", "PLAN_SIGNATURE_UNTRUSTED"
 #: What a choice declares beside its identity and schemas.
 CONTRACT = ("execution", "capabilities", "effects", "models", "budget")
 CHOICE = ("key", "dependencies", "input_schemas", "output_schema", "module_id", "module_digest", *CONTRACT)
+REGION = ("region_id", "input_schema", "outputs", "output_schemas")
 _TEXTS = ArrayType(StringType())
 
 
 def topological_labels(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """plan_id, key, position (from 0) of nodes (plan_id, key, dependencies) in the order of a depth-first walk.
 
-    Nodes on or behind a cycle or a missing node have no position and no row.
+    Nodes on or behind a cycle or a missing node have no position and no row. Plans of few nodes are ordered in a row each.
     """
-    links = nodes.select("plan_id", F.col("key").alias("i"), F.explode("dependencies").alias("dep")).filter(F.col("dep") != INPUT)
-    depths = ancestry(nodes.select("plan_id", F.col("key").alias("i"), F.lit(0).alias("wall_time_ms")), links, scratch)
-    return labelled(nodes.select("plan_id", "key", "dependencies").join(depths.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))
+    scratch = scratch or Scratch(nodes.sparkSession, "labels")
+    large = scratch.save(sizes_above(nodes), "large")
+    if large.isEmpty():
+        return _few_labels(nodes)
+    rest = nodes.join(large, "plan_id", "left_semi")
+    links = rest.select("plan_id", F.col("key").alias("i"), F.explode("dependencies").alias("dep")).filter(F.col("dep") != INPUT)
+    depths = ancestry(rest.select("plan_id", F.col("key").alias("i"), F.lit(0).alias("wall_time_ms")), links, scratch)
+    many = labelled(rest.select("plan_id", "key", "dependencies").join(depths.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))
+    return _few_labels(nodes.join(large, "plan_id", "left_anti")).unionByName(many)
 
 
-def _type(frame: DataFrame, name: str) -> DataType:
-    return frame.schema[name].dataType
+def _few_labels(nodes: DataFrame) -> DataFrame:
+    plans = nodes.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("key", "dependencies"))).alias("nodes"))
+    ordered = plans.select("plan_id", F.transform("nodes", lambda n: n["key"]).alias("keys"), _walk("nodes").alias("order"))
+    return ordered.select("plan_id", "keys", F.posexplode("order").alias("position", "k")).select("plan_id", F.get("keys", F.col("k") - 1).alias("key"), "position")
 
 
-def _contracts(frame: DataFrame) -> dict[str, Column]:
-    return {c: canonical(F.col(c), _type(frame, c)) for c in CONTRACT}
+def _walk(nodes: str) -> Column:
+    return let(inside(F.transform(nodes, lambda n: n["key"]), F.transform(nodes, lambda n: n["dependencies"]), INPUT), walk)
 
 
 def _addresses(keys: Column) -> Column:
@@ -65,69 +75,122 @@ def definition_digest(step: dict[str, Column], contract: dict[str, Column], cont
     return digest_of(text)
 
 
-def _stated(frame: DataFrame) -> Column:
+def _stated(budget: Column, kind: StructType) -> Column:
     """Whether a budget states any limit."""
     out = F.lit(False)
-    for f in _type(frame, "budget").fields:
-        out = out | F.col("budget").getField(f.name).isNotNull()
+    for f in kind.fields:
+        out = out | budget.getField(f.name).isNotNull()
     return F.coalesce(out, F.lit(False))
 
 
-def step_texts(choices: DataFrame) -> DataFrame:
-    """plan_id, key, step: the text of each choice (with region_id) as a step of its plan.
+def step_text(x: Column, region_id: Column, kind: StructType) -> Column:
+    """The text of a choice (a struct of this type) as a step of its plan.
 
-    What several parts of a text use is a column of its own, so it is computed once.
+    What several parts of a text use is a field of its own, so it is computed once.
     """
-    named = choices.select(
-        "plan_id", "key", "region_id", "dependencies", "input_schemas", F.size("models").alias("n_models"), _stated(choices).alias("stated"), _addresses(F.col("dependencies")).alias("addresses"),
-        canonical(F.col("input_schemas"), _TEXTS).alias("schemas_text"), *(string_text(F.col(c)).alias(c) for c in ("module_id", "module_digest", "output_schema")), *(x.alias(c) for c, x in _contracts(choices).items()),
+    return let(_parts(x, region_id, kind), lambda p: let(_named(p), lambda n: let(_defined(p, n), lambda d: _step(p, n, d))))
+
+
+def _quoted(digest: Column) -> Column:
+    """A digest as JSON; it has nothing to escape, and isn't computed twice to look."""
+    return F.concat(F.lit('"'), digest, F.lit('"'))
+
+
+def _parts(x: Column, region_id: Column, kind: StructType) -> Column:
+    return F.struct(
+        x["key"].alias("key"), F.size(x["models"]).alias("n_models"), _stated(x["budget"], kind["budget"].dataType).alias("stated"), _addresses(x["dependencies"]).alias("addresses"), x["input_schemas"].alias("input_schemas"),
+        canonical(x["input_schemas"], _TEXTS).alias("schemas_text"), *(string_text(x[c]).alias(c) for c in ("module_id", "module_digest", "output_schema")), *(canonical(x[c], kind[c].dataType).alias(c) for c in CONTRACT),
+        string_text(F.concat(F.lit("dynamic/"), region_id, F.lit("/nodes/"), x["key"])).alias("logical_step"),
+    )
+
+
+def _named(p: Column) -> Column:
+    whole = F.when(F.size(p["input_schemas"]) == 1, string_text(p["input_schemas"][0])).otherwise(_quoted(digest_of(object_text(ordered_input_schemas=p["schemas_text"]))))
+    return F.struct(
+        whole.alias("input_schema"), object_text(input_schema_digests=p["schemas_text"], key=string_text(p["key"]), region=string_text(F.lit("generated"))).alias("control"),
     )
-    whole = F.when(F.size("input_schemas") == 1, F.col("input_schemas")[0]).otherwise(digest_of(object_text(ordered_input_schemas=F.col("schemas_text"))))
-    named = named.withColumns({
-        "input_schema": string_text(whole), "control": object_text(input_schema_digests=F.col("schemas_text"), key=string_text(F.col("key")), region=string_text(F.lit("generated"))),
-        "logical_step": string_text(F.concat(F.lit("dynamic/"), F.col("region_id"), F.lit("/nodes/"), F.col("key"))),
-    })
-    identity = {"module_id": "module_id", "logical_step": "logical_step", "module_digest": "module_digest", "input_schema_digest": "input_schema", "output_schema_digest": "output_schema"}
-    contract = {c: F.col(c) for c in CONTRACT}
-    named = named.withColumn("definition", string_text(definition_digest({k: F.col(c) for k, c in identity.items()}, contract, F.col("control"), F.col("stated"), F.col("n_models") > 0)))
+
+
+def _defined(p: Column, n: Column) -> Column:
+    identity = {"module_id": p["module_id"], "logical_step": p["logical_step"], "module_digest": p["module_digest"], "input_schema_digest": n["input_schema"], "output_schema_digest": p["output_schema"]}
+    return _quoted(definition_digest(identity, {c: p[c] for c in CONTRACT}, n["control"], p["stated"], p["n_models"] > 0))
+
+
+def _step(p: Column, n: Column, definition: Column) -> Column:
     source = lambda address, schema: object_text(kind=string_text(F.lit("source")), schema_digest=schema, source=string_text(address))
-    items = list_text(F.transform(F.arrays_zip(F.col("addresses").alias("address"), F.col("input_schemas").alias("schema")), lambda x: source(x["address"], string_text(x["schema"]))))
-    several = object_text(kind=string_text(F.lit("tuple")), schema_digest=F.col("input_schema"), items=items)
-    text = object_text(
-        node_id=string_text(F.concat(F.lit(ADDRESS), F.col("key"))), kind=string_text(F.lit("module")), dependencies=canonical(F.col("addresses"), _TEXTS), output_schema_digest=F.col("output_schema"),
-        module_id=F.col("module_id"), logical_step=F.col("logical_step"), module_digest=F.col("module_digest"), definition_digest=F.col("definition"),
-        input_binding=F.when(F.size("addresses") == 1, source(F.col("addresses")[0], F.col("input_schema"))).otherwise(several), control=F.col("control"), **contract,
+    items = list_text(F.transform(F.arrays_zip(p["addresses"].alias("address"), p["input_schemas"].alias("schema")), lambda x: source(x["address"], string_text(x["schema"]))))
+    several = object_text(kind=string_text(F.lit("tuple")), schema_digest=n["input_schema"], items=items)
+    return object_text(
+        node_id=string_text(F.concat(F.lit(ADDRESS), p["key"])), kind=string_text(F.lit("module")), dependencies=canonical(p["addresses"], _TEXTS), output_schema_digest=p["output_schema"],
+        module_id=p["module_id"], logical_step=p["logical_step"], module_digest=p["module_digest"], definition_digest=definition,
+        input_binding=F.when(F.size(p["addresses"]) == 1, source(p["addresses"][0], n["input_schema"])).otherwise(several), control=n["control"], **{c: p[c] for c in CONTRACT},
     )
-    return named.select("plan_id", "key", text.alias("step"))
 
 
 def output_digest(schemas: Column) -> Column:
     return digest_of(object_text(ordered_output_schemas=canonical(schemas, _TEXTS)))
 
 
-def _output_step() -> Column:
+def _output_step(region: Column) -> Column:
     nothing, none = F.lit("null"), F.lit("[]")
     return object_text(
-        node_id=string_text(F.lit("output")), kind=string_text(F.lit("parallel")), dependencies=canonical(_addresses(F.col("outputs")), _TEXTS), output_schema_digest=string_text(output_digest(F.col("output_schemas"))),
-        control=object_text(outputs=canonical(F.col("outputs"), _TEXTS), region=string_text(F.lit("generated_output"))),
+        node_id=string_text(F.lit("output")), kind=string_text(F.lit("parallel")), dependencies=canonical(_addresses(region["outputs"]), _TEXTS), output_schema_digest=string_text(output_digest(region["output_schemas"])),
+        control=object_text(outputs=canonical(region["outputs"], _TEXTS), region=string_text(F.lit("generated_output"))),
         **{c: nothing for c in ("module_id", "logical_step", "module_digest", "definition_digest", "input_binding", "execution", "budget")}, capabilities=none, effects=none, models=none,
     )
 
 
+def _whole_text(steps: Column, region: Column) -> Column:
+    return object_text(
+        version=string_text(F.lit(VERSION)), workflow_id=string_text(F.concat(F.lit(WORKFLOW), region["region_id"])), input_schema=object_text(digest=string_text(region["input_schema"])),
+        output_schema=object_text(digests=canonical(region["output_schemas"], _TEXTS)), steps=list_text(F.concat(steps, F.array(_output_step(region)))), output_node=string_text(F.lit("output")),
+    )
+
+
+def plan_text(choices: Column, order: Column, region: Column, kind: StructType) -> Column:
+    """The text of a plan from its choices (an array of structs of this type), their places in order and its region; null if the order lacks one."""
+    steps = F.transform(order, lambda k: step_text(F.get(choices, k - 1), region["region_id"], kind))
+    keys = F.array_distinct(F.transform(choices, lambda x: x["key"]))
+    return F.when((F.size(order) > 0) & (F.size(order) == F.size(choices)) & (F.size(keys) == F.size(choices)), _whole_text(steps, region))
+
+
+def _element(choices: StructType) -> StructType:
+    return StructType([choices[c] for c in CHOICE])
+
+
+def gather(choices: DataFrame, regions: DataFrame) -> DataFrame:
+    """plan_id, choices (an array of structs in the order of keys), region of each plan: what ``texts`` takes."""
+    plans = choices.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct(*CHOICE))).alias("choices"))
+    return plans.join(regions.select("plan_id", F.struct(*REGION).alias("region")), "plan_id")
+
+
+def texts(plans: DataFrame, name: str = "plan") -> DataFrame:
+    """Rows of gathered plans of few nodes, with their text as a column. Nothing is dealt again, so texts are never shuffled or sorted."""
+    kind = plans.schema["choices"].dataType.elementType
+    ordered = plans.withColumn("_order", _walk("choices"))
+    return ordered.withColumn(name, plan_text(F.col("choices"), F.col("_order"), F.col("region"), kind)).drop("_order")
+
+
 def build(choices: DataFrame, regions: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """plan_id, plan (canonical text), plan_digest. A plan with a cycle or a missing dependency has a null text."""
     scratch = scratch or Scratch(choices.sparkSession, "documents")
+    large = scratch.save(sizes_above(choices), "large")
+    if large.isEmpty():
+        made = texts(gather(choices, regions)).select("plan_id", "plan")
+    else:
+        few = texts(gather(choices.join(large, "plan_id", "left_anti"), regions)).select("plan_id", "plan")
+        made = few.unionByName(_large_texts(choices.join(large, "plan_id", "left_semi"), regions, scratch))
+    return made.withColumn("plan_digest", digest_of(F.col("plan")))
+
+
+def _large_texts(choices: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
     choices = scratch.save(choices.select("plan_id", *CHOICE), "choices")
-    steps = step_texts(choices.join(regions.select("plan_id", "region_id"), "plan_id"))
+    kind = _element(choices.schema)
+    steps = choices.join(regions.select("plan_id", "region_id"), "plan_id").select("plan_id", "key", step_text(F.struct(*CHOICE), F.col("region_id"), kind).alias("step"))
     placed = steps.join(topological_labels(choices.select("plan_id", "key", "dependencies")), ["plan_id", "key"], "left")
     gathered = placed.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("position", "step"))).alias("steps"), F.bool_and(F.col("position").isNotNull() & F.col("step").isNotNull()).alias("whole"))
-    every = F.concat(F.transform("steps", lambda s: s["step"]), F.array(_output_step()))
-    text = object_text(
-        version=string_text(F.lit(VERSION)), workflow_id=string_text(F.concat(F.lit(WORKFLOW), F.col("region_id"))), input_schema=object_text(digest=string_text(F.col("input_schema"))),
-        output_schema=object_text(digests=canonical(F.col("output_schemas"), _TEXTS)), steps=list_text(every), output_node=string_text(F.lit("output")),
-    )
-    made = gathered.join(regions, "plan_id").select("plan_id", F.when(F.col("whole"), text).alias("plan"))
-    return made.withColumn("plan_digest", digest_of(F.col("plan")))
+    both = gathered.join(regions.select("plan_id", F.struct(*REGION).alias("region")), "plan_id")
+    return both.select("plan_id", F.when(F.col("whole"), _whole_text(F.transform("steps", lambda s: s["step"]), F.col("region"))).alias("plan"))
 
 
 def document_type(choices: StructType) -> StructType:
@@ -149,22 +212,27 @@ def parsed(plans: DataFrame, choices: StructType) -> DataFrame:
     return plans.select("plan_id", "plan", F.from_json("plan", document_type(choices), {"mode": "PERMISSIVE"}).alias("document"))
 
 
-def derived_choices(plans: DataFrame, choices: StructType) -> tuple[DataFrame, DataFrame]:
-    """The choices and regions that texts were built from, with each step's own claims (node_id, logical_step, definition_digest, addresses)."""
-    read = parsed(plans, choices)
-    steps = read.select("plan_id", F.explode("document.steps").alias("s")).filter("s.module_id is not null")
-    keys = F.transform("s.dependencies", lambda d: F.when(d == "input", INPUT).otherwise(F.regexp_replace(d, f"^{ADDRESS}", "")))
-    nodes = steps.select(
-        "plan_id", F.col("s.control.key").alias("key"), keys.alias("dependencies"), F.col("s.control.input_schema_digests").alias("input_schemas"), F.col("s.output_schema_digest").alias("output_schema"),
-        "s.module_id", "s.module_digest", *(F.col(f"s.{c}").alias(c) for c in CONTRACT),
+def _derived(document: Column) -> tuple[Column, Column]:
+    """The choices and the region that a parsed document was built from."""
+    keys = lambda s: F.transform(s["dependencies"], lambda d: F.when(d == "input", INPUT).otherwise(F.regexp_replace(d, f"^{ADDRESS}", "")))
+    choice = lambda s: F.struct(
+        s["control"]["key"].alias("key"), keys(s).alias("dependencies"), s["control"]["input_schema_digests"].alias("input_schemas"), s["output_schema_digest"].alias("output_schema"),
+        s["module_id"].alias("module_id"), s["module_digest"].alias("module_digest"), *(s[c].alias(c) for c in CONTRACT),
     )
-    last = F.element_at(F.filter("document.steps", lambda s: s["node_id"] == F.col("document.output_node")), 1)
-    has_output = F.exists("document.steps", lambda s: s["node_id"] == F.col("document.output_node"))
-    regions = read.select(
-        "plan_id", F.regexp_replace("document.workflow_id", f"^{WORKFLOW}", "").alias("region_id"), F.col("document.input_schema.digest").alias("input_schema"),
-        F.when(has_output, last["control"]["outputs"]).alias("outputs"), F.col("document.output_schema.digests").alias("output_schemas"),
+    steps, node = document["steps"], document["output_node"]
+    found = F.filter(steps, lambda s: s["node_id"] == node)
+    region = F.struct(
+        F.regexp_replace(document["workflow_id"], f"^{WORKFLOW}", "").alias("region_id"), document["input_schema"]["digest"].alias("input_schema"),
+        F.get(found, F.lit(0))["control"]["outputs"].alias("outputs"), document["output_schema"]["digests"].alias("output_schemas"),
     )
-    return nodes, regions
+    return F.transform(F.filter(steps, lambda s: s["module_id"].isNotNull()), choice), region
+
+
+def derived_choices(plans: DataFrame, choices: StructType) -> tuple[DataFrame, DataFrame]:
+    """The choices and regions that texts were built from."""
+    read = parsed(plans, choices)
+    nodes, region = _derived(F.col("document"))
+    return read.select("plan_id", F.inline(nodes)), read.select("plan_id", region.alias("r")).select("plan_id", *(F.col(f"r.{c}").alias(c) for c in REGION))
 
 
 def inconsistent(plans: DataFrame, choices: StructType) -> DataFrame:
@@ -173,16 +241,24 @@ def inconsistent(plans: DataFrame, choices: StructType) -> DataFrame:
     Choices are derived from the text and the plan is built again from them: a
     changed definition digest, address, binding, output node or any byte that no
     choice explains makes the texts differ, and so does a text that isn't a plan.
+    A text is judged in its row, whatever its size: a filter by size would be pushed
+    below all that makes the texts, and make them again.
     """
-    plans = Scratch(plans.sparkSession, "stored").save(plans.select("plan_id", "plan"), "plans")
-    nodes, regions = derived_choices(plans, choices)
-    again = build(nodes, regions).select("plan_id", F.col("plan").alias("again"))
-    good = plans.join(again, "plan_id", "left")
-    return good.select("plan_id", F.when(~F.col("plan").eqNullSafe(F.col("again")) | F.col("plan").isNull(), INVALID).alias("code"))
+    nodes, region = _derived(F.col("document"))
+    read = parsed(plans.select("plan_id", "plan"), choices).select("plan_id", "plan", F.array_sort(nodes).alias("choices"), region.alias("region"))
+    return texts(read, "again").select("plan_id", _judged("again", INVALID))
+
+
+def _judged(now: str, code: str) -> Column:
+    return F.when(~F.col("plan").eqNullSafe(F.col(now)) | F.col("plan").isNull(), code).alias("code")
 
 
 def revalidated(stored: DataFrame, choices: DataFrame, regions: DataFrame) -> DataFrame:
     """plan_id, code: UNTRUSTED for each stored text that differs from the plan built from what is trusted now, else null."""
     now = build(choices, regions).select("plan_id", F.col("plan").alias("now"))
-    both = stored.join(now, "plan_id", "left")
-    return both.select("plan_id", F.when(~F.col("plan").eqNullSafe(F.col("now")) | F.col("plan").isNull(), UNTRUSTED).alias("code"))
+    return stored.join(now, "plan_id", "left").select("plan_id", _judged("now", UNTRUSTED))
+
+
+def revalidated_rows(stored: DataFrame) -> DataFrame:
+    """The same for gathered plans of few nodes as trusted now, with the stored text beside each (``plan``): no text is shuffled."""
+    return texts(stored, "now").select("plan_id", _judged("now", UNTRUSTED))

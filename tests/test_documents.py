@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from planlens.document_queries import choices_of, regions_of
+from planlens.document_queries import choices_of, documents_of, regions_of
 from planlens.functions.canonical import canonical
 from planlens.functions.expressions import canonical_json
 from planlens.plans import documents as do
@@ -99,3 +99,26 @@ def test_broken_graphs_have_no_document(spark, stored):
     for broken in (lost, ring):
         assert [r["plan"] for r in do.build(broken, regions).collect()] == [None]
     assert do.build(choices.limit(0), regions).count() == 0
+
+
+def test_texts_are_dealt_once_and_never_sorted(spark, data):
+    plan = documents_of(Bridge(spark, data))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan
+
+
+def test_large_plans_have_the_same_texts(spark, stored, monkeypatch):
+    choices, regions, plans = stored
+    ids = [r["plan_id"] for r in plans.select("plan_id").limit(12).collect()]
+    some = choices.filter(F.col("plan_id").isin(ids))
+    few = {r["plan_id"]: r["plan"] for r in do.build(some, regions).collect()}
+    monkeypatch.setattr(do, "sizes_above", lambda rows: rows.groupBy("plan_id").count().filter("count > 3").select("plan_id"))
+    assert {r["plan_id"]: r["plan"] for r in do.build(some, regions).collect()} == few and len(few) == 12
+
+
+def test_repeated_and_lacking_steps_are_inconsistent(spark, stored):
+    choices, _, plans = stored
+    text = plans.first()["plan"]
+    steps = text[text.index('"steps":[') + 9 : text.index(',{"budget":null')]
+    rows = [(1, text), (2, text.replace(steps, steps + "," + steps)), (3, text.replace(steps + ",", ""))]
+    got = do.inconsistent(spark.createDataFrame(rows, "plan_id long, plan string"), choices.schema).collect()
+    assert {r["plan_id"]: r["code"] for r in got} == {1: None, 2: do.INVALID, 3: do.INVALID}
