@@ -20,6 +20,7 @@ from planlens.queries import query
  path AS (SELECT plan_id, i, CASE WHEN count(*) = count(ms) THEN max(ms) END AS ms FROM walk GROUP BY plan_id, i)
  SELECT p.plan_id, CASE WHEN count(*) = count(p.ms) THEN max(p.ms) END AS wall_time_ms FROM path p WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.plan_id = p.plan_id AND e.dep = p.i) GROUP BY p.plan_id""")
 def critical_paths(b: Bridge) -> DataFrame:
+    b.keep_nodes()
     return pa.wall_budget(b.node, b.edge)
 
 

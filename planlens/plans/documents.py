@@ -45,7 +45,7 @@ def topological_labels(nodes: DataFrame, scratch: Scratch | None = None) -> Data
         return _few_labels(nodes)
     rest = nodes.join(large, "plan_id", "left_semi")
     links = rest.select("plan_id", F.col("key").alias("i"), F.explode("dependencies").alias("dep")).filter(F.col("dep") != INPUT)
-    depths = ancestry(rest.select("plan_id", F.col("key").alias("i"), F.lit(0).alias("wall_time_ms")), links, scratch)
+    depths = ancestry(rest.select("plan_id", F.col("key").alias("i"), F.lit(0).alias("wall_time_ms")), links)
     many = labelled(rest.select("plan_id", "key", "dependencies").join(depths.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))
     return _few_labels(nodes.join(large, "plan_id", "left_anti")).unionByName(many)
 

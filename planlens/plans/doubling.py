@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planlens.plans.gathered import is_whole, node_rows, sizes_above, solved
 from planlens.workspace import Scratch
 
 
@@ -23,12 +24,29 @@ def ancestry(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = None,
     node's end; null if one of the nodes before it, or it, states none) are null
     where the node is on or behind a cycle (``cyclic``) or behind a missing node
     (``lost``). ``used``: an output leads back to it; outputs (plan_id, i) are the
-    nodes without users if not given.
+    nodes without users if not given. Plans of few nodes, all of them in an order,
+    are solved in a row each; the others double.
     """
     scratch = scratch or Scratch(edges.sparkSession, "doubling")
     on = ["plan_id", "i"]
     own = scratch.save(nodes.select(*on, F.col("wall_time_ms").cast("double").alias("own")), "own")
-    links = scratch.save(edges.select(*on, "dep").distinct(), "links")
+    links = scratch.save(edges.select(*on, "dep"), "edges")
+    if outputs is not None:
+        return _doubled(own, links, scratch, outputs)
+    large = scratch.save(sizes_above(own), "large")
+    few = (own, links) if large.isEmpty() else tuple(f.join(large, "plan_id", "left_anti") for f in (own, links))
+    found = scratch.save(solved(*few).filter(F.size("keys") > 0).select("plan_id", is_whole().alias("whole"), F.when(is_whole(), node_rows()).alias("rows")), "few")
+    rest = scratch.save(found.filter(~F.col("whole")).select("plan_id").unionByName(large), "rest")
+    made = found.filter("whole").select("plan_id", F.inline("rows"))
+    made = made.select(*on, (F.col("edges") + 1).alias("depth"), F.when(~F.col("unknown"), F.col("ms")).alias("path_ms"), F.lit(False).alias("cyclic"), F.lit(False).alias("lost"), F.lit(True).alias("used"))
+    if rest.isEmpty():
+        return made
+    return made.unionByName(_doubled(*(f.join(rest, "plan_id", "left_semi") for f in (own, links)), scratch, None))
+
+
+def _doubled(own: DataFrame, edges: DataFrame, scratch: Scratch, outputs: DataFrame | None) -> DataFrame:
+    on = ["plan_id", "i"]
+    links = scratch.save(edges.distinct(), "links")
     known = links.join(own.withColumnRenamed("i", "dep").withColumnRenamed("own", "before"), ["plan_id", "dep"], "left_semi")
     lacking = links.join(own.withColumnRenamed("i", "dep"), ["plan_id", "dep"], "left_anti").select(*on).distinct().withColumn("lost", F.lit(True))
     jump = known.join(own, on).select("plan_id", "dep", "i", F.coalesce("own", F.lit(0)).cast("double").alias("ms"))

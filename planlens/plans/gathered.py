@@ -66,13 +66,41 @@ def longest(order: Column, before: Column, own: Column) -> Column:
     return F.aggregate(order, F.array().cast(f"array<{one}>"), step)
 
 
-def solved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """plan_id, n, keys, order, found (in the order) of plans with ``nodes`` (plan_id, i, own) and ``edges`` (plan_id, i, dep)."""
-    rows = nodes.select("plan_id", F.struct("i", "own").alias("node"), F.lit(None).alias("edge"))
-    both = rows.unionByName(edges.select("plan_id", F.lit(None).alias("node"), F.struct("i", "dep").alias("edge")))
-    plans = both.groupBy("plan_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"), F.collect_list("edge").alias("edges")).filter(F.size("nodes") > 0)
-    keyed = plans.select("plan_id", F.transform("nodes", lambda n: n["i"]).alias("keys"), F.transform("nodes", lambda n: n["own"]).alias("own"),
-                         F.transform("nodes", lambda n: F.transform(F.filter("edges", lambda e: e["i"] == n["i"]), lambda e: e["dep"])).alias("deps"))
-    placed = keyed.select("plan_id", "keys", "own", inside(F.col("keys"), F.col("deps")).alias("before"))
+def solved(nodes: DataFrame | None, edges: DataFrame, outer: int | None = None) -> DataFrame:
+    """plan_id, n, keys, order, found (in the order) of plans with ``nodes`` (plan_id, i, own) and ``edges`` (plan_id, i, dep).
+
+    Without ``nodes`` they are the ones that have edges, and state no time.
+    """
+    edge = F.struct("i", "dep").alias("edge")
+    if nodes is None:
+        plans = edges.groupBy("plan_id").agg(F.collect_list(edge).alias("edges"))
+        plans = plans.withColumn("nodes", F.transform(F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["i"]))), lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("own"))))
+    else:
+        rows = nodes.select("plan_id", F.struct("i", "own").alias("node"), F.lit(None).alias("edge"))
+        both = rows.unionByName(edges.select("plan_id", F.lit(None).alias("node"), edge))
+        plans = both.groupBy("plan_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"), F.collect_list("edge").alias("edges"))
+    deps = F.transform("nodes", lambda n: F.transform(F.filter("edges", lambda e: e["i"] == n["i"]), lambda e: e["dep"]))
+    keyed = plans.select("plan_id", F.transform("nodes", lambda n: n["i"]).alias("keys"), F.transform("nodes", lambda n: n["own"]).alias("own"), deps.alias("deps"))
+    return _solved(keyed, outer)
+
+
+def _solved(plans: DataFrame, outer: str | int | None) -> DataFrame:
+    placed = plans.select("plan_id", "keys", "own", inside(F.col("keys"), F.col("deps"), outer).alias("before"))
     ordered = placed.withColumn("order", walk(F.col("before")))
-    return ordered.select("plan_id", F.size("keys").alias("n"), "keys", "order", longest(F.col("order"), F.col("before"), F.col("own")).alias("found"))
+    return ordered.select("plan_id", F.size("keys").alias("n"), "keys", "before", "order", longest(F.col("order"), F.col("before"), F.col("own")).alias("found"))
+
+
+def solved_keys(nodes: DataFrame, outer: str) -> DataFrame:
+    """The same of nodes (plan_id, key, dependencies, own)."""
+    plans = nodes.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("key", "dependencies", "own"))).alias("nodes"))
+    return _solved(plans.select("plan_id", F.transform("nodes", lambda n: n["key"]).alias("keys"), F.transform("nodes", lambda n: n["own"]).alias("own"), F.transform("nodes", lambda n: n["dependencies"]).alias("deps")), outer)
+
+
+def is_whole() -> Column:
+    """Of a solved plan: every node is in the order, and no two have one key."""
+    return (F.col("n") > 0) & (F.size("order") == F.col("n")) & (F.size(F.array_distinct("keys")) == F.col("n"))
+
+
+def node_rows() -> Column:
+    """i, edges, ms, unknown of a solved plan's nodes, for ``inline``."""
+    return F.zip_with("order", "found", lambda k, f: F.struct(F.get("keys", k - 1).alias("i"), f["edges"].alias("edges"), f["ms"].alias("ms"), f["unknown"].alias("unknown")))

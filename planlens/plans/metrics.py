@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from planlens.functions.canonical import let
 from planlens.plans.doubling import ancestry
+from planlens.plans.gathered import is_whole, node_rows, sizes_above, solved, solved_keys
 from planlens.workspace import Scratch
 
 #: Rounds before deep plans go on by doubling.
@@ -61,10 +63,19 @@ def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None =
     their depth; plans with nodes left after ``rounds`` rounds go on by doubling,
     as most plans are shallow and a round costs less. Rows are dealt by plan and
     node: no plan is gathered in one task. A node on or behind a cycle or a missing
-    node has no depth and no row.
+    node has no depth and no row. Plans of few edges are solved in a row each instead.
     """
     scratch = scratch or Scratch(edges.sparkSession, "depths")
     links = scratch.save(edges.select("plan_id", "i", "dep"), "links")
+    large = scratch.save(sizes_above(links), "large")
+    few = links if large.isEmpty() else links.join(large, "plan_id", "left_anti")
+    made = solved(None, few, 0).select("plan_id", F.inline(node_rows())).select("plan_id", "i", (F.col("edges") + 1).alias("depth"))
+    if large.isEmpty():
+        return made
+    return made.unionByName(_depths_by_rounds(scratch.save(links.join(large, "plan_id", "left_semi"), "many"), scratch, rounds))
+
+
+def _depths_by_rounds(links: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
     waiting = scratch.save(links.groupBy("plan_id", "i").agg(F.count_if(F.col("dep") != 0).alias("waiting")), "waiting0")
     depth = 0
     while depth < rounds:
@@ -77,14 +88,14 @@ def indexed_depths(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None =
         waiting = scratch.save(rest.select("plan_id", "i", (F.col("waiting") - F.coalesce("freed", F.lit(0))).alias("waiting")), f"waiting{depth}")
         scratch.drop(f"waiting{depth - 1}")
     schema = StructType([*taken.schema.fields, StructField("depth", IntegerType())])
-    done = edges.sparkSession.read.schema(schema).parquet(scratch.path("taken"))
+    done = links.sparkSession.read.schema(schema).parquet(scratch.path("taken"))
     deep = waiting.select("plan_id").distinct()  # what is left there was never taken
     if depth < rounds or deep.isEmpty():
         return done
     deep = scratch.save(deep, "deep")
     left = links.join(deep, "plan_id", "left_semi")
     every = left.select("plan_id", "i").distinct().withColumn("wall_time_ms", F.lit(0))
-    found = ancestry(every, left.filter("dep <> 0"), scratch).filter("depth is not null")
+    found = ancestry(every, left.filter("dep <> 0")).filter("depth is not null")
     return done.join(deep, "plan_id", "left_anti").unionByName(found.select("plan_id", "i", "depth"))
 
 
@@ -143,6 +154,23 @@ def graph_metrics(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame
     aren't in it, and a plan with one has no critical path.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "graph")
+    large = scratch.save(sizes_above(nodes), "large_plans")
+    few = nodes if large.isEmpty() else nodes.join(large, "plan_id", "left_anti")
+    plans = solved_keys(few.select("plan_id", "key", "dependencies", F.col("wall_time_ms").cast("double").alias("own")), "$input").select("*", F.flatten("before").alias("users"))
+    ends = F.filter(F.zip_with("order", "found", lambda k, f: F.struct(k.alias("k"), f["ms"].alias("ms"), f["unknown"].alias("unknown"))), lambda x: ~F.array_contains("users", x["k"]))
+    plans = plans.select(
+        "plan_id", is_whole().alias("whole"), F.col("n").alias("nodes"), (F.array_max(F.transform("found", lambda f: f["edges"])) + 1).alias("max_depth"),
+        F.array_join(F.transform("order", lambda k: F.get("keys", k - 1)), ",").alias("topological"),
+        let(ends, lambda e: F.when(~F.exists(e, lambda x: x["unknown"]), F.array_max(F.transform(e, lambda x: x["ms"])))).alias("critical_path_ms"),
+    )
+    plans = scratch.save(plans, "few_plans")
+    rest = scratch.save(plans.filter(~F.col("whole")).select("plan_id").unionByName(large), "rest_plans")
+    made = plans.filter("whole").select("plan_id", "nodes", "max_depth", F.lit(False).alias("cyclic"), F.lit("").alias("missing"), F.lit("").alias("unreachable"), "topological", "critical_path_ms")
+    return made if rest.isEmpty() else made.unionByName(_graphs(nodes.join(rest, "plan_id", "left_semi"), scratch))
+
+
+def _graphs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for plans of many nodes and broken ones, by doubling."""
     links = nodes.select("plan_id", "key", F.explode(F.array_distinct("dependencies")).alias("dep")).filter("dep <> '$input'")
     found = scratch.save(ancestry(nodes.select("plan_id", F.col("key").alias("i"), "wall_time_ms"), links.withColumnRenamed("key", "i"), scratch), "ancestry")
     order = labelled(nodes.select("plan_id", "key", "dependencies").join(found.select("plan_id", F.col("i").alias("key"), "depth"), ["plan_id", "key"]))

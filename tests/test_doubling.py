@@ -87,3 +87,17 @@ def test_schemas(spark):
     assert {(a, b): ok for a, b, ok in got.select("source", "target", "compatible").collect()} == {p: fits(*map(json.loads, p)) for p in pairs}
     edges = spark.createDataFrame([(1, '{"type":"string"}', '{"type":"number"}'), (2, '{"type":"integer"}', '{"type":"number"}'), (1, '{"type":"string"}', '{"type":"number"}')], "id long, source string, target string")
     assert [x["id"] for x in sc.incompatible_edges(edges).collect()] == [1, 1]
+
+
+def test_plans_in_a_row_and_by_doubling_are_equal(spark, monkeypatch):
+    from planlens.plans import doubling
+
+    rows = [(plan, k, deps[k], wall[k]) for plan, keys, deps, wall in graphs(6) for k in keys]
+    nodes = spark.createDataFrame(rows, "plan_id long, i string, deps array<string>, wall_time_ms double")
+    edges = nodes.select("plan_id", "i", F.explode("deps").alias("dep")).filter("dep <> '$input'")
+    by = lambda: sorted(map(repr, ancestry(nodes, edges).collect()))
+    few = by()
+    monkeypatch.setattr(doubling, "sizes_above", lambda rows: rows.select("plan_id").distinct())
+    assert by() == few and len(few) == len(rows)
+    plan = me.indexed_depths(None, spark.range(9).selectExpr("id as plan_id", "1 as i", "0 as dep"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
