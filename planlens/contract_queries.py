@@ -82,9 +82,7 @@ def updated_tasks(b: Bridge) -> DataFrame:
 
 @query("j13_generated_nodes", "SELECT coalesce(n.plan_id, a.plan_id) AS plan_id, coalesce(n.module_id, a.module_id) AS module_id, coalesce(n.c, 0) AS expected, coalesce(a.c, 0) AS actual FROM (SELECT plan_id, module_id, count(*) AS c FROM node GROUP BY ALL) n FULL JOIN (SELECT plan_id, module_id, count(*) AS c FROM plan_after GROUP BY ALL) a ON n.plan_id = a.plan_id AND n.module_id = a.module_id")
 def generated_nodes(b: Bridge) -> DataFrame:
-    of = lambda df, name: df.groupBy("plan_id", "module_id").agg(F.count("*").alias(name))
-    both = of(b.node, "expected").join(of(b.plan_after, "actual"), ["plan_id", "module_id"], "full_outer")
-    return both.na.fill(0, ["expected", "actual"])
+    return al.uses(b.versions).withColumnsRenamed({"old_uses": "expected", "new_uses": "actual"})
 
 
 @query("j15_records_without_boundary", "SELECT plan_id, i FROM node n WHERE NOT EXISTS (SELECT 1 FROM plan_after a WHERE a.plan_id = n.plan_id AND a.i = n.i)")
@@ -147,7 +145,7 @@ def latest_request(b: Bridge) -> DataFrame:
 
 @query("w07_first_divergences", "SELECT plan_id, min(i) AS i FROM node n WHERE NOT EXISTS (SELECT 1 FROM plan_after a WHERE a.plan_id = n.plan_id AND a.i = n.i) GROUP BY plan_id")
 def first_divergences(b: Bridge) -> DataFrame:
-    return al.divergence(al.changes(b.node, b.plan_after)).filter("kind = 'DELETION'").select("plan_id", "i")
+    return al.divergence(al.changes(b.versions)).filter("kind = 'DELETION'").select("plan_id", "i")
 
 
 @query("o05_history_order", "SELECT run_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS log FROM event GROUP BY run_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 #: Kinds of change in order; those below the line end a comparison.
@@ -53,16 +53,27 @@ def align(before: DataFrame, after: DataFrame, controls_before: DataFrame, contr
     return every.join(last, "plan_id").filter(F.col("last").isNull() | (at <= F.col("last"))).drop("last")
 
 
-def matched_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Full outer join on identity (plan_id, i)."""
+def in_versions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of two versions as one table, with ``after`` false and true."""
+    return before.withColumn("after", F.lit(False)).unionByName(after.withColumn("after", F.lit(True)))
+
+
+def met(rows: DataFrame, *keys: str) -> GroupedData:
+    """Rows of two versions (``after``) in groups of equal keys; those with a null key meet none of the other version."""
+    alone = F.when(F.greatest(*(F.col(k).isNull() for k in keys)), F.col("after"))
+    return rows.groupBy(*keys, alone.alias("alone"))
+
+
+def matched_nodes(rows: DataFrame) -> DataFrame:
+    """plan_id, i of either version, ``old`` and ``new`` (true or null), and what each version says of the node, which is once in it."""
     names = ("module_digest", "tool_calls")
-    left = before.select("plan_id", "i", F.lit(True).alias("old"), *(F.col(c).alias(f"{c}_old") for c in names))
-    right = after.select("plan_id", "i", F.lit(True).alias("new"), *(F.col(c).alias(f"{c}_new") for c in names))
-    return left.join(right, ["plan_id", "i"], "full_outer")
+    of = lambda c, after: F.max(F.when(F.col("after") == after, c))
+    sides = ((False, "old"), (True, "new"))
+    return met(rows, "plan_id", "i").agg(*(of(F.lit(True), a).alias(n) for a, n in sides), *(of(F.col(c), a).alias(f"{c}_{n}") for a, n in sides for c in names)).drop("alone")
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """plan_id, i, rank, kind of every change."""
+def changes(rows: DataFrame) -> DataFrame:
+    """plan_id, i, rank, kind of every change between two versions (``after``)."""
     kind = lambda name, test: F.when(test, F.struct(F.lit(ORDER[name]).alias("rank"), F.lit(name).alias("kind")))
     both = F.col("old") & F.col("new")
     found = F.array_compact(F.array(
@@ -71,7 +82,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
         kind("MODULE_DIGEST_CHANGED", both & ~F.col("module_digest_old").eqNullSafe(F.col("module_digest_new"))),
         kind("BUDGET_CHANGED", both & ~F.col("tool_calls_old").eqNullSafe(F.col("tool_calls_new"))),
     ))
-    return matched_nodes(before, after).select("plan_id", "i", F.explode(found).alias("c")).select("plan_id", "i", "c.rank", "c.kind")
+    return matched_nodes(rows).select("plan_id", "i", F.explode(found).alias("c")).select("plan_id", "i", "c.rank", "c.kind")
 
 
 def divergence(found: DataFrame) -> DataFrame:
@@ -80,12 +91,14 @@ def divergence(found: DataFrame) -> DataFrame:
     return found.groupBy("plan_id").agg(first.alias("first"), F.count("*").alias("changes")).select("plan_id", F.col("first.kind").alias("kind"), F.col("first.i").alias("i"), "changes")
 
 
-def composition_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """plan_id, module_id with its uses in either version where these differ."""
-    old = before.groupBy("plan_id", "module_id").agg(F.count("*").alias("old_uses"))
-    new = after.groupBy("plan_id", "module_id").agg(F.count("*").alias("new_uses"))
-    both = old.join(new, ["plan_id", "module_id"], "full_outer").na.fill(0, ["old_uses", "new_uses"])
-    return both.filter("old_uses <> new_uses")
+def uses(rows: DataFrame) -> DataFrame:
+    """plan_id, module_id with its uses in either of two versions (``after``)."""
+    return met(rows, "plan_id", "module_id").agg(F.count_if(~F.col("after")).alias("old_uses"), F.count_if(F.col("after")).alias("new_uses")).drop("alone")
+
+
+def composition_changes(rows: DataFrame) -> DataFrame:
+    """plan_id, module_id with its uses in either of two versions (``after``) where these differ."""
+    return uses(rows).filter("old_uses <> new_uses")
 
 
 def unequal_multisets(expected: DataFrame, actual: DataFrame) -> DataFrame:
