@@ -13,10 +13,12 @@ from functools import singledispatch
 from pathlib import PurePath
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from planlens.workspace import ship_package
+
 #: Bytes of each memory unit.
 MEMORY_UNITS = {"KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40}
 #: Names in plans, and names in access declarations, which may be longer.
@@ -122,7 +124,8 @@ def _canonical_or_null(text: str | None) -> str | None:
 
 
 def canonical_text(text: Column) -> Column:
-    """Canonical form of JSON texts, in Arrow batches; null where a text isn't JSON."""
+    """Canonical form of JSON texts, in Arrow batches of bounded bytes; null where a text isn't JSON."""
+    ship_package(SparkSession.active())
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(_canonical_or_null)

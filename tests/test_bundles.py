@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from planlens.functions import expressions
 from planlens.sources import bundles
+from planlens.workspace import BATCH_BYTES, BATCH_SETTING
 
 
 def frames(spark, runs):
@@ -88,3 +90,22 @@ def test_first_gate_wins(spark, made):
         (row,) = bundles.defects(lines.filter(F.col("k") == k)).collect()
         assert row["reason"] == k
     assert bundles.defects(spark.createDataFrame([("x", body), (None, None)], "digest string, body string")).select("reason").distinct().count() == 2
+
+
+def test_only_texts_that_arent_made_again_go_to_python(spark, made):
+    body = made.filter("run_id = 1").first()["body"]
+    texts = {"whole": body, "version": body.replace("0.2.0", "9"), "plan": body.replace('"m1"', '"m9"'), "graph": body.replace('"module_digest":"d', '"module_digest":"e', 1), "blank": body.replace("{", "{ ", 1), "field": body.replace('"tenant_id":7', '"tenant_id":"7"'), "none": None}
+    read = spark.sparkContext.accumulator(0)
+    spark.conf.unset(BATCH_SETTING)
+
+    @F.pandas_udf("string")
+    def counted(texts):
+        read.add(int(texts.notna().sum()))
+        return texts.map(expressions._canonical_or_null)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bundles, "canonical_text", counted)
+        found = bundles.defects(spark.createDataFrame([("x", t) for t in texts.values()], "digest string, body string").coalesce(1)).collect()
+    assert [r["reason"] for r in found] == ["digest", "version", "plan digest", "derived graph", "not canonical", "fields", "not JSON"] and read.value == 2
+    bundles.defects(spark.createDataFrame([("x", body)], "digest string, body string"))
+    assert spark.conf.get(BATCH_SETTING) == BATCH_BYTES
