@@ -18,11 +18,11 @@ def ready_tasks(completions: DataFrame, edges: DataFrame, expires_after_ms: int
     dependencies, and after that only that it was ready, so completions may come twice and in any order
     and batches. State is dealt by task: a large run is no hot key. With ``expires_after_ms`` a task
     forgets what it knew that long after its last completion, by event time; ``completions`` then have created_at and a watermark.
+    Without it a task of one dependency needs no Python: it is ready at the first completion, and Spark drops later ones.
     """
     timed = expires_after_ms is not None
     kept = ["plan_id", "dep", *(["created_at"] if timed else [])]
-    needs = edges.select("plan_id", "i", "dep").distinct()
-    needs = needs.join(needs.groupBy("plan_id", "i").agg(F.count("*").alias("needed")), ["plan_id", "i"])
+    needs = edges.groupBy("plan_id", "i").agg(F.collect_set("dep").alias("deps")).select("plan_id", "i", F.size("deps").alias("needed"), F.explode("deps").alias("dep"))
     told = completions.withColumnRenamed("i", "dep").select(*kept).join(needs, ["plan_id", "dep"])
 
     def wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,4 +42,8 @@ def ready_tasks(completions: DataFrame, edges: DataFrame, expires_after_ms: int
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + expires_after_ms)
 
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return told.groupBy("plan_id", "i").applyInPandasWithState(wait, "plan_id long, i long", "seen array<long>, done boolean", "append", timeout)
+    stateful = lambda rows: rows.groupBy("plan_id", "i").applyInPandasWithState(wait, "plan_id long, i long", "seen array<long>, done boolean", "append", timeout)
+    if timed:
+        return stateful(told)
+    single = told.filter("needed = 1").select("plan_id", F.col("i").cast("long").alias("i")).dropDuplicates(["plan_id", "i"])
+    return stateful(told.filter("needed > 1")).unionByName(single)

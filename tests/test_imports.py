@@ -211,6 +211,19 @@ def test_ready_tasks_whatever_the_batches(spark, tmp_path, files):
     assert got == sorted(t for t in tasks if all((p, d) in have for p, i, d in edges if (p, i) == t))
 
 
+def test_tasks_of_one_dependency_need_no_python_state(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (1, 0), (1, 1), (1, 2)], "plan_id long, i long").coalesce(1).write.parquet(str(tmp_path / "done"))
+    edges = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 4, 3)], "plan_id long, i long, dep long")
+    query = ready_tasks(spark.readStream.schema("plan_id long, i long").parquet(str(tmp_path / "done")), edges).writeStream.outputMode("append").trigger(availableNow=True)
+    run = query.option("checkpointLocation", str(tmp_path / "progress")).format("parquet").option("path", str(tmp_path / "ready")).start()
+    run.awaitTermination()
+    held = {}
+    for p in run.recentProgress:
+        held |= {o["operatorName"]: max(o["numRowsTotal"], held.get(o["operatorName"], 0)) for o in p["stateOperators"]}
+    assert held == {"applyInPandasWithState": 1, "dedupe": 3}
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "ready")).collect()) == [(1, 1), (1, 2), (1, 3)]
+
+
 def _declaration(**changes):
     base = {"name": "a", "kind": "capability", "connector": "db", "operation": "read", "connector_version": None, "input_schema_digest": "0" * 64, "output_schema_digest": "f" * 64, "policy_tags": ["x", "y"]}
     return {k: v for k, v in (base | changes).items() if v != "DROP"}
