@@ -28,6 +28,7 @@ def critical_paths(b: Bridge) -> DataFrame:
  UNION SELECT r.plan_id, r.i, e.dep FROM reach r JOIN node n ON n.plan_id = r.plan_id AND n.i = r.dep JOIN edge e ON e.plan_id = r.plan_id AND e.i = r.dep WHERE n.tool_calls IS NULL AND e.dep <> 0)
  SELECT r.plan_id, r.i, r.dep AS dependency FROM reach r JOIN node o ON o.plan_id = r.plan_id AND o.i = r.i JOIN node n ON n.plan_id = r.plan_id AND n.i = r.dep WHERE o.tool_calls IS NOT NULL AND n.tool_calls IS NOT NULL""")
 def dependency_keys(b: Bridge) -> DataFrame:
+    b.keep_nodes("tool_calls")
     return pa.dependency_keys(b.edge, b.node.filter("tool_calls is not null"))
 
 

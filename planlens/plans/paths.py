@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from planlens.plans.doubling import ancestry
-from planlens.workspace import Scratch
+from planlens.workspace import Scratch, partitions_for
 
 
 def spread(start: DataFrame, onward: Callable[[DataFrame], DataFrame], scratch: Scratch, name: str) -> DataFrame:
@@ -48,16 +48,20 @@ def wall_budget(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_keys(edges: DataFrame, executable: DataFrame) -> DataFrame:
     """plan_id, i, dependency: the nearest executable nodes (plan_id, i) before each executable node, through control nodes."""
     scratch = Scratch(edges.sparkSession, "keys")
-    deps = scratch.save(edges.filter("dep <> 0").select("plan_id", "i", "dep"), "deps")
-    runs = executable.select("plan_id", F.col("i").alias("dep"))
-    back = deps.select("plan_id", F.col("i").alias("via"), F.col("dep").alias("next"))
+    runs = executable.select("plan_id", F.col("i").alias("dep"), F.lit(True).alias("runs"))
+    own = executable.select("plan_id", "i", F.lit(True).alias("own"))
+    marked = edges.filter("dep <> 0").select("plan_id", "i", "dep").join(runs.hint("merge"), ["plan_id", "dep"], "left").join(own.hint("merge"), ["plan_id", "i"], "left")  # nodes grow with the input: a small file of them is no small table
+    deps = scratch.save(marked.select("plan_id", "i", "dep", F.coalesce("runs", F.lit(False)).alias("runs"), F.coalesce("own", F.lit(False)).alias("own")), "deps")
+    back = deps.filter("not own").select("plan_id", F.col("i").alias("via"), F.col("dep").alias("next"), F.col("runs").alias("ends"))
 
     def onward(new: DataFrame) -> DataFrame:
-        control = new.join(runs, ["plan_id", "dep"], "left_anti").withColumnRenamed("dep", "via")
-        return control.join(back, ["plan_id", "via"]).select("plan_id", "i", F.col("next").alias("dep"))
+        control = new.filter("not runs").select("plan_id", "i", F.col("dep").alias("via"))
+        return control.join(back, ["plan_id", "via"]).select("plan_id", "i", F.col("next").alias("dep"), F.col("ends").alias("runs"))
 
-    reached = spread(deps.join(executable.select("plan_id", "i"), ["plan_id", "i"], "left_semi"), onward, scratch, "reached")
-    return reached.join(runs, ["plan_id", "dep"], "left_semi").select("plan_id", "i", F.col("dep").alias("dependency"))
+    started = deps.filter("own").drop("own")
+    found = onward(spread(started.filter("not runs"), lambda new: onward(new).filter("not runs"), scratch, "reached")).filter("runs")
+    every = started.filter("runs").unionByName(found).select("plan_id", "i", F.col("dep").alias("dependency"))
+    return every.repartition(partitions_for(scratch.spark, deps.count()), "plan_id", "i").distinct()
 
 
 def executed_path(edges: DataFrame, decisions: DataFrame, outputs: DataFrame) -> DataFrame:

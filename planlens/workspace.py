@@ -66,6 +66,15 @@ class Scratch:
                 system.delete(status.getPath(), True)
 
 
+#: Rows of a partition where tasks sort or aggregate whole partitions, and how few are worth a task of their own; speed and memory only.
+DEALT_ROWS, LEAST_ROWS = 200_000, 20_000
+
+
+def partitions_for(spark: SparkSession, rows: int, most: int = DEALT_ROWS) -> int:
+    """Into how many partitions to deal so many rows; Spark doesn't join partitions of a given number."""
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)))
+
+
 _SHIPPED: dict[str, bool] = {}
 
 #: Bytes of the batches that Spark hands to a Python worker: with rows alone as the bound, long texts would fill it.

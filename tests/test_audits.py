@@ -36,6 +36,17 @@ def test_dependency_keys_pass_control_nodes(spark):
     assert rows(pa.dependency_keys(edges, executable)) == [(1, 4, 1)]
 
 
+def test_dependency_keys_follow_only_control_nodes(spark, monkeypatch):
+    written = {}
+    save = pa.Scratch.save
+    monkeypatch.setattr(pa.Scratch, "save", lambda self, frame, name, **o: (kept := save(self, frame, name, **o), written.update({name: kept.count()}))[0])
+    edges = spark.createDataFrame([(1, 1, 0), *((1, i, i - 1) for i in range(2, 9)), (1, 8, 2), (1, 8, 2), (2, 1, 2), (2, 2, 1), (2, 3, 1)], "plan_id long, i int, dep int")
+    executable = spark.createDataFrame([(1, i) for i in (1, 2, 3, 6, 7, 8)] + [(2, 3)], "plan_id long, i int")
+    assert rows(pa.dependency_keys(edges, executable)) == [(1, 2, 1), (1, 3, 2), (1, 6, 3), (1, 7, 6), (1, 8, 2), (1, 8, 7)]
+    assert sum(n for name, n in written.items() if name.startswith("reached")) == 4
+
+
+
 def test_executed_path(spark):
     # Branch 4 has condition 1 and ways 2 and 3.
     links = [(p, i, k, d) for p in (1, 2, 3) for i, k, d in ((1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 1), (4, 1, 2), (4, 2, 3), (5, 0, 4))]
