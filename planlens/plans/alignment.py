@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 #: Kinds of change in order; those below the line end a comparison.
@@ -29,7 +29,17 @@ def align(before: DataFrame, after: DataFrame, controls_before: DataFrame, contr
     of the first six kinds is the last one of its plan. Only changes are
     aggregated by plan, not steps.
     """
-    sides = [f.select("plan_id", "key", *(F.col(c).alias(f"{c}_{n}") for c in ("place", *STEP_COLUMNS))) for f, n in ((before, "old"), (after, "new"))]
+    controls = controls_before.withColumnRenamed("controls", "old").join(controls_after.withColumnRenamed("controls", "new"), "plan_id")
+    return aligned(in_versions(before, after), controls)
+
+
+def aligned(steps: DataFrame, controls: DataFrame) -> DataFrame:
+    """The same of steps of both versions (``after`` false and true) and controls (plan_id, old, new). Only plan_id deals the steps, where it already does."""
+    kind_of_key = steps.schema["key"].dataType
+    of = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c)))
+    texts = F.struct(*STEP_COLUMNS)
+    steps = met(steps.select("plan_id", "key", "place", texts.alias("step"), "after"), "plan_id", "key").agg(*(of(c, a).alias(f"{c}_{n}") for a, n in ((False, "old"), (True, "new")) for c in ("place", "step"))).drop("alone")
+    steps = steps.select("plan_id", "key", "place_old", "place_new", *(F.col(f"step_{n}")[c].alias(f"{c}_{n}") for n in ("old", "new") for c in STEP_COLUMNS))
     both = F.col("place_old").isNotNull() & F.col("place_new").isNotNull()
     differs = lambda c: both & ~F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new"))
 
@@ -44,13 +54,11 @@ def align(before: DataFrame, after: DataFrame, controls_before: DataFrame, contr
         change(differs("dependencies"), 4, "place_old", 1, "TOPOLOGY_CHANGED"),
         *(change(differs(c), 4, "place_old", k + 2, kind) for k, (kind, c) in enumerate(COMPATIBLE.items())),
     ))
-    steps = sides[0].join(sides[1], ["plan_id", "key"], "full_outer").select("plan_id", "key", F.explode(found).alias("c")).select("plan_id", "c.*", "key")
-    old, new = controls_before.withColumnRenamed("controls", "old"), controls_after.withColumnRenamed("controls", "new")
-    whole = old.join(new, "plan_id").filter("not (old <=> new)").select("plan_id", F.lit(3).alias("phase"), F.lit(0).alias("place"), F.lit(0).alias("rank"), F.lit("CONTROL_FLOW_CHANGED").alias("kind"), F.lit(None).cast(before.schema["key"].dataType).alias("key"))
-    every = steps.unionByName(whole)
+    steps = steps.select("plan_id", "key", F.explode(found).alias("c")).select("plan_id", "c.*", "key")
+    whole = controls.filter("not (old <=> new)").select("plan_id", F.lit(3).alias("phase"), F.lit(0).alias("place"), F.lit(0).alias("rank"), F.lit("CONTROL_FLOW_CHANGED").alias("kind"), F.lit(None).cast(kind_of_key).alias("key"))
     at = F.struct("phase", "place", "rank")
-    last = every.groupBy("plan_id").agg(F.min(F.when(F.col("kind").isin(*ENDING), at)).alias("last"))
-    return every.join(last, "plan_id").filter(F.col("last").isNull() | (at <= F.col("last"))).drop("last")
+    last = F.min(F.when(F.col("kind").isin(*ENDING), at)).over(Window.partitionBy("plan_id"))
+    return steps.unionByName(whole).withColumn("last", last).filter(F.col("last").isNull() | (at <= F.col("last"))).drop("last")
 
 
 def in_versions(before: DataFrame, after: DataFrame) -> DataFrame:
