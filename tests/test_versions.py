@@ -23,6 +23,14 @@ def test_versions_are_made_in_one_pass(spark, data, name):
     assert scans(queries()[name](spark, data)) == 1
 
 
+@pytest.mark.parametrize("name", ["p17_schema_contracts", "d03_dependency_keys", "d01_alignment", "g11_precreated_tasks"])
+def test_nodes_are_made_once(spark, data, monkeypatch, name):
+    made = []
+    of = bridge.Bridge._nodes_of
+    monkeypatch.setattr(bridge.Bridge, "_nodes_of", lambda self, lines: made.append(1) or of(self, lines))
+    assert scans(queries()[name](spark, data)) <= (name == "d01_alignment") and len(made) == 1
+
+
 def test_partitions_follow_the_rows(spark, data, monkeypatch):
     monkeypatch.setattr(bridge, "DEALT_ROWS", 500)
     b = bridge.Bridge(spark, data)
