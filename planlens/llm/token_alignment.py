@@ -27,6 +27,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm.bpe import byte_symbols
-from planlens.llm.bpe_chunks import _BARE, _SAFE_CUT, ChunkEncoder, Encoded
-from planlens.llm.frames import planes, texts_of, unplanes
+from planlens.llm.bpe_chunks import _BARE, _SAFE_CUT, ChunkEncoder, Encoded, spans
+from planlens.llm.frames import offsets_of, planes, texts_of, unplanes
 from planlens.llm.worker_memory import slices, worker_cache
 from planlens.workspace import Scratch, ship_package
 
+#: Chunks that A encodes as one text; added to ids of B where they stand beside A's.
+JOINED, SECOND = 128, 1 << 24
 #: Tokens of a block of events, and tokens that are swept at a time.
 BLOCK, SWEPT = 16_384, 200_000
 #: Pairs in the broadcast table, at most.
@@ -65,6 +68,11 @@ def spaced_keys(text: str) -> list[str]:
     return words
 
 
+def flat(found: list[list[int]]) -> Encoded:
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return lengths, np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum()))
+
+
 class Vocabulary:
     """Bytes of each id; one id more stands for a chunk whose tokens don't spell it."""
 
@@ -73,11 +81,14 @@ class Vocabulary:
         self.wrong = len(strings)
         self.lengths = np.fromiter(map(len, self.strings), np.int64, len(self.strings))
 
-    def checked(self, chunks: list[str], found: list[list[int]]) -> Encoded:
-        spell = self.strings.__getitem__
-        good = [ids if b"".join(map(spell, ids)) == chunk.encode() else [self.wrong] for chunk, ids in zip(chunks, found)]
-        lengths = np.fromiter(map(len, good), np.int64, len(good))
-        return lengths, np.fromiter((i for ids in good for i in ids), "<u4", int(lengths.sum()))
+    def checked(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray) -> Encoded:
+        """All chunks at a time; one by one only if some chunk isn't spelled."""
+        spell, cuts = self.strings.__getitem__, offsets_of(lengths)
+        sizes = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in chunks), np.int64, len(chunks))
+        if np.array_equal(offsets_of(self.lengths[ids])[cuts[1:]], np.cumsum(sizes)) and b"".join(map(spell, ids.tolist())) == "".join(chunks).encode():
+            return lengths, ids
+        parts = (ids[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        return flat([part if b"".join(map(spell, part)) == chunk.encode() else [self.wrong] for chunk, part in zip(chunks, parts)])
 
 
 class ByteSide(Vocabulary):
@@ -100,9 +111,24 @@ class ByteSide(Vocabulary):
         for token, i in vocab.items():
             strings[i] = bytes(map(back.get, token)) if all(c in back for c in token) else token.encode()
         super().__init__(strings)
+        self.opens = np.array([x[:1] in (b" ", b"\n") for x in self.strings])
+
+    def found(self, texts: list[str]) -> Encoded:
+        return flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def encode_many(self, chunks: list[str]) -> Encoded:
-        return self.checked(chunks, [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        """Chunks with no white space but the first character go joined, ``JOINED`` at a time: each token that begins with such a character opens one."""
+        plain = np.array([x[0] in " \n" and x[1:].split() == [x[1:]] for x in chunks], bool)
+        simple, rest = list(compress(chunks, plain)), list(compress(chunks, ~plain))
+        ids = self.found(["".join(simple[k : k + JOINED]) for k in range(0, len(simple), JOINED)])[1]
+        edges = np.flatnonzero(self.opens[ids])
+        if len(edges) != len(simple):
+            return self.checked(chunks, *self.found(chunks))
+        lengths, starts = np.empty((2, len(chunks)), np.int64)
+        lengths[plain], starts[plain] = np.diff(edges, append=len(ids)), edges
+        lengths[~plain], more = self.found(rest)
+        starts[~plain] = len(ids) + offsets_of(lengths[~plain])[:-1]
+        return self.checked(chunks, lengths, np.concatenate([ids, more])[spans(starts, lengths)])
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
@@ -123,18 +149,44 @@ class PieceSide(Vocabulary):
     def encode_many(self, chunks: list[str]) -> Encoded:
         """A chunk begins with the blank that the library adds, or with a newline, before which the added blank stays alone."""
         found = self.model.encode([x.removeprefix(" ") for x in chunks], num_threads=1)
-        return self.checked(chunks, [ids if x[0] == " " else ids[1:] if ids[:1] == [self.blank] else [] for x, ids in zip(chunks, found)])
+        return self.checked(chunks, *flat([ids if x[0] == " " else ids[1:] if ids[:1] == [self.blank] else [] for x, ids in zip(chunks, found)]))
 
     def whole(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
 
 class WholeChunks(ChunkEncoder):
-    """Unlike its base it takes no chunk apart: letters and marks may share a piece."""
+    """Of both sides: a chunk's ids of A, then those of B, which have ``SECOND`` added.
+
+    Unlike its base it takes no chunk apart: letters and marks may share a piece.
+    """
+
+    def __init__(self, *sides: Vocabulary):
+        self.sides = sides
+        super().__init__(self.encode_both, "<u4", spaced_keys, bound=400_000, words=150_000)
 
     def _learn(self, lost: list[str]) -> None:
         self._append(lost, *self.encode_many([self.chunk(k) for k in lost]))
 
+    def encode_both(self, chunks: list[str]) -> Encoded:
+        uncut = lambda side: (np.ones(len(chunks), np.int64), np.full(len(chunks), side.wrong, "<u4"))
+        (n_a, ids_a), (n_b, ids_b) = (side.encode_many(chunks) if getattr(side, "cuts", True) else uncut(side) for side in self.sides)
+        starts = offsets_of(n_a + n_b)[:-1]
+        ids = np.empty(len(ids_a) + len(ids_b), "<u4")
+        ids[spans(starts, n_a)], ids[spans(starts + n_a, n_b)] = ids_a, ids_b + SECOND
+        return n_a + n_b, ids
+
+    def ids_of_texts(self, texts: list[str]) -> Iterator[list[np.ndarray | None]]:
+        """Ids of each text on both sides, None where they don't spell it."""
+        for text, both in zip(texts, self.encode(texts)):
+            second, out = both >= SECOND, []
+            for side, ids in zip(self.sides, (both[~second], both[second] - SECOND)):
+                if (ids == side.wrong).any():  # a chunk isn't spelled, or the vocabulary allows no cuts
+                    whole = side.whole(text)
+                    ids = np.array(whole, "<u4") if b"".join(map(side.strings.__getitem__, whole)) == b" " + text.encode() else None
+                out.append(ids)
+            yield out
+
 
 @cache
 def side_of(kind: type[Vocabulary], path: str) -> Vocabulary:
@@ -142,19 +194,9 @@ def side_of(kind: type[Vocabulary], path: str) -> Vocabulary:
     return kind(path)
 
 
-def encoders(path_a: str, path_b: str) -> tuple[WholeChunks, WholeChunks]:
-    """Of both sides; kept by the worker, so that later tasks find what earlier ones learned."""
-    make = lambda side: WholeChunks(side.encode_many, "<u4", spaced_keys, bound=200_000, words=150_000)
-    return worker_cache(f"aligned {path_a} {path_b}", lambda: (make(side_of(ByteSide, path_a)), make(side_of(PieceSide, path_b))))
-
-
-def ids_of_texts(texts: list[str], encoder: ChunkEncoder, side: Vocabulary) -> Iterator[np.ndarray | None]:
-    """Ids of each text, None where they don't spell it."""
-    for text, ids in zip(texts, encoder.encode(texts) if getattr(side, "cuts", True) else ([side.wrong] for _ in texts)):
-        if side.wrong in ids:  # a chunk isn't spelled, or the vocabulary allows no cuts
-            whole = side.whole(text)
-            ids = np.array(whole, "<u4") if b"".join(map(side.strings.__getitem__, whole)) == b" " + text.encode() else None
-        yield ids
+def encoder_of(path_a: str, path_b: str) -> WholeChunks:
+    """Kept by the worker, so that later tasks find what earlier ones learned."""
+    return worker_cache(f"aligned {path_a} {path_b}", lambda: WholeChunks(side_of(ByteSide, path_a), side_of(PieceSide, path_b)))
 
 
 def end_events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -166,14 +208,13 @@ def end_events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     fields = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("side", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = encoders(path_a, path_b)
-        sides = side_of(ByteSide, path_a), side_of(PieceSide, path_b)
+        encoder = encoder_of(path_a, path_b)
+        sides = encoder.sides
         key = TaskContext.get().partitionId() << 36
         for batch in slices(batches, keep=f"aligned {path_a} {path_b}"):
             rows: list[tuple] = []
             texts = [t if t and BLANK not in t else "" for t in batch.column("text").to_pylist()]
-            found = zip(batch.column("doc_id").to_pylist(), texts, *(ids_of_texts(texts, e, s) for e, s in zip(both, sides)))
-            for doc, text, a, b in found:
+            for doc, text, (a, b) in zip(batch.column("doc_id").to_pylist(), texts, encoder.ids_of_texts(texts)):
                 if not text or a is None or b is None:
                     rows.append((key, doc, 0, 2, b""))
                 else:
@@ -213,7 +254,9 @@ class Machine:
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.sides, self.width = (a, b), len(b.strings)
         # a token's decimal id and what follows it: A by ',' or '|', B by ',' or ';'
-        self.texts = [b"%d%s" % (i, mark) for side, marks in ((a, b",|"), (b, b",;")) for i in range(len(side.strings)) for mark in (marks[:1], marks[1:])]
+        texts = [b"%d%s" % (i, mark) for side, marks in ((a, b",|"), (b, b",;")) for i in range(len(side.strings)) for mark in (marks[:1], marks[1:])]
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.texts = np.array(texts).view(np.uint8).reshape(len(texts), -1)  # with zero bytes after shorter ones
         self.ids: tuple[list, list] = ([], [])
         self.ends: tuple[list, list] = ([], [])
         self.waiting, self.enough = 0, SWEPT
@@ -279,10 +322,11 @@ class Machine:
         linked, counts = np.unique(of_doc << 44 | pairs, return_counts=True)
         link_cuts = np.searchsorted(linked >> 44, np.arange(len(stops) + 1))
         linked &= (1 << 44) - 1
-        marks = text.tolist()
+        written = self.texts.take(text, axis=0).ravel()
+        written, begins = written[written != 0].tobytes(), offsets_of(self.sizes[text])[cuts[0] + cuts[1]].tolist()
         for k in range(len(stops)):
             self.totals += [int(c[k + 1] - c[k]) for c in cuts]
-            piece = b"".join(map(self.texts.__getitem__, marks[cuts[0][k] + cuts[1][k] : cuts[0][k + 1] + cuts[1][k + 1]]))[:-1]
+            piece = written[begins[k] : begins[k + 1]][:-1]
             if piece:
                 if self.hash is None:
                     self.hash = hashlib.sha256(piece)

@@ -121,6 +121,51 @@ def test_alignment_in_small_blocks():
     assert run(3, 5) == run(50, 100) == run(10_000, 10**9)
 
 
+class Counting:
+    """A tokenizer that notes how many texts it gets at a time."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_chunks_are_encoded_joined(monkeypatch):
+    """The library gets plain chunks joined, with the ids that each has alone; a text is taken apart once for both sides."""
+    a, b = token_alignment.ByteSide(A), token_alignment.PieceSide(B)
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgé中😀09,.-'", k=r.randint(1, 9))) for _ in range(3_000)]
+    words[7:7] = ["<|endoftext|>", "<s>", "'s", "'", "▁", "x▁", "Ａ", "ﬁ", "\u200b", "e\u0301", "\ufeff", "0" * 50]
+    chunks = list(dict.fromkeys(r.choice([" ", " ", "\n"]) + w for w in words))
+    odd = [" ", " \n\n", " a\tb", "   x", " \r\n y", " \x00", " \x1cz", " a\u3000b", " \x85"]
+    alone = {x: [side.encode_many([x])[1].tolist() for side in (a, b)] for x in [*chunks, *odd]}
+    count = a.tokenizer = Counting(a.tokenizer)
+    for some in (chunks, odd, [*odd, *chunks], chunks[:1], [" ▁", *chunks[:300]]):
+        count.calls.clear()
+        for side, find in enumerate((a.encode_many, b.encode_many)):
+            lengths, ids = find(some)
+            ends = np.cumsum(lengths).tolist()
+            assert [ids[s:e].tolist() for s, e in zip([0, *ends], ends)] == [alone.setdefault(x, [a.encode_many([x])[1].tolist(), b.encode_many([x])[1].tolist()])[side] for x in some]
+    count.calls.clear()
+    a.encode_many([*odd, *chunks])
+    assert sum(count.calls) <= len(chunks) / 50 + len(odd)
+
+    taken = []
+    keys = token_alignment.spaced_keys
+    monkeypatch.setattr(token_alignment, "spaced_keys", lambda text: taken.append(text) or keys(text))
+    texts = ["".join(chunks[k : k + 50]) + (odd[k // 50] if k < 450 else "") for k in range(0, len(chunks), 50)]
+    found = list(token_alignment.WholeChunks(a, b).ids_of_texts(texts))
+    assert taken == texts
+    a.tokenizer = count.tokenizer
+    for text, sides in zip(texts, found):
+        for side, ids in zip((a, b), sides):
+            want = side.whole(text)
+            spelled = b"".join(side.strings[i] for i in want) == (" " + text).encode()
+            assert (ids.tolist() if ids is not None else None) == (want if spelled else None)
+
+
 def coded(rows, rounds=6):
     """All distances, in Python's integers."""
     kept = [(i, [math.floor(Fraction(x) * 4096) for x in v], g) for i, v, g in rows if v and len(v) % 8 == 0 and all(x is not None and math.isfinite(x) for x in v)]
