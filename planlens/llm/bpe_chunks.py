@@ -216,7 +216,7 @@ def _byte_level_encoder(path: str) -> ChunkEncoder:
     marks = np.zeros(max(vocab.values()) + 1, bool)
     marks[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
     simple = lambda x: x[0] == " " and (x[1:].isalpha() or x[1:-1].isalpha())
-    return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, "", xs), dtype, bound=500_000, words=150_000)
+    return ChunkEncoder(lambda xs: joined(path, dtype, marks, simple, "", xs), dtype, bound=500_000, words=40_000)
 
 
 def word_end_encoder(path: str) -> ChunkEncoder:

@@ -40,13 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planlens.llm.frames import texts_of
-from planlens.llm.worker_memory import slices
+from planlens.llm.worker_memory import give_back, slices
 from planlens.workspace import ship_package
 
 #: Labelled documents used for fitting, at most, and those of them that calibrate.
 TRAIN_ROWS, CALIBRATION_ROWS = 20_000, 4_000
 #: Contexts a feature needs in toxic documents.
 LEAST_CONTEXTS = 12
+#: Counts that a learning task holds before it passes them on, tokens whose readings it keeps, and characters whose trigrams it counts at once: memory and speed only.
+COUNTS_HELD, READINGS_KEPT, CHARACTERS_AT_ONCE = 100_000, 30_000, 1 << 18
 
 #: Letters of the character model besides a-z.
 ACCENTED = "àâäáãåæçèéêëìíîïñòóôöõœùúûüýÿß"
@@ -79,8 +81,9 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 18, np.int64)
         for batch in slices(batches):
             texts = "  ".join(text.lower() for text in batch.column(0).to_pylist() if text)
-            if texts:
-                code = np.frombuffer(f"  {texts}  ".encode("utf-32-le", "replace"), np.uint32)
+            texts = f"  {texts}  " if texts else ""
+            for k in range(0, len(texts) - 2, CHARACTERS_AT_ONCE):  # a part has the first two characters of the next
+                code = np.frombuffer(texts[k : k + CHARACTERS_AT_ONCE + 2].encode("utf-32-le", "replace"), np.uint32)
                 c = _TABLE[np.minimum(code, 0x2FF)].astype(np.int32)
                 total += np.bincount(c[:-2] << 12 | c[1:-1] << 6 | c[2:], minlength=1 << 18)
         used = np.flatnonzero(total)
@@ -343,7 +346,7 @@ def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterM
                 v = known.get(t)
                 if v is None:
                     words = readings_of(t, model)
-                    v = scorer.of_readings(words) + (OPEN if not scorer.openings.isdisjoint(words) else 0.0)
+                    v = scorer.of_readings(words) + (OPEN if not scorer.openings.isdisjoint(words) else 0.0) or 0.0  # one object for all zeros
                     if len(t) <= 64:
                         known[t] = v
                 found[k] = v
@@ -361,24 +364,50 @@ def document_evidence(texts: list[str | None], scorer: Scorer, model: CharacterM
     return out
 
 
-def learn_evidence(sample: DataFrame, model_value, least: int = LEAST_CONTEXTS) -> dict[str, float]:
+def feature_counts(batches: Iterator[pa.RecordBatch], model: CharacterModel, held: int = COUNTS_HELD, kept: int = READINGS_KEPT) -> Iterator[pa.RecordBatch]:
+    """feature, context, and 1 for each context in toxic texts; feature, -1, and how many toxic and clean texts have it.
+
+    The counts are passed on whenever ``held`` of them have gathered, and one
+    text's more at most; so a feature can come again, and a context too.
+    """
+    known: dict[str, tuple[str, ...]] = {}
+    toxic_in: set[tuple[str, int]] = set()
+    used_by: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def passed_on() -> pa.RecordBatch:
+        found, used = list(toxic_in), list(used_by[0].keys() | used_by[1].keys())
+        numbers = np.zeros((4, len(found) + len(used)), np.int64)
+        numbers[0] = [c for _, c in found] + [-1] * len(used)
+        numbers[1, : len(found)] = 1
+        for k in (0, 1):
+            numbers[3 - k, len(found) :] = [used_by[k][f] for f in used]
+        features = pa.array([f for f, _ in found] + used, pa.string())
+        for counts in (toxic_in, *used_by):
+            counts.clear()
+        return pa.RecordBatch.from_arrays([features, *map(pa.array, numbers)], names=["feature", "context", "contexts", "toxic", "clean"])
+
+    for batch in slices(batches):
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            words = restored_tokens(text or "", model, known)
+            if toxic:
+                best = [w[0] for w in words]
+                around = zip(words, ["", *best], [*best[1:], ""])
+                toxic_in.update((f, hash_of(before, after)) for said, before, after in around for w in said if w for f in beginnings(w))
+            used_by[toxic].update({f for said in set(words) for w in said if w for f in beginnings(w)})
+            if len(toxic_in) + len(used_by[0]) + len(used_by[1]) >= held:
+                yield passed_on()
+            if len(known) > kept:
+                known.clear()
+    yield passed_on()
+    known.clear()
+    give_back()
+
+
+def learn_evidence(sample: DataFrame, model_value, least: int = LEAST_CONTEXTS, held: int = COUNTS_HELD) -> dict[str, float]:
     """Log odds of the features that toxic documents of ``sample`` (text, toxic) use in many contexts."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = model_value.value, {}
-        toxic_in: set[tuple[str, int]] = set()
-        used_by: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in slices(batches):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = restored_tokens(text or "", model, known)
-                if toxic:
-                    best = [w[0] for w in words]
-                    around = zip(words, ["", *best], [*best[1:], ""])
-                    toxic_in.update((f, hash_of(before, after)) for said, before, after in around for w in said if w for f in beginnings(w))
-                used_by[toxic].update({f for said in set(words) for w in said if w for f in beginnings(w)})
-        rows = [(f, c, 1, 0, 0) for f, c in toxic_in] + [(f, -1, 0, used_by[1][f], used_by[0][f]) for f in used_by[0].keys() | used_by[1].keys()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["feature", "context", "contexts", "toxic", "clean"])
+        yield from feature_counts(batches, model_value.value, held)
 
     seen = sample.select("text", "toxic").mapInArrow(features, "feature string, context long, contexts long, toxic long, clean long")
     each = seen.groupBy("feature", "context").agg(F.max("contexts").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -43,6 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, keep: str
     """Smaller batches by bytes, so that a worker holds few texts as objects; a cache other than ``keep`` goes."""
     if _KEPT and keep not in _KEPT:
         _KEPT.clear()
+        give_back()
     for batch in batches:
         yield from parts_of(batch, most)
         del batch

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,6 +474,44 @@ def toxic_found(spark, word, more):
     return [got[10_000 + k] for k in range(len(more))]
 
 
+def test_toxicity_learns_in_bounded_memory(spark):
+    """A learning task passes its counts on, however many texts it has; what is learned stays the same."""
+    model = toxicity.CharacterModel(np.zeros(1 << 18, np.int64))
+
+    def batches(n):
+        for k in range(n):
+            numbers = (" ".join("z".join(str(4_000 * k + 200 * i + j)) for j in range(100)) for i in range(20))
+            texts = [x.translate(str.maketrans("0123456789", "abcdefghij")) for x in numbers]  # other words in each
+            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(20)], pa.int32())], names=["text", "toxic"])
+
+    def peak(n):
+        tracemalloc.start()
+        rows = sum(len(b) for b in toxicity.feature_counts(batches(n), model, 4_000, 4_000))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most
+
+    (few, before), (many, after) = peak(3), peak(12)
+    assert many > 3.5 * few and after < 1.5 * before
+    sample = spark.createDataFrame([(t, y) for _, t, y in toxic_rows("vilebad")], "text string, toxic int").coalesce(2)
+    shared = spark.sparkContext.broadcast(model)
+    learned = [toxicity.learn_evidence(sample, shared, held=held) for held in (50, 10**9)]
+    assert learned[0] == learned[1] and "vilebad" in learned[0]
+
+
+def test_toxicity_counts_trigrams_of_long_texts(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choices("abé Z.", k=n)) for n in (toxicity.CHARACTERS_AT_ONCE * 2 + 1, toxicity.CHARACTERS_AT_ONCE - 3, 1)]
+    expected = np.zeros(1 << 18, np.int64)
+    for text in texts:
+        c = [int(toxicity._TABLE[min(ord(x), 0x2FF)]) for x in f"  {text.lower()}  "]
+        np.add.at(expected, [a << 12 | b << 6 | d for a, b, d in zip(c, c[1:], c[2:])], 1)
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(5)
+    found = toxicity.trigram_counts(docs)
+    found[0] = expected[0] = 0  # edges alone: texts that are counted together share them
+    assert (found == expected).all()
+
+
 def test_toxicity_decodes_every_disguise(spark):
     tail = "mi ta re lo"
     hidden = ["sttuuppiidd", "stuupid", "5tup1d", "$tupid", f"s{'t' * 30}{'u' * 30}pid", "(stupid", "stupid!"]
