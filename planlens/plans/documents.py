@@ -2,9 +2,9 @@
 
 A document is one JSON text. Its executable steps stand in the order in which a
 depth-first walk frees them: a step comes after the last of its dependencies,
-and of steps freed together the smaller key comes first. All of it is written by
-column expressions, so a digest of a whole plan is computed in the JVM. A plan's
-nodes meet in one row, as its text does; its size is the only bound.
+and of steps freed together the smaller key comes first. Rows of nodes are dealt
+by plan, and Python workers write and read a plan's text (``texts``). A plan's
+nodes meet in one task, as its text does; its size is the only bound.
 
 ``choices`` has plan_id, key, dependencies (keys, or ``$input``), input_schemas
 (digests, one for each dependency), output_schema, module_id, module_digest,
@@ -14,24 +14,28 @@ execution, capabilities, effects, models, budget (structs and arrays of structs)
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from planlens.functions.canonical import canonical, digest_of, let, list_text, object_text, string_text
+from planlens.functions.canonical import canonical, digest_of, let
 from planlens.plans.doubling import ancestry
 from planlens.plans.gathered import inside, sizes_above, walk
 from planlens.plans.metrics import labelled
-from planlens.workspace import Scratch
+from planlens.plans.texts import CONTRACT, INPUT, Reader, plan_text, writer
+from planlens.workspace import Scratch, ship_package
 
-#: Version of the documents, prefixes of addresses, and the codes of refusals.
-VERSION, INPUT, ADDRESS, WORKFLOW = "0.6.0", "$input", "nodes/", "dynamic:"
+#: The codes of refusals.
 INVALID, UNTRUSTED = "PLAN_SIGNATURE_INVALID", "PLAN_SIGNATURE_UNTRUSTED"
-#: What a choice declares beside its identity and schemas.
-CONTRACT = ("execution", "capabilities", "effects", "models", "budget")
 CHOICE = ("key", "dependencies", "input_schemas", "output_schema", "module_id", "module_digest", *CONTRACT)
 REGION = ("region_id", "input_schema", "outputs", "output_schemas")
-_TEXTS = ArrayType(StringType())
+#: Characters of texts and rows after which a worker passes them on.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 4_096
 
 
 def topological_labels(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -60,19 +64,61 @@ def _walk(nodes: str) -> Column:
     return let(inside(F.transform(nodes, lambda n: n["key"]), F.transform(nodes, lambda n: n["dependencies"]), INPUT), walk)
 
 
-def _addresses(keys: Column) -> Column:
-    return F.transform(keys, lambda d: F.when(d == INPUT, "input").otherwise(F.concat(F.lit(ADDRESS), d)))
+def whole_plans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that stand by plan (the first column), again as batches, none of which ends within a plan."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0)
+        if held and held[-1].column(0)[-1].as_py() != ids[0].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        ends = pc.run_end_encode(ids).run_ends
+        last = ends[-2].as_py() if len(ends) > 1 else 0
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def places(batch: pa.RecordBatch) -> Iterator[tuple[object, int, int]]:
+    """plan_id, first row and end of each plan of a batch."""
+    runs, start = pc.run_end_encode(batch.column(0)), 0
+    for plan_id, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+        yield plan_id, start, end
+        start = end
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, texts: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size; ``texts`` of their last columns are long."""
+    held, chars = [], 0
+    made = lambda: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        chars += sum([len(t) for t in row[len(row) - texts :] if t is not None])
+        if chars >= BATCH_CHARS or len(held) >= BATCH_ROWS:
+            yield made()
+            held, chars = [], 0
+    if held:
+        yield made()
+
+
+def texts(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple]], names: tuple[str, ...] = ("plan",)) -> DataFrame:
+    """plan_id and texts of these names, as ``read`` makes them of whole plans' rows.
+
+    ``rows`` (plan_id first) are dealt by plan already; only they are sorted, so texts are never shuffled or sorted.
+    """
+    ship_package(rows.sparkSession)
+    schema = StructType([rows.schema[0], *(StructField(n, StringType()) for n in names)])
+    arrow, n = to_arrow_schema(schema), len(names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((row for batch in whole_plans(batches) for row in read(batch)), arrow, n)
 
-def definition_digest(step: dict[str, Column], contract: dict[str, Column], control: Column, stated: Column, has_models: Column) -> Column:
-    """The identity of what a step does; models and a budget count only where stated."""
-    always = {**step, **{c: contract[c] for c in ("execution", "capabilities", "effects")}, "control": control}
-    of = lambda **more: object_text(**always, **more)
-    text = (
-        F.when(has_models & stated, of(models=contract["models"], budget=contract["budget"]))
-        .when(has_models, of(models=contract["models"])).when(stated, of(budget=contract["budget"])).otherwise(of())
-    )
-    return digest_of(text)
+    return rows.sortWithinPartitions(rows.columns[0]).mapInArrow(run, schema)
 
 
 def _stated(budget: Column, kind: StructType) -> Column:
@@ -83,156 +129,49 @@ def _stated(budget: Column, kind: StructType) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def step_text(x: Column, region_id: Column, kind: StructType) -> Column:
-    """The text of a choice (a struct of this type) as a step of its plan.
-
-    What several parts of a text use is a field of its own, so it is computed once.
-    """
-    return let(_parts(x, region_id, kind), lambda p: let(_named(p), lambda n: let(_defined(p, n), lambda d: _step(p, n, d))))
-
-
-def _quoted(digest: Column) -> Column:
-    """A digest as JSON; it has nothing to escape, and isn't computed twice to look."""
-    return F.concat(F.lit('"'), digest, F.lit('"'))
-
-
-def _parts(x: Column, region_id: Column, kind: StructType) -> Column:
-    return F.struct(
-        x["key"].alias("key"), F.size(x["models"]).alias("n_models"), _stated(x["budget"], kind["budget"].dataType).alias("stated"), _addresses(x["dependencies"]).alias("addresses"), x["input_schemas"].alias("input_schemas"),
-        canonical(x["input_schemas"], _TEXTS).alias("schemas_text"), *(string_text(x[c]).alias(c) for c in ("module_id", "module_digest", "output_schema")), *(canonical(x[c], kind[c].dataType).alias(c) for c in CONTRACT),
-        string_text(F.concat(F.lit("dynamic/"), region_id, F.lit("/nodes/"), x["key"])).alias("logical_step"),
-    )
-
-
-def _named(p: Column) -> Column:
-    whole = F.when(F.size(p["input_schemas"]) == 1, string_text(p["input_schemas"][0])).otherwise(_quoted(digest_of(object_text(ordered_input_schemas=p["schemas_text"]))))
-    return F.struct(
-        whole.alias("input_schema"), object_text(input_schema_digests=p["schemas_text"], key=string_text(p["key"]), region=string_text(F.lit("generated"))).alias("control"),
-    )
-
-
-def _defined(p: Column, n: Column) -> Column:
-    identity = {"module_id": p["module_id"], "logical_step": p["logical_step"], "module_digest": p["module_digest"], "input_schema_digest": n["input_schema"], "output_schema_digest": p["output_schema"]}
-    return _quoted(definition_digest(identity, {c: p[c] for c in CONTRACT}, n["control"], p["stated"], p["n_models"] > 0))
-
-
-def _step(p: Column, n: Column, definition: Column) -> Column:
-    source = lambda address, schema: object_text(kind=string_text(F.lit("source")), schema_digest=schema, source=string_text(address))
-    items = list_text(F.transform(F.arrays_zip(p["addresses"].alias("address"), p["input_schemas"].alias("schema")), lambda x: source(x["address"], string_text(x["schema"]))))
-    several = object_text(kind=string_text(F.lit("tuple")), schema_digest=n["input_schema"], items=items)
-    return object_text(
-        node_id=string_text(F.concat(F.lit(ADDRESS), p["key"])), kind=string_text(F.lit("module")), dependencies=canonical(p["addresses"], _TEXTS), output_schema_digest=p["output_schema"],
-        module_id=p["module_id"], logical_step=p["logical_step"], module_digest=p["module_digest"], definition_digest=definition,
-        input_binding=F.when(F.size(p["addresses"]) == 1, source(p["addresses"][0], n["input_schema"])).otherwise(several), control=n["control"], **{c: p[c] for c in CONTRACT},
-    )
-
-
-def output_digest(schemas: Column) -> Column:
-    return digest_of(object_text(ordered_output_schemas=canonical(schemas, _TEXTS)))
-
+def _built(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """plan_id, text of plans' rows: choices with canonical texts, and regions."""
+    tuples = lambda values: [v if v is None else tuple(v) for v in values]
+    columns = {c: batch.column(c).to_pylist() for c in (*CHOICE, "stated")}
+    choices = list(zip(*(tuples(v) if c in ("dependencies", "input_schemas") else v for c, v in columns.items()), strict=True))
+    regions = list(zip(*(batch.column(c).to_pylist() for c in REGION), strict=True))
+    kinds = batch.column("is_region").to_pylist()
+    for plan_id, start, end in places(batch):
+        own = [choices[j] for j in range(start, end) if not kinds[j]]
+        for j in range(start, end) if own else ():
+            if kinds[j]:
+                yield plan_id, plan_text(regions[j], own)
 
-def _output_step(region: Column) -> Column:
-    nothing, none = F.lit("null"), F.lit("[]")
-    return object_text(
-        node_id=string_text(F.lit("output")), kind=string_text(F.lit("parallel")), dependencies=canonical(_addresses(region["outputs"]), _TEXTS), output_schema_digest=string_text(output_digest(region["output_schemas"])),
-        control=object_text(outputs=canonical(region["outputs"], _TEXTS), region=string_text(F.lit("generated_output"))),
-        **{c: nothing for c in ("module_id", "logical_step", "module_digest", "definition_digest", "input_binding", "execution", "budget")}, capabilities=none, effects=none, models=none,
-    )
 
-
-def _whole_text(steps: Column, region: Column) -> Column:
-    return object_text(
-        version=string_text(F.lit(VERSION)), workflow_id=string_text(F.concat(F.lit(WORKFLOW), region["region_id"])), input_schema=object_text(digest=string_text(region["input_schema"])),
-        output_schema=object_text(digests=canonical(region["output_schemas"], _TEXTS)), steps=list_text(F.concat(steps, F.array(_output_step(region)))), output_node=string_text(F.lit("output")),
-    )
-
-
-def plan_text(choices: Column, order: Column, region: Column, kind: StructType) -> Column:
-    """The text of a plan from its choices (an array of structs of this type), their places in order and its region; null if the order lacks one."""
-    steps = F.transform(order, lambda k: step_text(F.get(choices, k - 1), region["region_id"], kind))
-    keys = F.array_distinct(F.transform(choices, lambda x: x["key"]))
-    return F.when((F.size(order) > 0) & (F.size(order) == F.size(choices)) & (F.size(keys) == F.size(choices)), _whole_text(steps, region))
-
-
-def _element(choices: StructType) -> StructType:
-    return StructType([choices[c] for c in CHOICE])
-
-
-def gather(choices: DataFrame, regions: DataFrame) -> DataFrame:
-    """plan_id, choices (an array of structs in the order of keys), region of each plan: what ``texts`` takes."""
-    plans = choices.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct(*CHOICE))).alias("choices"))
-    return plans.join(regions.select("plan_id", F.struct(*REGION).alias("region")), "plan_id")
-
-
-def texts(plans: DataFrame, name: str = "plan") -> DataFrame:
-    """Rows of gathered plans of few nodes, with their text as a column. Nothing is dealt again, so texts are never shuffled or sorted."""
-    kind = plans.schema["choices"].dataType.elementType
-    ordered = plans.withColumn("_order", _walk("choices"))
-    return ordered.withColumn(name, plan_text(F.col("choices"), F.col("_order"), F.col("region"), kind)).drop("_order")
-
-
-def build(choices: DataFrame, regions: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def build(choices: DataFrame, regions: DataFrame) -> DataFrame:
     """plan_id, plan (canonical text), plan_digest. A plan with a cycle or a missing dependency has a null text."""
-    scratch = scratch or Scratch(choices.sparkSession, "documents")
-    large = scratch.save(sizes_above(choices), "large")
-    if large.isEmpty():
-        made = texts(gather(choices, regions)).select("plan_id", "plan")
-    else:
-        few = texts(gather(choices.join(large, "plan_id", "left_anti"), regions)).select("plan_id", "plan")
-        made = few.unionByName(_large_texts(choices.join(large, "plan_id", "left_semi"), regions, scratch))
+    kinds = choices.schema
+    written = (canonical(F.col(c), kinds[c].dataType).alias(c) for c in CONTRACT)
+    nodes = choices.select("plan_id", *CHOICE[:6], *written, _stated(F.col("budget"), kinds["budget"].dataType).alias("stated"), F.lit(False).alias("is_region"))
+    both = nodes.unionByName(regions.select("plan_id", *REGION, F.lit(True).alias("is_region")), allowMissingColumns=True)
+    made = texts(both.filter("plan_id is not null").repartition("plan_id"), _built)
     return made.withColumn("plan_digest", digest_of(F.col("plan")))
 
 
-def _large_texts(choices: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
-    choices = scratch.save(choices.select("plan_id", *CHOICE), "choices")
-    kind = _element(choices.schema)
-    steps = choices.join(regions.select("plan_id", "region_id"), "plan_id").select("plan_id", "key", step_text(F.struct(*CHOICE), F.col("region_id"), kind).alias("step"))
-    placed = steps.join(topological_labels(choices.select("plan_id", "key", "dependencies")), ["plan_id", "key"], "left")
-    gathered = placed.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("position", "step"))).alias("steps"), F.bool_and(F.col("position").isNotNull() & F.col("step").isNotNull()).alias("whole"))
-    both = gathered.join(regions.select("plan_id", F.struct(*REGION).alias("region")), "plan_id")
-    return both.select("plan_id", F.when(F.col("whole"), _whole_text(F.transform("steps", lambda s: s["step"]), F.col("region"))).alias("plan"))
-
-
-def document_type(choices: StructType) -> StructType:
-    """The type of a parsed document whose steps declare what ``choices`` do."""
-    text = lambda *names: [StructField(n, StringType()) for n in names]
-    control = StructType([*text("key", "region"), StructField("input_schema_digests", _TEXTS), StructField("outputs", _TEXTS)])
-    step = StructType([
-        *text("node_id", "kind", "output_schema_digest", "module_id", "logical_step", "module_digest", "definition_digest"), StructField("dependencies", _TEXTS),
-        StructField("control", control), *(StructField(c, choices[c].dataType) for c in CONTRACT),
-    ])
-    return StructType([
-        *text("version", "workflow_id", "output_node"), StructField("input_schema", StructType(text("digest"))),
-        StructField("output_schema", StructType([StructField("digests", _TEXTS)])), StructField("steps", ArrayType(step)),
-    ])
-
-
-def parsed(plans: DataFrame, choices: StructType) -> DataFrame:
-    """plan_id, document of the texts in ``plans`` (plan_id, plan)."""
-    return plans.select("plan_id", "plan", F.from_json("plan", document_type(choices), {"mode": "PERMISSIVE"}).alias("document"))
-
-
-def _derived(document: Column) -> tuple[Column, Column]:
-    """The choices and the region that a parsed document was built from."""
-    keys = lambda s: F.transform(s["dependencies"], lambda d: F.when(d == "input", INPUT).otherwise(F.regexp_replace(d, f"^{ADDRESS}", "")))
-    choice = lambda s: F.struct(
-        s["control"]["key"].alias("key"), keys(s).alias("dependencies"), s["control"]["input_schema_digests"].alias("input_schemas"), s["output_schema_digest"].alias("output_schema"),
-        s["module_id"].alias("module_id"), s["module_digest"].alias("module_digest"), *(s[c].alias(c) for c in CONTRACT),
-    )
-    steps, node = document["steps"], document["output_node"]
-    found = F.filter(steps, lambda s: s["node_id"] == node)
-    region = F.struct(
-        F.regexp_replace(document["workflow_id"], f"^{WORKFLOW}", "").alias("region_id"), document["input_schema"]["digest"].alias("input_schema"),
-        F.get(found, F.lit(0))["control"]["outputs"].alias("outputs"), document["output_schema"]["digests"].alias("output_schemas"),
-    )
-    return F.transform(F.filter(steps, lambda s: s["module_id"].isNotNull()), choice), region
+def _reread(plans: DataFrame, kinds: list[DataType], read: Callable[[Reader, object, str | None], Iterable[tuple]], schema: StructType) -> DataFrame:
+    """Rows that ``read`` makes of each text of ``plans`` (plan_id, plan)."""
+    ship_package(plans.sparkSession)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(kinds)
+        pairs = (pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        return _batches((row for plan_id, text in pairs for row in read(reader, plan_id, text)), arrow)
+
+    return plans.select("plan_id", "plan").mapInArrow(run, schema)
 
 
 def derived_choices(plans: DataFrame, choices: StructType) -> tuple[DataFrame, DataFrame]:
     """The choices and regions that texts were built from."""
-    read = parsed(plans, choices)
-    nodes, region = _derived(F.col("document"))
-    return read.select("plan_id", F.inline(nodes)), read.select("plan_id", region.alias("r")).select("plan_id", *(F.col(f"r.{c}").alias(c) for c in REGION))
+    text, several, kinds = StringType(), ArrayType(StringType()), [choices[c].dataType for c in CONTRACT]
+    of = lambda names, types: StructType([plans.schema["plan_id"], *(StructField(n, k) for n, k in zip(names, types, strict=True))])
+    nodes = _reread(plans, kinds, lambda r, plan_id, plan: ((plan_id, *c) for c in r.document(plan)[0]), of(CHOICE, [text, several, several, text, text, text, *kinds]))
+    return nodes, _reread(plans, kinds, lambda r, plan_id, plan: [(plan_id, *r.document(plan)[1])], of(REGION, [text, text, several, several]))
 
 
 def inconsistent(plans: DataFrame, choices: StructType) -> DataFrame:
@@ -241,24 +180,21 @@ def inconsistent(plans: DataFrame, choices: StructType) -> DataFrame:
     Choices are derived from the text and the plan is built again from them: a
     changed definition digest, address, binding, output node or any byte that no
     choice explains makes the texts differ, and so does a text that isn't a plan.
-    A text is judged in its row, whatever its size: a filter by size would be pushed
-    below all that makes the texts, and make them again.
+    A text is judged in its row, whatever its size.
     """
-    nodes, region = _derived(F.col("document"))
-    read = parsed(plans.select("plan_id", "plan"), choices).select("plan_id", "plan", F.array_sort(nodes).alias("choices"), region.alias("region"))
-    return texts(read, "again").select("plan_id", _judged("again", INVALID))
+    kinds = [choices[c].dataType for c in CONTRACT]
+    for kind in kinds:
+        writer(kind)  # types without a canonical form are refused before any task
+    code = StructType([plans.schema["plan_id"], StructField("code", StringType())])
+    return _reread(plans, kinds, lambda r, plan_id, plan: [(plan_id, None if r.consistent(plan) else INVALID)], code)
 
 
-def _judged(now: str, code: str) -> Column:
-    return F.when(~F.col("plan").eqNullSafe(F.col(now)) | F.col("plan").isNull(), code).alias("code")
+def judged(plans: DataFrame, now: str = "now") -> DataFrame:
+    """plan_id, code: UNTRUSTED for each stored text (``plan``) that differs from the one beside it, or is none, else null."""
+    return plans.select("plan_id", F.when(~F.col("plan").eqNullSafe(F.col(now)) | F.col("plan").isNull(), UNTRUSTED).alias("code"))
 
 
 def revalidated(stored: DataFrame, choices: DataFrame, regions: DataFrame) -> DataFrame:
     """plan_id, code: UNTRUSTED for each stored text that differs from the plan built from what is trusted now, else null."""
     now = build(choices, regions).select("plan_id", F.col("plan").alias("now"))
-    return stored.join(now, "plan_id", "left").select("plan_id", _judged("now", UNTRUSTED))
-
-
-def revalidated_rows(stored: DataFrame) -> DataFrame:
-    """The same for gathered plans of few nodes as trusted now, with the stored text beside each (``plan``): no text is shuffled."""
-    return texts(stored, "now").select("plan_id", _judged("now", UNTRUSTED))
+    return judged(stored.join(now, "plan_id", "left"))

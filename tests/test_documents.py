@@ -1,14 +1,19 @@
 """Canonical texts and plan documents against Python's own JSON and a plain walk."""
 
+import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
+from planlens import queries as base
 from planlens.document_queries import choices_of, documents_of, regions_of
 from planlens.functions.canonical import canonical
 from planlens.functions.expressions import canonical_json
 from planlens.plans import documents as do
+from planlens.plans import texts as tx
 from planlens.plans.bridge import Bridge
 from planlens.plans.metrics import analyse
 
@@ -122,3 +127,99 @@ def test_repeated_and_lacking_steps_are_inconsistent(spark, stored):
     rows = [(1, text), (2, text.replace(steps, steps + "," + steps)), (3, text.replace(steps + ",", ""))]
     got = do.inconsistent(spark.createDataFrame(rows, "plan_id long, plan string"), choices.schema).collect()
     assert {r["plan_id"]: r["code"] for r in got} == {1: None, 2: do.INVALID, 3: do.INVALID}
+
+
+@pytest.mark.parametrize("name", ["g15_inconsistent_plans", "v07_revalidated_plans", "g06_derived_choices", "g05_plan_documents"])
+def test_texts_are_made_by_workers_in_one_pass(spark, data, name, monkeypatch):
+    monkeypatch.setattr(do.Scratch, "save", lambda *_, **__: pytest.fail("a table is written before the result"))
+    plan = base.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "from_json" not in plan
+    assert "lambdafunction" not in plan[plan.index("MapInArrow") :]  # what is done for each node before a text is read
+
+
+def test_nodes_and_choices_have_the_same_texts(spark, data):
+    b = Bridge(spark, data)
+    got = {r["plan_id"]: r["plan"] for r in documents_of(b).collect()}
+    assert got == {r["plan_id"]: r["plan"] for r in do.build(choices_of(b), regions_of(b)).collect()} and None not in got.values()
+
+
+def test_batches_end_with_a_plan():
+    rows = [k for k in range(40) for _ in range(1 + k * 7 % 11)] + [None] * 3
+    for size in (1, 2, 5, 300):
+        batches = pa.table({"plan_id": pa.array(rows, pa.int64()), "j": range(len(rows))}).to_batches(max_chunksize=size)
+        found = [(plan_id, batch.column("j").to_pylist()[start:end]) for batch in do.whole_plans(batches) for plan_id, start, end in do.places(batch)]
+        assert [p for p, _ in found] == [*range(40), None] and [j for _, js in found for j in js] == list(range(len(rows)))
+
+
+def struct(**kinds):
+    return StructType([StructField(n, k) for n, k in kinds.items()])
+
+
+KINDS = [
+    struct(cpu=LongType()), ArrayType(struct(name=StringType(), policy=StringType())), MapType(StringType(), ArrayType(BooleanType())),
+    ArrayType(struct(model=StringType())), struct(cost_usd=DoubleType(), tool_calls=IntegerType()),
+]
+
+
+def a_plan(r, size):
+    """A plan with odd names, its text, and the values that it was written from."""
+    name = lambda: "".join(r.choice('ab"\\\n\x01é😀,:{}[]') for _ in range(r.randint(0, 4)))
+    keys = [f"{k}{name()}" for k in range(size)]
+    choices = []
+    for k, key in enumerate(keys):
+        deps = tuple(r.choice(keys[:k]) for _ in range(r.randint(1, 3))) if k and r.random() < 0.8 else (do.INPUT,)
+        values = (
+            r.choice([None, {"cpu": r.choice([None, -3, 2**63 - 1])}]), [{"name": name(), "policy": r.choice([None, name()])} for _ in range(r.randint(0, 2))], {name(): [r.choice([True, False, None])] for _ in range(2)},
+            r.choice([None, [], [{"model": name()}]]), {"cost_usd": r.choice([None, 1e16, 1e-7, -0.0, 0.1]), "tool_calls": r.choice([None, 7])},
+        )
+        choices.append((key, deps, tuple(name() for _ in deps), name(), name(), name(), *values))
+    region = name(), name(), tuple(keys[-1:]), (name(),)
+    return tx.plan_text(region, written(choices)), choices, region
+
+
+def written(choices):
+    return [(*c[:6], *(tx.writer(k)(v) for k, v in zip(KINDS, c[6:], strict=True)), tx._stated(c[-1])) for c in choices]
+
+
+def judged_plainly(text):
+    """The same by parsing all of a text."""
+    choices, region = tx._parsed(text)
+    try:
+        return all(type(x) is str for c in choices for x in (c[0], *c[3:6])) and bool(choices) and tx.plan_text(region, written(choices)) == text
+    except (ValueError, TypeError, AttributeError):
+        return False
+
+
+def test_patterns_find_what_parsing_finds():
+    r, reader = random.Random(11), tx.Reader(KINDS)
+    for size in range(1, 60):
+        text, choices, region = a_plan(r, 1 + size % 9)
+        assert reader.consistent(text) and judged_plainly(text)
+        steps = json.loads(text)["steps"][:-1]
+        assert reader.document(text) == (sorted(choices, key=lambda c: [s["control"]["key"] for s in steps].index(c[0])), region)
+        for _ in range(60):
+            k = r.randrange(len(text))
+            other = text[:k] + r.choice(['x', '"', "\\", "", "1", "null", ",", " "]) + text[k + r.randint(0, 2) :]
+            assert reader.consistent(other) == judged_plainly(other)
+
+
+def test_values_of_another_type_are_inconsistent():
+    reader = tx.Reader(KINDS)
+    values = {"cpu": 1}, [], {}, [], {"cost_usd": 0.5, "tool_calls": 7}
+    texts = [tx.writer(k)(v) for k, v in zip(KINDS, values, strict=True)]
+    of = lambda k, text: tx.plan_text(("r", "s", ("a",), ("o",)), [("a", (do.INPUT,), ("s",), "o", "m", "d", *texts[:k], text, *texts[k + 1 :], True)])
+    assert reader.consistent(of(0, texts[0]))
+    for k, text in ((0, '{"cpu":9223372036854775808}'), (0, '{"cpu":1.0}'), (0, '{"cpu":01}'), (0, '{"cpu":1,"gpu":1}'), (0, "{}"), (1, "{}"), (4, '{"cost_usd":1,"tool_calls":7}'), (4, '{"cost_usd":0.50,"tool_calls":7}'), (4, '{"cost_usd":NaN,"tool_calls":7}'), (4, '{"cost_usd":1e400,"tool_calls":7}')):
+        assert not reader.consistent(of(k, text)), text
+    read = reader.document(of(4, '{"cost_usd":1,"tool_calls":"7"}'))[0][0]
+    assert read[-1] == {"cost_usd": 1.0, "tool_calls": None} and read[0] == "a"
+    for text in (None, "", "[" * 100_000, '{"steps":[null,1]}', of(0, texts[0]).replace('"m"', '"\\ud800"')):
+        assert not reader.consistent(text) and reader.document(text)[1] is not None
+
+
+def test_a_long_plan_takes_work_by_its_nodes():
+    size = 20_000
+    chain = [(f"n{k:05d}", (f"n{k - 1:05d}" if k else do.INPUT,), ("s",), "o", "m", "d", "null", "[]", "{}", "[]", "null", False) for k in range(size)]
+    text = tx.plan_text(("r", "s", (chain[-1][0],), ("o",)), chain[::-1])
+    assert [s["control"]["key"] for s in json.loads(text)["steps"][:-1]] == [c[0] for c in chain]
+    assert tx.Reader(KINDS).consistent(text)
