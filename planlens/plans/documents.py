@@ -153,24 +153,26 @@ def build(choices: DataFrame, regions: DataFrame) -> DataFrame:
     return made.withColumn("plan_digest", digest_of(F.col("plan")))
 
 
-def _reread(plans: DataFrame, kinds: list[DataType], read: Callable[[Reader, object, str | None], Iterable[tuple]], schema: StructType) -> DataFrame:
+def _reread(plans: DataFrame, kinds: list[DataType], read: Callable[[Reader, object, str | None], Iterable[tuple]], schema: StructType, written: tuple[str, ...] = ()) -> DataFrame:
     """Rows that ``read`` makes of each text of ``plans`` (plan_id, plan)."""
     ship_package(plans.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(kinds)
+        reader = Reader(kinds, written)
         pairs = (pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         return _batches((row for plan_id, text in pairs for row in read(reader, plan_id, text)), arrow)
 
     return plans.select("plan_id", "plan").mapInArrow(run, schema)
 
 
-def derived_choices(plans: DataFrame, choices: StructType) -> tuple[DataFrame, DataFrame]:
-    """The choices and regions that texts were built from."""
+def derived_choices(plans: DataFrame, choices: StructType, columns: tuple[str, ...] = CHOICE, written: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The choices (these columns of them) and regions that texts were built from; ``written`` names what of CONTRACT is given as canonical texts."""
     text, several, kinds = StringType(), ArrayType(StringType()), [choices[c].dataType for c in CONTRACT]
     of = lambda names, types: StructType([plans.schema["plan_id"], *(StructField(n, k) for n, k in zip(names, types, strict=True))])
-    nodes = _reread(plans, kinds, lambda r, plan_id, plan: ((plan_id, *c) for c in r.document(plan)[0]), of(CHOICE, [text, several, several, text, text, text, *kinds]))
+    types = dict(zip(CHOICE, [text, several, several, text, text, text, *(text if c in written else k for c, k in zip(CONTRACT, kinds, strict=True))], strict=True))
+    chosen = [CHOICE.index(c) for c in columns]
+    nodes = _reread(plans, kinds, lambda r, plan_id, plan: ((plan_id, *[c[k] for k in chosen]) for c in r.document(plan)[0]), of(columns, [types[c] for c in columns]), written)
     return nodes, _reread(plans, kinds, lambda r, plan_id, plan: [(plan_id, *r.document(plan)[1])], of(REGION, [text, text, several, several]))
 
 

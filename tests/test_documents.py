@@ -96,6 +96,14 @@ def test_choices_come_back(stored):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, regions.filter(F.col("plan_id").isin(ids)).select(back.columns).collect()))
 
 
+def test_written_parts_come_back_as_texts(stored):
+    choices, _, plans = stored
+    columns = ("budget", "key", "effects", "execution")
+    got = do.derived_choices(plans, choices.schema, columns, columns[::2])[0]
+    values = do.derived_choices(plans, choices.schema)[0].select("plan_id", *(canonical(F.col(c), choices.schema[c].dataType).alias(c) if c in ("budget", "effects") else c for c in columns))
+    assert got.columns == values.columns and sorted(map(repr, got.collect())) == sorted(map(repr, values.collect()))
+
+
 def test_broken_graphs_have_no_document(spark, stored):
     choices, regions, _ = stored
     one = choices.filter(F.col("plan_id") == choices.first()["plan_id"])
@@ -213,6 +221,8 @@ def test_values_of_another_type_are_inconsistent():
         assert not reader.consistent(of(k, text)), text
     read = reader.document(of(4, '{"cost_usd":1,"tool_calls":"7"}'))[0][0]
     assert read[-1] == {"cost_usd": 1.0, "tool_calls": None} and read[0] == "a"
+    for budget, text in (('{"cost_usd":1,"tool_calls":"7"}', '{"cost_usd":1.0,"tool_calls":null}'), ('{"cost_usd":1e400,"tool_calls":7}', None), ('{"cost_usd":NaN,"tool_calls":7}', None)):
+        assert tx.Reader(KINDS, ("budget",)).document(of(4, budget))[0][0][6:] == (*values[:4], text)
     for text in (None, "", "[" * 100_000, '{"steps":[null,1]}', of(0, texts[0]).replace('"m"', '"\\ud800"')):
         assert not reader.consistent(text) and reader.document(text)[1] is not None
 
